@@ -215,6 +215,6 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
 def rejected(model: Model, lang: str = "lang", name: str = "score") -> Column:
     """Whether the score reaches the threshold of the row's language."""
     cut = F.lit(model.threshold)
-    for name, value in sorted(model.thresholds.items()):
-        cut = F.when(F.col(lang) == name, F.lit(value)).otherwise(cut)
+    for language, value in sorted(model.thresholds.items()):
+        cut = F.when(F.col(lang) == language, F.lit(value)).otherwise(cut)
     return F.col(name) >= cut
