@@ -2,5 +2,214 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import attempts as A
+from .operators import links as L
+from .operators import quality as Q
+from .operators import questions as S
+from .plans import parsing as P
+from .sources.projection import load, with_ctes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, needs: str, make: Callable[..., DataFrame], sql: str | None = None, graded: bool = False) -> None:
+    """needs: projections, in the order of ``make``'s arguments; graded: SQL may use the table ``graded``."""
+    names = needs.split()
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return make(*(load(spark, sf_dir, n) for n in names))
+
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLES[name] = with_ctes(f"WITH {GRADED} {sql}" if graded and not sql.startswith("WITH") else (f"WITH {GRADED}, {sql[5:]}" if graded else sql), *names)
+
+
+BEST = """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC, created_at DESC, id DESC) AS r FROM candidates WHERE is_verified) WHERE r = 1)"""
+GRADED = f"""{BEST}, keyed AS (
+  SELECT a.id, a.user_id, a.question_id, a.user_answer, a.create_time, q.subject, q.chapter, q.knowledge_tag, q.question_type,
+    coalesce(CASE WHEN trim(q.answer) <> '' THEN trim(q.answer) END, CASE WHEN trim(b.answer_text) <> '' THEN trim(b.answer_text) END) AS key,
+    CASE WHEN trim(q.answer) <> '' THEN 'built_in' WHEN trim(b.answer_text) <> '' THEN b.source END AS key_source,
+    CASE WHEN trim(q.answer) <> '' THEN 1.0 WHEN trim(b.answer_text) <> '' THEN b.confidence END AS key_confidence,
+    (coalesce(trim(q.option_a), '') <> '' OR coalesce(trim(q.option_b), '') <> '' OR coalesce(trim(q.option_c), '') <> '' OR coalesce(trim(q.option_d), '') <> '') AS has_option
+  FROM attempts a JOIN questions q ON a.question_id = q.id LEFT JOIN best b ON b.question_id = a.question_id
+), graded AS (
+  SELECT *, upper(trim(user_answer)) = upper(key) AS is_correct FROM keyed WHERE question_type = 'choice' AND has_option AND key IS NOT NULL
+)"""
+TAGGED = "tagged AS (SELECT trim(t) AS tag, is_correct FROM (SELECT unnest(string_split(coalesce(knowledge_tag, ''), ',')) AS t, is_correct FROM graded) WHERE trim(t) <> '')"
+MASTERY = f"{TAGGED}, mastery AS (SELECT tag, count(*) FILTER (is_correct) AS correct_count, count(*) FILTER (NOT is_correct) AS wrong_count, count(*) FILTER (is_correct) / count(*) AS mastery_score FROM tagged GROUP BY tag)"
+FIRST = "firsts AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY question_id) AS frequency, row_number() OVER (PARTITION BY question_id ORDER BY create_time, id) AS r FROM graded WHERE NOT is_correct) WHERE r = 1)"
+BOOK = "book AS (SELECT question_id, subject, chapter, min(create_time) AS added_at, count(*) AS wrong_attempts, CASE WHEN count(*) > 1 THEN 'wrong' ELSE 'unreviewed' END AS last_status FROM graded WHERE NOT is_correct GROUP BY 1, 2, 3)"
+COMPLETE = "(coalesce(question_type <> 'choice', true) OR (coalesce(trim(option_a), '') <> '' AND coalesce(trim(option_b), '') <> '' AND coalesce(trim(option_c), '') <> '' AND coalesce(trim(option_d), '') <> ''))"
+GRADING = "attempts questions candidates"
+
+
+def on_graded(f: Callable[[DataFrame], DataFrame]) -> Callable[..., DataFrame]:
+    return lambda attempts, questions, candidates: f(A.grade(attempts, questions, candidates))
+
+
+# attempts
+register("grade_attempts", GRADING, on_graded(lambda g: g.select("id", "question_id", "key", "key_source", "key_confidence", "is_correct")), "SELECT id, question_id, key, key_source, key_confidence, is_correct FROM graded", True)
+register("attempts_with_candidates", GRADING, lambda a, q, c: A.with_keys(a, q, c).select("id", "question_id", "key", "key_source", "key_confidence"), "SELECT id, question_id, key, key_source, key_confidence FROM keyed", True)
+register("join_attempts_questions", "attempts questions", lambda a, q: a.join(q.withColumnRenamed("id", "question_id"), "question_id").select("id", "question_id", "subject", "user_answer"), "SELECT a.id, a.question_id, q.subject, a.user_answer FROM attempts a JOIN questions q ON q.id = a.question_id")
+register("total_accuracy", GRADING, on_graded(A.total_accuracy), "SELECT count(*) AS total, count(*) FILTER (is_correct) AS correct, CASE WHEN count(*) = 0 THEN 0.0 ELSE round(count(*) FILTER (is_correct) / count(*), 4) END AS accuracy FROM graded", True)
+register("subject_accuracy", GRADING, on_graded(A.subject_accuracy), "SELECT subject, count(*) AS total, count(*) FILTER (is_correct) AS correct, count(*) FILTER (is_correct) / count(*) AS accuracy FROM graded GROUP BY subject", True)
+register("tag_mastery", GRADING, on_graded(A.tag_mastery), f"WITH {MASTERY} SELECT * FROM mastery", True)
+register("fallback_tag_wrongs", GRADING, on_graded(A.fallback_tag_wrongs), f"WITH {FIRST} SELECT concat_ws(':', subject, CASE WHEN trim(chapter) <> '' THEN chapter END) AS tag, count(*) AS wrong_count FROM firsts WHERE trim(coalesce(knowledge_tag, '')) = '' GROUP BY 1", True)
+register("weak_list", GRADING, on_graded(lambda g: A.weak_list(A.tag_mastery(g))), f"WITH {MASTERY} SELECT * FROM mastery WHERE wrong_count >= 1 ORDER BY mastery_score, tag LIMIT 20", True)
+register("weak_summary", GRADING, on_graded(lambda g: A.weak_summary(A.tag_mastery(g))), f"WITH {MASTERY} SELECT count(*) AS weak_tags, round(coalesce(avg(mastery_score), 0.0), 4) AS average_mastery FROM mastery WHERE wrong_count > 0", True)
+SUBJECTS_SQL = "subjects AS (SELECT tag, arg_min(subject, id) AS subject FROM (SELECT id, subject, trim(t) AS tag FROM (SELECT id, subject, unnest(string_split(coalesce(knowledge_tag, ''), ',')) AS t FROM questions) WHERE trim(t) <> '') GROUP BY tag)"
+register("tag_subject_lookup", GRADING, lambda a, q, c: A.tag_subjects(A.tag_mastery(A.grade(a, q, c)), q), f"WITH {MASTERY}, {SUBJECTS_SQL} SELECT m.*, s.subject FROM mastery m LEFT JOIN subjects s USING (tag)", True)
+register("weakest_per_subject", GRADING, lambda a, q, c: A.weakest_per_subject(A.tag_mastery(A.grade(a, q, c)), q), f"WITH {MASTERY}, {SUBJECTS_SQL}, j AS (SELECT m.*, s.subject FROM mastery m LEFT JOIN subjects s USING (tag) WHERE wrong_count > 0) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY subject ORDER BY mastery_score, tag) AS INTEGER) AS rank FROM j) WHERE rank <= 5", True)
+register("wrong_book_batch", GRADING, on_graded(lambda g: A.wrong_book(g).drop("review_count")), f"WITH {BOOK} SELECT * FROM book", True)
+register("wrong_stats", GRADING, on_graded(lambda g: A.wrong_stats(A.wrong_book(g)).select("subject", "last_status", "n")), f"WITH {BOOK} SELECT subject, last_status, count(*) AS n FROM book GROUP BY GROUPING SETS ((), (subject), (last_status))", True)
+register("wrong_list", GRADING, on_graded(lambda g: S.page(A.wrong_book(g).filter("last_status = 'wrong'").withColumn("id", F.col("question_id")).select("id", "subject", "chapter", "wrong_attempts"), 0, 50)), f"WITH {BOOK} SELECT question_id AS id, subject, chapter, wrong_attempts FROM book WHERE last_status = 'wrong' ORDER BY question_id LIMIT 50", True)
+register("wrong_chapters", GRADING, on_graded(lambda g: A.wrong_book(g).filter(A.filled("chapter")).select("subject", "chapter").distinct()), f"WITH {BOOK} SELECT DISTINCT subject, chapter FROM book WHERE trim(chapter) <> ''", True)
+register("misconception_batch", GRADING, on_graded(lambda g: A.misconceptions(g).select("question_id", "subject", "chapter", "user_answer", "correct_answer", "related_knowledge_tag", "frequency")), f"WITH {FIRST} SELECT question_id, subject, chapter, user_answer, key AS correct_answer, knowledge_tag AS related_knowledge_tag, frequency FROM firsts", True)
+register("misconception_summary", GRADING, on_graded(lambda g: A.misconception_summary(A.misconceptions(g))), f"WITH {FIRST} SELECT subject, chapter, count(*) AS n, CAST(sum(frequency) AS BIGINT) AS attempts FROM firsts GROUP BY 1, 2", True)
+register("misconception_stats", GRADING, on_graded(lambda g: A.misconception_stats(A.misconceptions(g))), f"WITH {FIRST} SELECT subject, count(DISTINCT chapter) AS chapters, count(*) AS n, CAST(sum(frequency) AS BIGINT) AS attempts FROM firsts GROUP BY 1", True)
+register("misconception_list", GRADING, on_graded(lambda g: A.misconceptions(g).orderBy(F.desc("created_at"), "question_id").limit(20).select("question_id", "created_at", "frequency")), f"WITH {FIRST} SELECT question_id, create_time AS created_at, frequency FROM firsts ORDER BY create_time DESC, question_id LIMIT 20", True)
+register("weak_point_enrich", GRADING, on_graded(lambda g: A.weak_point_enrich(A.tag_mastery(g), A.misconceptions(g))), f"WITH {MASTERY}, {FIRST}, bt AS (SELECT knowledge_tag AS tag, count(*) AS n, string_agg(CAST(question_id AS VARCHAR), ',' ORDER BY question_id) AS ids, min(subject) AS subject FROM firsts GROUP BY 1) SELECT m.tag, m.wrong_count, m.mastery_score, coalesce(bt.n, 0) AS misconception_count, coalesce(bt.ids, '') AS question_ids, bt.subject FROM mastery m LEFT JOIN bt USING (tag) WHERE m.wrong_count > 0", True)
+register("attempt_history", "attempts", lambda a: A.attempt_history(a, 10, 50), "SELECT * FROM attempts ORDER BY create_time DESC, id DESC LIMIT 50 OFFSET 10")
+register("best_verified_candidate", "candidates", A.best_verified, f"WITH {BEST} SELECT * EXCLUDE (r) FROM best")
+register("latest_candidate", "candidates", lambda c: A.latest(c, "question_id"), "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY created_at DESC, id DESC) AS r FROM candidates) WHERE r = 1")
+
+# questions
+register("complete_choice_filter", "questions", lambda q: q.filter(A.complete_choice()).select("id"), f"SELECT id FROM questions WHERE {COMPLETE}")
+register("gradable_filter", "questions", lambda q: q.filter(A.gradable() & A.filled("answer")).select("id"), "SELECT id FROM questions WHERE question_type = 'choice' AND trim(answer) <> '' AND (coalesce(trim(option_a), '') <> '' OR coalesce(trim(option_b), '') <> '' OR coalesce(trim(option_c), '') <> '' OR coalesce(trim(option_d), '') <> '')")
+register("question_search", "questions", lambda q: S.page(S.search(q, tag="RED"), 5, 20).select("id", "knowledge_tag"), "SELECT id, knowledge_tag FROM questions WHERE contains(lower(knowledge_tag), 'red') ORDER BY id LIMIT 20 OFFSET 5")
+register("question_search_count", "questions", lambda q: S.search(q, tag="a").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM questions WHERE contains(lower(knowledge_tag), 'a')")
+register("chapter_questions", "questions", lambda q: q.filter(F.col("chapter").isNotNull()).select("subject", "chapter", "id"), "SELECT subject, chapter, id FROM questions WHERE chapter IS NOT NULL")
+register("chapter_counts", "questions", S.chapter_counts, f"SELECT chapter, count(*) AS n FROM questions WHERE chapter IS NOT NULL AND {COMPLETE} GROUP BY chapter")
+register("questions_by_subject", "questions", S.by_subject, "SELECT subject, count(*) AS n FROM questions GROUP BY ROLLUP (subject)")
+register("random_questions", "questions", lambda q: S.random_questions(q, 10, 3).select("id"))
+register("page_scan", "questions", lambda q: S.page(q, 100, 50).select("id", "question_text"), "SELECT id, question_text FROM questions ORDER BY id LIMIT 50 OFFSET 100")
+register("distinct_sources", "questions", lambda q: q.filter(F.col("source_pdf").isNotNull()).select("source_pdf").distinct(), "SELECT DISTINCT source_pdf FROM questions WHERE source_pdf IS NOT NULL")
+register("practice_projection", "questions", lambda q: q.select("id", T.strip_images("question_text").alias("question_text"), "option_a", "option_b", "option_c", "option_d"), "SELECT id, trim(question_text) AS question_text, option_a, option_b, option_c, option_d FROM questions")
+
+# texts
+register("text_hash", "texts", lambda t: t.select("id", T.text_hash("question_text").alias("text_hash")), r"SELECT id, sha256(trim(question_text, concat(' ', chr(9), chr(10), chr(13)))) AS text_hash FROM texts")
+register("first_by_hash", "texts", lambda t: S.first_by_hash(t.withColumn("text_hash", T.text_hash("question_text"))).select("id"), "WITH h AS (SELECT id, sha256(trim(question_text, concat(' ', chr(9), chr(10), chr(13)))) AS text_hash FROM texts) SELECT min(id) AS id FROM h GROUP BY text_hash")
+HASHED = "h AS (SELECT id, sha256(trim(question_text, concat(' ', chr(9), chr(10), chr(13)))) AS text_hash FROM texts)"
+hashed = lambda t: t.withColumn("text_hash", T.text_hash("question_text"))
+register("dedup_against_store", "texts", lambda t: S.dedup_against(hashed(t).filter("id % 3 <> 0"), hashed(t).filter("id % 3 = 0")).select("id"), f"WITH {HASHED} SELECT id FROM h WHERE id % 3 <> 0 AND text_hash NOT IN (SELECT text_hash FROM h WHERE id % 3 = 0)")
+register("package_import_stats", "texts", lambda t: S.import_stats(hashed(t).filter("id % 3 <> 0"), hashed(t).filter("id % 3 = 0")), f"WITH {HASHED}, n AS (SELECT * FROM h WHERE id % 3 <> 0), k AS (SELECT DISTINCT text_hash FROM n WHERE text_hash NOT IN (SELECT text_hash FROM h WHERE id % 3 = 0)) SELECT (SELECT count(*) FROM n) AS total, (SELECT count(*) FROM k) AS imported, (SELECT count(*) FROM n) - (SELECT count(*) FROM k) AS skipped")
+register("pua_detect", "texts", lambda t: t.select("id", T.pua_count("question_text").cast("long").alias("n")), r"SELECT id, CAST(len(regexp_extract_all(question_text, '[\x{E000}-\x{F8FF}]')) AS BIGINT) AS n FROM texts")
+register("pua_strip_normalize", "texts", lambda t: t.select("id", T.fingerprint("question_text").alias("fp")), r"SELECT id, substr(regexp_replace(regexp_replace(question_text, '[\x{E000}-\x{F8FF}]', '', 'g'), '[\s\x{3000}\x{00A0}\x{2028}\x{2029}\x{0085}]+', '', 'g'), 1, 40) AS fp FROM texts")
+register("pua_repair", "texts", lambda t: t.select("id", F.md5(T.pua_repair("question_text")).alias("h")), "SELECT id, md5(replace(replace(question_text, '', '∑'), '', '')) AS h FROM texts")
+register("pua_histogram", "texts", Q.pua_histogram, r"WITH c AS (SELECT unnest(regexp_extract_all(question_text, '[\x{E000}-\x{F8FF}]')) AS ch FROM texts) SELECT ch, count(*) AS n, upper(printf('%x', unicode(ch))) AS code FROM c GROUP BY ch")
+register("clean_change_report", "texts", Q.change_report)
+register("extract_image_refs", "texts", lambda t: t.select("id", F.explode(T.image_refs("question_text")).alias("ref")), r"SELECT id, unnest(regexp_extract_all(question_text, '!\[[^\]]*\]\(([^)]+)\)', 1)) AS ref FROM texts")
+register("extract_html_tables", "texts", lambda t: t.select("id", F.explode(T.html_tables("question_text")).alias("fragment")), r"SELECT id, unnest(regexp_extract_all(question_text, '(?is)(<table.*?</table>)', 1)) AS fragment FROM texts")
+register("question_number_extract", "texts", lambda t: t.select("id", T.question_number("question_text").alias("number")), r"SELECT id, CASE WHEN regexp_matches(question_text, '^\s*\d{1,4}\s*[.、．]') THEN CAST(regexp_extract(question_text, '^\s*(\d{1,4})\s*[.、．]', 1) AS INTEGER) END AS number FROM texts")
+register("text_preview", "texts", lambda t: t.select("id", T.preview("question_text", 80).alias("preview")), r"WITH c AS (SELECT id, trim(regexp_replace(question_text, '\s+', ' ', 'g')) AS x FROM texts) SELECT id, CASE WHEN length(x) > 80 THEN concat(substr(x, 1, 80), '...') ELSE x END AS preview FROM c")
+register("drop_decorative_lines", "texts", lambda t: t.select("id", F.md5(T.drop_rules("question_text")).alias("h")), r"SELECT id, md5(array_to_string(list_filter(string_split(question_text, chr(10)), lambda x: NOT regexp_matches(trim(x), '^[⏟⏞⎵⎴‾_~\-=]{3,}$')), chr(10))) AS h FROM texts")
+register("normalize_answer", "attempts", lambda a: a.select("id", T.normalize_answer("user_answer").alias("answer")), "SELECT id, CASE WHEN upper(trim(user_answer)) IN ('A','B','C','D','E') THEN upper(trim(user_answer)) ELSE '' END AS answer FROM attempts")
+register("clamp_confidence", "candidates", lambda c: c.select("id", T.clamp_confidence(F.col("confidence") * 2 - 0.5).alias("c")), "SELECT id, greatest(0.0, least(1.0, confidence * 2 - 0.5)) AS c FROM candidates")
+register("coerce_bool", "candidates", lambda c: c.select("id", T.coerce_bool("is_verified").alias("b")), "SELECT id, is_verified AS b FROM candidates")
+register("safe_name", "questions", lambda q: q.select("id", T.safe_name("chapter").alias("name")), r"""SELECT id, coalesce(nullif(trim(regexp_replace(chapter, '[\\/:*?"<>|]', '_', 'g')), ''), 'uncategorized') AS name FROM questions""")
+register("split_tags", "questions", lambda q: q.select("id", F.explode(A.tags()).alias("tag")), "SELECT id, trim(t) AS tag FROM (SELECT id, unnest(string_split(coalesce(knowledge_tag, ''), ',')) AS t FROM questions) WHERE trim(t) <> ''")
+
+# quality
+as_questions = lambda t: t.withColumns({"question_type": F.lit("choice"), "answer": F.when(F.col("id") % 2 == 0, "A").otherwise(""), "n_assets": F.when(F.col("id") % 4 == 0, 1).otherwise(0), **{f"option_{k}": F.when((F.col("id") % 5 == 0) & F.lit(k == "b"), " ").otherwise(k) for k in "abcd"}})
+ISSUES = r"""issues AS (SELECT id, subject, t.issue_type AS issue_type, t.severity AS severity FROM (SELECT id, subject, unnest(list_filter([
+  CASE WHEN id % 5 = 0 THEN {'issue_type': 'choice_missing_option', 'severity': 'high'} END,
+  CASE WHEN id % 2 <> 0 THEN {'issue_type': 'empty_answer', 'severity': 'info'} END,
+  CASE WHEN regexp_matches(question_text, '!\[[^\]]*\]\(([^)]+)\)') THEN {'issue_type': 'markdown_image_reference', 'severity': CASE WHEN id % 4 = 0 THEN 'info' ELSE 'medium' END} END,
+  CASE WHEN contains(lower(question_text), '<table') OR contains(lower(question_text), '</table>') THEN {'issue_type': 'raw_html_table', 'severity': 'medium'} END,
+  CASE WHEN len(regexp_extract_all(question_text, '```')) % 2 = 1 THEN {'issue_type': 'unbalanced_code_fence', 'severity': 'high'} END,
+  CASE WHEN length(question_text) > 3000 THEN {'issue_type': 'very_long_question_text', 'severity': 'medium'} END], lambda x: x IS NOT NULL)) AS t FROM texts))"""
+register("qc_issues", "texts", lambda t: Q.issues(as_questions(t)).drop("preview"), f"WITH {ISSUES} SELECT * FROM issues")
+register("qc_summary", "texts", lambda t: Q.summary(Q.issues(as_questions(t))), f"WITH {ISSUES} SELECT issue_type, severity, count(*) AS n FROM issues GROUP BY GROUPING SETS ((), (issue_type), (severity))")
+register("qc_top_issues", "texts", lambda t: Q.top_issues(Q.issues(as_questions(t))).drop("preview"), f"WITH {ISSUES} SELECT * FROM issues WHERE severity IN ('high', 'critical') ORDER BY id, issue_type LIMIT 200")
+
+
+# links, over tables of their own
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fingerprint_page_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of their source; their own beginnings as questions."""
+    docs = table(spark, sf_dir, "documents")
+    return L.fingerprint_pages(docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("question_text")), docs.select("source", F.col("doc_id").alias("page_no"), "text"))
+
+
+def image_nearest_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with even numbers as questions, with odd ones as images, placed by quantity."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").alias("y"), F.min("l_suppkey").alias("s"))
+    rows = rows.withColumn("page", (F.col("s") % 3).cast("int"))
+    return L.nearest_above(rows.filter("n % 2 = 0").select("doc", "page", "y", F.col("n").cast("long").alias("number")), rows.filter("n % 2 = 1").select("doc", "page", "y", F.col("n").alias("image")))
+
+
+def gap_cluster_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") % 1000).alias("top"))
+    return L.cluster_boxes(rows.withColumn("bottom", F.col("top") + 20.0))
+
+
+def offset_page_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page_no"), "text")
+    off = docs.select("doc", (F.col("page_no") * 13).alias("off"))
+    return L.offset_pages(off, docs)
+
+
+def parse_markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts put together as a numbered corpus, a file for each brand."""
+    part = table(spark, sf_dir, "part")
+    block = F.concat(F.lit("## 1."), F.col("p_size"), F.lit(" "), F.col("p_type"), F.lit("\n"), F.col("p_partkey") % 1000 + 1, F.lit(". "), F.col("p_name"), F.lit("\nA. one\nB. "), F.col("p_type"), F.lit("\nC. three\nD. four"))
+    corpus = part.groupBy(F.col("p_brand").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", block.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
+    return P.parse(corpus).drop("text_hash")
+
+
+def transcript_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    line = F.concat(F.col("role"), F.lit(": "), F.coalesce("text", F.lit("")))
+    return turns.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n")).alias("transcript_md5"), F.count("*").alias("n"))
+
+
+def conversation_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.count_if(F.col("role") == "user").alias("questions"))
+
+
+def near_empty_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.near_empty_ratio(table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), "text"), 200)
+
+
+def answer_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as recovered answers, supplier names' nations as subjects do not occur: all share one subject with documents in English."""
+    answers = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("en").alias("subject"), "text")
+    return L.fuzzy_answers(answers, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("subject"), "text")).select("answer_id", "question_id", F.round("score", 6).alias("score"))
+
+
+for f in (fingerprint_page_match, image_nearest_question, gap_cluster_boxes, offset_page_interval, parse_markdown_corpus, transcript_build, conversation_activity, near_empty_ratio, answer_fuzzy_match):
+    QUERIES[f.__name__] = f
+
+BLANKS = r"[\s\x{3000}\x{00A0}\x{2028}\x{2029}\x{0085}]+"
+ORACLES |= {
+    "fingerprint_page_match": rf"WITH n AS (SELECT doc_id, source, regexp_replace(text, '{BLANKS}', '', 'g') AS b FROM documents), f AS (SELECT doc_id AS id, source, substr(b, 1, 40) AS fp FROM n WHERE doc_id % 10 = 0) SELECT f.id, min(n.doc_id) AS page_no FROM f JOIN n ON f.source = n.source AND contains(n.b, f.fp) WHERE length(f.fp) >= 5 GROUP BY f.id",
+    "image_nearest_question": """WITH r AS (SELECT l_orderkey AS doc, l_linenumber AS n, max(l_quantity) AS y, CAST(min(l_suppkey) % 3 AS INTEGER) AS page FROM lineitem GROUP BY 1, 2),
+      q AS (SELECT * FROM r WHERE n % 2 = 0), i AS (SELECT * FROM r WHERE n % 2 = 1),
+      j AS (SELECT i.doc, i.n AS image, q.n AS number, row_number() OVER (PARTITION BY i.doc, i.n ORDER BY q.page DESC, q.y DESC, q.n DESC) AS r FROM i LEFT JOIN q ON q.doc = i.doc AND (q.page < i.page OR (q.page = i.page AND q.y <= i.y)))
+      SELECT doc, CAST(image AS BIGINT) AS image, CAST(number AS BIGINT) AS number FROM j WHERE r = 1""",
+    "gap_cluster_boxes": """WITH b AS (SELECT o_custkey AS page, o_orderkey AS id, o_totalprice % 1000 AS top, o_totalprice % 1000 + 20.0 AS bottom FROM orders),
+      l AS (SELECT *, max(bottom) OVER (PARTITION BY page ORDER BY top, bottom, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM b),
+      c AS (SELECT *, sum(CASE WHEN low IS NULL OR top - low >= 30.0 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY top, bottom, id ROWS UNBOUNDED PRECEDING) AS cluster FROM l)
+      SELECT page, CAST(cluster AS BIGINT) AS cluster, min(top) AS top, max(bottom) AS bottom, count(*) AS n FROM c GROUP BY 1, 2""",
+    "offset_page_interval": """WITH p AS (SELECT source AS doc, doc_id AS page_no, coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(text) + 1 AS n FROM documents)
+      SELECT o.source AS doc, o.doc_id * 13 AS off, p.page_no FROM documents o JOIN p ON p.doc = o.source AND o.doc_id * 13 >= p.s AND o.doc_id * 13 < p.s + p.n""",
+    "parse_markdown_corpus": "SELECT p_brand AS file, CAST(p_partkey % 1000 + 1 AS INTEGER) AS number, concat('1.', p_size, ' ', p_type) AS section, p_name AS question_text, 'one' AS option_a, p_type AS option_b, 'three' AS option_c, 'four' AS option_d FROM part",
+    "transcript_build": "SELECT conv_id, md5(string_agg(concat(role, ': ', coalesce(text, '')), chr(10) ORDER BY turn)) AS transcript_md5, count(*) AS n FROM conversations GROUP BY conv_id",
+    "conversation_activity": "SELECT conv_id, max(turn) AS last_turn, count(*) FILTER (role = 'user') AS questions FROM conversations GROUP BY conv_id",
+    "near_empty_ratio": "SELECT source AS doc, avg(CASE WHEN length(trim(text, concat(' ', chr(9), chr(10), chr(13)))) < 200 THEN 1.0 ELSE 0.0 END) AS ratio, avg(CASE WHEN length(trim(text, concat(' ', chr(9), chr(10), chr(13)))) < 200 THEN 1.0 ELSE 0.0 END) >= 0.5 AS scanned FROM documents GROUP BY source",
+    "answer_fuzzy_match": rf"""WITH a AS (SELECT item_id AS id, list_distinct(string_split(substr(regexp_replace(text, '{BLANKS}', '', 'g'), 1, 50), '')) AS s FROM benchmark),
+      q AS (SELECT doc_id AS id, list_distinct(string_split(substr(regexp_replace(text, '{BLANKS}', '', 'g'), 1, 50), '')) AS s FROM documents WHERE lang = 'en'),
+      j AS (SELECT a.id AS a, q.id AS q, len(list_intersect(a.s, q.s)) / (len(a.s) + len(q.s) - len(list_intersect(a.s, q.s))) AS score FROM a, q),
+      r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, q) AS r FROM j WHERE score > 0.6)
+      SELECT a AS answer_id, q AS question_id, round(score, 6) AS score FROM r WHERE r = 1""",
+}
