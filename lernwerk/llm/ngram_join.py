@@ -155,7 +155,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, t
     size = tied.groupBy("component").agg(F.count("*").alias("m"))
     placed = tied.join(size.hint("merge"), "component").withColumn("n_blocks", F.ceil(F.col("m") / BLOCK_DOCS).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     whole = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
-    with_text = whole.join(placed.hint("merge"), "node")
+    with_text = whole.join(placed.hint("merge"), "node").dropDuplicates(["node"])
     groups = max(1, math.ceil(placed.count() / 1000))
     meets = F.when(F.col("n_blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     spread_out = with_text.withColumn("other", F.explode(meets))

@@ -12,7 +12,7 @@ form a run. The bytes under such a run are a phrase; phrases overlap by length -
    distinct phrases are dealt by the hash of the window instead, after equal windows of a task have been merged, so no trigger is too large for a task.
 4. The repeats of a document, from all steps, are cut from its text.
 
-Defined cases: a null text is empty; rows with a null key are left out; texts under ``length`` bytes keep all; keys must be unique. Bytes are those of UTF-8, and a cut may
+Defined cases: a null text is empty; rows with a null key are left out; texts under ``length`` bytes keep all; a row that comes twice with one key is one document, cut twice alike. Bytes are those of UTF-8, and a cut may
 fall within a character, so the kept text is binary. Columns besides key and text are not used.
 """
 
@@ -181,12 +181,19 @@ def repeated(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, n_docs: int) -> li
 
 
 def not_first(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by keys and then by parse order; whether the row in that order follows one of equal keys."""
+    """An order by keys and then by parse order; whether the row in that order follows one of equal keys elsewhere."""
     order = np.lexsort((place, doc, *keys[::-1]))
     same = np.ones(max(0, len(order) - 1), bool)
     for k in keys:
         same &= k[order[1:]] == k[order[:-1]]
-    return order, np.append(False, same)[: len(order)]
+    return order, elsewhere(np.append(False, same)[: len(order)], doc[order], place[order])
+
+
+def elsewhere(same: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """same: whether a row equals the one before. Whether it stands at another place than the first of its run; the same place comes twice if a row of the table does."""
+    first = np.flatnonzero(~same)
+    head = np.repeat(first, np.diff(np.append(first, len(same))))
+    return same & ((doc != doc[head]) | (place != place[head]))
 
 
 def first_step(length: int, n_buckets: int, n_docs: int):
@@ -295,7 +302,7 @@ def fourth_step(length: int, n_docs: int):
                 order = np.lexsort((place, d))
                 order = order[np.argsort(suffixes[order].view(f"S{length}").ravel(), kind="stable")]
                 same = np.append(False, (suffixes[order[1:]] == suffixes[order[:-1]]).all(axis=1))
-                gone = order[same]
+                gone = order[elsewhere(same, d[order], place[order])]
                 out += repeated(d[gone], place[gone], place[gone], n_docs)
         return table(out)
 

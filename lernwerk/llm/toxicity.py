@@ -106,11 +106,11 @@ def score_texts(model: Model, texts: pa.Array, products: list | None = None) ->
     return sigmoid(model.out @ np.maximum(best + model.bias[:, None], 0) + model.out_bias)
 
 
-def train(texts: list[str], labels: np.ndarray, langs: list[str] | None = None, *, buckets: int = 1 << 14, dim: int = 12, filters: int = 8, epochs: int = 10, batch: int = 64, rate: float = 0.01, decay: float = 1e-3, seed: int = 7) -> Model:
+def train(texts: list[str], labels: np.ndarray, langs: list[str] | None = None, *, buckets: int = 1 << 14, dim: int = 12, filters: int = 8, steps: int = 1500, batch: int = 32, rate: float = 0.01, decay: float = 1e-3, seed: int = 7) -> Model:
     """Fit by Adam on weighted log loss; every fifth text is kept back to set the thresholds.
 
-    Thresholds: for each language of the texts kept back with at least 10 texts of either label, the score of best F1, drawn halfway
-    to the common one; the common one holds elsewhere. Labels of one kind only, or no texts: a model that scores by the share of label 1.
+    The score of best F1, drawn to 0.5 where few texts have label 1, becomes 0.5 by a shift of the bias. Thresholds: for each language of the texts kept back with at least 10 texts of
+    either label, its own score of best F1, drawn halfway to 0.5; 0.5 holds elsewhere. Labels of one kind only, or no texts: a model that scores by the share of label 1.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, dtype=np.float32)
@@ -130,6 +130,7 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str] | None = None,
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     b1 = b2 = step = 0
+    epochs = min(30, max(6, round(steps * batch / len(fit))))
     for epoch in range(epochs):
         lr = rate * (1 - epoch / epochs)
         for some in np.array_split(rng.permutation(fit), max(1, len(fit) // batch)):
@@ -171,7 +172,10 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str] | None = None,
     back = np.flatnonzero(kept_back)
     if len(back) >= 20 and 0 < y[back].sum() < len(back):
         held = score_texts(model, pa.array([texts[i] or "" for i in back], pa.string()))
-        model.threshold = best_cut(held, y[back])
+        positive = y[back].sum()  # few of them tell little about the cut
+        cut = 0.5 + (best_cut(held, y[back]) - 0.5) * positive / (positive + 20)
+        model.out_bias -= float(np.log(cut / (1 - cut)))
+        held = sigmoid(np.log(np.maximum(held, 1e-12) / np.maximum(1 - held, 1e-12)) - np.log(cut / (1 - cut)))
         names = np.array([str(langs[i]) if langs else "" for i in back])
         for name in np.unique(names):
             of = names == name
