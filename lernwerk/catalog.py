@@ -14,6 +14,7 @@ from .operators import quality as Q
 from .operators import questions as S
 from .plans import parsing as P
 from .sources.projection import load, with_ctes
+from .streaming import attempts as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,7 +183,7 @@ def near_empty_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as recovered answers, supplier names' nations as subjects do not occur: all share one subject with documents in English."""
+    """Benchmark items as recovered answers to the documents in English."""
     answers = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("en").alias("subject"), "text")
     return L.fuzzy_answers(answers, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("subject"), "text")).select("answer_id", "question_id", F.round("score", 6).alias("score"))
 
@@ -213,3 +214,23 @@ ORACLES |= {
       r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, q) AS r FROM j WHERE score > 0.6)
       SELECT a AS answer_id, q AS question_id, round(score, 6) AS score FROM r WHERE r = 1""",
 }
+
+
+# streams over the same events
+def on_stream(f: Callable[[DataFrame], DataFrame], mode: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        graded = ST.grade_stream(ST.read_stream(spark, sf_dir), load(spark, sf_dir, "questions"), load(spark, sf_dir, "candidates"))
+        return ST.drain(f(graded), mode)
+
+    return run
+
+
+QUERIES |= {
+    "stream_grade": on_stream(lambda g: g.select("id", "question_id", "key", "key_source", "key_confidence", "is_correct"), "append"),
+    "stream_tag_mastery": on_stream(ST.mastery_stream, "complete"),
+    "stream_misconception_frequency": on_stream(ST.misconception_stream, "complete"),
+    "stream_accuracy_trend": on_stream(lambda g: ST.accuracy_trend(g).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "subject", "total", "correct"), "complete"),
+}
+ORACLES |= {"stream_grade": ORACLES["grade_attempts"], "stream_tag_mastery": ORACLES["tag_mastery"]}
+ORACLES["stream_misconception_frequency"] = with_ctes(f"WITH {GRADED}, {FIRST} SELECT question_id, frequency, user_answer FROM firsts", *GRADING.split())
+ORACLES["stream_accuracy_trend"] = with_ctes(f"WITH {GRADED} SELECT date_trunc('day', create_time) AS day, subject, count(*) AS total, count(*) FILTER (is_correct) AS correct FROM graded GROUP BY 1, 2", *GRADING.split())

@@ -52,11 +52,14 @@ def with_ctes(body: str, *names: str) -> str:
     return f"WITH {own}, {rest[5:]}" if rest.upper().startswith("WITH ") else f"WITH {own} {rest}"
 
 
+def attempt_columns(n_questions: int) -> str:
+    return ATTEMPT_COLUMNS.replace("(SELECT count(*) FROM part)", str(n_questions))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the projections from the tables of ``sf_dir``."""
     if name == "attempts":
         n = spark.read.parquet(f"{sf_dir}/part.parquet").count()
-        columns = ATTEMPT_COLUMNS.replace("(SELECT count(*) FROM part)", str(n))
-        return spark.sql(f"SELECT {columns} FROM {{t}}", t=spark.read.parquet(f"{sf_dir}/events.parquet"))
+        return spark.sql(f"SELECT {attempt_columns(n)} FROM {{t}}", t=spark.read.parquet(f"{sf_dir}/events.parquet"))
     table, columns = {"questions": ("part", QUESTION_COLUMNS), "candidates": ("orders", CANDIDATE_COLUMNS), "texts": ("documents", TEXT_COLUMNS)}[name]
     return spark.sql(f"SELECT {columns} FROM {{t}}", t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))

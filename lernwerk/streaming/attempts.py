@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attempts as A
+from ..sources.projection import attempt_columns
 
 
-def read_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(folder)
+def read_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempts of a folder of event files as a stream."""
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.sql(f"SELECT {attempt_columns(n)} FROM {{t}}", t=events)
 
 
 def grade_stream(stream: DataFrame, questions: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -24,7 +32,8 @@ def mastery_stream(graded: DataFrame) -> DataFrame:
 
 def accuracy_trend(graded: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
     """Accuracy for each subject and window of time; rows later than the watermark are dropped."""
-    return graded.withWatermark("create_time", late).groupBy(F.window("create_time", width), "subject").agg(F.count("*").alias("total"), F.count_if("is_correct").alias("correct"))
+    timed = graded.withColumn("create_time", F.col("create_time").cast("timestamp"))
+    return timed.withWatermark("create_time", late).groupBy(F.window("create_time", width), "subject").agg(F.count("*").alias("total"), F.count_if("is_correct").alias("correct"))
 
 
 def misconception_stream(graded: DataFrame) -> DataFrame:
@@ -33,8 +42,25 @@ def misconception_stream(graded: DataFrame) -> DataFrame:
     return wrong.groupBy("question_id").agg(F.count("*").alias("frequency"), F.min_by("user_answer", F.struct("create_time", "id")).alias("user_answer"))
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into a table in memory, and return that table."""
-    query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named.rstrip('/') if named else tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there and return what it wrote: all batches in append mode, the last in complete mode.
+
+    A batch that is run again after a failure writes its own folder anew, so nothing is counted twice.
+    """
+    root = folder(stream.sparkSession)
+    last = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        last.append(batch_id)
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    read = stream.sparkSession.read.schema(stream.schema)
+    return read.parquet(f"{root}/out/batch={max(last)}") if mode == "complete" else read.parquet(*(f"{root}/out/batch={i}" for i in sorted(set(last))))
