@@ -18,6 +18,8 @@ one 0. Repeated keys are summed together, so keys must tell the rows apart. Text
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,25 +74,30 @@ def hexed(v: Column) -> Column:
     return F.array_join(F.transform(v, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], also: list[str] | None = None, ranges: int = 64) -> DataFrame:
+def with_next(df: DataFrame, key: str, columns: list[str], row_bytes: Column, also: list[str] | None = None, range_bytes: int = 128 << 20, least: int = 64) -> DataFrame:
     """key, columns, also, and ``next_<column>`` of the row with the next larger key; the last row gets those of the first.
 
-    Keys are dealt to ``ranges`` ranges, whose bounds come from approximate percentiles. Each range also gets a copy of the row that
-    follows it (at most ``ranges`` rows in all), so that one shuffle by range is enough. Equal keys follow each other in any fixed order.
+    Keys are dealt to ranges, whose bounds come from approximate percentiles, so many that each has about ``range_bytes`` by the sum of ``row_bytes``
+    (``least`` at least). Each range also gets a copy of the row that follows it (a row for each range in all), so that one shuffle by range is enough.
+    Equal keys follow each other in any fixed order.
     """
     kept = df.select(key, *columns, *(also or []))
-    marks = kept.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("p")).first()["p"] or []
+    size, low = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0)), F.min(key)).first()
+    ranges = max(least, -(-int(size) // range_bytes))
+    marks = kept.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges)).alias("p")).first()["p"] or []
     marks = sorted(set(marks))
-    of = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= F.col(key))) if marks else F.lit(0)
+    step = math.isqrt(len(marks)) + 1
+    # every step-th mark first, then the marks after the one found; each list is one literal
+    coarse, fine = (F.split(F.lit(",".join(map(str, m))), ",").cast("array<bigint>") for m in (marks[::step] or [low or 0], marks or [low or 0]))
+    under = lambda a: F.size(F.filter(a, lambda m: m <= F.col(key)))
+    block = under(coarse) - 1
+    of = F.when(block < 0, 0).otherwise(block * step + under(F.slice(fine, F.greatest(block, F.lit(0)) * step + 1, F.lit(step)))) if marks else F.lit(0)
     dealt = kept.withColumn("_range", of)
-    firsts = {r[0]: r[1] for r in dealt.groupBy("_range").agg(F.min(key)).collect()}
-    full = sorted(firsts)
-    goes = {firsts[b]: a for a, b in zip([full[-1], *full[:-1]], full, strict=True)} if full else {}
-    place = F.lit(-1)
-    for first, to in goes.items():
-        place = F.when(F.col(key) == first, F.lit(to)).otherwise(place)
-    edge = kept.filter(F.col(key).isin(list(goes))).withColumn("_range", place).dropDuplicates([key])
-    both = dealt.withColumn("_edge", F.lit(0)).unionByName(edge.withColumn("_edge", F.lit(1)))
+    # a mark is a key, the first one of its range
+    first = F.col(key).eqNullSafe(F.lit(low)) | (F.col(key) == F.get(fine, F.col("_range") - 1))
+    edge = dealt.filter(first).dropDuplicates([key])
+    to = F.when(F.col(key) == F.lit(low), len(marks)).otherwise(F.col("_range") - 1)
+    both = dealt.withColumn("_edge", F.lit(0)).unionByName(edge.withColumn("_range", to).withColumn("_edge", F.lit(1)))
     w = Window.partitionBy("_range").orderBy("_edge", key)
     for c in columns:
         both = both.withColumn(f"next_{c}", F.lead(c).over(w))
@@ -99,7 +106,7 @@ def with_next(df: DataFrame, key: str, columns: list[str], also: list[str] | Non
 
 def edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ``n_chars``, the text, and ``edited``: the last half of the text replaced by as much of the beginning of the next one."""
-    both = with_next(df.select(key, F.coalesce(text, F.lit("")).alias(text)), key, [text])
+    both = with_next(df.select(key, F.coalesce(text, F.lit("")).alias(text)), key, [text], F.octet_length(text) + 32)
     n = F.length(text)
     half = F.floor(n / 2).cast("int")
     changed = F.concat(F.substring(F.col(text), F.lit(1), n - half), F.substring(F.col(f"next_{text}"), F.lit(1), half))
@@ -112,7 +119,7 @@ def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     made = fingerprints(both.select(key, "n_chars", "edited_sha256", "_f.which", "_f.t"), [key, "n_chars", "edited_sha256", "which"], "t", "v")
     pick = lambda w: F.max(F.when(F.col("which") == w, F.col("v")))
     wide = settle(made.groupBy(key, "n_chars", "edited_sha256").agg(pick(0).alias("v"), pick(1).alias("edited_v")), "fingerprints")
-    wide = with_next(wide, key, ["v"], also=["n_chars", "edited_sha256", "edited_v"])
+    wide = with_next(wide, key, ["v"], F.lit(1024), also=["n_chars", "edited_sha256", "edited_v"])
     wide = wide.withColumn("_a", signs(F.col("v"))).withColumn("_b", signs(F.col("edited_v"))).withColumn("_c", signs(F.col("next_v")))
     near = lambda x, s: likeness(F.col("v"), F.col(x), F.col("_a"), F.col(s))
     return wide.select(key, "n_chars", "edited_sha256", hexed(F.col("v")).alias("fingerprint"), hexed(F.col("edited_v")).alias("edited_fingerprint"), near("edited_v", "_b").alias("near_edited"), near("next_v", "_c").alias("near_next"))
