@@ -25,7 +25,8 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
     """sequence_id, n_tokens, doc_ids, pieces, cu_seqlens, ids (capacity ids of ``id_bytes`` bytes), positions (capacity 16- or 32-bit numbers) for each sequence."""
     cut = settle(pieces(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), path, capacity=capacity, end_id=end_id, id_bytes=id_bytes), "ids")
     where = settle(place(cut.select("doc_id", "piece", "length"), ["doc_id", "piece"], best_fit_decreasing, capacity), "places")
-    both = cut.select("doc_id", "piece", "ids").join(where.hint("merge"), ["doc_id", "piece"]).withColumn("part", F.floor(F.col("sequence_id") / ROWS))
+    # the places are the side that is hashed: rows of ids are not sorted for the join
+    both = cut.select("doc_id", "piece", "ids").join(where.hint("shuffle_hash"), ["doc_id", "piece"]).withColumn("part", F.floor(F.col("sequence_id") / ROWS))
     kind = f"<u{id_bytes}"
 
     def run(t: pa.Table) -> pa.Table:
