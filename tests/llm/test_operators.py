@@ -280,3 +280,13 @@ def test_language_id(docs, empty):
     assert len(rows) == len(TEXTS) and all(r.lang_pred in ("xx", "yy", "und") and 0 <= r.score <= 1 for r in rows)
     assert language_id.identify(empty, model).count() == 0
     assert language_id.fit_from(empty).dictionaries == {} and language_id.classify("abc", [], 1.0) == ("und", 0.0)
+
+
+def test_next_rows_over_many_ranges(spark):
+    keys = [3 * i % 1009 - 200 for i in range(700)]
+    df = spark.createDataFrame([(k, f"t{k}") for k in keys], "k long, t string")
+    got = {r.k: r.next_t for r in fingerprint.with_next(df, "k", ["t"], F.lit(1000), range_bytes=5000).collect()}
+    order = sorted(keys)
+    assert got == {k: f"t{n}" for k, n in zip(order, order[1:] + order[:1], strict=True)}
+    one = fingerprint.with_next(df.limit(1), "k", ["t"], F.lit(1000)).first()
+    assert one.next_t == one.t
