@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bank_queries import ENTRIES
 from .functions import text as T
 from .operators import attempts as A
 from .operators import links as L
@@ -130,6 +131,9 @@ register("qc_issues", "texts", lambda t: Q.issues(as_questions(t)).drop("preview
 register("qc_summary", "texts", lambda t: Q.summary(Q.issues(as_questions(t))), f"WITH {ISSUES} SELECT issue_type, severity, count(*) AS n FROM issues GROUP BY GROUPING SETS ((), (issue_type), (severity))")
 register("qc_top_issues", "texts", lambda t: Q.top_issues(Q.issues(as_questions(t))).drop("preview"), f"WITH {ISSUES} SELECT * FROM issues WHERE severity IN ('high', 'critical') ORDER BY id, issue_type LIMIT 200")
 
+for entry in ENTRIES:
+    register(*entry)
+
 
 # links, over tables of their own
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -229,8 +233,9 @@ QUERIES |= {
     "stream_grade": on_stream(lambda g: g.select("id", "question_id", "key", "key_source", "key_confidence", "is_correct"), "append"),
     "stream_tag_mastery": on_stream(ST.mastery_stream, "complete"),
     "stream_misconception_frequency": on_stream(ST.misconception_stream, "complete"),
+    "stream_wrong_book": on_stream(lambda g: A.wrong_book(g).drop("review_count"), "complete"),
     "stream_accuracy_trend": on_stream(lambda g: ST.accuracy_trend(g).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "subject", "total", "correct"), "complete"),
 }
-ORACLES |= {"stream_grade": ORACLES["grade_attempts"], "stream_tag_mastery": ORACLES["tag_mastery"]}
+ORACLES |= {"stream_grade": ORACLES["grade_attempts"], "stream_tag_mastery": ORACLES["tag_mastery"], "stream_wrong_book": ORACLES["wrong_book_batch"]}
 ORACLES["stream_misconception_frequency"] = with_ctes(f"WITH {GRADED}, {FIRST} SELECT question_id, frequency, user_answer FROM firsts", *GRADING.split())
 ORACLES["stream_accuracy_trend"] = with_ctes(f"WITH {GRADED} SELECT date_trunc('day', create_time) AS day, subject, count(*) AS total, count(*) FILTER (is_correct) AS correct FROM graded GROUP BY 1, 2", *GRADING.split())

@@ -37,10 +37,16 @@ TEXT_COLUMNS = """doc_id AS id, lang AS subject, source AS file,
     WHEN doc_id % 7 = 4 THEN concat('<table><tr><td>', lang, '</td></tr></table>', text) WHEN doc_id % 7 = 5 THEN concat('  ', text, '\n===\n')
     ELSE text END, '') AS question_text"""
 
+#: Assets of questions; (order, line) repeats, so each pair counts once.
+ASSET_COLUMNS = """l_orderkey * 10 + l_linenumber AS id, min(l_partkey) AS question_id,
+  concat('images/', min(l_suppkey), '-', l_linenumber, '.png') AS path, min(l_returnflag) AS asset_type"""
+ASSET_GROUPS = "l_orderkey, l_linenumber"
+
 SQL = {
     "questions": f"SELECT {QUESTION_COLUMNS} FROM part",
     "attempts": f"SELECT {ATTEMPT_COLUMNS} FROM events",
     "candidates": f"SELECT {CANDIDATE_COLUMNS} FROM orders",
+    "assets": f"SELECT {ASSET_COLUMNS} FROM lineitem GROUP BY {ASSET_GROUPS}",
     "texts": f"SELECT {TEXT_COLUMNS} FROM documents",
 }
 
@@ -61,5 +67,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "attempts":
         n = spark.read.parquet(f"{sf_dir}/part.parquet").count()
         return spark.sql(f"SELECT {attempt_columns(n)} FROM {{t}}", t=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    if name == "assets":
+        return spark.sql(f"SELECT {ASSET_COLUMNS} FROM {{t}} GROUP BY {ASSET_GROUPS}", t=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     table, columns = {"questions": ("part", QUESTION_COLUMNS), "candidates": ("orders", CANDIDATE_COLUMNS), "texts": ("documents", TEXT_COLUMNS)}[name]
     return spark.sql(f"SELECT {columns} FROM {{t}}", t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
