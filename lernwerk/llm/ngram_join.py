@@ -145,7 +145,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, t
     """
     bands, rows = choose_bands(threshold, recall, most_hashes)
     made = settle(sketch(docs, key, text, n, bands, rows), "sketch")
-    same = made.groupBy("set_a", "set_b", "n_grams").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies"))
+    # written out, so that the join reads two plain shuffles and Spark may split the rows of a set with very many copies
+    same = settle(made.groupBy("set_a", "set_b", "n_grams").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies")), "same")
     members = settle(made.drop("bands").join(same.hint("merge"), ["set_a", "set_b", "n_grams"]).select("doc_id", "rep_id", "n_grams", "n_copies"), "members")
     reps = made.join(members.filter("doc_id = rep_id").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     banded = settle(reps.select("doc_id", F.posexplode("bands").alias("band", "h")), "bands")
@@ -181,7 +182,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, t
     checked = settle(tasks.groupBy("task").applyInArrow(run, "node long, n_links long, label long"), "checked")
     linked = checked.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     classes = components(checked.filter("label <> node").select(F.col("node").alias("a"), F.col("label").alias("b")))
-    by_rep = linked.join(classes.hint("merge"), "node", "left").select(F.col("node").alias("rep_id"), "n_links", F.col("component").alias("class_id"))
+    by_rep = settle(linked.join(classes.hint("merge"), "node", "left").select(F.col("node").alias("rep_id"), "n_links", F.col("component").alias("class_id")), "by-rep")
     out = members.join(by_rep.hint("merge"), "rep_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "rep_id").alias("class_id"), "rep_id", "n_grams", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
