@@ -153,7 +153,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, t
     buckets = banded.groupBy("band", "h").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
     ties = banded.join(buckets.hint("merge"), ["band", "h"]).filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     tied = components(ties)
-    size = tied.groupBy("component").agg(F.count("*").alias("m"))
+    size = settle(tied.groupBy("component").agg(F.count("*").alias("m")), "sizes")
     placed = tied.join(size.hint("merge"), "component").withColumn("n_blocks", F.ceil(F.col("m") / BLOCK_DOCS).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     whole = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
     with_text = whole.join(placed.hint("merge"), "node").dropDuplicates(["node"])
