@@ -92,7 +92,7 @@ def leaks(t: DataFrame) -> DataFrame:
 BOOK = "book AS (SELECT question_id, subject, chapter, CASE WHEN count(*) > 1 THEN 'wrong' ELSE 'unreviewed' END AS last_status FROM graded WHERE NOT is_correct GROUP BY 1, 2, 3)"
 GRADING = "attempts questions candidates"
 book = lambda a, q, c: A.wrong_book(A.grade(a, q, c))
-synced = F.col("question_id") % 4 == 0
+SYNCED = "question_id % 4 = 0"
 
 ENTRIES = [
     # assets and packages
@@ -115,7 +115,7 @@ ENTRIES = [
     # error book and misconceptions
     ("join_wrong_questions", GRADING, lambda a, q, c: B.with_question(book(a, q, c).select("question_id", "last_status"), q).select("question_id", "last_status", "question.question_text", "question.source_pdf"), f"WITH {BOOK} SELECT question_id, last_status, question_text, source_pdf FROM book LEFT JOIN questions q ON q.id = question_id", True),
     ("wrong_detail", GRADING, lambda a, q, c: B.with_question(book(a, q, c), q).filter("question_id % 10 = 0").select("question_id", "last_status", F.to_json(F.struct("question.option_a", "question.option_b")).alias("options")), f"WITH {BOOK} SELECT question_id, last_status, concat('{{\"option_a\":\"', option_a, '\",\"option_b\":\"', option_b, '\"}}') AS options FROM book JOIN questions q ON q.id = question_id WHERE question_id % 10 = 0", True),
-    ("unsynced_misconceptions", GRADING, lambda a, q, c: A.misconceptions(A.grade(a, q, c)).filter(~synced).select("question_id", "frequency"), "SELECT question_id, count(*) AS frequency FROM graded WHERE NOT is_correct AND question_id % 4 <> 0 GROUP BY 1", True),
+    ("unsynced_misconceptions", GRADING, lambda a, q, c: A.misconceptions(A.grade(a, q, c)).filter(f"NOT ({SYNCED})").select("question_id", "frequency"), "SELECT question_id, count(*) AS frequency FROM graded WHERE NOT is_correct AND question_id % 4 <> 0 GROUP BY 1", True),
     ("render_note_markdown", GRADING, lambda a, q, c: A.tag_mastery(A.grade(a, q, c)).select("tag", R.note().alias("note")), "WITH t AS (SELECT trim(t) AS tag, is_correct FROM (SELECT unnest(string_split(coalesce(knowledge_tag, ''), ',')) AS t, is_correct FROM graded) WHERE trim(t) <> '') SELECT tag, concat('# ', tag, chr(10), chr(10), '- mastery: ', CAST(round(count(*) FILTER (is_correct) / count(*) * 100) AS INTEGER), '%', chr(10), '- wrong: ', count(*) FILTER (NOT is_correct), chr(10)) AS note FROM t GROUP BY tag", True),
     # imports and corrections
     ("parse_validity_filter", "texts", lambda t: t.filter(~B.blank("question_text")).select("id"), f"SELECT id FROM texts WHERE trim(coalesce(question_text, ''), {WS}) <> ''"),
