@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sink_queries as SK
 from .bank_queries import ENTRIES
 from .functions import text as T
 from .operators import attempts as A
@@ -16,6 +17,7 @@ from .operators import questions as S
 from .plans import parsing as P
 from .sources.projection import load, with_ctes
 from .streaming import attempts as ST
+from .streaming import ingest as SI
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,7 +133,9 @@ register("qc_issues", "texts", lambda t: Q.issues(as_questions(t)).drop("preview
 register("qc_summary", "texts", lambda t: Q.summary(Q.issues(as_questions(t))), f"WITH {ISSUES} SELECT issue_type, severity, count(*) AS n FROM issues GROUP BY GROUPING SETS ((), (issue_type), (severity))")
 register("qc_top_issues", "texts", lambda t: Q.top_issues(Q.issues(as_questions(t))).drop("preview"), f"WITH {ISSUES} SELECT * FROM issues WHERE severity IN ('high', 'critical') ORDER BY id, issue_type LIMIT 200")
 
-for entry in ENTRIES:
+register("write_qc_report", "texts", lambda t: SK.report(Q.issues(as_questions(t))), f"WITH {ISSUES}{SK.REPORT}")
+
+for entry in (*ENTRIES, *SK.ENTRIES):
     register(*entry)
 
 
@@ -239,3 +243,12 @@ QUERIES |= {
 ORACLES |= {"stream_grade": ORACLES["grade_attempts"], "stream_tag_mastery": ORACLES["tag_mastery"], "stream_wrong_book": ORACLES["wrong_book_batch"]}
 ORACLES["stream_misconception_frequency"] = with_ctes(f"WITH {GRADED}, {FIRST} SELECT question_id, frequency, user_answer FROM firsts", *GRADING.split())
 ORACLES["stream_accuracy_trend"] = with_ctes(f"WITH {GRADED} SELECT date_trunc('day', create_time) AS day, subject, count(*) AS total, count(*) FILTER (is_correct) AS correct FROM graded GROUP BY 1, 2", *GRADING.split())
+
+
+def stream_dedup_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the texts are in the store, the others arrive."""
+    return SI.ingest(hashed(SI.read_texts(spark, sf_dir)).filter("id % 3 <> 0"), hashed(load(spark, sf_dir, "texts")).filter("id % 3 = 0"), ST.folder(spark)).select("id")
+
+
+QUERIES["stream_dedup_ingest"] = stream_dedup_ingest
+ORACLES["stream_dedup_ingest"] = with_ctes(f"WITH {HASHED} SELECT min(id) AS id FROM h WHERE id % 3 <> 0 AND text_hash NOT IN (SELECT text_hash FROM h WHERE id % 3 = 0) GROUP BY text_hash", "texts")

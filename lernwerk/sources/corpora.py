@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 QUESTION_SCHEMA = "id long, subject string, chapter string, knowledge_tag string, question_type string, question_text string, option_a string, option_b string, option_c string, option_d string, answer string, analysis string, source_pdf string, page_number int, text_hash string"
 
 
-def scan_markdown(spark: SparkSession, folder: str) -> DataFrame:
+def scan_markdown(spark: SparkSession, folder: str, names: str = "*.md") -> DataFrame:
     """file, text of every Markdown file below a folder."""
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).text(folder, wholetext=True)
     return read.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
