@@ -2,7 +2,8 @@
 
 Regular expressions propose spans, validators confirm them (Luhn for cards, mod-97 for IBANs, ranges for IP
 addresses, digit counts for phones), and context words shortly before a span raise its score. Candidates that a
-validator refuses are dropped and not tried again at another start. Offsets count code points; the end is exclusive.
+validator refuses are dropped and not tried again at another start; IBANs are: every start is tried, and from each the ends
+at blanks, the length of its country first, then from the longest to the shortest. Offsets count code points; the end is exclusive.
 
 Defined cases: a null text counts as empty and has no spans. Kinds are searched apart, so spans of two kinds may
 overlap; of one kind they never do. Columns besides the text stay as they are; a column named ``spans`` is replaced.
@@ -21,8 +22,16 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    # what follows is looked at only, so that starts within it are found too
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}",
 }
+IBAN_HEAD = 4
+# Characters of an IBAN by country.
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
 BASE = ("email", "ip", "card", "phone")
 # Words that speak for a kind when they stand shortly before it, in the languages of the corpus.
 CONTEXT = {
@@ -75,17 +84,41 @@ def valid(kind: str, s: Column) -> Column:
 def proposals(text: Column, kind: str) -> Column:
     """All matches of a kind with their places. The text between the matches gives the lengths to add up."""
     pattern = PATTERNS[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind == "iban")))
+    width = lambda m: F.lit(IBAN_HEAD) if kind == "iban" else F.length(m)
     gaps = F.split(text, pattern, -1)
     pairs = F.arrays_zip(found.alias("m"), F.transform(gaps, F.length).alias("g"))
     nothing = F.array().cast("array<struct<s:int,m:string>>")
     placed = F.aggregate(
         F.filter(pairs, lambda p: p["m"].isNotNull()),
         F.struct(F.lit(0).alias("at"), nothing.alias("all")),
-        lambda a, p: F.struct((a["at"] + p["g"] + F.length(p["m"])).alias("at"), F.concat(a["all"], F.array(F.struct((a["at"] + p["g"]).alias("s"), p["m"].alias("m")))).alias("all")),
+        lambda a, p: F.struct((a["at"] + p["g"] + width(p["m"])).alias("at"), F.concat(a["all"], F.array(F.struct((a["at"] + p["g"]).alias("s"), p["m"].alias("m")))).alias("all")),
+        lambda a: a["all"],
+    )
+    return F.when(F.regexp_like(text, F.lit(pattern)), apart(placed) if kind == "iban" else placed).otherwise(nothing)
+
+
+def iban_in(m: Column) -> Column:
+    """The beginning of a proposal, up to a blank or its end, that is an IBAN; null if none is."""
+    words = F.split(m, " ")
+    ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))
+    fixed = F.lit(0)
+    for n, countries in IBAN_CHARS.items():
+        fixed = F.when(F.substring(m, 1, 2).isin(countries.split()), n).otherwise(fixed)
+    fine = F.filter(ends, lambda e: valid("iban", e))
+    best = F.array_max(F.transform(fine, lambda e: F.struct((F.length(F.replace(e, F.lit(" "), F.lit(""))) == fixed).alias("fixed"), F.length(e).alias("n"), e.alias("m"))))
+    return best["m"]
+
+
+def apart(placed: Column) -> Column:
+    """The IBANs among the proposals, by start; one that begins inside an earlier one goes."""
+    found = F.filter(F.transform(placed, lambda p: F.struct(p["s"].alias("s"), iban_in(p["m"]).alias("m"))), lambda p: p["m"].isNotNull())
+    return F.aggregate(
+        found,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,m:string>>").alias("all")),
+        lambda a, p: F.when(p["s"] >= a["at"], F.struct((p["s"] + F.length(p["m"])).alias("at"), F.concat(a["all"], F.array(p)).alias("all"))).otherwise(a),
         lambda a: a["all"],
     )
-    return F.when(F.regexp_like(text, F.lit(pattern)), placed).otherwise(nothing)
 
 
 def valid_of(kind: str):
