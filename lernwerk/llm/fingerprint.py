@@ -13,7 +13,8 @@ Likeness of two fingerprints: 1 - distance**2 / (norm**2 + norm**2), at least 0;
 part of the blocks, with a standard error near 0.1.
 
 Defined cases: null counts as empty, which is one empty paragraph without blocks; two empty texts have likeness 1, an empty and another
-one 0. Repeated keys are summed together, so keys must tell the rows apart. Texts of over 400 million characters are out of range.
+one 0. ``fingerprints`` sums repeated keys together, so keys must tell the rows apart; ``compare_edited`` takes any keys: null ones come
+first, rows of one key follow each other by text, and each row keeps its own fingerprint. Texts of over 400 million characters are out of range.
 """
 
 from __future__ import annotations
@@ -74,15 +75,18 @@ def hexed(v: Column) -> Column:
     return F.array_join(F.transform(v, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], row_bytes: Column, also: list[str] | None = None, range_bytes: int = 128 << 20, least: int = 64) -> DataFrame:
+def with_next(df: DataFrame, key: str, columns: list[str], row_bytes: Column, also: list[str] | None = None, range_bytes: int = 128 << 20, least: int = 64, ties: list[str] | None = None, number: str | None = None) -> DataFrame:
     """key, columns, also, and ``next_<column>`` of the row with the next larger key; the last row gets those of the first.
 
     Keys are dealt to ranges, whose bounds come from approximate percentiles, so many that each has about ``range_bytes`` by the sum of ``row_bytes``
     (``least`` at least). Each range also gets a copy of the row that follows it (a row for each range in all), so that one shuffle by range is enough.
-    Equal keys follow each other in any fixed order.
+    Null keys come first. Equal keys follow each other by ``ties``, or the columns; rows that are equal in these can change places without any effect.
+    ``number``: a column to add that numbers the rows, each with a number of its own, in this order.
     """
-    kept = df.select(key, *columns, *(also or []))
-    size, low = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0)), F.min(key)).first()
+    ties = ties or columns
+    kept = df.select(key, *dict.fromkeys([*columns, *(also or []), *ties]))
+    size, low, nulls = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0)), F.min(key), F.count_if(F.col(key).isNull())).first()
+    low = None if nulls else low  # the first key of all
     ranges = max(least, -(-int(size) // range_bytes))
     marks = kept.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges)).alias("p")).first()["p"] or []
     marks = sorted(set(marks))
@@ -95,31 +99,34 @@ def with_next(df: DataFrame, key: str, columns: list[str], row_bytes: Column, al
     dealt = kept.withColumn("_range", of)
     # a mark is a key, the first one of its range
     first = F.col(key).eqNullSafe(F.lit(low)) | (F.col(key) == F.get(fine, F.col("_range") - 1))
-    edge = dealt.filter(first).dropDuplicates([key])
-    to = F.when(F.col(key) == F.lit(low), len(marks)).otherwise(F.col("_range") - 1)
+    others = [c for c in kept.columns if c not in (key, *ties)]
+    edge = dealt.filter(first).groupBy(key, "_range").agg(F.min(F.struct(*ties, *others)).alias("_first")).select(key, "_range", "_first.*")
+    to = F.when(F.col(key).eqNullSafe(F.lit(low)), len(marks)).otherwise(F.col("_range") - 1)
     both = dealt.withColumn("_edge", F.lit(0)).unionByName(edge.withColumn("_range", to).withColumn("_edge", F.lit(1)))
-    w = Window.partitionBy("_range").orderBy("_edge", key)
+    w = Window.partitionBy("_range").orderBy("_edge", key, *ties)
     for c in columns:
         both = both.withColumn(f"next_{c}", F.lead(c).over(w))
+    if number:
+        both = both.withColumn(number, F.shiftleft(F.col("_range").cast("long"), 40) + F.row_number().over(w))
     return both.filter("_edge = 0").drop("_range", "_edge")
 
 
 def edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ``n_chars``, the text, and ``edited``: the last half of the text replaced by as much of the beginning of the next one."""
-    both = with_next(df.select(key, F.coalesce(text, F.lit("")).alias(text)), key, [text], F.octet_length(text) + 32)
+    """key, ``_row`` (a number of the row's own), ``n_chars``, the text, and ``edited``: the last half of the text replaced by as much of the beginning of the next one."""
+    both = with_next(df.select(key, F.coalesce(text, F.lit("")).alias(text)), key, [text], F.octet_length(text) + 32, number="_row")
     n = F.length(text)
     half = F.floor(n / 2).cast("int")
     changed = F.concat(F.substring(F.col(text), F.lit(1), n - half), F.substring(F.col(f"next_{text}"), F.lit(1), half))
-    return both.select(key, n.cast("long").alias("n_chars"), text, changed.alias("edited"))
+    return both.select(key, "_row", n.cast("long").alias("n_chars"), text, changed.alias("edited"))
 
 
 def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprint each text and its edited form; likeness of the text to that form and to the next text, by ascending key."""
-    both = edited(df, key, text).select(key, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col(text).alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("_f"))
-    made = fingerprints(both.select(key, "n_chars", "edited_sha256", "_f.which", "_f.t"), [key, "n_chars", "edited_sha256", "which"], "t", "v")
+    both = edited(df, key, text).select(key, "_row", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col(text).alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("_f"))
+    made = fingerprints(both.select(key, "_row", "n_chars", "edited_sha256", "_f.which", "_f.t"), [key, "_row", "n_chars", "edited_sha256", "which"], "t", "v")
     pick = lambda w: F.max(F.when(F.col("which") == w, F.col("v")))
-    wide = settle(made.groupBy(key, "n_chars", "edited_sha256").agg(pick(0).alias("v"), pick(1).alias("edited_v")), "fingerprints")
-    wide = with_next(wide, key, ["v"], F.lit(1024), also=["n_chars", "edited_sha256", "edited_v"])
+    wide = settle(made.groupBy(key, "_row", "n_chars", "edited_sha256").agg(pick(0).alias("v"), pick(1).alias("edited_v")), "fingerprints")
+    wide = with_next(wide, key, ["v"], F.lit(1024), also=["n_chars", "edited_sha256", "edited_v"], ties=["_row"])
     wide = wide.withColumn("_a", signs(F.col("v"))).withColumn("_b", signs(F.col("edited_v"))).withColumn("_c", signs(F.col("next_v")))
     near = lambda x, s: likeness(F.col("v"), F.col(x), F.col("_a"), F.col(s))
     return wide.select(key, "n_chars", "edited_sha256", hexed(F.col("v")).alias("fingerprint"), hexed(F.col("edited_v")).alias("edited_fingerprint"), near("edited_v", "_b").alias("near_edited"), near("next_v", "_c").alias("near_next"))

@@ -4,7 +4,8 @@ Documents become pieces of at most ``capacity`` ids without losing one; best-fit
 row of a matrix: its ids padded to the capacity, the cumulative lengths of its segments, and position numbers that begin anew in every
 segment. Matrices of ``ROWS`` sequences are put together in a task each; ids are stored as 16-bit numbers where the vocabulary allows.
 
-Defined cases: a null or empty text is one piece, the end id; keys must be unique; an empty table gives no sequence.
+Defined cases: a null or empty text is one piece, the end id; null and repeated keys stay, as each row has a number of its own,
+written with its pieces before they are planned; an empty table gives no sequence.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ ROWS = 128
 
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, id_bytes: int = 2, pad_id: int = 0) -> DataFrame:
     """sequence_id, n_tokens, doc_ids, pieces, cu_seqlens, ids (capacity ids of ``id_bytes`` bytes), positions (capacity 16- or 32-bit numbers) for each sequence."""
-    cut = settle(pieces(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), path, capacity=capacity, end_id=end_id, id_bytes=id_bytes), "ids")
-    where = settle(place(cut.select("doc_id", "piece", "length"), ["doc_id", "piece"], best_fit_decreasing, capacity), "places")
+    own = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id")).alias("_id"), F.col(text).alias("text"))
+    cut = settle(pieces(own, path, key="_id", capacity=capacity, end_id=end_id, id_bytes=id_bytes).select("_id.row", "_id.doc_id", "piece", "length", "ids"), "ids")
+    # rows of one key are placed in any order; what is written holds
+    where = settle(place(cut.select("row", "doc_id", "piece", "length"), ["doc_id", "piece"], best_fit_decreasing, capacity).drop("doc_id"), "places")
     # the places are the side that is hashed: rows of ids are not sorted for the join
-    both = cut.select("doc_id", "piece", "ids").join(where.hint("shuffle_hash"), ["doc_id", "piece"]).withColumn("part", F.floor(F.col("sequence_id") / ROWS))
+    both = cut.drop("length").join(where.hint("shuffle_hash"), ["row", "piece"]).drop("row").withColumn("part", F.floor(F.col("sequence_id") / ROWS))
     kind = f"<u{id_bytes}"
 
     def run(t: pa.Table) -> pa.Table:
