@@ -12,6 +12,9 @@ from lernwerk.llm import mixing, ngram_join, packing, pii, tokens, toxicity
 from lernwerk.llm.common import settle
 from lernwerk.llm.registry import TOKENIZER
 
+#: Documents that are packed together, at least: consecutive slots of the mix.
+RUN_ROWS = 8000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold of their language go."""
@@ -37,8 +40,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document with its place in a sequence of 4096 ids."""
-    return packing.place(settle(tokens.pieces(docs, TOKENIZER), "pieces"), ["doc_id", "piece"], packing.best_fit)
+    """A row for each piece of a document with its place in a sequence of 4096 ids; sequences follow the mix.
+
+    The slots of the mix are derived again, on rows without texts; what is packed together is a run of slots, and runs follow each other.
+    """
+    own = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id", "source").alias("_id"), "text")
+    cut = settle(tokens.pieces(own, TOKENIZER, key="_id").select("_id.*", "piece", "start", "length", "ids_crc32"), "pieces")
+    mixed = settle(mixing.mix(cut.filter("piece = 0").select("row", "doc_id", "source")).select("row", "slot"), "slots")
+    runs = mixing.runs(mixed, RUN_ROWS)
+    placed = packing.place_runs(cut.join(runs.hint("merge"), "row"), "run", ["doc_id", "piece", "row"], packing.best_fit)
+    return placed.drop("row", "source", "run")
 
 
 STAGES = [

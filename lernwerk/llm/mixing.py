@@ -18,7 +18,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ranked, settle
@@ -83,3 +83,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     met = with_share.join(F.broadcast(table.drop("_share")), ["_source", "_i"])
     slot = F.floor(F.col("block") / F.col("_share")).cast("long") * length + F.col("_slot")
     return met.withColumn("slot", slot).withColumn("in_mix", F.col("slot") < F.lit(runs_out)).drop("_source", "_i", "_share", "_slot", "_n")
+
+
+def runs(mixed: DataFrame, least: int, step: int = 100) -> DataFrame:
+    """Replace ``slot`` by ``run``: stretches of ``step`` slots, joined with the following ones up to ``least`` rows; a rest that has fewer joins the run before it.
+
+    The driver holds a row for each stretch that has rows.
+    """
+    spark: SparkSession = mixed.sparkSession
+    stretched = mixed.withColumn("_stretch", F.floor(F.col("slot") / step).cast("long")).drop("slot")
+    counts = sorted((r[0], r[1]) for r in stretched.groupBy("_stretch").count().collect())
+    table, run, n = [], 0, 0
+    for stretch, c in counts:
+        table.append([stretch, run])
+        n += c
+        if n >= least:
+            run, n = run + 1, 0
+    if n and run:
+        table = [[stretch, min(r, run - 1)] for stretch, r in table]
+    return stretched.join(F.broadcast(settle(spark.createDataFrame(table, "_stretch long, run long"), "runs")), "_stretch").drop("_stretch")

@@ -17,7 +17,8 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ranked, settle
@@ -173,3 +174,31 @@ def place(pieces: DataFrame, order: list[str], planner, capacity: int = 4096, le
     met = numbered.join(F.broadcast(table), length)
     run = F.element_at(F.filter("runs", lambda r: (r[0] <= F.col("_n")) & (F.col("_n") < r[0] + r[1])), 1)
     return met.withColumn("_run", run).withColumn("sequence_id", F.col("_run")[2] + F.col("_n") - F.col("_run")[0]).withColumn("offset", F.col("_run")[3]).drop("_n", "_run", "runs")
+
+
+def place_runs(pieces: DataFrame, run: str, order: list[str], planner, capacity: int = 4096, length: str = "length") -> DataFrame:
+    """As ``place``, for each run by itself: no sequence holds pieces of two runs, and sequences of a run come before those of the next.
+
+    Each run's histogram is planned in a task; runs are so short that the pieces of one length in one are numbered at once. The driver holds a number for each run.
+    """
+    spark: SparkSession = pieces.sparkSession
+
+    def plan(t: pa.Table) -> pa.Table:
+        rows, n = planner(dict(zip(t.column("_length").to_pylist(), t.column("_count").to_pylist(), strict=True)), capacity)
+        bounds: dict[int, list] = defaultdict(list)
+        for row in sorted(rows):
+            bounds[row[0]].append(list(map(int, row[1:])))
+        return pa.table({"_run": pa.array([t.column("_run")[0].as_py()] * len(bounds), pa.int64()), "_length": pa.array(list(bounds), pa.int64()), "runs": pa.array(list(bounds.values()), pa.list_(pa.list_(pa.int64()))), "_used": pa.array([int(n)] * len(bounds), pa.int64())})
+
+    counts = pieces.groupBy(F.col(run).cast("long").alias("_run"), F.col(length).cast("long").alias("_length")).agg(F.count("*").alias("_count"))
+    plans = settle(counts.groupBy("_run").applyInArrow(plan, "_run long, _length long, runs array<array<long>>, _used long"), "plans")
+    used, first = [], 0
+    for r, n in sorted(map(tuple, plans.select("_run", "_used").distinct().collect())):
+        used.append((r, first))
+        first += n
+    begins = settle(spark.createDataFrame(used, "_run long, _first long"), "runs")
+    numbered = pieces.withColumn("_run", F.col(run).cast("long")).withColumn("_length", F.col(length).cast("long"))
+    numbered = numbered.withColumn("_n", F.row_number().over(Window.partitionBy("_run", "_length").orderBy(*order)) - 1)
+    met = numbered.join(plans.drop("_used").hint("merge"), ["_run", "_length"]).join(F.broadcast(begins), "_run")
+    at = F.element_at(F.filter("runs", lambda r: (r[0] <= F.col("_n")) & (F.col("_n") < r[0] + r[1])), 1)
+    return met.withColumn("_at", at).withColumn("sequence_id", F.col("_first") + F.col("_at")[2] + F.col("_n") - F.col("_at")[0]).withColumn("offset", F.col("_at")[3]).drop("_run", "_length", "_n", "_at", "runs", "_first")
