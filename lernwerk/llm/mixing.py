@@ -10,7 +10,7 @@ A source that runs out leaves its slots empty; the others keep theirs, and so th
 source runs out, where the target weights hold for all. No row is dropped.
 
 Defined cases: a null source is a source of its own; repeated keys are ordered arbitrarily but stay; an empty table gives an empty result. Columns
-of the input pass through, ones named like a result are replaced.
+of the input pass through, whatever their names; ones named like a result are replaced. Ties in the schedule go to the name first in order. Texts are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, settle
+from .common import fresh, ranked, settle, small
 
 RESULTS = ("block", "slot", "place", "in_mix")
 
@@ -62,8 +62,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
 
     weights: by source; missing ones count as the smallest given. None: rows of the source to the ``power``, which draws large sources down.
     """
-    named = docs.drop(*RESULTS).withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("\u0000null")))
-    n = {r[0]: r[1] for r in named.groupBy("_source").count().collect()}
+    docs = docs.drop(*RESULTS)
+    name, number, share_of, turn, at = (fresh(docs, x) for x in ("source", "number", "share", "turn", "at"))
+    named = docs.withColumn(name, F.coalesce(F.col(source).cast("string"), F.lit("\u0000null")))
+    n = {r[0]: r[1] for r in named.groupBy(name).count().collect()}
     if weights is None:
         wanted = {k: c**power for k, c in n.items()}
     else:
@@ -73,32 +75,35 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     length = max(1, sum(share.values()))
     slots = schedule(share)
     runs_out = min((math.ceil(c / block_rows) // share[k] * length + (slots[k] + [length])[math.ceil(c / block_rows) % share[k]] for k, c in n.items()), default=0)
-    table = settle(docs.sparkSession.createDataFrame([(k, i, s, share[k]) for k, v in slots.items() for i, s in enumerate(v)], "_source string, _i long, _slot long, _share long"), "schedule")
-    numbered = ranked(named, ["_source"], [key], "_n").withColumn("block", F.floor(F.col("_n") / block_rows).cast("long")).withColumn("place", (F.col("_n") % block_rows).cast("int"))
-    share_of = F.lit(1)
-    for k, v in sorted(share.items()):
-        share_of = F.when(F.col("_source") == k, F.lit(v)).otherwise(share_of)
-    with_share = numbered.withColumn("_share", share_of.cast("long")).withColumn("_i", F.col("block") % F.col("_share"))
-    # the schedule has one row for each slot of a period, ``period`` or the number of sources, whichever is more
-    met = with_share.join(F.broadcast(table.drop("_share")), ["_source", "_i"])
-    slot = F.floor(F.col("block") / F.col("_share")).cast("long") * length + F.col("_slot")
-    return met.withColumn("slot", slot).withColumn("in_mix", F.col("slot") < F.lit(runs_out)).drop("_source", "_i", "_share", "_slot", "_n")
-
-
-def runs(mixed: DataFrame, least: int, step: int = 100) -> DataFrame:
+    spark: SparkSession = docs.sparkSession
+    of_source = settle(spark.createDataFrame(sorted(share.items()), f"{name} string, {share_of} long"), "shares")
+    turns = [(k, i, s) for k, v in slots.items() for i, s in enumerate(v)]
+    table = settle(spark.createDataFrame(turns, f"{name} string, {turn} long, {at} long"), "schedule")
+    numbered = ranked(named, [name], [key], number, sum(n.values())).withColumn("block", F.floor(F.col(number) / block_rows).cast("long")).withColumn("place", (F.col(number) % block_rows).cast("int"))
+    # one row for each source, and one for each slot of a period
+    with_share = numbered.join(small(of_source, len(share)), name).withColumn(turn, F.col("block") % F.col(share_of))
+    met = with_share.join(small(table, len(turns)), [name, turn])
+    slot = F.floor(F.col("block") / F.col(share_of)).cast("long") * length + F.col(at)
+    return met.withColumn("slot", slot).withColumn("in_mix", F.col("slot") < F.lit(runs_out)).drop(name, turn, share_of, at, number)
+
+
+def runs(mixed: DataFrame, least: int, step: int = 100, most: int = 50_000) -> DataFrame:
     """Replace ``slot`` by ``run``: stretches of ``step`` slots, joined with the following ones up to ``least`` rows; a rest that has fewer joins the run before it.
 
-    The driver holds a row for each stretch that has rows.
+    The driver holds a row for each stretch; stretches and runs grow with the table, so that there are never more than about ``most`` of either.
     """
     spark: SparkSession = mixed.sparkSession
-    stretched = mixed.withColumn("_stretch", F.floor(F.col("slot") / step).cast("long")).drop("slot")
-    counts = sorted((r[0], r[1]) for r in stretched.groupBy("_stretch").count().collect())
+    rows, end = mixed.agg(F.count("*"), F.coalesce(F.max("slot"), F.lit(0))).first()
+    step, least = max(step, math.ceil((end + 1) / most)), max(least, math.ceil(rows / most))
+    stretch = fresh(mixed, "stretch")
+    stretched = mixed.withColumn(stretch, F.floor(F.col("slot") / step).cast("long")).drop("slot")
+    counts = sorted((r[0], r[1]) for r in stretched.groupBy(stretch).count().collect())
     table, run, n = [], 0, 0
-    for stretch, c in counts:
-        table.append([stretch, run])
+    for s, c in counts:
+        table.append([s, run])
         n += c
         if n >= least:
             run, n = run + 1, 0
     if n and run:
-        table = [[stretch, min(r, run - 1)] for stretch, r in table]
-    return stretched.join(F.broadcast(settle(spark.createDataFrame(table, "_stretch long, run long"), "runs")), "_stretch").drop("_stretch")
+        table = [[s, min(r, run - 1)] for s, r in table]
+    return stretched.join(small(settle(spark.createDataFrame(table, f"{stretch} long, run long"), "runs"), len(table)), stretch).drop(stretch)

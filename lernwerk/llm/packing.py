@@ -10,6 +10,10 @@ partner that fills the sequence exactly; the longest partner, if no two pieces f
 partner is at least as long as any two that fit together, where no three fit. What it cannot fix goes to best-fit decreasing.
 
 ``best_fit_decreasing`` (op4): the fullest sequence that still has room is found in a segment tree over capacities.
+
+Defined cases: an empty table gives no rows; repeated pieces (equal in ``order``) each get a place of their own, in any order among them; nulls in ``order`` are
+values like others. Lengths are 1 to the capacity and never null: a text, null or empty ones included, has its end id, and longer ones have been cut.
+Ties between sequences of equal room go to the one opened last. Columns of the input pass through, whatever their names; ``sequence_id`` and ``offset`` are replaced.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, settle
+from .common import fresh, ranked, settle, small
 
+RESULTS = ("sequence_id", "offset")
 #: (length, first number, numbers, first sequence, offset)
 Plan = list[tuple[int, int, int, int, int]]
 
@@ -155,50 +160,66 @@ def best_fit(histogram: dict[int, int], capacity: int) -> tuple[Plan, int]:
     return plan + rest, first
 
 
+PLAN = "first long, last long, shift long, offset long"
+#: Numbers that meet a run of the plan in one group of a join.
+NUMBERS = 4096
+
+
+def rows_of(plan: Plan) -> list[tuple[int, ...]]:
+    """The plan as rows of (length, first number, last number, what is added to a number to make a sequence, offset)."""
+    return [tuple(map(int, (length, first, first + n - 1, sequence - first, offset))) for length, first, n, sequence, offset in plan]
+
+
+def looked_up(numbered: DataFrame, plan: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """``numbered`` with ``sequence_id`` and ``offset``. A run of the plan meets the pieces of its keys by blocks of ``NUMBERS`` numbers, so no key is a group of its own."""
+    block, first, last, shift, offset = (fresh(numbered, x) for x in ("block", "first", "last", "shift", "offset"))
+    named = plan.select(*keys, F.col("first").alias(first), F.col("last").alias(last), F.col("shift").alias(shift), F.col("offset").alias(offset))
+    laid = named.withColumn(block, F.explode(F.sequence(F.floor(F.col(first) / NUMBERS), F.floor(F.col(last) / NUMBERS))))
+    met = numbered.withColumn(block, F.floor(F.col(number) / NUMBERS)).join(laid.hint("merge"), [*keys, block])
+    found = met.filter((F.col(number) >= F.col(first)) & (F.col(number) <= F.col(last)))
+    return found.withColumn("sequence_id", F.col(number) + F.col(shift)).withColumn("offset", F.col(offset)).drop(block, first, last, shift, offset, number)
+
+
 def place(pieces: DataFrame, order: list[str], planner, capacity: int = 4096, length: str = "length") -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to each piece. ``order`` names columns that tell the pieces apart; lengths are 1 to ``capacity``.
 
     The driver holds the histogram (at most ``capacity`` rows) and the plan. A length's turn opens one run of sequences more than it
-    uses up, so the plan has a few rows for each pair of lengths that meet, whatever the number of pieces. It is joined by
-    ranges of numbers: its rows are laid out by (length, block of numbers), the pieces meet them in a merge join.
+    uses up, so the plan has a few rows for each pair of lengths that meet, whatever the number of pieces. It is written, and the pieces find
+    their runs in a merge join by length and block of numbers.
     """
+    pieces = pieces.drop(*RESULTS)
     spark: SparkSession = pieces.sparkSession
     histogram = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}
     plan, _ = planner(histogram, capacity)
-    bounds: dict[int, list] = defaultdict(list)
-    for row in sorted(plan):
-        bounds[row[0]].append(row[1:])
-    table = settle(spark.createDataFrame([(k, [list(map(int, x)) for x in v]) for k, v in bounds.items()], f"`{length}` long, runs array<array<long>>"), "plan")
-    numbered = ranked(pieces, [length], order, "_n")
-    # the plan has at most ``capacity`` rows, one for each length; numbers are looked up by halving within a row
-    met = numbered.join(F.broadcast(table), length)
-    run = F.element_at(F.filter("runs", lambda r: (r[0] <= F.col("_n")) & (F.col("_n") < r[0] + r[1])), 1)
-    return met.withColumn("_run", run).withColumn("sequence_id", F.col("_run")[2] + F.col("_n") - F.col("_run")[0]).withColumn("offset", F.col("_run")[3]).drop("_n", "_run", "runs")
+    table = settle(spark.createDataFrame(rows_of(plan), f"`{length}` long, {PLAN}"), "plan")
+    number = fresh(pieces, "number")
+    return looked_up(ranked(pieces, [length], order, number, sum(histogram.values())), table, [length], number)
 
 
 def place_runs(pieces: DataFrame, run: str, order: list[str], planner, capacity: int = 4096, length: str = "length") -> DataFrame:
     """As ``place``, for each run by itself: no sequence holds pieces of two runs, and sequences of a run come before those of the next.
 
-    Each run's histogram is planned in a task; runs are so short that the pieces of one length in one are numbered at once. The driver holds a number for each run.
+    Each run's histogram is planned in a task; a run has so few pieces that those of one length in it are numbered at once (``mixing.runs`` bounds
+    the number of runs, and so what the driver holds: a number for each).
     """
+    pieces = pieces.drop(*RESULTS)
     spark: SparkSession = pieces.sparkSession
 
     def plan(t: pa.Table) -> pa.Table:
-        rows, n = planner(dict(zip(t.column("_length").to_pylist(), t.column("_count").to_pylist(), strict=True)), capacity)
-        bounds: dict[int, list] = defaultdict(list)
-        for row in sorted(rows):
-            bounds[row[0]].append(list(map(int, row[1:])))
-        return pa.table({"_run": pa.array([t.column("_run")[0].as_py()] * len(bounds), pa.int64()), "_length": pa.array(list(bounds), pa.int64()), "runs": pa.array(list(bounds.values()), pa.list_(pa.list_(pa.int64()))), "_used": pa.array([int(n)] * len(bounds), pa.int64())})
-
-    counts = pieces.groupBy(F.col(run).cast("long").alias("_run"), F.col(length).cast("long").alias("_length")).agg(F.count("*").alias("_count"))
-    plans = settle(counts.groupBy("_run").applyInArrow(plan, "_run long, _length long, runs array<array<long>>, _used long"), "plans")
+        made, n = planner(dict(zip(t.column("length").to_pylist(), t.column("count").to_pylist(), strict=True)), capacity)
+        rows = [(t.column("run")[0].as_py(), *row, int(n)) for row in rows_of(made)]
+        return pa.table({name: pa.array([row[i] for row in rows], pa.int64()) for i, name in enumerate(("run", "length", "first", "last", "shift", "offset", "used"))})
+
+    counts = pieces.groupBy(F.col(run).cast("long").alias("run"), F.col(length).cast("long").alias("length")).agg(F.count("*").alias("count"))
+    plans = settle(counts.groupBy("run").applyInArrow(plan, f"run long, length long, {PLAN}, used long"), "plans")
     used, first = [], 0
-    for r, n in sorted(map(tuple, plans.select("_run", "_used").distinct().collect())):
+    for r, n in sorted(map(tuple, plans.select("run", "used").distinct().collect())):
         used.append((r, first))
         first += n
-    begins = settle(spark.createDataFrame(used, "_run long, _first long"), "runs")
-    numbered = pieces.withColumn("_run", F.col(run).cast("long")).withColumn("_length", F.col(length).cast("long"))
-    numbered = numbered.withColumn("_n", F.row_number().over(Window.partitionBy("_run", "_length").orderBy(*order)) - 1)
-    met = numbered.join(plans.drop("_used").hint("merge"), ["_run", "_length"]).join(F.broadcast(begins), "_run")
-    at = F.element_at(F.filter("runs", lambda r: (r[0] <= F.col("_n")) & (F.col("_n") < r[0] + r[1])), 1)
-    return met.withColumn("_at", at).withColumn("sequence_id", F.col("_first") + F.col("_at")[2] + F.col("_n") - F.col("_at")[0]).withColumn("offset", F.col("_at")[3]).drop("_run", "_length", "_n", "_at", "runs", "_first")
+    begins = settle(spark.createDataFrame(used, "run long, begin long"), "begins")
+    whole = plans.join(small(begins, len(used)), "run").withColumn("shift", F.col("shift") + F.col("begin"))
+    own = [fresh(pieces, x) for x in ("run", "length")]
+    number = fresh(pieces, "number")
+    keyed = pieces.withColumn(own[0], F.col(run).cast("long")).withColumn(own[1], F.col(length).cast("long"))
+    numbered = keyed.withColumn(number, F.row_number().over(Window.partitionBy(*own).orderBy(*order)) - 1)
+    return looked_up(numbered, whole.withColumnsRenamed({"run": own[0], "length": own[1]}), own, number).drop(*own)

@@ -5,7 +5,8 @@ row of a matrix: its ids padded to the capacity, the cumulative lengths of its s
 segment. Matrices of ``ROWS`` sequences are put together in a task each; ids are stored as 16-bit numbers where the vocabulary allows.
 
 Defined cases: a null or empty text is one piece, the end id; null and repeated keys stay, as each row has a number of its own,
-written with its pieces before they are planned; an empty table gives no sequence.
+written with its pieces before they are planned; a text longer than a sequence is cut into pieces, and none is shortened; an empty table gives no sequence.
+Columns besides key and text are not used. Ids or positions that ``id_bytes`` cannot hold are an error, as is a capacity of more than positions can count.
 """
 
 from __future__ import annotations
