@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 # The patterns of the contract for the first four kinds, in its order, and the IBAN format. Against long runs they carry
 # look-behinds that change no match (a match can only begin at the start of a run, or where the last one ended) and possessive
 # repeats where nothing follows.
@@ -81,20 +83,33 @@ def valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def before(values: Column, join) -> Column:
+    """For each number what ``join`` makes of those before it, 0 for the first. It is applied within blocks of about the square root of their number and then
+    to the blocks, so that arrays that grow stay short."""
+    block = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values)))).cast("int")
+    cut = lambda i: F.slice(values, i * block + 1, block)
+    nothing = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("all"))
+    within = lambda part: F.aggregate(part, nothing, lambda a, n: F.struct(join(a["last"], n).alias("last"), F.concat(a["all"], F.array(a["last"])).alias("all")))
+    blocks = F.transform(F.sequence(F.lit(0), block - 1), lambda i: within(cut(i)))
+    base = lambda made, i: F.aggregate(F.slice(made, F.lit(1), i), F.lit(0), lambda a, x: join(a, x["last"]))
+    return bound(blocks, lambda made: F.flatten(F.transform(made, lambda x, i: bound(base(made, i), lambda b: F.transform(x["all"], lambda s: join(b, s))))))
+
+
 def proposals(text: Column, kind: str) -> Column:
     """All matches of a kind with their places. The text between the matches gives the lengths to add up."""
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind == "iban")))
     width = lambda m: F.lit(IBAN_HEAD) if kind == "iban" else F.length(m)
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("m"), F.transform(gaps, F.length).alias("g"))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    pairs = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("g")), lambda p: p["m"].isNotNull())
     nothing = F.array().cast("array<struct<s:int,m:string>>")
-    placed = F.aggregate(
-        F.filter(pairs, lambda p: p["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), nothing.alias("all")),
-        lambda a, p: F.struct((a["at"] + p["g"] + width(p["m"])).alias("at"), F.concat(a["all"], F.array(F.struct((a["at"] + p["g"]).alias("s"), p["m"].alias("m")))).alias("all")),
-        lambda a: a["all"],
-    )
+    sums = lambda p: before(F.transform(p, lambda x: x["g"] + width(x["m"])), lambda a, n: a + n)
+    placed = bound(pairs, lambda p: F.zip_with(p, sums(p), lambda x, at: F.struct((x["g"] + at).alias("s"), x["m"].alias("m"))))
     return F.when(F.regexp_like(text, F.lit(pattern)), apart(placed) if kind == "iban" else placed).otherwise(nothing)
 
 
@@ -125,11 +140,11 @@ def valid_of(kind: str):
     return lambda p: valid(kind, p["m"])
 
 
-def span_of(kind: str):
-    """From a proposal in column ``_<kind>`` over the text ``_body`` to a span with its score."""
+def span_of(kind: str, body: str):
+    """From a proposal over the text in column ``body`` to a span with its score."""
 
     def span(p: Column) -> Column:
-        before = F.substring(F.col("_body"), F.greatest(p["s"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(p["s"], F.lit(CONTEXT_CHARS)))
+        before = F.substring(F.col(body), F.greatest(p["s"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(p["s"], F.lit(CONTEXT_CHARS)))
         gain = F.when(F.regexp_like(before, F.lit(f"(?i){CONTEXT[kind]}")), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
         rank = list(PATTERNS).index(kind)
         return F.struct(p["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (p["s"] + F.length(p["m"])).alias("end"), (F.lit(SCORES[kind]) + gain).alias("score"))
@@ -139,12 +154,13 @@ def span_of(kind: str):
 
 def find(df: DataFrame, text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """Add ``spans``: array of (start, rank, kind, end, score), by start and then by the order of ``PATTERNS``."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = df.drop("spans").withColumn("_body", body)
-    for kind in kinds:
-        out = out.withColumn(f"_{kind}", proposals(F.col("_body"), kind))
-    spans = [F.transform(F.filter(F.col(f"_{kind}"), valid_of(kind)), span_of(kind)) for kind in kinds]
-    return out.withColumn("spans", F.array_sort(F.concat(*spans))).drop("_body", *(f"_{k}" for k in kinds))
+    body = fresh(df, "body")
+    own = {kind: fresh(df, kind) for kind in kinds}
+    out = df.drop("spans").withColumn(body, F.coalesce(F.col(text), F.lit("")))
+    for kind, name in own.items():
+        out = out.withColumn(name, proposals(F.col(body), kind))
+    spans = [F.transform(F.filter(F.col(name), valid_of(kind)), span_of(kind, body)) for kind, name in own.items()]
+    return out.withColumn("spans", F.array_sort(F.concat(*spans))).drop(body, *own.values())
 
 
 def joined(spans: Column) -> Column:
@@ -159,12 +175,10 @@ def redact(df: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:
     """
     found = find(df, text)
     kept = F.filter("spans", lambda s: s["score"] >= least)
-    done = F.aggregate(
-        kept,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))).otherwise(
-            F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
-        ),
-        lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text))),
-    )
-    return found.withColumn(text, F.when(F.size("spans") == 0, F.col(text)).otherwise(done)).drop("spans")
+    body = F.col(text)
+    shown = lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(body, at + 1, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+    # a span begins after the ends of all before it, or is covered
+    pieces = lambda k: F.array_join(F.zip_with(k, before(F.transform(k, lambda s: s["end"]), F.greatest), shown), "")
+    rest = lambda k: F.substring(body, F.array_max(F.transform(k, lambda s: s["end"])) + 1, F.length(body))
+    done = bound(kept, lambda k: F.when(F.size(k) == 0, body).otherwise(F.concat(pieces(k), rest(k))))
+    return found.withColumn(text, F.when(F.size("spans") == 0, body).otherwise(done)).drop("spans")
