@@ -5,7 +5,7 @@ these vectors, each lane modulo a power of two: equal whatever the order of the
 subtraction when a paragraph is inserted or deleted. The vector has
 
 * ``EXACT`` lanes modulo 2**32, for equality: halves of hashes of whole paragraphs with different seeds;
-* one lane that counts blocks, and ``COUNTERS`` counters modulo 2**20, three to a number, of the blocks of up to ``BLOCK`` characters
+* one lane that counts blocks, and ``COUNTERS`` counters modulo 2**31, two to a number, of the blocks of up to ``BLOCK`` characters
   that a paragraph is cut into: each block adds one random bit to each counter. Twice a counter less the count of blocks is a sum of random
   signs, so the squared distance of two fingerprints estimates how many blocks the texts do not share.
 
@@ -14,7 +14,8 @@ part of the blocks, with a standard error near 0.1.
 
 Defined cases: null counts as empty, which is one empty paragraph without blocks; two empty texts have likeness 1, an empty and another
 one 0. ``fingerprints`` sums repeated keys together, so keys must tell the rows apart; ``compare_edited`` takes any keys: null ones come
-first, rows of one key follow each other by text, and each row keeps its own fingerprint. Texts of over 400 million characters are out of range.
+first, rows of one key follow each other by text, and each row, repeated ones too, keeps its own fingerprint and gives a row. A counter has room for the blocks of
+any text that a row can hold. An empty table gives no rows; columns besides key and text are not used.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ from .common import settle
 
 EXACT, COUNTERS, BLOCK = 8, 120, 48
 LOW = (1 << 32) - 1
-#: The lowest bit of each of the three counters of 20 bits in one number.
-COMB = sum(1 << (20 * i) for i in range(3))
-PACKED = COUNTERS // 3
+#: Counters of ``WIDE`` bits in one number, and the lowest bit of each.
+EACH, WIDE = 2, 31
+COMB = sum(1 << (WIDE * i) for i in range(EACH))
+PACKED = COUNTERS // EACH
+#: Bits of a hash that a counter takes: one at each shift and those ``WIDE`` further on.
+SHIFTS = 30
 
 
 def fingerprints(df: DataFrame, keys: list[str], text: str = "text", name: str = "fingerprint") -> DataFrame:
@@ -40,11 +44,11 @@ def fingerprints(df: DataFrame, keys: list[str], text: str = "text", name: str =
     """
     lines = df.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_line"))
     rows = lines.select("*", F.posexplode_outer(F.regexp_extract_all("_line", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("_pos", "_block"))
-    hashes = [F.xxhash64(F.lit(1000 + i), "_block").alias(f"_h{i}") for i in range(PACKED // 20)]
+    hashes = [F.xxhash64(F.lit(1000 + i), "_block").alias(f"_h{i}") for i in range(PACKED // SHIFTS)]
     lanes = [F.when(F.coalesce("_pos", F.lit(0)) == 0, F.xxhash64(F.lit(i), "_line")).otherwise(F.lit(0)).alias(f"_e{i}") for i in range(EXACT // 2)]
     rows = rows.select(*keys, F.col("_block").isNotNull().alias("_has"), *hashes, *lanes)
     sums = [F.sum(half.bitwiseAND(F.lit(LOW))) for i in range(EXACT // 2) for half in (F.col(f"_e{i}"), F.shiftrightunsigned(f"_e{i}", 32))]
-    counters = [F.sum(F.when(F.col("_has"), F.shiftrightunsigned(f"_h{i // 20}", i % 20).bitwiseAND(F.lit(COMB))).otherwise(F.lit(0))) for i in range(PACKED)]
+    counters = [F.sum(F.when(F.col("_has"), F.shiftrightunsigned(f"_h{i // SHIFTS}", i % SHIFTS).bitwiseAND(F.lit(COMB))).otherwise(F.lit(0))) for i in range(PACKED)]
     parts = [*sums, F.count_if("_has"), *counters]
     summed = rows.groupBy(*keys).agg(*(x.alias(f"_s{i}") for i, x in enumerate(parts)))
     vector = F.array(*(F.col(f"_s{i}").bitwiseAND(F.lit(LOW)) if i < EXACT else F.col(f"_s{i}") for i in range(len(parts))))
@@ -60,8 +64,8 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 def signs(v: Column) -> Column:
     """Sums of random signs, one for each counter."""
     n = F.element_at(v, EXACT + 1)
-    one = lambda x, j: (F.shiftright(x, 20 * j).bitwiseAND(F.lit((1 << 20) - 1)) * 2 - n).cast("double")
-    return F.flatten(F.transform(F.slice(v, EXACT + 2, PACKED), lambda x: F.array(*(one(x, j) for j in range(3)))))
+    one = lambda x, j: (F.shiftright(x, WIDE * j).bitwiseAND(F.lit((1 << WIDE) - 1)) * 2 - n).cast("double")
+    return F.flatten(F.transform(F.slice(v, EXACT + 2, PACKED), lambda x: F.array(*(one(x, j) for j in range(EACH)))))
 
 
 def likeness(a: Column, b: Column, signs_a: Column, signs_b: Column) -> Column:
