@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import blocks
+from .common import cut, with_text
 
 CHUNK = 4096
 OTHER = regex.compile(r"[^\p{L}]+")
@@ -120,16 +120,16 @@ def fit_from(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
 def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``lang_pred``, ``score`` and ``narrow`` for each whole text."""
     names = [c for c in (keep if keep is not None else df.columns) if c not in ("lang_pred", "score", "narrow")]
-    kept = df.select(F.col(text).alias("_text"), *names)
+    kept, body = with_text(df, names, text)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         made = model.compressors()
-        for block in blocks(batches, "_text"):
-            found = [classify(x, made, model.scale) for x in block.column(0).to_pylist()]
+        for rows, texts in cut(batches, body):
+            found = [classify(x, made, model.scale) for x in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*block.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64()), pa.array([p < model.least for _, p in found], pa.bool_())],
+                [*rows.columns[: len(names)], pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64()), pa.array([p < model.least for _, p in found], pa.bool_())],
                 names=[*names, "lang_pred", "score", "narrow"],
             )
 
