@@ -2,13 +2,21 @@
 
 Bands and rows are chosen so that a pair at the threshold meets in some band with the target recall. Documents with equal sets are
 one class from the start, and only one of a class goes on. The members of a band bucket are tied to its smallest member, so a bucket
-of m costs m edges, not m**2 pairs; the components of these ties are the sets within which all pairs are verified on the full
-n-gram sets, by products of incidence matrices, in blocks of bounded size that are spread over tasks. The result has one row
-for each document; pairs are never listed.
+of m costs m edges, not m**2 pairs. Links lie within the components of these ties and are verified on the full n-gram sets, by products of incidence
+matrices, in tasks of bounded size:
+
+* a component that one task can hold is checked as a whole;
+* a larger one goes to the tasks in blocks, every two of which meet. What travels is not the documents but how their sets differ from that of the component's
+  first member, which for near copies is little;
+* where the buckets are small though the component is not (chance meetings that form a chain), buckets go to the tasks instead, and a pair counts in the first
+  bucket that it shares. Whichever of the two copies fewer sets is taken, with the same result.
+
+The result has one row for each document; pairs are never listed.
 
 Words are lower-cased runs between white space; n-grams are hashed to 64 bits. A text of fewer words than n has one n-gram, all its
 words. Defined cases: texts without words (null included) form one class and are linked to nothing; equal texts share a class; repeated rows with
-equal keys count as copies of each other. Columns besides key and text are not used.
+equal keys count as copies of each other; rows with a null key are a class by themselves in ``keep_one``, which keeps them, and copies of each other in ``join``; a text
+of any length counts whole; an empty table gives no rows. Columns besides key and text are not used.
 """
 
 from __future__ import annotations
@@ -21,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, settle, split_words, word_hashes
+from .common import blocks, fresh, mix64, settle, small, split_words, word_hashes
 from .graph import components
 from .tokens import spread
 
-BLOCK_DOCS = 512
-COLUMNS = 8192
+#: What one task holds of a component, at most: documents, and bytes of hashes.
+BLOCK_DOCS, BLOCK_BYTES = 1024, 32 << 20
+COLUMNS, SALTS = 4096, 64
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
@@ -95,48 +104,163 @@ def incidence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs reach the threshold, exactly, in whole numbers of n-grams."""
-    a, b = np.unique(np.concatenate(left)), np.unique(np.concatenate(right))
+def meetings(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two sets share. left is right: within one list."""
     if left is right:
-        grams, count = np.unique(np.concatenate(left), return_counts=True)
-        shared = grams[count > 1]
+        hashes, count = np.unique(np.concatenate(left), return_counts=True)
+        shared = hashes[count > 1]
     else:
-        shared = np.intersect1d(a, b, assume_unique=True)
-    both = np.zeros((len(left), len(right)), np.int64)
+        shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    both = np.zeros((len(left), len(right)), np.int32)
     for c in range(0, len(shared), COLUMNS):
         some = shared[c : c + COLUMNS]
         x = incidence(left, some)
         y = x if left is right else incidence(right, some)
-        both += np.rint(x @ y.T).astype(np.int64)
-    total = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right]) - both
-    if left is right:
-        np.fill_diagonal(both, np.diag(total))
-    return (both > 0) & (both >= np.ceil(threshold * total - 1e-9))
-
-
-def verify(ids: np.ndarray, sides: np.ndarray, texts: pa.Array, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each document, and the smallest id it is tied to within this block. sides: 0 or 1 if only pairs of unlike sides count, else all 0."""
-    sets = shingles(texts, n)
-    left = [i for i in range(len(ids)) if sides[i] == 0]
-    right = [i for i in range(len(ids)) if sides[i] == 1]
-    some = [sets[i] for i in left]
-    met = np.zeros((len(ids), len(ids)), bool)
-    if right:
-        found = links(some, [sets[i] for i in right], threshold)
-        met[np.ix_(left, right)] = found
-        met |= met.T
-    else:
-        met = links(some, some, threshold)
+        both += np.rint(x @ y.T).astype(np.int32)
+    return both
+
+
+class Sets:
+    """Documents of one task: ids, sizes of their sets, and the sets as differences from one of ``hub`` hashes, of which they lack ``lacks`` (0 and 0: whole sets)."""
+
+    def __init__(self, ids: np.ndarray, size: np.ndarray, differs: list[np.ndarray], lacks: np.ndarray | int = 0, hub: int = 0, bands: np.ndarray | None = None):
+        self.ids, self.size, self.differs, self.lacks, self.hub, self.bands = ids, size, differs, lacks + np.zeros(len(ids), np.int64), hub, bands
+
+    def some(self, at: np.ndarray) -> Sets:
+        return Sets(self.ids[at], self.size[at], [self.differs[i] for i in at], self.lacks[at], self.hub, None if self.bands is None else self.bands[at])
+
+
+def links(a: Sets, b: Sets, threshold: float, band: int | None = None) -> np.ndarray:
+    """Which pairs reach the threshold, exactly, in whole numbers of n-grams. band: only pairs that share no bucket of a band before."""
+    both = meetings(a.differs, b.differs if b is not a else a.differs) + (a.hub - a.lacks[:, None] - b.lacks)
+    total = a.size[:, None] + b.size - both
+    met = (both > 0) & (both >= np.ceil(threshold * total - 1e-9))
+    for j in range(band or 0):
+        met &= a.bands[:, j][:, None] != b.bands[:, j]
+    return met
+
+
+def verify(docs: Sets, threshold: float, sides: np.ndarray | None = None, band: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each document, and the smallest id it is tied to within this task. sides: 0 or 1, where only pairs of unlike sides count."""
+    n = len(docs.ids)
+    if sides is None:
+        met = links(docs, docs, threshold, band)
         np.fill_diagonal(met, False)
-    label = ids.copy()
+    else:
+        left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+        met = np.zeros((n, n), bool)
+        if len(left) and len(right):
+            met[np.ix_(left, right)] = links(docs.some(left), docs.some(right), threshold, band)
+            met |= met.T
+    label, nothing = docs.ids.copy(), np.iinfo(np.int64).max
     while True:
-        smaller = np.minimum(label, np.where(met, label[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
+        smaller = np.minimum(label, np.where(met, label[None, :], nothing).min(axis=1, initial=nothing))
         if (smaller == label).all():
             return met.sum(axis=1), label
         label = smaller
 
 
+def grouped(part: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of each value."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    yield from np.split(order, cuts) if len(order) else []
+
+
+CHECKED = "node long, n_links long, label long"
+
+
+def as_checked(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    columns = zip(*found, strict=True) if found else ([], [], [])
+    return pa.table({k: pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for k, x in zip(("node", "n_links", "label"), columns, strict=True)})
+
+
+def check_whole(with_text: DataFrame, n: int, threshold: float, groups: int) -> DataFrame:
+    """Components that a task can hold, many to a task. with_text: component, node, text."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = []
+        for at in grouped(table.column("component").to_numpy()):
+            some = table.take(pa.array(at))
+            sets, ids = shingles(some.column("text").combine_chunks(), n), some.column("node").to_numpy()
+            docs = Sets(ids, np.array([len(x) for x in sets]), sets)
+            found.append((ids, *verify(docs, threshold)))
+        return as_checked(found)
+
+    return with_text.groupBy(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("task")).applyInArrow(run, CHECKED)
+
+
+def hashed_sets(with_text: DataFrame, names: list[str], n: int) -> DataFrame:
+    """``names`` and the sorted n-gram hashes as bytes, ``grams``. with_text: names, then text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            grams = pa.array([x.tobytes() for x in shingles(block.column("text"), n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), grams], names=[*names, "grams"])
+
+    fields = [f"`{c}` {with_text.schema[c].dataType.simpleString()}" for c in names]
+    return with_text.select(*names, "text").mapInArrow(run, ", ".join([*fields, "grams binary"]))
+
+
+def hashes(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint64)
+
+
+def differences(paired: DataFrame, names: list[str]) -> DataFrame:
+    """names, size, hub, lacks, differs. paired: names, grams, first (the hashes of the component's first member)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for own, first in zip(batch.column("grams").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                a, h = hashes(own), hashes(first)
+                lacks = np.setdiff1d(h, a, assume_unique=True)
+                rows.append((len(a), len(h), len(lacks), np.concatenate([lacks, np.setdiff1d(a, h, assume_unique=True)]).tobytes()))
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "size", "hub", "lacks", "differs"])
+
+    fields = [f"`{c}` {paired.schema[c].dataType.simpleString()}" for c in names]
+    return paired.select(*names, "grams", "first").mapInArrow(run, ", ".join([*fields, "size long, hub long, lacks long, differs binary"]))
+
+
+def paired_blocks(rows: DataFrame, n_blocks: str, block: str) -> DataFrame:
+    """Every row once for each block that its own meets: ``low``, ``high`` and ``side`` (all 0 within one block)."""
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(n_blocks) - 1)))
+    return met.withColumn("low", F.least(block, "other")).withColumn("high", F.greatest(block, "other")).withColumn("side", (F.col(block) > F.col("other")).cast("int"))
+
+
+def sides_of(table: pa.Table) -> np.ndarray | None:
+    return None if table.column("low")[0] == table.column("high")[0] else table.column("side").to_numpy()
+
+
+def check_blocks(sets: DataFrame, threshold: float) -> DataFrame:
+    """Components in blocks. sets: node, component, n_blocks, grams."""
+    dealt = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    first = sets.filter("node = component").select("component", F.col("grams").alias("first"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    apart = settle(differences(dealt.join(first.hint("merge"), ["component", "block"]), ["node", "component", "n_blocks", "block"]), "differences")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, size, lacks = (table.column(c).to_numpy() for c in ("node", "size", "lacks"))
+        docs = Sets(ids, size, [hashes(x) for x in table.column("differs").to_pylist()], lacks, int(table.column("hub")[0].as_py()))
+        return as_checked([(ids, *verify(docs, threshold, sides_of(table)))])
+
+    return paired_blocks(apart, "n_blocks", "block").groupBy("component", "low", "high").applyInArrow(run, CHECKED)
+
+
+def check_buckets(sets: DataFrame, in_buckets: DataFrame, threshold: float) -> DataFrame:
+    """Documents of wide components, bucket by bucket. sets: node, grams; in_buckets: node, band, h, c (rows of the bucket), bands."""
+    rows = sets.select("node", "grams").join(in_buckets.hint("merge"), "node").withColumn("parts", F.ceil(F.col("c") / BLOCK_DOCS).cast("int"))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, bands = table.column("node").to_numpy(), table.column("bands").combine_chunks()
+        sets = [hashes(x) for x in table.column("grams").to_pylist()]
+        docs = Sets(ids, np.array([len(x) for x in sets]), sets, bands=bands.flatten().to_numpy().reshape(len(ids), -1))
+        return as_checked([(ids, *verify(docs, threshold, sides_of(table), int(table.column("band")[0].as_py())))])
+
+    return paired_blocks(dealt, "parts", "part").groupBy("band", "h", "low", "high").applyInArrow(run, CHECKED)
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, most_hashes: int = 72) -> DataFrame:
     """doc_id, class_id, rep_id, n_grams, n_copies, n_links for each document.
 
@@ -149,37 +273,36 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, t
     same = settle(made.groupBy("set_a", "set_b", "n_grams").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies")), "same")
     members = settle(made.drop("bands").join(same.hint("merge"), ["set_a", "set_b", "n_grams"]).select("doc_id", "rep_id", "n_grams", "n_copies"), "members")
     reps = made.join(members.filter("doc_id = rep_id").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = settle(reps.select("doc_id", F.posexplode("bands").alias("band", "h")), "bands")
-    buckets = banded.groupBy("band", "h").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    ties = banded.join(buckets.hint("merge"), ["band", "h"]).filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    tied = components(ties)
-    size = settle(tied.groupBy("component").agg(F.count("*").alias("m")), "sizes")
-    placed = tied.join(size.hint("merge"), "component").withColumn("n_blocks", F.ceil(F.col("m") / BLOCK_DOCS).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    whole = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
-    with_text = whole.join(placed.hint("merge"), "node").dropDuplicates(["node"])
-    groups = max(1, math.ceil(placed.count() / 1000))
-    meets = F.when(F.col("n_blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    spread_out = with_text.withColumn("other", F.explode(meets))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    task = F.when(F.col("n_blocks") == 1, F.concat(F.lit("g"), F.pmod(F.xxhash64("component"), F.lit(groups)))).otherwise(F.concat_ws("/", F.col("component"), low, high))
-    # between two blocks, the side tells them apart; within one, all pairs count
-    side = F.when((F.col("n_blocks") == 1) | (F.col("block") == F.col("other")), 0).otherwise((F.col("block") > F.col("other")).cast("int"))
-    tasks = spread_out.select(task.alias("task"), "component", "node", side.alias("side"), "text")
-
-    def run(table: pa.Table) -> pa.Table:
-        part = table.column("component").to_numpy()
-        order = np.argsort(part, kind="stable")
-        cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=part[order[0]] - 1)), len(order))
-        out: list[list] = [[], [], []]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            some = table.take(pa.array(order[a:b]))
-            ids = some.column("node").to_numpy()
-            n_links, label = verify(ids, some.column("side").to_numpy(), some.column("text").combine_chunks(), n, threshold)
-            for o, x in zip(out, (ids, n_links, label), strict=True):
-                o.append(x)
-        return pa.table({k: pa.array(np.concatenate(o).astype(np.int64)) for k, o in zip(("node", "n_links", "label"), out, strict=True)})
-
-    checked = settle(tasks.groupBy("task").applyInArrow(run, "node long, n_links long, label long"), "checked")
+    banded = settle(reps.select(F.col("doc_id").alias("node"), "n_grams", F.posexplode("bands").alias("band", "h")), "bands")
+    buckets = settle(banded.groupBy("band", "h").agg(F.min("node").alias("hub"), F.count("*").alias("c")).filter("c > 1"), "buckets")
+    ties = banded.join(buckets.hint("merge"), ["band", "h"])
+    tied = components(ties.filter("node <> hub"), "node", "hub")
+    members_of = settle(tied.join(banded.filter("band = 0").select("node", "n_grams").hint("merge"), "node"), "tied")
+    sizes = members_of.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_grams").alias("hashes"))
+    sizes = settle(sizes.withColumn("n_blocks", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("hashes") * 8 / BLOCK_BYTES)).cast("int")), "sizes")
+    total, n_wide = sizes.agg(F.sum(F.when(F.col("n_blocks") == 1, F.col("hashes"))), F.count_if(F.col("n_blocks") > 1)).first()
+    placed = members_of.drop("n_grams").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    if n_wide:
+        copies = buckets.join(members_of.select(F.col("node").alias("hub"), "component").hint("merge"), "hub")
+        copies = copies.groupBy("component").agg(F.sum(F.col("c") * F.ceil(F.col("c") / BLOCK_DOCS)).alias("copies"))
+        wide = sizes.filter("n_blocks > 1").join(copies.hint("merge"), "component")
+        wide = settle(wide.select("component", "n_blocks", (F.col("copies") < F.col("m") * F.col("n_blocks")).alias("by_bucket")), "wide")
+        # salted, as the members of one component may be a third of all
+        placed = placed.join(wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), ["component", "salt"], "left")
+    else:
+        placed = placed.withColumn("n_blocks", F.lit(None).cast("int")).withColumn("by_bucket", F.lit(None).cast("boolean"))
+    whole = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
+    with_text = whole.join(placed.drop("salt").hint("merge"), "node").dropDuplicates(["node"])
+    with_text = settle(with_text, "texts") if n_wide else with_text
+    checked = settle(check_whole(with_text.filter("n_blocks IS NULL"), n, threshold, max(1, math.ceil((total or 0) * 8 / (BLOCK_BYTES // 4)))), "checked")
+    if n_wide:
+        sets = settle(hashed_sets(with_text.filter("n_blocks > 1"), ["node", "component", "n_blocks", "by_bucket"], n), "sets")
+        own = ties.join(reps.select(F.col("doc_id").alias("node"), "bands").hint("merge"), "node").select("node", "band", "h", "c", "bands")
+        parts = [check_blocks(sets.filter("NOT by_bucket"), threshold)]
+        if sets.filter("by_bucket").limit(1).count():
+            parts.append(check_buckets(sets.filter("by_bucket"), own, threshold))
+        for i, part in enumerate(parts):
+            checked = checked.unionByName(settle(part, f"wide-{i}"))
     linked = checked.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     classes = components(checked.filter("label <> node").select(F.col("node").alias("a"), F.col("label").alias("b")))
     by_rep = settle(linked.join(classes.hint("merge"), "node", "left").select(F.col("node").alias("rep_id"), "n_links", F.col("component").alias("class_id")), "by-rep")
@@ -188,7 +311,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, t
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without those that are not the first of their class. Columns stay as they are; rows with a null key stay."""
-    gone = join(docs.filter(F.col(key).isNotNull()), key, text, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
+    """The documents without those that are not the first of their class. Columns stay as they are; rows with a null key stay, as do all rows that repeat the key of the first."""
+    mark = fresh(docs, "gone")
+    gone = join(docs.filter(F.col(key).isNotNull()), key, text, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias(mark))
     gone = settle(gone, "gone")
-    return docs.join(gone.hint("merge"), F.col(key) == F.col("_gone"), "left_anti")
+    return docs.join(small(gone, gone.count(), 500_000), docs[key] == F.col(mark), "left_anti")

@@ -85,11 +85,75 @@ def test_ngram_join_equals_brute_force(docs, empty):
     assert ngram_join.join(docs.unionAll(docs.filter("doc_id = 2"))).filter("doc_id = 0").first().n_links == 1
 
 
-def test_large_group_is_verified_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 4)
-    rows = [(i, BASE + f" tail{i}") for i in range(30)]
-    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {29}
+def five_grams(t):
+    w = (t or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def linked(texts):
+    """The number of other sets at 0.8 or more, and the smallest index that a chain of links or equal sets leads to, for each text."""
+    sets = [five_grams(t) for t in texts]
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(s, i)
+    holders, near = {}, {i: set() for i in first.values()}
+    for s, i in first.items():
+        met = Counter(j for g in s for j in holders.setdefault(g, []))
+        for j, both in met.items():
+            if both >= 0.8 * (len(s) + len(sets[j]) - both):
+                near[i].add(j), near[j].add(i)
+        for g in s:
+            holders[g].append(i)
+    label = {i: i for i in near}
+    changed = True
+    while changed:
+        changed = False
+        for i, others in near.items():
+            low = min([label[i], *(label[j] for j in others)])
+            changed |= low != label[i]
+            label[i] = low
+    return [(len(near[first[s]]), label[first[s]]) for s in sets]
+
+
+@pytest.mark.parametrize("block", [4, 7])
+def test_large_components_are_verified_in_blocks_or_buckets(spark, monkeypatch, block):
+    """A star of near copies, and a chain of texts that are near their neighbours only."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+    own = random.Random(block)
+    chain = [[own.choice(WORDS) + own.choice(WORDS) for _ in range(50)]]
+    while len(chain) < 40:
+        chain.append([*chain[-1][2:], own.choice(WORDS) + own.choice(WORDS), own.choice(WORDS) + own.choice(WORDS)])
+    texts = [BASE + f" tail{i}" for i in range(30)] + [" ".join(x) for x in chain]
+    got = {r.doc_id: (r.n_links, r.class_id) for r in ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = linked(texts)
+    assert [got[i] for i in range(len(texts))] == want and want[0][0] == 29 and max(x for x, _ in want[30:]) < 10
+
+
+@pytest.mark.parametrize("by_bucket", [True, False])
+def test_blocks_and_buckets_count_alike(spark, monkeypatch, by_bucket):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 3)
+    texts = [BASE + f" tail{i}" for i in range(10)] + [" ".join([*BASE.split()[: 60 - i], *(f"w{i}x{j}" for j in range(i))]) for i in range(1, 12)]
+    rows = spark.createDataFrame([(i, 0, 4, t) for i, t in enumerate(texts)], "node long, component long, n_blocks int, text string")
+    sets = ngram_join.hashed_sets(rows, ["node", "component", "n_blocks"], 5)
+    if by_bucket:  # one bucket of the second band holds all; half of them met in the first
+        own = [(i, b, 0, len(texts) if b else 10, [i % 2 * 1000 + (i if i % 2 else 0), 0]) for i in range(len(texts)) for b in (0, 1) if b or i % 2 == 0]
+        checked = ngram_join.check_buckets(sets, spark.createDataFrame(own, "node long, band int, h long, c long, bands array<long>"), 0.8)
+    else:
+        checked = ngram_join.check_blocks(sets, 0.8)
+    got = Counter()
+    for r in checked.collect():
+        got[r.node] += r.n_links
+    assert [got[i] for i in range(len(texts))] == [n for n, _ in linked(texts)]
+
+
+def test_recall_against_brute_force_on_a_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    want = linked([texts[i] for i in ids])
+    got = {r.doc_id: r.n_links for r in ngram_join.join(docs).collect()}
+    assert sum(n for n, _ in want) > 10 and all(got[i] <= n for i, (n, _) in zip(ids, want))
+    assert sum(got[i] for i in ids) >= 0.99 * sum(n for n, _ in want)
 
 
 def test_bands_reach_recall():
