@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
-Each stage takes what its predecessor kept, written and read again, and works on all of it.
+Each stage takes what its predecessor kept, written and read again, and works on all of it. All but the last return the columns of their input,
+whatever they are called, with the types they had; an empty table stays empty. What else is defined stands with each stage.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lernwerk.llm import mixing, ngram_join, packing, pii, tokens, toxicity
-from lernwerk.llm.common import settle
+from lernwerk.llm.common import fresh, lean, settle
 from lernwerk.llm.registry import TOKENIZER
 
 #: Documents that are packed together, at least: consecutive slots of the mix.
@@ -17,24 +18,33 @@ RUN_ROWS = 8000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold of their language go."""
+    """Documents whose score reaches the threshold of their language go.
+
+    A null or empty text has the score of no words and is judged by it; a null language has the threshold of all; null ids stay; repeated rows stay or go together.
+    """
+    lean(spark)
     model = toxicity.train_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, name="_toxicity")
-    return scored.filter(~toxicity.rejected(model, name="_toxicity")).select(docs.columns)
+    score = fresh(docs, "score")
+    scored = toxicity.score(docs, model, name=score)
+    return scored.filter(~toxicity.rejected(model, name=score)).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar ones stays, that of the smallest id."""
+    """One document of each class of similar ones stays, that of the smallest id.
+
+    Documents without words, null texts included, are one class. Rows with a null id stay; rows that repeat the id of the one that stays stay with it.
+    """
+    lean(spark)
     return ngram_join.keep_one(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Confirmed spans become their kind in brackets; n_chars follows."""
+    """Confirmed spans become their kind in brackets; n_chars follows, null for a null text. No row goes."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the mix: files and rows follow the slots."""
+    """The documents in the order of the mix: files and rows follow the slots. No row goes; a null source is one of its own; rows of equal id follow each other in any order."""
     mixed = mixing.mix(docs)
     return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(docs.columns)
 
@@ -43,7 +53,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """A row for each piece of a document with its place in a sequence of 4096 ids; sequences follow the mix.
 
     The slots of the mix are derived again, on rows without texts; what is packed together is a run of slots, and runs follow each other.
+    Every row gives its pieces, null and repeated ids too; a null or empty text is one piece, the end id.
     """
+    lean(spark)
     own = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id", "source").alias("_id"), "text")
     cut = settle(tokens.pieces(own, TOKENIZER, key="_id").select("_id.*", "piece", "start", "length", "ids_crc32"), "pieces")
     mixed = settle(mixing.mix(cut.filter("piece = 0").select("row", "doc_id", "source")).select("row", "slot"), "slots")
