@@ -12,6 +12,9 @@ form a run. The bytes under such a run are a phrase; phrases overlap by length -
    distinct phrases are dealt by the hash of the window instead, after equal windows of a task have been merged, so no trigger is too large for a task.
 4. The repeats of a document, from all steps, are cut from its text.
 
+Where bytes are not compared, two hashes of 64 bits decide, that of the trigger and that of the phrase or window. A window is 100 bytes, so no suffix has to be followed into the next phrase
+and the parse needs no suffix array of its own: its order of phrases is what tells which of equal ones is the first.
+
 Defined cases: a null text is empty; rows with a null key are left out; texts under ``length`` bytes keep all; a row that comes twice with one key is one document, cut twice alike. Bytes are those of UTF-8, and a cut may
 fall within a character, so the kept text is binary. Columns besides key and text are not used.
 """
@@ -150,7 +153,7 @@ def doc_buckets(doc: np.ndarray, n: int) -> np.ndarray:
 PHRASE = ["<u8", "<u8", "<i8", "<i4", "u1", "u1"]  # trigger, phrase, document, first window, windows - 1, place of the trigger
 REPEAT = ["<i8", "<i4", "<i4"]  # document, first and last window
 UNSURE = ["<u8", "<i8", "<i4", "u1", "u1"]  # trigger, document, first window, windows - 1, hot
-WINDOW = ["<u8", "<i8", "<i4"]  # window, document, place
+WINDOW = ["<u8", "<u8", "<i8", "<i4"]  # trigger, window, document, place
 
 
 def rows(kind: str, found: Iterator[tuple[int, list[np.ndarray]]]) -> list[tuple[str, int, bytes]]:
@@ -259,10 +262,10 @@ def third_step(length: int, n_buckets: int):
             n = more[some].astype(np.int64) + 1
             start = spread(np.cumsum(size[some]) - size[some], n)
             window = Hashes(raw).of(start, start + length)
-            place, d = spread(lo[some].astype(np.int64), n), np.repeat(doc[some], n)
-            order, later = not_first([window], d, place)
+            place, d, g = spread(lo[some].astype(np.int64), n), np.repeat(doc[some], n), np.repeat(trigger[some], n)
+            order, later = not_first([g, window], d, place)
             kept, gone = order[~later], order[later]
-            out += rows("window", dealt((window[kept] % np.uint64(n_buckets)).astype(np.int64), [window[kept], d[kept], place[kept].astype(np.int32)]))
+            out += rows("window", dealt((window[kept] % np.uint64(n_buckets)).astype(np.int64), [g[kept], window[kept], d[kept], place[kept].astype(np.int32)]))
             out += repeated(d[gone], place[gone], place[gone], n_buckets)
         return table(out)
 
@@ -277,8 +280,8 @@ def fourth_step(length: int, n_docs: int):
         blobs = t.column("blob").to_pylist()
         out: list[tuple[str, int, bytes]] = []
         if len(hot := [b for b, k in zip(blobs, kinds, strict=True) if k == "window"]):
-            window, doc, place = unpack(hot, WINDOW)
-            order, later = not_first([window], doc, place)
+            trigger, window, doc, place = unpack(hot, WINDOW)
+            order, later = not_first([trigger, window], doc, place)
             gone = order[later]
             out += repeated(doc[gone], place[gone], place[gone], n_docs)
         cold = [b for b, k in zip(blobs, kinds, strict=True) if k == "bytes"]
