@@ -49,8 +49,9 @@ def page_images(a: DataFrame) -> DataFrame:
 
 
 def fixes(t: DataFrame) -> DataFrame:
-    new = F.when(F.col("id") % 10 == 0, F.concat(F.lit("bad  "), F.col("id"))).when(F.col("id") % 5 == 0, F.concat(F.lit("fixed "), F.col("id")))
-    return L.apply_corrections(t, t.filter("id % 5 = 0 OR id % 7 = 0").select("id", new.alias("question_text"))).select("id", "corrected", F.md5("question_text").alias("h"))
+    new = F.when(F.col("id") % 10 == 0, F.concat(F.lit("bad \ue000 "), F.col("id"))).when(F.col("id") % 5 == 0, F.concat(F.lit("fixed "), "file"))
+    listed = t.filter("id % 5 = 0 OR id % 7 = 0").select("id", new.alias("question_text"), F.when(F.col("id") % 7 == 0, F.concat("file", F.lit("!"))).alias("file"))
+    return L.apply_corrections(t, listed).select("id", "n_corrected", "n_refused", "file", F.md5("question_text").alias("h"))
 
 
 def reply(c: DataFrame) -> DataFrame:
@@ -92,6 +93,7 @@ def leaks(t: DataFrame) -> DataFrame:
 BOOK = "book AS (SELECT question_id, subject, chapter, CASE WHEN count(*) > 1 THEN 'wrong' ELSE 'unreviewed' END AS last_status FROM graded WHERE NOT is_correct GROUP BY 1, 2, 3)"
 GRADING = "attempts questions candidates"
 book = lambda a, q, c: A.wrong_book(A.grade(a, q, c))
+DETAIL = ["subject", "chapter", "question_type", "question_text", "option_a", "option_b", "option_c", "option_d"]
 SYNCED = "question_id % 4 = 0"
 
 ENTRIES = [
@@ -114,32 +116,32 @@ ENTRIES = [
     ("recent_exports", "candidates", lambda c: B.recent_runs(c.select("id", "source", "created_at")), "SELECT id, source, created_at FROM candidates ORDER BY created_at DESC, id DESC LIMIT 20"),
     # error book and misconceptions
     ("join_wrong_questions", GRADING, lambda a, q, c: B.with_question(book(a, q, c).select("question_id", "last_status"), q).select("question_id", "last_status", "question.question_text", "question.source_pdf"), f"WITH {BOOK} SELECT question_id, last_status, question_text, source_pdf FROM book LEFT JOIN questions q ON q.id = question_id", True),
-    ("wrong_detail", GRADING, lambda a, q, c: B.with_question(book(a, q, c), q).filter("question_id % 10 = 0").select("question_id", "last_status", F.to_json(F.struct("question.option_a", "question.option_b")).alias("options")), f"WITH {BOOK} SELECT question_id, last_status, concat('{{\"option_a\":\"', option_a, '\",\"option_b\":\"', option_b, '\"}}') AS options FROM book JOIN questions q ON q.id = question_id WHERE question_id % 10 = 0", True),
+    ("wrong_detail", GRADING, lambda a, q, c: B.with_question(book(a, q, c), q).select("question_id", "last_status", F.to_json(F.struct(*(f"question.{x}" for x in DETAIL)), {"ignoreNullFields": "false"}).alias("question")), f"WITH {BOOK} SELECT question_id, last_status, CAST(to_json({{{', '.join(repr(x) + ': ' + 'q.' + x for x in DETAIL)}}}) AS VARCHAR) AS question FROM book JOIN questions q ON q.id = question_id", True),
     ("unsynced_misconceptions", GRADING, lambda a, q, c: A.misconceptions(A.grade(a, q, c)).filter(f"NOT ({SYNCED})").select("question_id", "frequency"), "SELECT question_id, count(*) AS frequency FROM graded WHERE NOT is_correct AND question_id % 4 <> 0 GROUP BY 1", True),
     ("render_note_markdown", GRADING, lambda a, q, c: A.tag_mastery(A.grade(a, q, c)).select("tag", R.note().alias("note")), "WITH t AS (SELECT trim(t) AS tag, is_correct FROM (SELECT unnest(string_split(coalesce(knowledge_tag, ''), ',')) AS t, is_correct FROM graded) WHERE trim(t) <> '') SELECT tag, concat('# ', tag, chr(10), chr(10), '- mastery: ', CAST(round(count(*) FILTER (is_correct) / count(*) * 100) AS INTEGER), '%', chr(10), '- wrong: ', count(*) FILTER (NOT is_correct), chr(10)) AS note FROM t GROUP BY tag", True),
     # imports and corrections
     ("parse_validity_filter", "texts", lambda t: t.filter(~B.blank("question_text")).select("id"), f"SELECT id FROM texts WHERE trim(coalesce(question_text, ''), {WS}) <> ''"),
     ("import_report", "texts", lambda t: B.import_report(hashed(t).filter("id % 3 <> 0"), hashed(t).filter("id % 3 = 0")), f"WITH {HASHED}, n AS (SELECT * FROM h WHERE id % 3 <> 0), k AS (SELECT min(id) AS id FROM n WHERE trim(question_text, {WS}) <> '' AND text_hash NOT IN (SELECT text_hash FROM h WHERE id % 3 = 0) GROUP BY text_hash) SELECT file, count(*) AS found, count(k.id) AS success, count(*) FILTER (k.id IS NULL AND trim(question_text, {WS}) <> '') AS skipped, count(*) FILTER (trim(question_text, {WS}) = '') AS error FROM n LEFT JOIN k ON k.id = n.id GROUP BY ROLLUP (file)"),
     ("relink_by_hash", "texts", lambda t: L.relink_by_hash(hashed(t).filter("id % 2 = 1").select("id", F.col("text_hash").alias("question_text_hash")), S.first_by_hash(hashed(t).filter("id % 3 <> 0"))).select("question_text_hash", "question_id"), f"WITH {HASHED}, k AS (SELECT text_hash, min(id) AS id FROM h WHERE id % 3 <> 0 GROUP BY 1) SELECT k.text_hash AS question_text_hash, k.id AS question_id FROM h JOIN k USING (text_hash) WHERE h.id % 2 = 1"),
-    ("apply_corrections", "texts", fixes, "SELECT id, id % 5 = 0 AND id % 10 <> 0 AS corrected, md5(CASE WHEN id % 5 = 0 AND id % 10 <> 0 THEN concat('fixed ', id) ELSE question_text END) AS h FROM texts"),
+    ("apply_corrections", "texts", fixes, "SELECT id, CAST((id % 5 = 0 AND id % 10 <> 0) AS BIGINT) + CAST((id % 7 = 0) AS BIGINT) AS n_corrected, CAST((id % 10 = 0) AS BIGINT) AS n_refused, CASE WHEN id % 7 = 0 THEN concat(file, '!') ELSE file END AS file, md5(CASE WHEN id % 5 = 0 AND id % 10 <> 0 THEN concat('fixed ', file) ELSE question_text END) AS h FROM texts"),
     ("pua_repair_report", "texts", B.pua_report, f"WITH c AS (SELECT file, len(regexp_extract_all(question_text, '{PUA_SQL}')) AS a, len(regexp_extract_all(replace(question_text, chr(61617), ''), '{PUA_SQL}')) AS b FROM texts) SELECT file, count(*) FILTER (a > 0) AS affected, CAST(sum(a) AS BIGINT) AS before, CAST(sum(b) AS BIGINT) AS after, count(*) FILTER (b > 0) AS still_affected FROM c GROUP BY file"),
-    ("trivial_page_filter", "texts", lambda t: t.filter(B.trivial_page("question_text")).select("id"), f"SELECT id FROM texts WHERE length(trim(question_text, {WS})) < 50 OR len(list_filter(string_split(question_text, chr(10)), lambda x: trim(x, {WS}) <> '')) <= 2"),
+    ("trivial_page_filter", "texts", lambda t: t.groupBy("file").agg(F.count("*").alias("pages"), F.count_if(B.trivial_page("question_text")).alias("trivial"), F.min(F.when(~B.trivial_page("question_text"), F.col("id"))).alias("first_kept")), f"WITH p AS (SELECT id, file, length(trim(question_text, {WS})) < 50 OR len(list_filter(string_split(question_text, chr(10)), lambda x: trim(x, {WS}) <> '')) <= 2 AS trivial FROM texts) SELECT file, count(*) AS pages, count(*) FILTER (trivial) AS trivial, min(id) FILTER (NOT trivial) AS first_kept FROM p GROUP BY 1"),
     ("scan_page_text", "texts", lambda t: B.page_offsets(t.select(F.col("file").alias("doc"), F.col("id").alias("page_no"), F.col("question_text").alias("text"))), "SELECT file AS doc, id AS page_no, CAST(coalesce(sum(length(question_text) + 1) OVER (PARTITION BY file ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(question_text) AS n_chars FROM texts"),
     ("carry_last_question", "texts", lambda t: B.carry_last_number(t.select(F.col("file").alias("doc"), F.col("id").alias("page_no"), F.when(T.question_number("question_text").isNotNull(), F.col("id")).alias("number"))).select("doc", "page_no", "carried"), r"SELECT file AS doc, id AS page_no, last_value(CASE WHEN regexp_matches(question_text, '^\s*\d{1,4}\s*[.、．]') THEN id END IGNORE NULLS) OVER (PARTITION BY file ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM texts"),
-    ("fingerprint_all_pages", "texts", lambda t: L.fingerprint_pages(t.filter("id % 10 = 0").withColumn("source", F.col("file")), t.select(F.col("file").alias("source"), F.col("id").alias("page_no"), F.col("question_text").alias("text")), first_only=False), rf"WITH n AS (SELECT id, file, regexp_replace(regexp_replace(question_text, '{PUA_SQL}', '', 'g'), '[\s\x{{3000}}\x{{00A0}}\x{{2028}}\x{{2029}}\x{{0085}}]+', '', 'g') AS b FROM texts), f AS (SELECT id, file, substr(b, 1, 40) AS fp FROM n WHERE id % 10 = 0) SELECT DISTINCT f.id, n.id AS page_no FROM f JOIN n ON f.file = n.file AND contains(n.b, f.fp) WHERE length(f.fp) >= 5"),
+    ("fingerprint_all_pages", "texts", lambda t: L.fingerprint_pages(t.withColumn("source", F.col("file")), t.select(F.col("file").alias("source"), F.col("id").alias("page_no"), F.col("question_text").alias("text")), first_only=False), rf"WITH n AS (SELECT id, file, regexp_replace(regexp_replace(question_text, '{PUA_SQL}', '', 'g'), '[\s\x{{3000}}\x{{00A0}}\x{{2028}}\x{{2029}}\x{{0085}}]+', '', 'g') AS b FROM texts), f AS (SELECT id, file, substr(b, 1, 40) AS fp FROM n) SELECT DISTINCT f.id, n.id AS page_no FROM f JOIN n ON f.file = n.file AND contains(n.b, f.fp) WHERE length(f.fp) >= 5"),
     # corpora
     ("section_carry_forward", "questions", lambda q: P.carry_sections(P.lines(as_corpus(q))).filter(F.regexp_like("line", F.lit(P.START))).select("file", F.col("block").cast("long").alias("block"), "section"), "SELECT regexp_replace(source_pdf, '[.]pdf$', '') AS file, row_number() OVER (PARTITION BY source_pdf ORDER BY id) AS block, concat('1.', page_number, ' ', subject) AS section FROM questions"),
     ("question_block_split", "questions", lambda q: P.carry_sections(P.lines(as_corpus(q))).filter((F.col("block") > 0) & ~F.regexp_like("line", F.lit(P.SECTION))).groupBy("file", F.col("block").cast("long").alias("block")).agg(F.count("*").alias("n_lines")), "SELECT regexp_replace(source_pdf, '[.]pdf$', '') AS file, row_number() OVER (PARTITION BY source_pdf ORDER BY id) AS block, CAST(3 AS BIGINT) AS n_lines FROM questions"),
     ("parse_summary", "questions", lambda q: P.parse(as_corpus(q)).groupBy("file").agg(F.count("*").alias("parsed"), F.count("option_a").alias("with_options"), F.count_if(F.size(T.image_refs("question_text")) > 0).alias("with_images"), F.count_if(T.pua_count("question_text") > 0).alias("with_pua")), "SELECT regexp_replace(source_pdf, '[.]pdf$', '') AS file, count(*) AS parsed, count(*) AS with_options, CAST(0 AS BIGINT) AS with_images, CAST(0 AS BIGINT) AS with_pua FROM questions GROUP BY 1"),
-    ("options_extract", "questions", lambda q: q.select("id", R.options_in(F.concat("question_text", F.lit(" A. "), F.col("subject"), F.lit("  B、two\nC．"), F.col("source_pdf"), F.lit("\nD) four"))).alias("o")).select("id", *(F.col("o")[k].alias(f"option_{k.lower()}") for k in "ABCD")), "SELECT id, subject AS option_a, 'two' AS option_b, source_pdf AS option_c, 'four' AS option_d FROM questions"),
+    ("options_extract", "questions", lambda q: q.select("id", T.inline_options(F.concat("question_text", F.lit("（ ）A. "), "subject", F.lit("  b.two\nC. "), "source_pdf", F.lit("主机D. four F8A. x"))).alias("o")).select("id", "o.stem", *(F.col(f"o.{k}").alias(f"option_{k}") for k in "abcd")), "SELECT id, concat(question_text, '（ ）') AS stem, subject AS option_a, 'two' AS option_b, concat(source_pdf, '主机') AS option_c, 'four F8A. x' AS option_d FROM questions"),
     ("strip_markdown_images", "texts", lambda t: t.select("id", F.md5(T.strip_images("question_text")).alias("h")), rf"SELECT id, md5(trim(regexp_replace(regexp_replace(question_text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\n{{3,}}', concat(chr(10), chr(10)), 'g'), {WS})) AS h FROM texts"),
-    ("strip_details_blocks", "texts", lambda t: t.select("id", F.md5(T.strip_details(F.concat(F.lit("a<details>\n"), F.col("question_text"), F.lit("</DETAILS>b"), F.col("subject")))).alias("h")), "SELECT id, md5(concat('ab', subject)) AS h FROM texts"),
+    ("strip_details_blocks", "texts", lambda t: t.select("id", F.md5(T.strip_details(F.concat(F.substring("question_text", 1, 40), F.lit("<details>\n"), F.substring("question_text", 41, 60), F.lit("</DETAILS>"), F.substr("question_text", F.lit(101))))).alias("h")), "SELECT id, md5(concat(substr(question_text, 1, 40), substr(question_text, 101))) AS h FROM texts"),
     ("render_leak_scan", "texts", leaks, r"SELECT count(*) FILTER (contains(x, '<details')) AS details, count(*) FILTER (contains(x, '<summary')) AS summary, count(*) FILTER (contains(x, '```mermaid')) AS mermaid, count(*) FILTER (regexp_matches(x, '!\[[^\]]*\]\([^)]+\)')) AS images, count(*) FILTER (contains(x, '<table')) AS tables, count(*) FILTER (len(regexp_extract_all(x, '```')) % 2 = 1) AS odd_fences FROM (SELECT lower(regexp_replace(question_text, '(?is)<details.*?</details>', '', 'g')) AS x FROM texts)"),
     ("infer_subject_path", "texts", lambda t: t.select("id", T.infer_subject(F.concat(F.when(F.col("id") % 3 == 0, "x/Operating System/").when(F.col("id") % 3 == 1, "计网/").otherwise(""), F.col("file"))).alias("subject")), "SELECT id, CASE id % 3 WHEN 0 THEN '操作系统' WHEN 1 THEN '计算机网络' ELSE '未知科目' END AS subject FROM texts"),
     ("infer_subject_content", "texts", lambda t: t.select("id", T.infer_subject(F.substring(F.concat(F.when(F.col("id") % 2 == 0, "数据结构 ").otherwise(""), F.col("question_text")), 1, 3000)).alias("subject")), "SELECT id, CASE WHEN id % 2 = 0 THEN '数据结构' ELSE '未知科目' END AS subject FROM texts"),
     ("exam_year_extract", "texts", lambda t: t.select("id", T.exam_year(F.concat("question_text", F.when(F.col("id") % 2 == 0, F.concat(F.lit("【"), F.col("id") % 24 + 2000, F.lit("统考真题】"))).otherwise(""))).alias("year")), "SELECT id, CASE WHEN id % 2 = 0 THEN concat(id % 24 + 2000, '统考真题') END AS year FROM texts"),
-    ("answer_ref_extract", "texts", lambda t: t.select("id", T.answer_ref(F.concat("question_text", F.when(F.col("id") % 2 == 0, F.concat(F.lit("（答案见原书P"), F.col("id"), F.lit("）"))).otherwise(""))).alias("ref")), "SELECT id, CASE WHEN id % 2 = 0 THEN concat('P', id) END AS ref FROM texts"),
-    ("knowledge_tags_build", "questions", lambda q: q.select("id", F.concat_ws(",", F.nullif(F.trim("chapter"), F.lit("")), F.when(F.col("page_number") % 3 == 0, F.concat(F.col("page_number") + 2000, F.lit("统考真题")))).alias("tags")), "SELECT id, concat_ws(',', nullif(trim(chapter), ''), CASE WHEN page_number % 3 = 0 THEN concat(page_number + 2000, '统考真题') END) AS tags FROM questions"),
+    ("answer_ref_extract", "texts", lambda t: t.select("id", T.answer_ref(F.concat("question_text", F.when(F.col("id") % 2 == 0, F.concat(F.lit("（答案见原书P"), F.col("id"), F.lit("）"))).otherwise(""))).alias("ref")), "SELECT id, CASE WHEN id % 2 = 0 THEN concat('答案见原书P', id) END AS ref FROM texts"),
+    ("knowledge_tags_build", "questions", lambda q: q.select("id", T.knowledge_tags("chapter", F.when(F.col("page_number") % 3 == 0, F.concat(F.col("page_number") + 2000, F.lit("统考真题")))).alias("tags")), "SELECT id, concat_ws(',', nullif(trim(chapter), ''), CASE WHEN page_number % 3 = 0 THEN concat(page_number + 2000, '统考真题') END) AS tags FROM questions"),
     # replies and prompts
     ("candidate_from_reply", "candidates", reply, "SELECT id, CASE WHEN id % 9 = 0 THEN '' ELSE answer_text END AS answer, CASE WHEN id % 9 = 0 THEN 0.0 ELSE confidence END AS confidence, id % 9 <> 0 AND answer_text <> '' AND is_verified AND confidence >= 0.8 AS usable FROM candidates"),
     ("analysis_from_reply", "texts", analysed, "SELECT id, md5(CASE WHEN id % 2 = 0 THEN concat('c', id) ELSE substr(question_text, 1, 500) END) AS h, CAST(CASE WHEN id % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n FROM texts"),

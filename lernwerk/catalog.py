@@ -11,6 +11,7 @@ from . import sink_queries as SK
 from .bank_queries import ENTRIES
 from .functions import text as T
 from .operators import attempts as A
+from .operators import banks as B
 from .operators import links as L
 from .operators import quality as Q
 from .operators import questions as S
@@ -48,8 +49,10 @@ GRADED = f"""{BEST}, keyed AS (
 )"""
 TAGGED = "tagged AS (SELECT trim(t) AS tag, is_correct FROM (SELECT unnest(string_split(coalesce(knowledge_tag, ''), ',')) AS t, is_correct FROM graded) WHERE trim(t) <> '')"
 MASTERY = f"{TAGGED}, mastery AS (SELECT tag, count(*) FILTER (is_correct) AS correct_count, count(*) FILTER (NOT is_correct) AS wrong_count, count(*) FILTER (is_correct) / count(*) AS mastery_score FROM tagged GROUP BY tag)"
+SUBJECTS_SQL = "subjects AS (SELECT m.tag, arg_min(q.subject, q.id) AS subject FROM mastery m JOIN questions q ON contains(q.knowledge_tag, m.tag) GROUP BY 1)"
 FIRST = "firsts AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY question_id) AS frequency, row_number() OVER (PARTITION BY question_id ORDER BY create_time, id) AS r FROM graded WHERE NOT is_correct) WHERE r = 1)"
 BOOK = "book AS (SELECT question_id, subject, chapter, min(create_time) AS added_at, count(*) AS wrong_attempts, CASE WHEN count(*) > 1 THEN 'wrong' ELSE 'unreviewed' END AS last_status FROM graded WHERE NOT is_correct GROUP BY 1, 2, 3)"
+REVIEWED = "wrongs AS (SELECT question_id, subject, chapter, min(create_time) AS added_at, max(create_time) AS last, count(*) AS wrong_attempts FROM graded WHERE NOT is_correct AND id % 4 <> 0 GROUP BY 1, 2, 3), reviews AS (SELECT question_id, count(*) AS n, max(create_time) AS last_review_at, arg_max(is_correct, create_time) AS ok FROM graded WHERE id % 4 = 0 GROUP BY 1), book AS (SELECT w.question_id, subject, chapter, added_at, wrong_attempts, CASE WHEN last_review_at >= last THEN CASE WHEN ok THEN 'correct' ELSE 'wrong' END WHEN wrong_attempts > 1 THEN 'wrong' ELSE 'unreviewed' END AS last_status, coalesce(n, 0) AS review_count, last_review_at FROM wrongs w LEFT JOIN reviews USING (question_id))"
 COMPLETE = "(coalesce(question_type <> 'choice', true) OR (coalesce(trim(option_a), '') <> '' AND coalesce(trim(option_b), '') <> '' AND coalesce(trim(option_c), '') <> '' AND coalesce(trim(option_d), '') <> ''))"
 GRADING = "attempts questions candidates"
 
@@ -58,6 +61,21 @@ def on_graded(f: Callable[[DataFrame], DataFrame]) -> Callable[..., DataFrame]:
     return lambda attempts, questions, candidates: f(A.grade(attempts, questions, candidates))
 
 
+def reviewed_book(graded: DataFrame) -> DataFrame:
+    """The error book, every fourth attempt taken as a review."""
+    return A.wrong_book(graded.filter("id % 4 <> 0"), graded.filter("id % 4 = 0").select("question_id", "create_time", "is_correct"))
+
+
+def analysed(graded: DataFrame) -> DataFrame:
+    """Misconceptions with what an analysis adds: the confused options, where to read again, a summary."""
+    given = F.upper(F.trim("user_answer"))
+    return A.misconceptions(graded).withColumns({
+        "confused_concepts_json": F.to_json(F.array(given, F.upper("correct_answer"))),
+        "recommended_actions_json": F.to_json(F.array(F.concat(F.lit("review "), "chapter"), F.concat(F.lit("practise "), "subject"))),
+        "misconception_summary": F.when(F.col("chapter").isNotNull(), F.concat(given, F.lit(" for "), F.col("correct_answer"))),
+    })
+
+
 # attempts
 register("grade_attempts", GRADING, on_graded(lambda g: g.select("id", "question_id", "key", "key_source", "key_confidence", "is_correct")), "SELECT id, question_id, key, key_source, key_confidence, is_correct FROM graded", True)
 register("attempts_with_candidates", GRADING, lambda a, q, c: A.with_keys(a, q, c).select("id", "question_id", "key", "key_source", "key_confidence"), "SELECT id, question_id, key, key_source, key_confidence FROM keyed", True)
@@ -67,19 +85,26 @@ register("subject_accuracy", GRADING, on_graded(A.subject_accuracy), "SELECT sub
 register("tag_mastery", GRADING, on_graded(A.tag_mastery), f"WITH {MASTERY} SELECT * FROM mastery", True)
 register("fallback_tag_wrongs", GRADING, on_graded(A.fallback_tag_wrongs), f"WITH {FIRST} SELECT concat_ws(':', subject, CASE WHEN trim(chapter) <> '' THEN chapter END) AS tag, count(*) AS wrong_count FROM firsts WHERE trim(coalesce(knowledge_tag, '')) = '' GROUP BY 1", True)
 register("weak_list", GRADING, on_graded(lambda g: A.weak_list(A.tag_mastery(g))), f"WITH {MASTERY} SELECT * FROM mastery WHERE wrong_count >= 1 ORDER BY mastery_score, tag LIMIT 20", True)
-register("weak_summary", GRADING, on_graded(lambda g: A.weak_summary(A.tag_mastery(g))), f"WITH {MASTERY} SELECT count(*) AS weak_tags, round(coalesce(avg(mastery_score), 0.0), 4) AS average_mastery FROM mastery WHERE wrong_count > 0", True)
-SUBJECTS_SQL = "subjects AS (SELECT tag, arg_min(subject, id) AS subject FROM (SELECT id, subject, trim(t) AS tag FROM (SELECT id, subject, unnest(string_split(coalesce(knowledge_tag, ''), ',')) AS t FROM questions) WHERE trim(t) <> '') GROUP BY tag)"
-register("tag_subject_lookup", GRADING, lambda a, q, c: A.tag_subjects(A.tag_mastery(A.grade(a, q, c)), q), f"WITH {MASTERY}, {SUBJECTS_SQL} SELECT m.*, s.subject FROM mastery m LEFT JOIN subjects s USING (tag)", True)
-register("weakest_per_subject", GRADING, lambda a, q, c: A.weakest_per_subject(A.tag_mastery(A.grade(a, q, c)), q), f"WITH {MASTERY}, {SUBJECTS_SQL}, j AS (SELECT m.*, s.subject FROM mastery m LEFT JOIN subjects s USING (tag) WHERE wrong_count > 0) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY subject ORDER BY mastery_score, tag) AS INTEGER) AS rank FROM j) WHERE rank <= 5", True)
-register("wrong_book_batch", GRADING, on_graded(lambda g: A.wrong_book(g).drop("review_count")), f"WITH {BOOK} SELECT * FROM book", True)
-register("wrong_stats", GRADING, on_graded(lambda g: A.wrong_stats(A.wrong_book(g)).select("subject", "last_status", "n")), f"WITH {BOOK} SELECT subject, last_status, count(*) AS n FROM book GROUP BY GROUPING SETS ((), (subject), (last_status))", True)
-register("wrong_list", GRADING, on_graded(lambda g: S.page(A.wrong_book(g).filter("last_status = 'wrong'").withColumn("id", F.col("question_id")).select("id", "subject", "chapter", "wrong_attempts"), 0, 50)), f"WITH {BOOK} SELECT question_id AS id, subject, chapter, wrong_attempts FROM book WHERE last_status = 'wrong' ORDER BY question_id LIMIT 50", True)
+register("weak_summary", GRADING, lambda a, q, c: A.weak_summary(A.tag_mastery(A.grade(a, q, c)), q), f"WITH {MASTERY}, {SUBJECTS_SQL}, w AS (SELECT tag, mastery_score, coalesce(s.subject, '未知') AS subject FROM mastery LEFT JOIN subjects s USING (tag) WHERE wrong_count > 0), k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY mastery_score, tag) AS rank FROM w) SELECT (SELECT count(*) FROM w) AS weak_tags, (SELECT round(coalesce(avg(mastery_score), 0.0), 4) FROM w) AS average_mastery, coalesce(string_agg(concat(subject, ':', tag), ',' ORDER BY subject, rank, tag), '') AS weakest FROM k WHERE rank <= 5", True)
+register("tag_subject_lookup", GRADING, lambda a, q, c: A.tag_subjects(A.tag_mastery(A.grade(a, q, c)), q), f"WITH {MASTERY}, {SUBJECTS_SQL} SELECT m.*, coalesce(s.subject, '未知') AS subject FROM mastery m LEFT JOIN subjects s USING (tag)", True)
+register("weakest_per_subject", GRADING, lambda a, q, c: A.weakest_per_subject(A.tag_mastery(A.grade(a, q, c)), q), f"WITH {MASTERY}, {SUBJECTS_SQL}, j AS (SELECT m.*, coalesce(s.subject, '未知') AS subject FROM mastery m LEFT JOIN subjects s USING (tag) WHERE wrong_count > 0) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY subject ORDER BY mastery_score, tag) AS INTEGER) AS rank FROM j) WHERE rank <= 5", True)
+register("wrong_book_batch", GRADING, on_graded(reviewed_book), f"WITH {REVIEWED} SELECT * FROM book", True)
+register("wrong_stats", GRADING, on_graded(lambda g: A.wrong_stats(reviewed_book(g))), f"WITH {REVIEWED} SELECT subject, last_status, CAST(grouping(subject) AS INTEGER) AS all_subjects, CAST(grouping(last_status) AS INTEGER) AS all_statuses, count(*) AS n, round(count(*) FILTER (last_status <> 'unreviewed') / count(*), 2) AS review_rate FROM book GROUP BY GROUPING SETS ((), (subject), (last_status))", True)
+register("wrong_list", GRADING, lambda a, q, c: A.wrong_list(reviewed_book(A.grade(a, q, c)), q, status="wrong", page=2, page_size=10).select("question_id", "subject", "chapter", "wrong_attempts", "preview", "total", "pages"), f"WITH {REVIEWED}, w AS (SELECT * FROM book WHERE last_status = 'wrong') SELECT question_id, w.subject, w.chapter, wrong_attempts, trim(question_text) AS preview, (SELECT count(*) FROM w) AS total, (SELECT greatest(1, (count(*) + 9) // 10) FROM w) AS pages FROM w JOIN questions q ON q.id = question_id ORDER BY question_id LIMIT 10 OFFSET 10", True)
 register("wrong_chapters", GRADING, on_graded(lambda g: A.wrong_book(g).filter(A.filled("chapter")).select("subject", "chapter").distinct()), f"WITH {BOOK} SELECT DISTINCT subject, chapter FROM book WHERE trim(chapter) <> ''", True)
 register("misconception_batch", GRADING, on_graded(lambda g: A.misconceptions(g).select("question_id", "subject", "chapter", "user_answer", "correct_answer", "related_knowledge_tag", "frequency")), f"WITH {FIRST} SELECT question_id, subject, chapter, user_answer, key AS correct_answer, knowledge_tag AS related_knowledge_tag, frequency FROM firsts", True)
 register("misconception_summary", GRADING, on_graded(lambda g: A.misconception_summary(A.misconceptions(g))), f"WITH {FIRST} SELECT subject, chapter, count(*) AS n, CAST(sum(frequency) AS BIGINT) AS attempts FROM firsts GROUP BY 1, 2", True)
-register("misconception_stats", GRADING, on_graded(lambda g: A.misconception_stats(A.misconceptions(g))), f"WITH {FIRST} SELECT subject, count(DISTINCT chapter) AS chapters, count(*) AS n, CAST(sum(frequency) AS BIGINT) AS attempts FROM firsts GROUP BY 1", True)
-register("misconception_list", GRADING, on_graded(lambda g: A.misconceptions(g).orderBy(F.desc("created_at"), "question_id").limit(20).select("question_id", "created_at", "frequency")), f"WITH {FIRST} SELECT question_id, create_time AS created_at, frequency FROM firsts ORDER BY create_time DESC, question_id LIMIT 20", True)
-register("weak_point_enrich", GRADING, on_graded(lambda g: A.weak_point_enrich(A.tag_mastery(g), A.misconceptions(g))), f"WITH {MASTERY}, {FIRST}, bt AS (SELECT knowledge_tag AS tag, count(*) AS n, string_agg(CAST(question_id AS VARCHAR), ',' ORDER BY question_id) AS ids, min(subject) AS subject FROM firsts GROUP BY 1) SELECT m.tag, m.wrong_count, m.mastery_score, coalesce(bt.n, 0) AS misconception_count, coalesce(bt.ids, '') AS question_ids, bt.subject FROM mastery m LEFT JOIN bt USING (tag) WHERE m.wrong_count > 0", True)
+register("misconception_stats", GRADING, on_graded(lambda g: A.misconception_stats(A.misconceptions(g))), f"WITH {FIRST} SELECT subject, CAST(grouping(subject) AS INTEGER) AS all_subjects, count(DISTINCT chapter) AS chapters, count(*) AS n, CAST(sum(frequency) AS BIGINT) AS attempts FROM firsts GROUP BY ROLLUP (subject)", True)
+register("misconception_list", GRADING, on_graded(lambda g: A.misconception_list(A.misconceptions(g), skip=5).select("question_id", "created_at", "frequency", "total")), f"WITH {FIRST} SELECT question_id, create_time AS created_at, frequency, (SELECT count(*) FROM firsts) AS total FROM firsts ORDER BY create_time DESC, question_id LIMIT 20 OFFSET 5", True)
+ENRICHED = """each AS (SELECT *, trim(t) AS tag FROM (SELECT *, unnest(list_distinct(list_transform(string_split(coalesce(knowledge_tag, ''), ','), lambda x: trim(x)))) AS t FROM firsts) WHERE trim(t) <> ''),
+  found AS (SELECT tag, count(*) AS n, list_distinct(list(question_id)) AS ids, first(subject ORDER BY create_time DESC, question_id) FILTER (trim(subject) <> '') AS subject, first(chapter ORDER BY create_time DESC, question_id) FILTER (trim(chapter) <> '') AS chapter,
+    first(concat(upper(trim(user_answer)), ' for ', key) ORDER BY create_time DESC, question_id) FILTER (chapter IS NOT NULL) AS summary FROM each GROUP BY tag),
+  items AS (SELECT tag, 'c' AS kind, upper(trim(user_answer)) AS item, create_time, question_id, 0 AS pos FROM each UNION ALL SELECT tag, 'c', upper(key), create_time, question_id, 1 FROM each
+    UNION ALL SELECT tag, 'a', 'review ' || chapter, create_time, question_id, 0 FROM each UNION ALL SELECT tag, 'a', 'practise ' || subject, create_time, question_id, 1 FROM each),
+  ordered AS (SELECT tag, kind, item, row_number() OVER (PARTITION BY tag, kind ORDER BY create_time DESC, question_id, pos) AS o FROM items WHERE item IS NOT NULL),
+  firstly AS (SELECT tag, kind, item, min(o) AS o FROM ordered GROUP BY 1, 2, 3), listed AS (SELECT tag, string_agg(item, '|' ORDER BY o) FILTER (kind = 'c') AS concepts, string_agg(item, '|' ORDER BY o) FILTER (kind = 'a') AS actions FROM firstly GROUP BY 1),
+  of_tag AS (SELECT trim(t) AS tag, arg_min(id, id) AS id, first(subject ORDER BY id) AS subject, first(chapter ORDER BY id) AS chapter FROM (SELECT id, subject, chapter, unnest(string_split(coalesce(knowledge_tag, ''), ',')) AS t FROM questions) WHERE trim(t) <> '' GROUP BY 1)"""
+register("weak_point_enrich", GRADING, lambda a, q, c: A.weak_point_enrich(A.tag_mastery(A.grade(a, q, c)), analysed(A.grade(a, q, c)), q), f"WITH {MASTERY}, {FIRST}, {ENRICHED} SELECT m.tag, m.wrong_count, m.correct_count, m.mastery_score, coalesce(f.subject, o.subject) AS subject, coalesce(f.chapter, o.chapter) AS chapter, coalesce(f.summary, '') AS summary, coalesce(f.n, 0) AS misconception_count, coalesce(l.concepts, '') AS confused_concepts, coalesce(l.actions, '') AS recommended_actions, array_to_string(list_sort(list_distinct(list_concat(coalesce(f.ids, []), CASE WHEN f.subject IS NULL OR f.chapter IS NULL THEN [o.id] ELSE [] END))), ',') AS question_ids FROM mastery m LEFT JOIN found f USING (tag) LEFT JOIN listed l USING (tag) LEFT JOIN of_tag o USING (tag) WHERE m.wrong_count > 0", True)
 register("attempt_history", "attempts", lambda a: A.attempt_history(a, 10, 50), "SELECT * FROM attempts ORDER BY create_time DESC, id DESC LIMIT 50 OFFSET 10")
 register("best_verified_candidate", "candidates", A.best_verified, f"WITH {BEST} SELECT * EXCLUDE (r) FROM best")
 register("latest_candidate", "candidates", lambda c: A.latest(c, "question_id"), "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY created_at DESC, id DESC) AS r FROM candidates) WHERE r = 1")
@@ -92,10 +117,10 @@ register("question_search_count", "questions", lambda q: S.search(q, tag="a").ag
 register("chapter_questions", "questions", lambda q: q.filter(F.col("chapter").isNotNull()).select("subject", "chapter", "id"), "SELECT subject, chapter, id FROM questions WHERE chapter IS NOT NULL")
 register("chapter_counts", "questions", S.chapter_counts, f"SELECT chapter, count(*) AS n FROM questions WHERE chapter IS NOT NULL AND {COMPLETE} GROUP BY chapter")
 register("questions_by_subject", "questions", S.by_subject, "SELECT subject, count(*) AS n FROM questions GROUP BY ROLLUP (subject)")
-register("random_questions", "questions", lambda q: S.random_questions(q, 10, 3).select("id"))
+register("random_questions", "questions", lambda q: S.random_questions(q, 10, 3).select("id"), f"SELECT id FROM questions WHERE {COMPLETE} ORDER BY md5(concat('3:', id)), id LIMIT 10")
 register("page_scan", "questions", lambda q: S.page(q, 100, 50).select("id", "question_text"), "SELECT id, question_text FROM questions ORDER BY id LIMIT 50 OFFSET 100")
 register("distinct_sources", "questions", lambda q: q.filter(F.col("source_pdf").isNotNull()).select("source_pdf").distinct(), "SELECT DISTINCT source_pdf FROM questions WHERE source_pdf IS NOT NULL")
-register("practice_projection", "questions", lambda q: q.select("id", T.strip_images("question_text").alias("question_text"), "option_a", "option_b", "option_c", "option_d"), "SELECT id, trim(question_text) AS question_text, option_a, option_b, option_c, option_d FROM questions")
+register("practice_projection", "questions assets", lambda q, a: B.assets_per_question(q, a).select("id", T.strip_images("question_text").alias("question_text"), "option_a", "option_b", "option_c", "option_d", F.coalesce(F.to_json("assets"), F.lit("[]")).alias("assets")), "WITH n AS (SELECT question_id, to_json(list({'id': id, 'path': path, 'asset_type': asset_type} ORDER BY id)) AS assets FROM assets GROUP BY 1) SELECT id, trim(question_text) AS question_text, option_a, option_b, option_c, option_d, coalesce(CAST(n.assets AS VARCHAR), '[]') AS assets FROM questions LEFT JOIN n ON n.question_id = id")
 
 # texts
 register("text_hash", "texts", lambda t: t.select("id", T.text_hash("question_text").alias("text_hash")), r"SELECT id, sha256(trim(question_text, concat(' ', chr(9), chr(10), chr(13)))) AS text_hash FROM texts")
@@ -108,9 +133,11 @@ register("pua_detect", "texts", lambda t: t.select("id", T.pua_count("question_t
 register("pua_strip_normalize", "texts", lambda t: t.select("id", T.fingerprint("question_text").alias("fp")), r"SELECT id, substr(regexp_replace(regexp_replace(question_text, '[\x{E000}-\x{F8FF}]', '', 'g'), '[\s\x{3000}\x{00A0}\x{2028}\x{2029}\x{0085}]+', '', 'g'), 1, 40) AS fp FROM texts")
 register("pua_repair", "texts", lambda t: t.select("id", F.md5(T.pua_repair("question_text")).alias("h")), "SELECT id, md5(replace(replace(question_text, '', '∑'), '', '')) AS h FROM texts")
 register("pua_histogram", "texts", Q.pua_histogram, r"WITH c AS (SELECT unnest(regexp_extract_all(question_text, '[\x{E000}-\x{F8FF}]')) AS ch FROM texts) SELECT ch, count(*) AS n, upper(printf('%x', unicode(ch))) AS code FROM c GROUP BY ch")
-register("clean_change_report", "texts", Q.change_report)
-register("extract_image_refs", "texts", lambda t: t.select("id", F.explode(T.image_refs("question_text")).alias("ref")), r"SELECT id, unnest(regexp_extract_all(question_text, '!\[[^\]]*\]\(([^)]+)\)', 1)) AS ref FROM texts")
-register("extract_html_tables", "texts", lambda t: t.select("id", F.explode(T.html_tables("question_text")).alias("fragment")), r"SELECT id, unnest(regexp_extract_all(question_text, '(?is)(<table.*?</table>)', 1)) AS fragment FROM texts")
+CHANGED = r"""after AS (SELECT question_text AS a, array_to_string(list_filter(string_split(replace(replace(question_text, chr(61617), '∑'), chr(57344), ''), chr(10)), lambda x: NOT regexp_matches(trim(x), '^[⏟⏞⎵⎴‾_~\-=]{3,}$')), chr(10)) AS b FROM texts),
+  counted AS (SELECT 'question_text' AS field, a <> b AS changed, len(regexp_extract_all(a, '[\x{E000}-\x{F8FF}]')) AS p, len(regexp_extract_all(b, '[\x{E000}-\x{F8FF}]')) AS q FROM after UNION ALL SELECT '(rows)', a <> b, 0, 0 FROM after UNION ALL SELECT 'file', false, 0, 0 FROM texts)"""
+register("clean_change_report", "texts", lambda t: Q.change_report(t, ["question_text", "file"]), f"WITH {CHANGED} SELECT field, count(*) FILTER (changed) AS changed, count(*) FILTER (NOT changed) AS unchanged, CAST(sum(p) AS BIGINT) AS pua_before, CAST(sum(q) AS BIGINT) AS pua_after FROM counted GROUP BY 1")
+register("extract_image_refs", "texts", lambda t: L.resolve_refs(t.select("id", F.explode(T.image_refs("question_text")).alias("ref")), t.filter("id % 2 = 0").select(F.concat(F.lit("images/"), "file", F.lit(".png")).alias("path"))), r"SELECT id, ref, ref IN (SELECT concat('images/', file, '.png') FROM texts WHERE id % 2 = 0) AS found FROM (SELECT id, unnest(regexp_extract_all(question_text, '!\[[^\]]*\]\(([^)]+)\)', 1)) AS ref FROM texts)")
+register("extract_html_tables", "texts", lambda t: t.select("id", F.explode(T.html_tables(F.replace("question_text", F.lit("<td>"), F.lit("<td class='x' onClick=\"run('y')\"><b>")))).alias("fragment")), r"SELECT id, replace(fragment, '<td>', '<td class=''x''>') AS fragment FROM (SELECT id, unnest(regexp_extract_all(question_text, '(?is)(<table.*?</table>)', 1)) AS fragment FROM texts)")
 register("question_number_extract", "texts", lambda t: t.select("id", T.question_number("question_text").alias("number")), r"SELECT id, CASE WHEN regexp_matches(question_text, '^\s*\d{1,4}\s*[.、．]') THEN CAST(regexp_extract(question_text, '^\s*(\d{1,4})\s*[.、．]', 1) AS INTEGER) END AS number FROM texts")
 register("text_preview", "texts", lambda t: t.select("id", T.preview("question_text", 80).alias("preview")), r"WITH c AS (SELECT id, trim(regexp_replace(question_text, '\s+', ' ', 'g')) AS x FROM texts) SELECT id, CASE WHEN length(x) > 80 THEN concat(substr(x, 1, 80), '...') ELSE x END AS preview FROM c")
 register("drop_decorative_lines", "texts", lambda t: t.select("id", F.md5(T.drop_rules("question_text")).alias("h")), r"SELECT id, md5(array_to_string(list_filter(string_split(question_text, chr(10)), lambda x: NOT regexp_matches(trim(x), '^[⏟⏞⎵⎴‾_~\-=]{3,}$')), chr(10))) AS h FROM texts")
@@ -128,12 +155,22 @@ ISSUES = r"""issues AS (SELECT id, subject, t.issue_type AS issue_type, t.severi
   CASE WHEN regexp_matches(question_text, '!\[[^\]]*\]\(([^)]+)\)') THEN {'issue_type': 'markdown_image_reference', 'severity': CASE WHEN id % 4 = 0 THEN 'info' ELSE 'medium' END} END,
   CASE WHEN contains(lower(question_text), '<table') OR contains(lower(question_text), '</table>') THEN {'issue_type': 'raw_html_table', 'severity': 'medium'} END,
   CASE WHEN len(regexp_extract_all(question_text, '```')) % 2 = 1 THEN {'issue_type': 'unbalanced_code_fence', 'severity': 'high'} END,
-  CASE WHEN length(question_text) > 3000 THEN {'issue_type': 'very_long_question_text', 'severity': 'medium'} END], lambda x: x IS NOT NULL)) AS t FROM texts))"""
-register("qc_issues", "texts", lambda t: Q.issues(as_questions(t)).drop("preview"), f"WITH {ISSUES} SELECT * FROM issues")
-register("qc_summary", "texts", lambda t: Q.summary(Q.issues(as_questions(t))), f"WITH {ISSUES} SELECT issue_type, severity, count(*) AS n FROM issues GROUP BY GROUPING SETS ((), (issue_type), (severity))")
-register("qc_top_issues", "texts", lambda t: Q.top_issues(Q.issues(as_questions(t))).drop("preview"), f"WITH {ISSUES} SELECT * FROM issues WHERE severity IN ('high', 'critical') ORDER BY id, issue_type LIMIT 200")
+  CASE WHEN length(question_text) > 3000 THEN {'issue_type': 'very_long_question_text', 'severity': 'medium'} END], lambda x: x IS NOT NULL)) AS t FROM texts)
+  UNION ALL SELECT question_id, NULL, 'missing_asset_file', 'critical' FROM assets WHERE path NOT IN (SELECT path FROM assets WHERE id % 3 = 0))"""
+def all_issues(t: DataFrame, a: DataFrame) -> DataFrame:
+    """Issues of the texts, and of assets of which every third file is there."""
+    return Q.issues(as_questions(t)).unionByName(Q.asset_issues(a, a.filter("id % 3 = 0").select("path").distinct()))
+
+
+def summed(t: DataFrame, a: DataFrame) -> DataFrame:
+    return Q.summary(all_issues(t, a), as_questions(t).withColumn("source", F.col("file")), a)
+
+
+register("qc_issues", "texts assets", lambda t, a: all_issues(t, a).drop("preview"), f"WITH {ISSUES} SELECT * FROM issues")
+register("qc_summary", "texts assets", summed, f"WITH {ISSUES} SELECT 'issue_type' AS name, issue_type AS a, NULL AS b, count(*) AS n FROM issues GROUP BY issue_type UNION ALL SELECT 'severity', severity, NULL, count(*) FROM issues GROUP BY severity UNION ALL SELECT 'subject_type', subject, 'choice', count(*) FROM texts GROUP BY subject UNION ALL SELECT 'source', file, NULL, count(*) FROM texts GROUP BY file UNION ALL SELECT 'questions', NULL, NULL, count(*) FROM texts UNION ALL SELECT 'assets', NULL, NULL, count(*) FROM assets")
+register("qc_top_issues", "texts assets", lambda t, a: Q.top_issues(all_issues(t, a)).drop("preview"), f"WITH {ISSUES} SELECT * FROM issues WHERE severity IN ('high', 'critical') ORDER BY id, issue_type LIMIT 200")
 
-register("write_qc_report", "texts", lambda t: SK.report(Q.issues(as_questions(t))), f"WITH {ISSUES}{SK.REPORT}")
+register("write_qc_report", "texts assets", lambda t, a: SK.report(all_issues(t, a), summed(t, a)), f"WITH {ISSUES}{SK.REPORT}")
 
 for entry in (*ENTRIES, *SK.ENTRIES):
     register(*entry)
@@ -147,7 +184,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fingerprint_page_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of their source; their own beginnings as questions."""
     docs = table(spark, sf_dir, "documents")
-    return L.fingerprint_pages(docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("question_text")), docs.select("source", F.col("doc_id").alias("page_no"), "text"))
+    return L.fingerprint_pages(docs.select(F.col("doc_id").alias("id"), "source", F.col("text").alias("question_text")), docs.select("source", F.col("doc_id").alias("page_no"), "text"))
 
 
 def image_nearest_question(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +195,9 @@ def image_nearest_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gap_cluster_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") % 1000).alias("top"))
-    return L.cluster_boxes(rows.withColumn("bottom", F.col("top") + 20.0))
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), key.alias("id"), (key * 7 % 400).cast("double").alias("left"), (F.col("o_totalprice") % 1000).alias("top"), F.lit(600.0).alias("page_width"), F.lit(1000.0).alias("page_height"))
+    return L.cluster_boxes(rows.withColumn("right", F.col("left") + F.col("id") % 11 * 55).withColumn("bottom", F.col("top") + F.col("id") % 7 * 150))
 
 
 def offset_page_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,10 +207,15 @@ def offset_page_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts put together as a numbered corpus, a file for each brand."""
+    """Parts put together as a numbered corpus, a file for each brand: a chapter of sections, each with a question."""
     part = table(spark, sf_dir, "part")
-    block = F.concat(F.lit("## 1."), F.col("p_size"), F.lit(" "), F.col("p_type"), F.lit("\n"), F.col("p_partkey") % 1000 + 1, F.lit(". "), F.col("p_name"), F.lit("\nA. one\nB. "), F.col("p_type"), F.lit("\nC. three\nD. four"))
-    corpus = part.groupBy(F.col("p_brand").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", block.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
+    key = F.col("p_partkey")
+    block = F.concat(
+        F.lit("## 1."), "p_size", F.lit(" "), "p_type", F.when(key % 5 == 0, "（重点）").otherwise(""), F.lit("\nno question\n"), key % 1000 + 1, F.lit(". "), "p_name", F.when(key % 4 == 0, "【2020 统考真题】").otherwise(""),
+        F.lit("\n3.14 is none（ ）A. one B. "), "p_type", F.lit("\nC. three F8D. no\nD. four\n![x](images/"), "p_size", F.lit(".png)"), F.when(key % 3 == 0, F.concat(F.lit("\n（该节答案见书本P"), key, F.lit("）"))).otherwise(""),
+    )
+    blocks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", block.alias("b")))), lambda x: x["b"]), "\n")
+    corpus = part.groupBy(F.col("p_brand").alias("file")).agg(F.concat(F.lit("## 第3章 "), F.first("p_brand"), F.lit("\n1.5 x\n"), blocks).alias("text"))
     return P.parse(corpus).drop("text_hash")
 
 
@@ -191,9 +234,9 @@ def near_empty_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as recovered answers to the documents in English."""
-    answers = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("en").alias("subject"), "text")
-    return L.fuzzy_answers(answers, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("subject"), "text")).select("answer_id", "question_id", F.round("score", 6).alias("score"))
+    """Benchmark items as recovered answers to the documents."""
+    answers = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("all").alias("subject"), "text")
+    return L.fuzzy_answers(answers, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("all").alias("subject"), "text")).select("answer_id", "question_id", F.round("score", 6).alias("score"))
 
 
 for f in (fingerprint_page_match, image_nearest_question, gap_cluster_boxes, offset_page_interval, parse_markdown_corpus, transcript_build, conversation_activity, near_empty_ratio, answer_fuzzy_match):
@@ -201,23 +244,27 @@ for f in (fingerprint_page_match, image_nearest_question, gap_cluster_boxes, off
 
 BLANKS = r"[\s\x{3000}\x{00A0}\x{2028}\x{2029}\x{0085}]+"
 ORACLES |= {
-    "fingerprint_page_match": rf"WITH n AS (SELECT doc_id, source, regexp_replace(text, '{BLANKS}', '', 'g') AS b FROM documents), f AS (SELECT doc_id AS id, source, substr(b, 1, 40) AS fp FROM n WHERE doc_id % 10 = 0) SELECT f.id, min(n.doc_id) AS page_no FROM f JOIN n ON f.source = n.source AND contains(n.b, f.fp) WHERE length(f.fp) >= 5 GROUP BY f.id",
+    "fingerprint_page_match": rf"WITH n AS (SELECT doc_id, source, regexp_replace(text, '{BLANKS}', '', 'g') AS b FROM documents), f AS (SELECT doc_id AS id, source, substr(b, 1, 40) AS fp FROM n) SELECT f.id, min(n.doc_id) AS page_no FROM f JOIN n ON f.source = n.source AND contains(n.b, f.fp) WHERE length(f.fp) >= 5 GROUP BY f.id",
     "image_nearest_question": """WITH r AS (SELECT l_orderkey AS doc, l_linenumber AS n, max(l_quantity) AS y, CAST(min(l_suppkey) % 3 AS INTEGER) AS page FROM lineitem GROUP BY 1, 2),
       q AS (SELECT * FROM r WHERE n % 2 = 0), i AS (SELECT * FROM r WHERE n % 2 = 1),
       j AS (SELECT i.doc, i.n AS image, q.n AS number, row_number() OVER (PARTITION BY i.doc, i.n ORDER BY q.page DESC, q.y DESC, q.n DESC) AS r FROM i LEFT JOIN q ON q.doc = i.doc AND (q.page < i.page OR (q.page = i.page AND q.y <= i.y)))
       SELECT doc, CAST(image AS BIGINT) AS image, CAST(number AS BIGINT) AS number FROM j WHERE r = 1""",
-    "gap_cluster_boxes": """WITH b AS (SELECT o_custkey AS page, o_orderkey AS id, o_totalprice % 1000 AS top, o_totalprice % 1000 + 20.0 AS bottom FROM orders),
-      l AS (SELECT *, max(bottom) OVER (PARTITION BY page ORDER BY top, bottom, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM b),
-      c AS (SELECT *, sum(CASE WHEN low IS NULL OR top - low >= 30.0 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY top, bottom, id ROWS UNBOUNDED PRECEDING) AS cluster FROM l)
-      SELECT page, CAST(cluster AS BIGINT) AS cluster, min(top) AS top, max(bottom) AS bottom, count(*) AS n FROM c GROUP BY 1, 2""",
+    "gap_cluster_boxes": """WITH o AS (SELECT o_custkey AS page, o_orderkey AS id, CAST(o_orderkey * 7 % 400 AS DOUBLE) AS x0, o_totalprice % 1000 AS y0, x0 + o_orderkey % 11 * 55 AS x1, y0 + o_orderkey % 7 * 150 AS y1 FROM orders),
+      s AS (SELECT * FROM o WHERE NOT (x1 - x0 > 480 AND y1 - y0 > 800) AND NOT (x1 - x0 < 5 AND y1 - y0 < 5)),
+      l AS (SELECT *, max(y1) OVER (PARTITION BY page ORDER BY y0, y1, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM s),
+      c AS (SELECT *, sum(CASE WHEN low IS NULL OR y0 - low >= 30.0 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, y1, id ROWS UNBOUNDED PRECEDING) AS cluster FROM l),
+      g AS (SELECT page, cluster, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM c GROUP BY 1, 2)
+      SELECT page, CAST(cluster AS BIGINT) AS cluster, greatest(0.0, x0 - 0.1 * (y1 - y0)) AS left, greatest(0.0, y0 - 0.1 * (y1 - y0)) AS top, least(600.0, x1 + 0.1 * (y1 - y0)) AS right, least(1000.0, y1 + 0.1 * (y1 - y0)) AS bottom, n FROM g WHERE (x1 - x0) * (y1 - y0) >= 0.05 * 600 * 1000 AND y1 - y0 >= 20""",
     "offset_page_interval": """WITH p AS (SELECT source AS doc, doc_id AS page_no, coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(text) + 1 AS n FROM documents)
       SELECT o.source AS doc, o.doc_id * 13 AS off, p.page_no FROM documents o JOIN p ON p.doc = o.source AND o.doc_id * 13 >= p.s AND o.doc_id * 13 < p.s + p.n""",
-    "parse_markdown_corpus": "SELECT p_brand AS file, CAST(p_partkey % 1000 + 1 AS INTEGER) AS number, concat('1.', p_size, ' ', p_type) AS section, p_name AS question_text, 'one' AS option_a, p_type AS option_b, 'three' AS option_c, 'four' AS option_d FROM part",
+    "parse_markdown_corpus": """SELECT p_brand AS file, CAST(p_partkey % 1000 + 1 AS INTEGER) AS number, concat('第3章 ', p_brand) AS chapter, concat('1.', p_size, ' ', p_type) AS section, CASE WHEN p_partkey % 3 = 0 THEN concat('答案见原书P', p_partkey) END AS answer_ref,
+      CASE WHEN p_partkey % 4 = 0 THEN '2020统考真题' END AS exam_year, concat('1.', p_size, ' ', p_type, CASE WHEN p_partkey % 4 = 0 THEN ',2020统考真题' ELSE '' END) AS knowledge_tag,
+      concat(p_name, CASE WHEN p_partkey % 4 = 0 THEN '【2020 统考真题】' ELSE '' END, chr(10), '3.14 is none（ ）') AS question_text, 'one' AS option_a, p_type AS option_b, 'three F8D. no' AS option_c, concat('four', chr(10), '![x](images/', p_size, '.png)') AS option_d, concat('images/', p_size, '.png') AS images FROM part""",
     "transcript_build": "SELECT conv_id, md5(string_agg(concat(role, ': ', coalesce(text, '')), chr(10) ORDER BY turn)) AS transcript_md5, count(*) AS n FROM conversations GROUP BY conv_id",
     "conversation_activity": "SELECT conv_id, max(turn) AS last_turn, count(*) FILTER (role = 'user') AS questions FROM conversations GROUP BY conv_id",
     "near_empty_ratio": "SELECT source AS doc, avg(CASE WHEN length(trim(text, concat(' ', chr(9), chr(10), chr(13)))) < 200 THEN 1.0 ELSE 0.0 END) AS ratio, avg(CASE WHEN length(trim(text, concat(' ', chr(9), chr(10), chr(13)))) < 200 THEN 1.0 ELSE 0.0 END) >= 0.5 AS scanned FROM documents GROUP BY source",
     "answer_fuzzy_match": rf"""WITH a AS (SELECT item_id AS id, list_distinct(string_split(substr(regexp_replace(text, '{BLANKS}', '', 'g'), 1, 50), '')) AS s FROM benchmark),
-      q AS (SELECT doc_id AS id, list_distinct(string_split(substr(regexp_replace(text, '{BLANKS}', '', 'g'), 1, 50), '')) AS s FROM documents WHERE lang = 'en'),
+      q AS (SELECT doc_id AS id, list_distinct(string_split(substr(regexp_replace(text, '{BLANKS}', '', 'g'), 1, 50), '')) AS s FROM documents),
       j AS (SELECT a.id AS a, q.id AS q, len(list_intersect(a.s, q.s)) / (len(a.s) + len(q.s) - len(list_intersect(a.s, q.s))) AS score FROM a, q),
       r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, q) AS r FROM j WHERE score > 0.6)
       SELECT a AS answer_id, q AS question_id, round(score, 6) AS score FROM r WHERE r = 1""",
@@ -237,10 +284,10 @@ QUERIES |= {
     "stream_grade": on_stream(lambda g: g.select("id", "question_id", "key", "key_source", "key_confidence", "is_correct"), "append"),
     "stream_tag_mastery": on_stream(ST.mastery_stream, "complete"),
     "stream_misconception_frequency": on_stream(ST.misconception_stream, "complete"),
-    "stream_wrong_book": on_stream(lambda g: A.wrong_book(g).drop("review_count"), "complete"),
+    "stream_wrong_book": on_stream(lambda g: A.wrong_book(g).drop("review_count", "last_review_at"), "complete"),
     "stream_accuracy_trend": on_stream(lambda g: ST.accuracy_trend(g).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "subject", "total", "correct"), "complete"),
 }
-ORACLES |= {"stream_grade": ORACLES["grade_attempts"], "stream_tag_mastery": ORACLES["tag_mastery"], "stream_wrong_book": ORACLES["wrong_book_batch"]}
+ORACLES |= {"stream_grade": ORACLES["grade_attempts"], "stream_tag_mastery": ORACLES["tag_mastery"], "stream_wrong_book": with_ctes(f"WITH {GRADED}, {BOOK} SELECT * FROM book", *GRADING.split())}
 ORACLES["stream_misconception_frequency"] = with_ctes(f"WITH {GRADED}, {FIRST} SELECT question_id, frequency, user_answer FROM firsts", *GRADING.split())
 ORACLES["stream_accuracy_trend"] = with_ctes(f"WITH {GRADED} SELECT date_trunc('day', create_time) AS day, subject, count(*) AS total, count(*) FILTER (is_correct) AS correct FROM graded GROUP BY 1, 2", *GRADING.split())
 

@@ -57,14 +57,3 @@ def prompt(include_key: bool = False) -> Column:
 def note(tag: str = "tag", mastery: str = "mastery_score", wrong: str = "wrong_count") -> Column:
     """A Markdown note on a weak point, mastery in whole percent."""
     return F.concat(F.lit("# "), F.col(tag), F.lit("\n\n- mastery: "), F.round(F.col(mastery) * 100).cast("int"), F.lit("%\n- wrong: "), F.col(wrong), F.lit("\n"))
-
-
-def options_in(c: str | Column, letters: str = "ABCD") -> Column:
-    """Options by letter, in one line or a line each: the text from a label's first occurrence to the next label. Empty map without an A."""
-    label = r"\s*[.．、)]\s*"
-    found = []
-    for i, k in enumerate(letters):
-        later = f"[{letters[i + 1:]}]" if letters[i + 1 :] else "(?!)"
-        found.append(F.struct(F.lit(k).alias("k"), F.trim(F.regexp_extract(T.col(c), rf"(?s)(?:^|\s){k}{label}(.*?)(?=\s{later}{label}|\z)", 1)).alias("v")))
-    some = F.filter(F.array(*found), lambda x: x["v"] != "")
-    return F.when(F.regexp_like(T.col(c), F.lit(rf"(?:^|\s)A{label}")), F.map_from_entries(some)).otherwise(F.map_from_entries(F.filter(F.array(*found), lambda x: F.lit(False))))

@@ -86,8 +86,15 @@ def breaks(c: str | Column) -> Column:
     return F.regexp_replace(col(c), r"(?i)<br\s*/?>", "\n")
 
 
+# The tags that a table fragment may have, and the attributes that run code.
+TABLE_TAGS = "table|thead|tbody|tr|th|td"
+EVENT_ATTRIBUTE = r"""(?is)\s+on[a-z]+\s*=\s*(['"]).*?\1"""
+
+
 def html_tables(c: str | Column) -> Column:
-    return F.regexp_extract_all(col(c), F.lit(r"(?is)(<table.*?</table>)"), F.lit(1))
+    """The table fragments of a text, without event attributes and without tags that are no part of a table."""
+    found = F.regexp_extract_all(col(c), F.lit(r"(?is)(<table\b.*?</table>)"), F.lit(1))
+    return F.transform(found, lambda x: strip(F.regexp_replace(F.regexp_replace(x, EVENT_ATTRIBUTE, ""), rf"<(?!/?(?:{TABLE_TAGS})\b)[^>]+>", "")))
 
 
 def preview(c: str | Column, n: int = 160) -> Column:
@@ -100,14 +107,19 @@ def question_number(c: str | Column) -> Column:
     return F.when(F.regexp_like(col(c), F.lit(r"^\s*\d{1,4}\s*[.、．]")), F.regexp_extract(col(c), r"^\s*(\d{1,4})\s*[.、．]", 1).cast("int"))
 
 
+# How a reference to the page of the answers and an exam year are written.
+ANSWER_REF = r"[（(]\s*(?:该节答案见|答案见|本节答案见)\s*(?:原书|书本)?\s*P\s*(\d+)\s*[)）]"
+EXAM_YEAR = r"【\s*(\d{4})\s*(?:统考)?真题\s*】"
+
+
 def exam_year(c: str | Column) -> Column:
-    year = F.regexp_extract(col(c), r"【\s*(\d{4})\s*(?:统考)?真题\s*】", 1)
+    year = F.regexp_extract(col(c), EXAM_YEAR, 1)
     return F.when(year != "", F.concat(year, F.lit("统考真题")))
 
 
 def answer_ref(c: str | Column) -> Column:
-    page = F.regexp_extract(col(c), r"[（(]\s*(?:该节答案见|答案见|本节答案见)\s*(?:原书|书本)?\s*P\s*(\d+)\s*[)）]", 1)
-    return F.when(page != "", F.concat(F.lit("P"), page))
+    page = F.regexp_extract(col(c), ANSWER_REF, 1)
+    return F.when(page != "", F.concat(F.lit("答案见原书P"), page))
 
 
 def normalize_answer(c: str | Column) -> Column:
@@ -150,3 +162,24 @@ def json_list(c: str | Column) -> Column:
     raw = F.trim(col(c))
     parsed = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).when(raw.startswith('"'), F.array(F.get_json_object(F.concat(F.lit('{"x":'), raw, F.lit("}")), "$.x"))).otherwise(F.array(raw))
     return F.filter(F.transform(F.coalesce(parsed, F.array(raw)), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+
+
+def knowledge_tags(section: str | Column, year: str | Column) -> Column:
+    """The section and the exam year, as far as there are any, comma-joined."""
+    filled = lambda c: F.nullif(F.trim(col(c)), F.lit(""))
+    return F.concat_ws(",", filled(section), filled(year))
+
+
+def inline_options(c: str | Column) -> Column:
+    """(stem, a, b, c, d) of a question: an option reaches from the first label of its letter to the first one of the next letter there is.
+
+    A label is a letter and a full stop, not after a letter, a digit or an underscore of ASCII, so it may follow a character of Chinese. No label A: all is stem, no option.
+    """
+    text = col(c)
+    label = {k: rf"(?<![A-Za-z0-9_])[{k}{k.lower()}]\.\s*" for k in "ABCD"}
+    at = {k: F.regexp_instr(text, F.lit(p)) for k, p in label.items()}
+    wide = {k: F.length(F.regexp_extract(text, p, 0)) for k, p in label.items()}
+    end = {k: F.coalesce(*(F.when(at[n] > 0, at[n]) for n in "ABCD"["ABCD".index(k) + 1 :]), F.length(text) + 1) for k in "ABCD"}
+    part = lambda k: F.when((at["A"] > 0) & (at[k] > 0), strip(F.substr(text, at[k] + wide[k], F.greatest(F.lit(0), end[k] - at[k] - wide[k]))))
+    stem = strip(F.when(at["A"] > 0, F.substr(text, F.lit(1), at["A"] - 1)).otherwise(text))
+    return F.struct(stem.alias("stem"), *(part(k).alias(k.lower()) for k in "ABCD"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 OPTIONS = ("option_a", "option_b", "option_c", "option_d")
 
 
@@ -98,15 +100,34 @@ def weak_list(mastery: DataFrame, limit: int = 20, min_wrong: int = 1) -> DataFr
     return mastery.filter(F.col("wrong_count") >= min_wrong).orderBy("mastery_score", "tag").limit(limit)
 
 
-def weak_summary(mastery: DataFrame) -> DataFrame:
-    return mastery.filter("wrong_count > 0").agg(F.count("*").alias("weak_tags"), F.round(F.coalesce(F.avg("mastery_score"), F.lit(0.0)), 4).alias("average_mastery"))
+def weak_summary(mastery: DataFrame, questions: DataFrame | None = None, n: int = 5) -> DataFrame:
+    """How many tags are weak and how well they are mastered; with questions also ``weakest``: subject:tag of the ``n`` weakest of each subject, comma-joined."""
+    whole = mastery.filter("wrong_count > 0").agg(F.count("*").alias("weak_tags"), F.round(F.coalesce(F.avg("mastery_score"), F.lit(0.0)), 4).alias("average_mastery"))
+    if questions is None:
+        return whole
+    few = weakest_per_subject(mastery, questions, n).agg(F.array_sort(F.collect_list(F.struct("subject", "rank", "tag"))).alias("w"))  # n for each subject
+    named = F.array_join(F.transform("w", lambda x: F.concat_ws(":", x["subject"], x["tag"])), ",")
+    return whole.join(F.broadcast(few.select(named.alias("weakest"))), F.lit(True))  # one row each
+
+
+# Fixed value: the subject of a tag that no question has.
+UNKNOWN = "未知"
+GRAM = 3
 
 
 def tag_subjects(mastery: DataFrame, questions: DataFrame) -> DataFrame:
-    """Each tag with the subject of the first question that carries it as a whole tag."""
-    each = questions.select("id", "subject", F.explode(tags()).alias("tag"))
-    first = each.groupBy("tag").agg(F.min_by("subject", "id").alias("subject"))
-    return mastery.join(first, "tag", "left")
+    """Each tag with the subject of the first question whose tag list contains it, as a whole tag or within one; ``UNKNOWN`` if none does.
+
+    Lists that repeat are taken once. A tag meets the lists that have its first ``GRAM`` characters somewhere, and is looked for in these only.
+    """
+    lists = questions.filter(filled("knowledge_tag")).groupBy("knowledge_tag").agg(F.min(F.struct("id", "subject")).alias("first"))
+    at = F.sequence(F.lit(1), F.length("knowledge_tag"))
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(at, lambda i: F.substr("knowledge_tag", i, n)))))
+    laid = lists.select("knowledge_tag", "first", F.explode(pieces).alias("gram"))
+    sought = mastery.select("tag", F.substring("tag", 1, GRAM).alias("gram")).distinct()
+    met = sought.join(laid.hint("merge"), "gram").filter(F.contains("knowledge_tag", F.col("tag")))
+    found = met.groupBy("tag").agg(F.min("first")["subject"].alias("subject"))
+    return mastery.join(found.hint("merge"), "tag", "left").withColumn("subject", F.coalesce("subject", F.lit(UNKNOWN)))
 
 
 def weakest_per_subject(mastery: DataFrame, questions: DataFrame, n: int = 5) -> DataFrame:
@@ -118,21 +139,34 @@ def wrong_book(graded: DataFrame, reviews: DataFrame | None = None) -> DataFrame
     """The error book: a row for each question answered wrong.
 
     ``unreviewed`` after one wrong attempt, ``wrong`` after more. reviews (question_id, create_time, is_correct): set the status to their
-    result if later than the last wrong attempt, and are counted.
+    result if later than the last wrong attempt; ``review_count`` and ``last_review_at`` tell how many there are and when the last one was.
     """
     book = graded.filter(~F.col("is_correct")).groupBy("question_id", "subject", "chapter").agg(F.min("create_time").alias("added_at"), F.max("create_time").alias("_last"), F.count("*").alias("wrong_attempts"))
     book = book.withColumn("last_status", F.when(F.col("wrong_attempts") > 1, "wrong").otherwise("unreviewed"))
     if reviews is None:
-        return book.withColumn("review_count", F.lit(0).cast("long")).drop("_last")
+        return book.withColumn("review_count", F.lit(0).cast("long")).withColumn("last_review_at", F.lit(None).cast(book.schema["added_at"].dataType)).drop("_last")
     seen = reviews.groupBy("question_id").agg(F.count("*").alias("_n"), F.max("create_time").alias("_at"), F.max_by("is_correct", "create_time").alias("_ok"))
-    joined = book.join(seen, "question_id", "left")
+    joined = book.join(seen.hint("merge"), "question_id", "left")
     status = F.when(F.col("_at") >= F.col("_last"), F.when(F.col("_ok"), "correct").otherwise("wrong")).otherwise(F.col("last_status"))
-    return joined.withColumn("last_status", status).withColumn("review_count", F.coalesce("_n", F.lit(0)).cast("long")).drop("_last", "_n", "_at", "_ok")
+    return joined.withColumn("last_status", status).withColumn("review_count", F.coalesce("_n", F.lit(0)).cast("long")).withColumn("last_review_at", F.col("_at")).drop("_last", "_n", "_at", "_ok")
 
 
 def wrong_stats(book: DataFrame) -> DataFrame:
-    """Counts over all, for each subject and for each status."""
-    return book.groupingSets([[], [F.col("subject")], [F.col("last_status")]], "subject", "last_status").agg(F.grouping("subject").alias("all_subjects"), F.grouping("last_status").alias("all_statuses"), F.count("*").alias("n"))
+    """Counts over all, for each subject and for each status; ``review_rate``: the share that is no longer unreviewed."""
+    counts = book.groupingSets([[], [F.col("subject")], [F.col("last_status")]], "subject", "last_status")
+    flags = (F.grouping(c).cast("int").alias(f"all_{name}") for c, name in (("subject", "subjects"), ("last_status", "statuses")))
+    return counts.agg(*flags, F.count("*").alias("n"), F.round(F.count_if(F.col("last_status").isin("correct", "wrong")) / F.count("*"), 2).alias("review_rate"))
+
+
+def wrong_list(book: DataFrame, questions: DataFrame, subject: str | None = None, chapter: str | None = None, status: str | None = None, page: int = 1, page_size: int = 20) -> DataFrame:
+    """One page of the error book by question id, with a preview of the question, the number of matching rows and of pages."""
+    for name, value in (("subject", subject), ("chapter", chapter), ("last_status", status)):
+        book = book if value is None else book.filter(F.col(name) == value)
+    total = book.agg(F.count("*").alias("total"))
+    rows = book.orderBy("question_id").offset((page - 1) * page_size).limit(page_size)
+    text = questions.select(F.col("id").alias("question_id"), T.preview("question_text", 100).alias("preview"))
+    met = rows.join(text.hint("merge"), "question_id", "left").join(F.broadcast(total), F.lit(True))  # one row
+    return met.withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / page_size)).cast("long"))
 
 
 def wrong_chapters(book: DataFrame, subject: str) -> DataFrame:
@@ -148,15 +182,51 @@ def misconception_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("subject", "chapter").agg(F.count("*").alias("n"), F.sum("frequency").alias("attempts"))
 
 
+def misconception_list(found: DataFrame, subject: str | None = None, skip: int = 0, limit: int = 20) -> DataFrame:
+    """The newest misconceptions, of a subject or of all, with the number of matching ones."""
+    found = found if subject is None else found.filter(F.col("subject") == subject)
+    rows = found.orderBy(F.desc("created_at"), "question_id").offset(skip).limit(limit)
+    return rows.join(F.broadcast(found.agg(F.count("*").alias("total"))), F.lit(True))  # one row
+
+
 def misconception_stats(found: DataFrame) -> DataFrame:
-    return found.groupBy("subject").agg(F.countDistinct("chapter").alias("chapters"), F.count("*").alias("n"), F.sum("frequency").alias("attempts"))
+    """For each subject, and in the row with ``all_subjects`` 1 for all."""
+    return found.rollup("subject").agg(F.grouping("subject").cast("int").alias("all_subjects"), F.countDistinct("chapter").alias("chapters"), F.count("*").alias("n"), F.sum("frequency").alias("attempts"))
 
 
 def attempt_history(attempts: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:
     return attempts.orderBy(F.desc("create_time"), F.desc("id")).offset(skip).limit(limit)
 
 
-def weak_point_enrich(mastery: DataFrame, found: DataFrame) -> DataFrame:
-    """Weak tags with their misconceptions, matched on the whole tag list as stored: count, sorted question ids, newest subject."""
-    by_tag = found.groupBy(F.col("related_knowledge_tag").alias("tag")).agg(F.count("*").alias("_n"), F.array_sort(F.collect_set("question_id")).alias("_ids"), F.min("subject").alias("_subject"))
-    return mastery.filter("wrong_count > 0").join(by_tag, "tag", "left").select("tag", "wrong_count", "mastery_score", F.coalesce("_n", F.lit(0)).alias("misconception_count"), F.coalesce(F.array_join("_ids", ","), F.lit("")).alias("question_ids"), F.col("_subject").alias("subject"))
+def in_first_order(rows: DataFrame, items: Column) -> DataFrame:
+    """tag, items: the distinct items of each tag in the order in which its rows, newest first, have them. rows: tag, created_at, question_id."""
+    each = rows.select("tag", "created_at", "question_id", F.posexplode(items).alias("pos", "item"))
+    age = -F.col("created_at").cast("timestamp").cast("double")
+    first = each.groupBy("tag", "item").agg(F.min(F.struct(age.alias("age"), "question_id", "pos")).alias("at"))
+    return first.groupBy("tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("items"))
+
+
+def weak_point_enrich(mastery: DataFrame, found: DataFrame, questions: DataFrame) -> DataFrame:
+    """Weak tags with their misconceptions: those whose tag list has the tag.
+
+    Their number, sorted question ids, distinct confused concepts and recommended actions with those of newer ones first, the summary of the newest that has one, subject and
+    chapter of the newest that has them. Where that leaves one out, it comes from the first question with the tag, whose id joins the others then.
+    found: question_id, subject, chapter, related_knowledge_tag, created_at, and confused_concepts_json, recommended_actions_json, misconception_summary.
+    """
+    rows = found.withColumn("tag", F.explode(F.array_distinct(tags("related_knowledge_tag"))))
+    newest = F.struct(F.col("created_at"), (-F.col("question_id")).alias("q"))
+    latest_of = lambda c: F.max_by(c, F.when(filled(c), newest))
+    by_tag = rows.groupBy("tag").agg(F.count("*").alias("n"), F.collect_set("question_id").alias("ids"), *(latest_of(c).alias(c) for c in ("subject", "chapter")), latest_of("misconception_summary").alias("summary"))
+    concepts = in_first_order(rows, T.json_list("confused_concepts_json")).withColumnRenamed("items", "confused_concepts")
+    actions = in_first_order(rows, T.json_list("recommended_actions_json")).withColumnRenamed("items", "recommended_actions")
+    each = questions.select("id", "subject", "chapter", F.explode(F.array_distinct(tags())).alias("tag"))
+    first = each.groupBy("tag").agg(F.min(F.struct("id", "subject", "chapter")).alias("q"))
+    out = mastery.filter("wrong_count > 0")
+    for part in (by_tag, concepts, actions, first):
+        out = out.join(part.hint("merge"), "tag", "left")
+    lacking = ~(filled("subject") & filled("chapter")) & F.col("q").isNotNull()
+    ids = F.coalesce("ids", F.array().cast("array<bigint>"))
+    listed = F.array_join(F.array_sort(F.when(lacking, F.array_union(ids, F.array("q.id"))).otherwise(ids)), ",")
+    own = lambda c: F.coalesce(F.when(filled(c), F.col(c)), F.col(f"q.{c}")).alias(c)
+    joined = lambda c: F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c)
+    return out.select("tag", "wrong_count", "correct_count", "mastery_score", own("subject"), own("chapter"), F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("n", F.lit(0)).alias("misconception_count"), joined("confused_concepts"), joined("recommended_actions"), listed.alias("question_ids"))

@@ -2,30 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
-def fingerprint_pages(questions: DataFrame, pages: DataFrame, first_only: bool = True, least: int = 5) -> DataFrame:
+GRAM = 16
+
+
+def least_grams(body: np.ndarray, width: int) -> np.ndarray:
+    """For every window of ``width`` characters the least hash of its grams of ``GRAM`` characters (of the whole window if it is shorter), each once."""
+    gram = min(GRAM, width)
+    if len(body) < width:
+        return np.zeros(0, np.int64)
+    h = np.zeros(len(body) - gram + 1, np.uint64)
+    for i in range(gram):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + body[i : len(body) - gram + 1 + i] + np.uint64(1)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    least = h
+    for i in range(1, width - gram + 1):
+        least = np.minimum(least[: len(h) - (width - gram)], h[i : i + len(h) - (width - gram)])
+    return np.unique(least).view(np.int64)
+
+
+def grams_of(rows: DataFrame, key: list[str], body: str, widths: list[int] | None) -> DataFrame:
+    """key, body, and a row for each width and least gram. widths None: the whole text is the window."""
+    kept = rows.select(*key, F.col(body).alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, width, gram = [], [], []
+            for i, text in enumerate(batch.column("body").to_pylist()):
+                chars = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                for w in [len(chars)] if widths is None else widths:
+                    found = least_grams(chars, w) if w else np.zeros(0, np.int64)
+                    at.append(np.full(len(found), i)), width.append(np.full(len(found), w)), gram.append(found)
+            rows = np.concatenate(at) if at else np.zeros(0, np.int64)
+            own = batch.select(key).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate(width) if at else [], pa.int32()), pa.array(np.concatenate(gram) if at else [], pa.int64())], names=[*key, "width", "gram"])
+
+    fields = [f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in key]
+    return kept.mapInArrow(run, ", ".join([*fields, "width int, gram long"]))
+
+
+def fingerprint_pages(questions: DataFrame, pages: DataFrame, first_only: bool = True, least: int = 5, chars: int = 40) -> DataFrame:
     """Questions whose fingerprint stands in a page of their source.
 
-    questions: id, source, question_text; pages: source, page_no, text. Result: id, page_no; the first page only, or all.
+    questions: id, source, question_text; pages: source, page_no, text. Result: id, page_no; the first page only, or all. A fingerprint of up to ``chars`` characters
+    stands where a window of its length has the same least gram; pages meet it by that gram, and what meets is compared. Windows share their least grams, so a
+    page has far fewer of them than characters. Null texts and null sources meet nothing.
     """
-    fp = questions.select("id", "source", T.fingerprint("question_text").alias("_fp")).filter(F.length("_fp") >= least)
-    body = pages.select("source", "page_no", T.pua_normalize("text").alias("_body"))
-    met = fp.join(body.hint("merge"), "source").filter(F.contains("_body", F.col("_fp"))).select("id", "page_no")
+    fp = questions.select("id", "source", T.fingerprint("question_text", chars).alias("fp")).filter(F.length("fp") >= least)
+    body = pages.select("source", "page_no", T.pua_normalize("text").alias("body"))
+    widths = sorted(r[0] for r in fp.select(F.length("fp")).distinct().collect())  # ``chars`` of them at most
+    sought = grams_of(fp, ["id", "source"], "fp", None).distinct()
+    laid = grams_of(body, ["source", "page_no"], "body", widths)
+    pairs = sought.join(laid.hint("merge"), ["source", "width", "gram"]).select("source", "id", "page_no").distinct()
+    with_fp = pairs.join(fp.hint("merge"), ["source", "id"])
+    met = with_fp.join(body.hint("merge"), ["source", "page_no"]).filter(F.contains("body", F.col("fp"))).select("id", "page_no")
     return met.groupBy("id").agg(F.min("page_no").alias("page_no")) if first_only else met.distinct()
 
 
-def fuzzy_answers(answers: DataFrame, questions: DataFrame, threshold: float = 0.6, chars: int = 50) -> DataFrame:
+def fuzzy_answers(answers: DataFrame, questions: DataFrame, threshold: float = 0.6, chars: int = 50, block_sets: int = 20_000) -> DataFrame:
     """For each answer the question of its subject with the most similar character set, strictly above the threshold.
 
-    Jaccard similarity of the sets of the first ``chars`` characters that are no white space; ties to the smaller question id. Both have id, subject, text.
+    Jaccard similarity of the sets of the first ``chars`` characters that are no white space; ties to the smaller question id. Both have id, subject, text. Questions
+    of equal sets are taken once; the sets are dealt to blocks by a hash, the answers, a query set, visit every block of their subject, and the best of the blocks stays.
     """
-    sets = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), "subject", F.array_distinct(F.split(F.substring(F.regexp_replace("text", r"(?U)\s+", ""), 1, chars), "")).alias(p))
-    met = sets(answers, "a").join(sets(questions, "q").hint("merge"), "subject").filter(F.least(F.size("a"), F.size("q")) > threshold * F.greatest(F.size("a"), F.size("q")))
+    sets = lambda d: d.select("id", "subject", F.array_sort(F.array_distinct(F.split(F.substring(F.regexp_replace("text", r"(?U)\s+", ""), 1, chars), ""))).alias("s"))
+    distinct = sets(questions).groupBy("subject", F.col("s").alias("q")).agg(F.min("id").alias("q_id"))
+    blocks = max(16, -(-questions.count() // block_sets))
+    dealt = distinct.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+    asked = sets(answers).select(F.col("id").alias("a_id"), "subject", F.col("s").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    met = dealt.join(asked.hint("merge"), ["subject", "block"]).filter(F.least(F.size("a"), F.size("q")) > threshold * F.greatest(F.size("a"), F.size("q")))
     shared = F.size(F.array_intersect("a", "q"))
     scored = met.withColumn("score", shared / (F.size("a") + F.size("q") - shared)).filter(F.col("score") > threshold)
     best = scored.groupBy("a_id").agg(F.max(F.struct("score", (-F.col("q_id")).alias("m"))).alias("b"))
@@ -49,13 +104,29 @@ def offset_pages(offsets: DataFrame, pages: DataFrame) -> DataFrame:
     return offsets.join(ranged.select("doc", "page_no", "start", "end").hint("merge"), "doc").filter((F.col("off") >= F.col("start")) & (F.col("off") < F.col("end"))).select("doc", "off", "page_no")
 
 
-def cluster_boxes(boxes: DataFrame, gap: float = 30.0) -> DataFrame:
-    """Boxes of a page, by top, join while the next top is less than ``gap`` under the lowest bottom so far. boxes: page, id, top, bottom."""
+def cluster_boxes(boxes: DataFrame, gap: float = 30.0, share: float = 0.05, least_height: float = 20.0, pad: float = 0.1) -> DataFrame:
+    """Boxes of a page that form figures. boxes: page, id, left, top, right, bottom, page_width, page_height.
+
+    Boxes of more than 0.8 of the page both ways, and those under 5 both ways, go. The others, by top, join while the next top is less than ``gap`` under the lowest bottom
+    so far. A cluster of at least ``share`` of the page and ``least_height`` stays, widened by ``pad`` of its height within the page.
+    """
+    width, height = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
+    border = (width > 0.8 * F.col("page_width")) & (height > 0.8 * F.col("page_height"))
+    fine = boxes.filter(~border & ~((width < 5) & (height < 5)))
     order = Window.partitionBy("page").orderBy("top", "bottom", "id")
     low = F.max("bottom").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(low.isNull() | (F.col("top") - low >= gap), 1).otherwise(0)
-    numbered = boxes.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("page", "cluster").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.count("*").alias("n"))
+    numbered = fine.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = numbered.groupBy("page", "cluster").agg(F.min("left").alias("l"), F.min("top").alias("t"), F.max("right").alias("r"), F.max("bottom").alias("b"), F.count("*").alias("n"), F.max("page_width").alias("w"), F.max("page_height").alias("h"))
+    kept = whole.filter(((F.col("r") - F.col("l")) * (F.col("b") - F.col("t")) >= share * F.col("w") * F.col("h")) & (F.col("b") - F.col("t") >= least_height)).withColumn("p", pad * (F.col("b") - F.col("t")))
+    low_end, high_end = (lambda c: F.greatest(F.lit(0.0), F.col(c) - F.col("p"))), (lambda c, m: F.least(F.col(m).cast("double"), F.col(c) + F.col("p")))
+    return kept.select("page", "cluster", low_end("l").alias("left"), low_end("t").alias("top"), high_end("r", "w").alias("right"), high_end("b", "h").alias("bottom"), "n")
+
+
+def resolve_refs(refs: DataFrame, listing: DataFrame) -> DataFrame:
+    """Image references with ``found``: whether a file of that path is listed. refs: ref; listing: path."""
+    there = listing.select(F.col("path").alias("ref"), F.lit(True).alias("found")).distinct()
+    return refs.join(there.hint("merge"), "ref", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def relink_by_hash(attached: DataFrame, inserted: DataFrame) -> DataFrame:
@@ -64,8 +135,15 @@ def relink_by_hash(attached: DataFrame, inserted: DataFrame) -> DataFrame:
 
 
 def apply_corrections(questions: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Corrected texts by id; null keeps the original, a text that still has private-use characters is refused. The hash follows."""
-    c = corrections.select("id", F.col("question_text").alias("_new"))
-    fine = F.col("_new").isNotNull() & (T.pua_count("_new") == 0)
-    joined = questions.join(c, "id", "left").withColumn("corrected", F.coalesce(fine, F.lit(False)))
-    return joined.withColumn("question_text", F.when(F.col("corrected"), F.col("_new")).otherwise(F.col("question_text"))).drop("_new").withColumn("text_hash", T.text_hash("question_text"))
+    """Corrected fields by id: those columns of ``corrections`` besides id. Null keeps the original, a value that still has private-use characters is refused.
+
+    ``n_corrected`` and ``n_refused`` count the fields of a row. The hash follows the question text.
+    """
+    fields = [c for c in corrections.columns if c != "id"]
+    c = corrections.select("id", *(F.col(f).alias(f"_{f}") for f in fields))
+    joined = questions.join(c.hint("merge"), "id", "left")
+    fine = {f: F.col(f"_{f}").isNotNull() & (T.pua_count(f"_{f}") == 0) for f in fields}
+    total = lambda flags: sum((F.coalesce(x, F.lit(False)).cast("long") for x in flags), F.lit(0).cast("long"))
+    joined = joined.withColumns({"n_corrected": total(fine.values()), "n_refused": total(F.col(f"_{f}").isNotNull() & (T.pua_count(f"_{f}") > 0) for f in fields)})
+    out = joined.withColumns({f: F.when(fine[f], F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}).drop(*(f"_{f}" for f in fields))
+    return out.withColumn("text_hash", T.text_hash("question_text"))

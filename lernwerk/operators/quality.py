@@ -19,7 +19,7 @@ def rules(long_text: int = 3000) -> list[tuple[str, Column, Column]]:
         ("markdown_image_reference", F.when(F.col("n_assets") == 0, "medium").otherwise("info"), images > 0),
         ("raw_html_table", F.lit("medium"), F.contains(F.lower(body), F.lit("<table")) | F.contains(F.lower(body), F.lit("</table>"))),
         ("latex_array", F.lit("medium"), F.contains(body, F.lit("\\begin{array}")) | F.contains(body, F.lit("\\end{array}"))),
-        ("details_or_mermaid", F.lit("medium"), F.contains(F.lower(body), F.lit("<details")) | F.contains(F.lower(body), F.lit("```mermaid"))),
+        ("mineru_details_or_mermaid", F.lit("medium"), F.contains(F.lower(body), F.lit("<details")) | F.contains(F.lower(body), F.lit("```mermaid"))),
         ("unbalanced_code_fence", F.lit("high"), F.regexp_count(body, F.lit("```")) % 2 == 1),
         ("very_long_question_text", F.lit("medium"), F.length(body) > long_text),
     ]
@@ -32,9 +32,20 @@ def issues(questions: DataFrame) -> DataFrame:
     return each.select("id", "subject", "i.issue_type", "i.severity", "preview")
 
 
-def summary(found: DataFrame) -> DataFrame:
-    """Issues by type and by severity, and all."""
-    return found.groupingSets([[], [F.col("issue_type")], [F.col("severity")]], "issue_type", "severity").agg(F.count("*").alias("n"))
+def asset_issues(assets: DataFrame, listing: DataFrame) -> DataFrame:
+    """Assets whose file is not listed, as issues of their question. assets: question_id, path; listing: path."""
+    return missing_assets(assets, listing).select(F.col("question_id").alias("id"), F.lit(None).cast("string").alias("subject"), F.lit("missing_asset_file").alias("issue_type"), F.lit("critical").alias("severity"), F.lit("").alias("preview"))
+
+
+def summary(found: DataFrame, questions: DataFrame, assets: DataFrame) -> DataFrame:
+    """name, a, b, n: issues by type and by severity, questions by subject and type and by source, and how many questions and assets there are. questions: subject, question_type, source."""
+    blank = F.lit(None).cast("string")
+    count = lambda name, rows, *by: rows.groupBy(*by).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), *[*(F.col(c).cast("string").alias(k) for c, k in zip(by, "ab")), *(blank.alias(k) for k in "ab"[len(by) :])], "n")
+    parts = [count("issue_type", found, "issue_type"), count("severity", found, "severity"), count("subject_type", questions, "subject", "question_type"), count("source", questions, "source"), count("questions", questions), count("assets", assets)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def top_issues(found: DataFrame, limit: int = 200) -> DataFrame:
@@ -42,7 +53,7 @@ def top_issues(found: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def missing_assets(assets: DataFrame, listing: DataFrame) -> DataFrame:
-    return assets.join(listing.select("path"), "path", "left_anti")
+    return assets.join(listing.select("path").hint("merge"), "path", "left_anti")
 
 
 def pua_histogram(rows: DataFrame, text: str = "question_text") -> DataFrame:
@@ -51,7 +62,11 @@ def pua_histogram(rows: DataFrame, text: str = "question_text") -> DataFrame:
     return each.groupBy("ch").agg(F.count("*").alias("n")).withColumn("code", F.hex(F.encode("ch", "UTF-16BE")))
 
 
-def change_report(rows: DataFrame, text: str = "question_text") -> DataFrame:
-    """How many texts a repair of private-use characters and rule lines changes, and the characters before and after."""
-    after = T.drop_rules(T.pua_repair(text))
-    return rows.select(F.col(text).alias("a"), after.alias("b")).agg(F.count("*").alias("total"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"), F.sum(T.pua_count("a")).cast("long").alias("pua_before"), F.sum(T.pua_count("b")).cast("long").alias("pua_after"))
+def change_report(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """For each field, and under ``(rows)`` for rows of which any field changes: how many a repair of private-use characters and rule lines changes or not, and the private-use characters before and after."""
+    repaired = lambda f: T.drop_rules(T.pua_repair(f))
+    differs = {f: ~F.col(f).eqNullSafe(repaired(f)) for f in fields}
+    each = [F.struct(F.lit(f).alias("field"), differs[f].alias("changed"), T.pua_count(f).alias("a"), T.pua_count(repaired(f)).alias("b")) for f in fields]
+    any_of = F.struct(F.lit("(rows)").alias("field"), F.greatest(*differs.values(), F.lit(False)).alias("changed"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    long = rows.select(F.explode(F.array(*each, any_of)).alias("x")).select("x.*")
+    return long.groupBy("field").agg(F.count_if("changed").alias("changed"), F.count_if(~F.col("changed")).alias("unchanged"), F.sum("a").cast("long").alias("pua_before"), F.sum("b").cast("long").alias("pua_after"))

@@ -38,13 +38,14 @@ def by_subject(questions: DataFrame) -> DataFrame:
 
 def random_questions(questions: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n complete questions in a hash order that the seed fixes."""
-    return questions.filter(complete_choice()).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    return questions.filter(complete_choice()).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "id")), "id").limit(n)
 
 
 def first_by_hash(rows: DataFrame, hash_col: str = "text_hash", order: str = "id") -> DataFrame:
     """The first row of each hash; rows without a hash all stay."""
     w = Window.partitionBy(hash_col).orderBy(order)
-    return rows.withColumn("_r", F.when(F.col(hash_col).isNull(), 1).otherwise(F.row_number().over(w))).filter("_r = 1").drop("_r")
+    known = rows.filter(F.col(hash_col).isNotNull()).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return known.unionByName(rows.filter(F.col(hash_col).isNull()))  # these meet nowhere
 
 
 def dedup_against(rows: DataFrame, stored: DataFrame, hash_col: str = "text_hash") -> DataFrame:
@@ -61,5 +62,6 @@ def import_stats(rows: DataFrame, stored: DataFrame, hash_col: str = "text_hash"
 
 def ordered_list(rows: DataFrame, key: str, item: str, order: str) -> DataFrame:
     """The items of each key in order, comma-joined, each once."""
-    packed = F.array_sort(F.collect_list(F.struct(order, item)))
-    return rows.groupBy(key).agg(F.array_join(F.array_distinct(F.transform(packed, lambda x: x[item])), ",").alias("items"), F.count("*").alias("n"))
+    first = rows.groupBy(key, item).agg(F.min(order).alias(order), F.count("*").alias("n"))
+    packed = F.array_sort(F.collect_list(F.struct(order, item)))  # distinct items only
+    return first.groupBy(key).agg(F.array_join(F.transform(packed, lambda x: x[item]), ",").alias("items"), F.sum("n").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C
 from ..functions import text as T
 
+# What begins a question, a chapter, a section and an option, and an exam year.
 START = r"^\s*(\d{1,4})\s*[.、．]\s*(?:$|[^\s\d])"
 CHAPTER = r"^\s*第\s*(\d+)\s*章\s*(.*)$"
 SECTION = r"^\s*(\d{1,2}\.\d{1,2})\s+(\S.*)$"
@@ -19,13 +20,13 @@ def parse_pages(pages: DataFrame, patterns: list[str] | None = None) -> DataFram
     """doc, number, page_no, chapter, section, answer_ref, exam_year, question_text, option_a..e, text_hash.
 
     pages: doc, page_no, text. A question reaches from its number to the next, over pages, and lies on the page of its number. Chapter,
-    section and answer reference are the last ones above it; their lines belong to no question. Two options at least are
+    section and answer reference (as it is written) are the last ones above it; their lines belong to no question. Two options at least are
     options, of a letter that repeats the last; fewer stay in the text. Null texts count as empty, questions without text go.
     """
     w = Window.partitionBy("doc").orderBy("page_no", "line_no").rowsBetween(Window.unboundedPreceding, 0)
     lines = pages.select("doc", "page_no", F.posexplode(F.split(C.page_noise("text", patterns), "\n", -1)).alias("line_no", "line"))
     line = F.col("line")
-    is_chapter, is_section, ref = F.regexp_like(line, F.lit(CHAPTER)), F.regexp_like(line, F.lit(SECTION)), T.answer_ref(line)
+    is_chapter, is_section, ref = F.regexp_like(line, F.lit(CHAPTER)), F.regexp_like(line, F.lit(SECTION)), F.nullif(F.regexp_extract(line, T.ANSWER_REF, 0), F.lit(""))
     is_start = F.regexp_like(line, F.lit(START))
     chapter = F.when(is_chapter, F.concat(F.lit("第"), F.regexp_extract(line, CHAPTER, 1), F.lit("章 "), F.trim(F.regexp_extract(line, CHAPTER, 2))))
     section = F.when(is_section, F.concat(F.regexp_extract(line, SECTION, 1), F.lit(" "), F.trim(F.regexp_extract(line, SECTION, 2))))

@@ -13,7 +13,6 @@ from .functions import cleaning as C
 from .functions import text as T
 from .operators import attempts as A
 from .operators import banks as B
-from .operators import quality as Q
 from .plans import pages as PG
 from .plans import regions as G
 from .sources import corpora as K
@@ -118,14 +117,14 @@ def logged(c: DataFrame) -> DataFrame:
     return B.recent_runs(c.sparkSession.read.schema(c.select("id", "source", "created_at").schema).parquet(path))
 
 
-def report(issues: DataFrame) -> DataFrame:
+def report(issues: DataFrame, summary: DataFrame) -> DataFrame:
     path = folder(issues.sparkSession)
-    O.write_qc_report(issues, Q.summary(issues), path)
+    O.write_qc_report(issues, summary, path)
     return issues.sparkSession.read.text(f"{path}/report").withColumnRenamed("value", "line")
 
 
 #: Over the tables ``issues`` and ``texts``.
-REPORT = r""", s AS (SELECT i.*, trim(regexp_replace(question_text, '\s+', ' ', 'g')) AS x FROM issues i JOIN texts USING (id) WHERE severity IN ('high', 'critical')),
+REPORT = r""", s AS (SELECT i.*, CASE WHEN issue_type = 'missing_asset_file' THEN '' ELSE trim(regexp_replace(question_text, '\s+', ' ', 'g')) END AS x FROM issues i LEFT JOIN texts USING (id) WHERE severity IN ('high', 'critical')),
   g AS (SELECT concat('- Q', id, ': ', issue_type, ' | ', subject, ' | ', CASE WHEN length(x) > 160 THEN concat(substr(x, 1, 160), '...') ELSE x END) AS line FROM s ORDER BY id, issue_type LIMIT 200)
   SELECT unnest(['## Issues by severity', '## Issues by type', '## Grave issues']) AS line UNION ALL SELECT concat('- ', severity, ': ', count(*)) FROM issues GROUP BY severity
   UNION ALL SELECT concat('- ', issue_type, ': ', count(*)) FROM issues GROUP BY issue_type UNION ALL SELECT line FROM g UNION ALL SELECT concat('- ... ', count(*) - 200, ' more') FROM s HAVING count(*) > 200"""
@@ -136,7 +135,7 @@ FILE = "regexp_replace(source_pdf, '[.]pdf$', '')"
 ENTRIES = [
     ("clean_page_noise", "texts", lambda t: t.select("id", F.md5(C.page_noise(F.concat("question_text", F.lit("\n\n\n\n· 第 3 页，共 "), F.col("id"), F.lit(" 页 ·\n\n")))).alias("h")), rf"SELECT id, md5(trim(regexp_replace(question_text, '\n{{3,}}', concat(chr(10), chr(10)), 'g'), {WS})) AS h FROM texts"),
     ("strip_footer_lines", "texts", lambda t: t.select("id", F.md5(C.footer_lines(F.concat(F.lit("Q: "), "subject", F.lit("?\n"), F.when(F.col("id") % 2 == 0, "short words\n3.2 part\n\n").otherwise("kept words\n= x"), F.when(F.col("id") % 3 == 0, "\n第 1 页，共 2 页").otherwise("")))).alias("h")), "SELECT id, md5(concat('Q: ', subject, '?', CASE WHEN id % 2 = 0 THEN '' ELSE concat(chr(10), 'kept words', chr(10), '= x') END)) AS h FROM texts"),
-    ("restore_breaks_and_spacing", "texts", lambda t: t.select("id", C.part_spacing(T.breaks(F.concat("subject", F.lit("<BR />(1) a<br>("), F.col("id") + 1, F.lit(") b<br>(0) c")))).alias("x")), "SELECT id, concat(subject, chr(10), chr(10), chr(10), '(1) a', chr(10), chr(10), chr(10), '(', id + 1, ') b', chr(10), '(0) c') AS x FROM texts"),
+    ("restore_breaks_and_spacing", "texts", lambda t: t.select("id", F.md5(C.part_spacing(T.breaks(F.concat(F.regexp_replace("question_text", r"\n(?=[A-Z])", "<BR />("), F.lit("<br>("), F.col("id") + 1, F.lit(") b<br>(0) c"))))).alias("x")), r"SELECT id, md5(regexp_replace(concat(regexp_replace(question_text, '\n([A-Z])', concat(chr(10), '(\1'), 'g'), chr(10), '(', id + 1, ') b', chr(10), '(0) c'), '\n([（(][1-9]\d*[）)])', concat(chr(10), chr(10), chr(10), '\1'), 'g')) AS x FROM texts"),
     ("code_line_regions", "texts", regions, "SELECT id, CAST(CASE WHEN id % 3 = 0 THEN 3 ELSE 0 END AS BIGINT) AS n_c, CAST(CASE WHEN id % 3 = 1 THEN 3 ELSE 0 END AS BIGINT) AS n_asm, CAST(CASE WHEN id % 3 = 2 THEN 2 ELSE 5 END AS BIGINT) AS n_lines FROM texts"),
     ("mark_inline_asm", "texts", lambda t: t.select("id", C.mark_inline_asm(F.concat(F.lit("use MOV or int, ```mov``` `jmp` "), "subject", F.lit("_ call"), F.when(F.col("id") % 2 == 0, " ```ret").otherwise(""))).alias("x")), "SELECT id, concat('use `MOV` or int, ```mov``` `jmp` ', subject, '_ `call`', CASE WHEN id % 2 = 0 THEN ' ```ret' ELSE '' END) AS x FROM texts"),
     ("clean_question_fields", "questions", lambda q: G.clean_fields(mixed(q), ["question_text", "option_a", "analysis"]), f"SELECT id, {sql_text(CLEANED)} AS question_text, CASE WHEN id % 2 = 0 THEN concat('a  ', chr(10), 'b ', id, '.') END AS option_a, '' AS analysis FROM questions"),

@@ -35,7 +35,7 @@ def read_package(spark: SparkSession, path: str) -> DataFrame:
 
 def upsert(manifest: DataFrame, entry: DataFrame, key: str = "id") -> DataFrame:
     """Entries of equal id are replaced, others appended."""
-    return manifest.join(entry.select(key), key, "left_anti").unionByName(entry, allowMissingColumns=True)
+    return manifest.join(entry.select(key).hint("merge"), key, "left_anti").unionByName(entry, allowMissingColumns=True)
 
 
 def write_notes(notes: DataFrame, path: str) -> None:

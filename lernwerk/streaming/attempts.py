@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,8 +44,10 @@ def misconception_stream(graded: DataFrame) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or one of our own where all run in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{named.rstrip('/') if named else tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
 
 

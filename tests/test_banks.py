@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lernwerk.functions import replies as R
+from lernwerk.functions import text as T
 from lernwerk.operators import banks as B
 
 
@@ -13,8 +14,8 @@ def test_replies_and_lists(spark):
     assert [r.y.cause for r in rows.select(R.analysis("x").alias("y")).collect()][1:] == ["broken", None]
     assert [r.y for r in rows.select(F.size(R.page_answers("x")).alias("y")).collect()] == [0, 0, 0]
     assert [r.y for r in rows.select(R.appended("x", F.lit("broken")).alias("y")).collect()][1:] == ["broken", "broken"]
-    one = spark.createDataFrame([("Q? A. x y B、z\nD) w",), ("no options",)], "x string")
-    assert [r.y for r in one.select(R.options_in("x").alias("y")).collect()] == [{"A": "x y", "B": "z", "D": "w"}, {}]
+    one = spark.createDataFrame([("Q?主A. x F8B. y b.z\nD. w",), ("no options",), ("C. first A. x",), (None,)], "x string")
+    assert [tuple(r.y) for r in one.select(T.inline_options("x").alias("y")).collect()] == [("Q?主", "x F8B. y", "z", None, "w"), ("no options", None, None, None, None), ("C. first", "", None, "first A. x", None), (None,) * 5]
 
 
 def test_banks(spark):

@@ -73,7 +73,13 @@ def expected(text):
                     n += 1
         out += "c" * n
         i += n
-    return "".join(out)
+    # ``int`` is an instruction as well: those in sequence, single blank lines between them, are assembly, and regions that touch are one, in the language of the first
+    is_asm = [bool(re.match(r"int\b", x.strip())) for x in lines]
+    asm = [a or (x.strip() == "" and 0 < k < len(lines) - 1 and is_asm[k - 1] and is_asm[k + 1]) for k, (a, x) in enumerate(zip(is_asm, lines))]
+    own = ["c" if o == "c" else "x86asm" if asm[k] and (asm[k - 1 : k] == [True] or asm[k + 1 : k + 2] == [True]) else "-" for k, o in enumerate(out)]
+    for k in range(1, len(own)):
+        own[k] = own[k - 1] if own[k] != "-" and own[k - 1] != "-" else own[k]
+    return "".join(own)
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
@@ -89,7 +95,7 @@ def test_c_regions_equal_line_by_line(spark, texts):
 def test_pages(spark):
     rows = [("d", 1, "第 1 章 One\n1.1 Sec\n（答案见P7）\n1. stem【2021 真题】\nA. x\nB. y 第 1 页，共 2 页"), ("d", 2, "more\n2、 essay\nA. lone"), ("d", 3, None), ("e", 1, "no numbers")]
     got = PG.parse_pages(spark.createDataFrame(rows, "doc string, page_no int, text string")).orderBy("number").collect()
-    assert [(r.number, r.page_no, r.chapter, r.section, r.answer_ref, r.exam_year) for r in got] == [(1, 1, "第1章 One", "1.1 Sec", "P7", "2021统考真题"), (2, 2, "第1章 One", "1.1 Sec", "P7", None)]
+    assert [(r.number, r.page_no, r.chapter, r.section, r.answer_ref, r.exam_year) for r in got] == [(1, 1, "第1章 One", "1.1 Sec", "（答案见P7）", "2021统考真题"), (2, 2, "第1章 One", "1.1 Sec", "（答案见P7）", None)]
     assert (got[0].question_text, got[0].option_a, got[0].option_b, got[0].option_c) == ("stem", "x", "y\nmore", None)
     assert (got[1].question_text, got[1].option_a) == ("essay\nA. lone", None)
 

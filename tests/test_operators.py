@@ -50,7 +50,7 @@ def test_text_functions(spark):
     assert one(spark, T.strip, "\u3000 a b \n") == "a b"
     assert one(spark, T.question_number, "12、abc") == 12 and one(spark, T.question_number, "abc") is None
     assert one(spark, T.exam_year, "【2023 统考真题】x") == "2023统考真题"
-    assert one(spark, T.answer_ref, "（该节答案见书本P15）") == "P15"
+    assert one(spark, T.answer_ref, "（该节答案见书本P15）") == "答案见原书P15"
     assert one(spark, T.safe_relative_path, "a\\b/c.png") == "a/b/c.png"
     assert [one(spark, T.safe_relative_path, p) for p in ("/a", "C:\\a", "a/../b", "")] == [None] * 4
     assert one(spark, T.infer_subject, "x/Operating System/1.md") == "操作系统" and one(spark, T.infer_subject, "x") == T.UNKNOWN_SUBJECT
