@@ -84,6 +84,25 @@ def listing(q: DataFrame) -> DataFrame:
     return q.select(F.when(F.substring(brand, -1, 1).isin("1", "3"), F.concat(F.lit("/d/"), F.upper(brand), F.lit(".PDF"))).otherwise(F.concat(F.lit("/d/"), brand, F.lit(".md"))).alias("path")).distinct()
 
 
+def removed(q: DataFrame, a: DataFrame, c: DataFrame) -> DataFrame:
+    """How many rows stay and go when every third question, and ids that no question has, are removed."""
+    ids = q.select((F.col("id") * 3).alias("id"))
+    ids = ids.union(q.select((F.col("id") * 3 + 3_000_000_000).alias("id"))).union(c.filter("question_id % 3 = 0").select("question_id"))
+    ids = ids.union(a.filter("question_id % 3 = 0").select("question_id"))
+    out = None
+    for name, (kept, gone) in B.remove_cascade(q, ids, {"assets": a, "candidates": c}).items():
+        row = kept.agg(F.lit(name).alias("name"), F.count("*").alias("kept")).join(F.broadcast(gone.agg(F.count("*").alias("removed"))), F.lit(True))  # one row each
+        out = row if out is None else out.union(row)
+    return out
+
+
+def grown(q: DataFrame, a: DataFrame) -> DataFrame:
+    """The paths of a question with one more, which even ids have already."""
+    listed = B.assets_per_question(q, a)
+    item = F.when(F.col("id") % 2 == 0, F.get(F.col("assets"), F.lit(0))["path"]).otherwise(F.col("source_pdf"))
+    return listed.select("id", R.appended(F.array_join(F.transform("assets", lambda x: x["path"]), ", "), item).alias("paths"))
+
+
 def leaks(t: DataFrame) -> DataFrame:
     x = F.lower(F.coalesce(T.strip_details("question_text"), F.lit("")))
     has = {"details": r"<details", "summary": r"<summary", "mermaid": r"```mermaid", "images": r"!\[[^\]]*\]\([^)]+\)", "tables": r"<table"}
@@ -110,6 +129,7 @@ ENTRIES = [
     ("resolve_source_file", "questions", lambda q: B.resolve_files(q.select("id", "source_pdf"), listing(q), "source_pdf").select("id", "path"), "SELECT id, CASE WHEN right(b, 1) IN ('1', '3') THEN concat('/d/', upper(b), '.PDF') ELSE concat('/d/', b, '.md') END AS path FROM (SELECT id, regexp_replace(source_pdf, '[.]pdf$', '') AS b FROM questions)"),
     ("batch_select", "questions", lambda q: q.join(q.filter("id % 50 = 1").select("id").hint("merge"), "id", "left_semi").select("id", "question_text"), "SELECT id, question_text FROM questions WHERE id % 50 = 1"),
     ("batch_remove", "questions", lambda q: B.remove_batch(q.select("id", "subject"), q.select((F.col("id") * 3).alias("id")))[0], "SELECT id, subject FROM questions WHERE id NOT IN (SELECT id * 3 FROM questions)"),
+    ("batch_remove_cascade", "questions assets candidates", removed, "SELECT 'questions' AS name, count(*) FILTER (id % 3 <> 0) AS kept, count(*) FILTER (id % 3 = 0) AS removed FROM questions UNION ALL SELECT 'assets', count(*) FILTER (question_id % 3 <> 0), count(*) FILTER (question_id % 3 = 0) FROM assets UNION ALL SELECT 'candidates', count(*) FILTER (question_id % 3 <> 0), count(*) FILTER (question_id % 3 = 0) FROM candidates"),
     ("schema_evolution_union", "questions candidates", lambda q, c: q.select("id", "answer").unionByName(c.select("id", F.col("answer_text").alias("answer"), "confidence"), allowMissingColumns=True), "SELECT id, answer, CAST(NULL AS DOUBLE) AS confidence FROM questions UNION ALL SELECT id, answer_text, confidence FROM candidates"),
     ("ordered_union_distinct", "questions", lambda q: S.ordered_list(q.select("subject", "id", F.explode(A.tags()).alias("tag")), "subject", "tag", "id"), "WITH e AS (SELECT subject, id, trim(t) AS tag FROM (SELECT subject, id, unnest(string_split(coalesce(knowledge_tag, ''), ',')) AS t FROM questions) WHERE trim(t) <> ''), f AS (SELECT subject, tag, min(id) AS id, count(*) AS n FROM e GROUP BY 1, 2) SELECT subject, string_agg(tag, ',' ORDER BY id, tag) AS items, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY 1"),
     ("latest_bank_import", "candidates", lambda c: B.latest_run(c, "source"), "SELECT source, created_at, id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, id DESC) AS r FROM candidates) WHERE r = 1"),
@@ -148,6 +168,6 @@ ENTRIES = [
     ("answers_from_page_reply", "questions", answered, "SELECT source_pdf, id AS number, answer FROM questions WHERE trim(answer) <> ''"),
     ("json_list_loads", "questions", as_list, "SELECT id, CASE WHEN id % 3 = 0 THEN concat(chapter, '|b') ELSE chapter END AS items FROM questions WHERE chapter IS NOT NULL"),
     ("payload_merge", "candidates", lambda c: c.select("id", R.merged_payload(F.when(F.col("id") % 5 == 0, "plain").otherwise(F.concat(F.lit('{"k": "'), F.col("source"), F.lit('", "model": "old"}'))), model=F.lit("m"), uncertainty_reason=F.col("answer_text")).alias("p")), "SELECT id, CASE WHEN id % 5 = 0 THEN 'plain' ELSE concat('{\"k\":\"', source, '\",\"model\":\"m\",\"uncertainty_reason\":\"', answer_text, '\"}') END AS p FROM candidates"),
-    ("path_list_append", "questions", lambda q: q.select("id", R.appended(F.when(F.col("id") % 2 == 0, "a.png, b.png"), F.when(F.col("id") % 4 == 0, F.lit("b.png")).otherwise(F.concat(F.col("id"), F.lit(".png")))).alias("paths")), "SELECT id, CASE WHEN id % 4 = 0 THEN 'a.png,b.png' WHEN id % 2 = 0 THEN concat('a.png,b.png,', id, '.png') ELSE concat(id, '.png') END AS paths FROM questions"),
+    ("path_list_append", "questions assets", grown, "SELECT q.id, CASE WHEN q.id % 2 = 0 THEN coalesce(l, '') ELSE concat_ws(',', l, source_pdf) END AS paths FROM questions q LEFT JOIN (SELECT question_id, string_agg(path, ',' ORDER BY id) AS l FROM assets GROUP BY 1) ON question_id = q.id"),
     ("prompt_table", "questions", lambda q: q.select("id", R.prompt(include_key=True).alias("prompt")), "SELECT id, concat_ws(chr(10), concat('Subject: ', subject), question_text, 'A. ' || option_a, 'B. ' || option_b, 'C. ' || option_c, 'D. ' || option_d, 'Key: ' || nullif(trim(answer), '')) AS prompt FROM questions"),
 ]

@@ -284,10 +284,10 @@ QUERIES |= {
     "stream_grade": on_stream(lambda g: g.select("id", "question_id", "key", "key_source", "key_confidence", "is_correct"), "append"),
     "stream_tag_mastery": on_stream(ST.mastery_stream, "complete"),
     "stream_misconception_frequency": on_stream(ST.misconception_stream, "complete"),
-    "stream_wrong_book": on_stream(lambda g: A.wrong_book(g).drop("review_count", "last_review_at"), "complete"),
+    "stream_wrong_book": on_stream(lambda g: A.wrong_book_of_events(g.withColumn("is_review", F.col("id") % 4 == 0)), "complete"),
     "stream_accuracy_trend": on_stream(lambda g: ST.accuracy_trend(g).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "subject", "total", "correct"), "complete"),
 }
-ORACLES |= {"stream_grade": ORACLES["grade_attempts"], "stream_tag_mastery": ORACLES["tag_mastery"], "stream_wrong_book": with_ctes(f"WITH {GRADED}, {BOOK} SELECT * FROM book", *GRADING.split())}
+ORACLES |= {"stream_grade": ORACLES["grade_attempts"], "stream_tag_mastery": ORACLES["tag_mastery"], "stream_wrong_book": ORACLES["wrong_book_batch"]}
 ORACLES["stream_misconception_frequency"] = with_ctes(f"WITH {GRADED}, {FIRST} SELECT question_id, frequency, user_answer FROM firsts", *GRADING.split())
 ORACLES["stream_accuracy_trend"] = with_ctes(f"WITH {GRADED} SELECT date_trunc('day', create_time) AS day, subject, count(*) AS total, count(*) FILTER (is_correct) AS correct FROM graded GROUP BY 1, 2", *GRADING.split())
 

@@ -151,6 +151,19 @@ def wrong_book(graded: DataFrame, reviews: DataFrame | None = None) -> DataFrame
     return joined.withColumn("last_status", status).withColumn("review_count", F.coalesce("_n", F.lit(0)).cast("long")).withColumn("last_review_at", F.col("_at")).drop("_last", "_n", "_at", "_ok")
 
 
+def wrong_book_of_events(events: DataFrame) -> DataFrame:
+    """``wrong_book`` in one aggregate, so on a stream too. events: graded attempts, and reviews with ``is_review`` true."""
+    wrong, seen = ~F.col("is_review") & ~F.col("is_correct"), F.col("is_review")
+    at = lambda which: F.when(which, F.col("create_time"))
+    book = events.groupBy("question_id", "subject", "chapter").agg(
+        F.min(at(wrong)).alias("added_at"), F.max(at(wrong)).alias("_last"), F.count_if(wrong).alias("wrong_attempts"),
+        F.count_if(seen).alias("review_count"), F.max(at(seen)).alias("last_review_at"), F.max_by("is_correct", at(seen)).alias("_ok"),
+    ).filter("wrong_attempts > 0")
+    unseen = F.when(F.col("wrong_attempts") > 1, "wrong").otherwise("unreviewed")
+    status = F.when(F.col("last_review_at") >= F.col("_last"), F.when(F.col("_ok"), "correct").otherwise("wrong")).otherwise(unseen)
+    return book.withColumn("last_status", status).drop("_last", "_ok")
+
+
 def wrong_stats(book: DataFrame) -> DataFrame:
     """Counts over all, for each subject and for each status; ``review_rate``: the share that is no longer unreviewed."""
     counts = book.groupingSets([[], [F.col("subject")], [F.col("last_status")]], "subject", "last_status")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordered import last_before, sum_before
 
 
 def assets_per_question(questions: DataFrame, assets: DataFrame) -> DataFrame:
@@ -26,6 +27,13 @@ def remove_batch(rows: DataFrame, ids: DataFrame, key: str = "id") -> tuple[Data
     return rows.join(listed, key, "left_anti"), rows.join(listed, key, "left_semi")
 
 
+def remove_cascade(questions: DataFrame, ids: DataFrame, hanging: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """By name, the rows that stay and those that go: the questions of the listed ids, and with them the rows that hang on them by question_id."""
+    listed = ids.select("id").distinct()
+    out = {"questions": remove_batch(questions, listed)}
+    return out | {name: remove_batch(rows, listed.withColumnRenamed("id", "question_id"), "question_id") for name, rows in hanging.items()}
+
+
 def with_question(book: DataFrame, questions: DataFrame) -> DataFrame:
     """Error-book rows with their question as a struct ``question``; null where it is gone."""
     nested = questions.select(F.col("id").alias("question_id"), F.struct(*(c for c in questions.columns if c not in ("id", "answer", "analysis"))).alias("question"))
@@ -113,14 +121,13 @@ def images_of_pages(questions: DataFrame, images: DataFrame, numbered: DataFrame
 
 def carry_last_number(pages: DataFrame) -> DataFrame:
     """For each page the last number that stands on an earlier page of its document. pages: doc, page_no, number (null where none)."""
-    w = Window.partitionBy("doc").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    return pages.withColumn("carried", F.last("number", ignorenulls=True).over(w))
+    return last_before(pages, "doc", "page_no", "number", "carried")
 
 
 def page_offsets(pages: DataFrame) -> DataFrame:
     """Pages with the place of their first character in the document, pages joined by newlines. pages: doc, page_no, text."""
-    w = Window.partitionBy("doc").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    return pages.select("doc", "page_no", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).alias("start"), F.length("text").cast("long").alias("n_chars"))
+    sized = pages.select("doc", "page_no", F.length("text").cast("long").alias("n_chars"))
+    return sum_before(sized.withColumn("_n", F.col("n_chars") + 1), "doc", "page_no", "_n", "start").select("doc", "page_no", "start", "n_chars")
 
 
 def trivial_page(text: str, chars: int = 50, lines: int = 2) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .banks import page_offsets
 
 
 GRAM = 16
@@ -97,11 +98,21 @@ def nearest_above(questions: DataFrame, images: DataFrame, same_page: bool = Fal
     return both.withColumn("number", F.last("number", ignorenulls=True).over(w)).filter("_o = 1").select("doc", "image", "number")
 
 
-def offset_pages(offsets: DataFrame, pages: DataFrame) -> DataFrame:
-    """The page whose character range holds an offset. offsets: doc, off; pages: doc, page_no, text in page order, joined by newlines."""
-    w = Window.partitionBy("doc").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    ranged = pages.withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))).withColumn("end", F.col("start") + F.length("text") + 1)
-    return offsets.join(ranged.select("doc", "page_no", "start", "end").hint("merge"), "doc").filter((F.col("off") >= F.col("start")) & (F.col("off") < F.col("end"))).select("doc", "off", "page_no")
+def offset_pages(offsets: DataFrame, pages: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """The page whose character range holds an offset. offsets: doc, off; pages: doc, page_no, text in page order, joined by newlines.
+
+    A backward as-of join within stretches of ``width`` characters of a document: no pairs, and no task holds a whole document. A page that reaches into more stretches
+    stands in each. Null offsets and documents, and offsets that no page holds, give no row.
+    """
+    ranged = page_offsets(pages).filter("doc IS NOT NULL").withColumn("end", F.col("start") + F.col("n_chars") + 1)
+    part = lambda c: F.floor(F.col(c) / width)
+    laid = ranged.select("doc", "page_no", "start", "end", F.explode(F.sequence(part("start"), F.floor((F.col("end") - 1) / width))).alias("part"))
+    laid = laid.select("doc", "part", F.greatest("start", F.col("part") * width).alias("at"), F.struct("page_no", "end").alias("page"), F.lit(None).cast("long").alias("off"))
+    sought = offsets.filter("doc IS NOT NULL AND off IS NOT NULL").withColumn("off", F.col("off").cast("long"))
+    sought = sought.select("doc", part("off").alias("part"), F.col("off").alias("at"), F.lit(None).cast(laid.schema["page"].dataType).alias("page"), "off")
+    w = Window.partitionBy("doc", "part").orderBy("at", F.asc_nulls_first("off")).rowsBetween(Window.unboundedPreceding, 0)
+    met = laid.unionByName(sought).withColumn("page", F.last("page", ignorenulls=True).over(w))
+    return met.filter(F.col("off").isNotNull() & (F.col("off") < F.col("page.end"))).select("doc", "off", "page.page_no")
 
 
 def cluster_boxes(boxes: DataFrame, gap: float = 30.0, share: float = 0.05, least_height: float = 20.0, pad: float = 0.1) -> DataFrame:

@@ -21,31 +21,69 @@ from .streaming.attempts import folder
 
 WS = "concat(' ', chr(9), chr(10), chr(13))"
 #: A text with breaks, code, instructions, numbered parts and a footer, and what becomes of it.
-MIXED = "S {id}<br/>(1) use mov\nint f() {\n  g();\n}\n(2) x\nmov a, b\nadd a, 1\nend.\n第 1 页，共 {id} 页"
-CLEANED = "S {id}  \n  \n  \n(1) use `mov````c\nint f() {\n  g();\n}\n```\n  \n  \n(2) x```x86asm\nmov a, b\nadd a, 1\n```\nend."
+MIXED = "{text}<br/>(1) use mov\nint f() {\n  g();\n}\n(2) x\nmov a, b\nadd a, 1\nend.\n第 1 页，共 {id} 页"
+CLEANED = "{text}  \n  \n  \n(1) use `mov````c\nint f() {\n  g();\n}\n```\n  \n  \n(2) x```x86asm\nmov a, b\nadd a, 1\n```\nend."
 
 
 def filled_in(pattern: str) -> Column:
-    return F.replace(F.lit(pattern), F.lit("{id}"), F.col("id").cast("string"))
+    return F.replace(F.replace(F.lit(pattern), F.lit("{id}"), F.col("id").cast("string")), F.lit("{text}"), F.col("question_text"))
 
 
 def sql_text(pattern: str) -> str:
-    return "replace('" + pattern.replace("'", "''") + "', '{id}', CAST(id AS VARCHAR))"
+    return "replace(replace('" + pattern.replace("'", "''") + "', '{id}', CAST(id AS VARCHAR)), '{text}', question_text)"
 
 
 def mixed(q: DataFrame) -> DataFrame:
-    return q.select("id", filled_in(MIXED).alias("question_text"), F.when(F.col("id") % 2 == 0, filled_in("a<br>b {id}.\n\n")).alias("option_a"), F.lit("").alias("analysis"))
+    return q.select("id", filled_in(MIXED).alias("question_text"), F.when(F.col("id") % 2 == 0, filled_in("{text}<br>b {id}.\n\n")).alias("option_a"), F.lit("").alias("analysis"))
+
+
+def with_footer(t: DataFrame) -> DataFrame:
+    foot = F.when(F.col("id") % 3 == 0, "\n第 1 页，共 2 页").when(F.col("id") % 3 == 1, "\n3.2 part\nkurz ü\n\n").otherwise("\n= x")
+    return t.select("id", F.md5(C.footer_lines(F.concat("question_text", foot))).alias("h"))
+
+
+LETTERS = r"\p{L}\p{M}\p{N}\p{Pc}"
+#: The lines from the end, which of them go if all below go, and how many do.
+FOOTER = rf"""WITH l AS (SELECT id, string_split(concat(question_text, CASE id % 3 WHEN 0 THEN concat(chr(10), '第 1 页，共 2 页') WHEN 1 THEN concat(chr(10), '3.2 part', chr(10), 'kurz ü', chr(10), chr(10)) ELSE concat(chr(10), '= x') END), chr(10)) AS x FROM texts),
+  e AS (SELECT id, x, list_transform(list_reverse(x)[1:10], lambda s: trim(s, {WS})) AS r FROM l),
+  g AS (SELECT id, x, list_transform(r, lambda s, i: s = '' OR regexp_matches(s, '第\s*\d+\s*页[，,]\s*共\s*\d+\s*页') OR regexp_matches(s, '^(第\s*\d+\s*章\s*.+|\d+\.\d+\s*.+)$') OR (i > 1 AND length(s) <= 15 AND regexp_matches(s, '^[{LETTERS}\s/·]+$'))) AS good FROM e),
+  k AS (SELECT id, array_to_string(x[1:len(x) - coalesce(nullif(list_position(good, false), 0) - 1, len(good))], chr(10)) AS kept FROM g)
+  SELECT id, md5(CASE WHEN trim(kept, {WS}) = '' THEN '' ELSE regexp_replace(kept, '\n\s*$', '') END) AS h FROM k"""
+
+
+def with_instructions(t: DataFrame) -> DataFrame:
+    """Instructions after common words, within a fence, and in a fence that does not end."""
+    spread = F.regexp_replace("question_text", " (the|de|la|der) ", " mov $1 CALL add ")
+    end = F.when(F.col("id") % 3 == 0, " ```x\nmov a``` ret").when(F.col("id") % 3 == 1, " `jmp` or ```ret").otherwise("")
+    return t.select("id", F.md5(C.mark_inline_asm(F.concat(spread, end))).alias("h"))
+
+
+def marked_sql(text: str) -> str:
+    """Twice, since two instructions may share the sign between them."""
+    pattern = f"(?i)(^|[^{LETTERS}`])({'|'.join(x for x in C.X86 if x not in C.WORDS)})([^{LETTERS}`]|$)"
+    once = rf"regexp_replace({text}, '{pattern}', '\1`\2`\3', 'g')"
+    return rf"regexp_replace({once}, '{pattern}', '\1`\2`\3', 'g')"
+
+
+#: Every second part is within a fence if one more follows; else its fence has no end and is prose with the part before.
+INLINE = rf"""WITH s AS (SELECT id, string_split(concat(regexp_replace(question_text, ' (the|de|la|der) ', ' mov \1 CALL add ', 'g'), CASE id % 3 WHEN 0 THEN concat(' ```x', chr(10), 'mov a``` ret') WHEN 1 THEN ' `jmp` or ```ret' ELSE '' END), '```') AS p FROM texts),
+  j AS (SELECT id, CASE WHEN len(p) % 2 = 0 THEN list_append(p[1:len(p) - 2], concat(p[len(p) - 1], '```', p[len(p)])) ELSE p END AS p FROM s)
+  SELECT id, md5(array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 THEN x ELSE {marked_sql("x")} END), '```')) AS h FROM j"""
 
 
 def regions(t: DataFrame) -> DataFrame:
+    """Code between every two lines of a text."""
     code = F.when(F.col("id") % 3 == 0, "int f() {\n  g();\n}\n").when(F.col("id") % 3 == 1, "lw a, b\n\nsw a, b\n").otherwise("")
-    text = F.concat(code, F.regexp_replace("file", r"\W", "x"), F.lit(" ?\n: 1"))
+    text = F.concat(F.lit("· "), F.replace("question_text", F.lit("\n"), F.concat(F.lit("\n"), code, F.lit("· "))))
     return G.marked(t.select("id", text.alias("text")), ["id"]).groupBy("id").agg(F.count_if(F.col("lang") == "c").alias("n_c"), F.count_if(F.col("lang") == "x86asm").alias("n_asm"), F.count("*").alias("n_lines"))
 
 
+REGIONS = "WITH k AS (SELECT id, CAST(length(question_text) - length(replace(question_text, chr(10), '')) AS BIGINT) AS k FROM texts) SELECT id, CASE WHEN id % 3 = 0 THEN 3 * k ELSE 0 END AS n_c, CASE WHEN id % 3 = 1 THEN 3 * k ELSE 0 END AS n_asm, k + 1 + CASE WHEN id % 3 = 2 THEN 0 ELSE 3 * k END AS n_lines FROM k"
+
+
 def cells(q: DataFrame) -> DataFrame:
-    raw = F.concat(F.lit(r"x\begin{array}{cc}\mathrm{"), F.col("chapter"), F.lit(r"} & a \times "), F.col("id"), F.lit(r"\\ \left(b\right) & {c},\end{array}y"))
-    rows = q.filter("chapter IS NOT NULL").select("id", F.explode(C.array_blocks(raw)).alias("b")).select("id", F.posexplode(F.split("b", r"\\\\")).alias("row", "r"))
+    raw = F.concat(F.lit(r"x\begin{array}{cc}\mathrm{"), F.col("chapter"), F.lit("} & "), F.col("question_text"), F.lit(r" \times "), F.col("id"), F.lit(r"\\ \left("), F.col("knowledge_tag"), F.lit(r"\right) & {"), F.col("subject"), F.lit(r"},\end{array}y"))
+    rows = q.filter("chapter IS NOT NULL AND knowledge_tag IS NOT NULL").select("id", F.explode(C.array_blocks(raw)).alias("b")).select("id", F.posexplode(F.split("b", r"\\\\")).alias("row", "r"))
     each = rows.select("id", "row", F.posexplode(F.split("r", "&")).alias("cell", "x")).select("id", "row", "cell", C.latex_text("x").alias("text"))
     return each.filter("text <> ''")
 
@@ -134,12 +172,12 @@ FILE = "regexp_replace(source_pdf, '[.]pdf$', '')"
 
 ENTRIES = [
     ("clean_page_noise", "texts", lambda t: t.select("id", F.md5(C.page_noise(F.concat("question_text", F.lit("\n\n\n\n· 第 3 页，共 "), F.col("id"), F.lit(" 页 ·\n\n")))).alias("h")), rf"SELECT id, md5(trim(regexp_replace(question_text, '\n{{3,}}', concat(chr(10), chr(10)), 'g'), {WS})) AS h FROM texts"),
-    ("strip_footer_lines", "texts", lambda t: t.select("id", F.md5(C.footer_lines(F.concat(F.lit("Q: "), "subject", F.lit("?\n"), F.when(F.col("id") % 2 == 0, "short words\n3.2 part\n\n").otherwise("kept words\n= x"), F.when(F.col("id") % 3 == 0, "\n第 1 页，共 2 页").otherwise("")))).alias("h")), "SELECT id, md5(concat('Q: ', subject, '?', CASE WHEN id % 2 = 0 THEN '' ELSE concat(chr(10), 'kept words', chr(10), '= x') END)) AS h FROM texts"),
+    ("strip_footer_lines", "texts", with_footer, FOOTER),
     ("restore_breaks_and_spacing", "texts", lambda t: t.select("id", F.md5(C.part_spacing(T.breaks(F.concat(F.regexp_replace("question_text", r"\n(?=[A-Z])", "<BR />("), F.lit("<br>("), F.col("id") + 1, F.lit(") b<br>(0) c"))))).alias("x")), r"SELECT id, md5(regexp_replace(concat(regexp_replace(question_text, '\n([A-Z])', concat(chr(10), '(\1'), 'g'), chr(10), '(', id + 1, ') b', chr(10), '(0) c'), '\n([（(][1-9]\d*[）)])', concat(chr(10), chr(10), chr(10), '\1'), 'g')) AS x FROM texts"),
-    ("code_line_regions", "texts", regions, "SELECT id, CAST(CASE WHEN id % 3 = 0 THEN 3 ELSE 0 END AS BIGINT) AS n_c, CAST(CASE WHEN id % 3 = 1 THEN 3 ELSE 0 END AS BIGINT) AS n_asm, CAST(CASE WHEN id % 3 = 2 THEN 2 ELSE 5 END AS BIGINT) AS n_lines FROM texts"),
-    ("mark_inline_asm", "texts", lambda t: t.select("id", C.mark_inline_asm(F.concat(F.lit("use MOV or int, ```mov``` `jmp` "), "subject", F.lit("_ call"), F.when(F.col("id") % 2 == 0, " ```ret").otherwise(""))).alias("x")), "SELECT id, concat('use `MOV` or int, ```mov``` `jmp` ', subject, '_ `call`', CASE WHEN id % 2 = 0 THEN ' ```ret' ELSE '' END) AS x FROM texts"),
-    ("clean_question_fields", "questions", lambda q: G.clean_fields(mixed(q), ["question_text", "option_a", "analysis"]), f"SELECT id, {sql_text(CLEANED)} AS question_text, CASE WHEN id % 2 = 0 THEN concat('a  ', chr(10), 'b ', id, '.') END AS option_a, '' AS analysis FROM questions"),
-    ("latex_cell_text", "questions", cells, "SELECT id, unnest([0, 0, 1, 1]) AS row, unnest([0, 1, 0, 1]) AS cell, unnest([chapter, concat('a * ', id), '(b)', 'c']) AS text FROM questions WHERE chapter IS NOT NULL"),
+    ("code_line_regions", "texts", regions, REGIONS),
+    ("mark_inline_asm", "texts", with_instructions, INLINE),
+    ("clean_question_fields", "questions", lambda q: G.clean_fields(mixed(q), ["question_text", "option_a", "analysis"]), f"SELECT id, {sql_text(CLEANED)} AS question_text, CASE WHEN id % 2 = 0 THEN concat(question_text, '  ', chr(10), 'b ', id, '.') END AS option_a, '' AS analysis FROM questions"),
+    ("latex_cell_text", "questions", cells, "SELECT id, unnest([0, 0, 1, 1]) AS row, unnest([0, 1, 0, 1]) AS cell, unnest([chapter, concat(question_text, ' * ', id), concat('(', knowledge_tag, ')'), subject]) AS text FROM questions WHERE chapter IS NOT NULL AND knowledge_tag IS NOT NULL"),
     ("parse_page_text_corpus", "questions", lambda q: PG.parse_pages(as_pages(q)).drop("answer_ref", "option_c", "option_d", "option_e", "text_hash"), "SELECT source_pdf AS doc, CAST(id % 1000 + 1 AS INTEGER) AS number, page_number AS page_no, '第2章 X' AS chapter, concat('1.', page_number % 9 + 1, ' part') AS section, CASE WHEN id % 4 = 0 THEN '2020统考真题' END AS exam_year, question_text, CASE WHEN question_type = 'choice' THEN subject END AS option_a, CASE WHEN question_type = 'choice' THEN 'two' END AS option_b FROM questions"),
     ("scan_markdown_corpus", "questions", markdown_files, f"SELECT {FILE} AS file, md5(string_agg(concat('## 1.', page_number, ' ', subject, chr(10), id % 1000 + 1, '. ', question_text, chr(10), 'A. one', chr(10), 'B. two'), chr(10) ORDER BY id)) AS h FROM questions GROUP BY 1"),
     ("write_bank_package", "questions assets candidates", package, PACKAGE),
