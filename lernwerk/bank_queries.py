@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import replies as R
@@ -12,6 +12,7 @@ from .operators import banks as B
 from .operators import links as L
 from .operators import quality as Q
 from .operators import questions as S
+from .plans import pages as PG
 from .plans import parsing as P
 
 WS = "concat(' ', chr(9), chr(10), chr(13))"
@@ -27,10 +28,19 @@ def shown(assets: DataFrame) -> DataFrame:
     return assets.select("id", F.array_join(F.transform("assets", lambda x: x["path"]), ",").alias("paths"), F.coalesce(F.size("assets"), F.lit(0)).cast("long").alias("n"))
 
 
+#: Ids of the questions in a made-up file, so that files do not grow with the table.
+FILE_IDS = 10_000
+FILE = f"concat(regexp_replace(source_pdf, '[.]pdf$', ''), '-', id // {FILE_IDS})"
+
+
+def file_of(name: Column, key: str) -> Column:
+    return F.concat(name, F.lit("-"), F.floor(F.col(key) / FILE_IDS))
+
+
 def as_corpus(q: DataFrame) -> DataFrame:
-    """Questions put together as numbered texts, a file for each brand."""
+    """Questions put together as numbered texts, a file for each brand and range of ids."""
     block = F.concat(F.lit("## 1."), F.col("page_number"), F.lit(" "), F.col("subject"), F.lit("\n"), F.col("id") % 1000 + 1, F.lit(". "), F.col("question_text"), F.lit("\nA. one\nB. two"))
-    file = F.regexp_replace("source_pdf", r"\.pdf$", "")
+    file = file_of(F.regexp_replace("source_pdf", r"\.pdf$", ""), "id")
     return q.groupBy(file.alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", block.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
 
 
@@ -65,8 +75,43 @@ def analysed(t: DataFrame) -> DataFrame:
 
 
 def answered(q: DataFrame) -> DataFrame:
-    raw = F.concat(F.lit('{"questions": [{"number": '), F.col("id"), F.lit(', "answer": "'), F.col("answer"), F.lit('"}, {"number": -1, "answer": " "}]}'))
-    return q.select("source_pdf", F.explode(R.page_answers(raw)).alias("a")).select("source_pdf", "a.number", "a.answer")
+    """Replies to pages of a question each: some name a chapter, some a section, some are broken."""
+    named = F.to_json(F.struct(F.when(F.col("id") % 5 == 0, F.concat(F.lit("c"), "id")).alias("chapter"), F.when(F.col("id") % 7 == 0, F.col("chapter")).alias("section")))
+    asked = F.concat(F.lit('[{"number": '), "id", F.lit(', "answer": " '), F.lower("answer"), F.lit('", "exam_year": "'), F.when(F.col("id") % 4 == 0, "2020").otherwise(""), F.lit('"}, {"number": -1, "answer": " "}]'))
+    whole = F.concat(F.lit('```json\n{"context": '), named, F.lit(', "questions": '), asked, F.lit("}\n```"))
+    pages = q.select(F.col("source_pdf").alias("doc"), F.col("id").alias("page_no"), F.when(F.col("id") % 11 == 1, "no JSON").otherwise(whole).alias("reply"))
+    return PG.answers_of_pages(pages).select("doc", "number", "answer", "section", "knowledge_tag")
+
+
+#: A page with a section has id % 7 = 0 and a chapter column that is not null.
+ANSWERED = """WITH p AS (SELECT *, id % 11 <> 1 AS ok FROM questions), c AS (SELECT *, last_value(CASE WHEN ok AND id % 5 = 0 THEN concat('c', id) END IGNORE NULLS) OVER w AS ch, last_value(CASE WHEN ok AND id % 7 = 0 THEN chapter END IGNORE NULLS) OVER w AS se FROM p WINDOW w AS (PARTITION BY source_pdf ORDER BY id))
+  SELECT source_pdf AS doc, id AS number, answer, coalesce(se, ch) AS section, concat_ws(',', coalesce(se, ch), CASE WHEN id % 4 = 0 THEN '2020' END) AS knowledge_tag FROM c WHERE ok AND trim(answer) <> ''"""
+
+
+def prompts(a: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
+    """Every kind of prompt: on questions by their type, on all for the tutor, on wrong attempts, and on the pages that hold the questions."""
+    q = q.withColumn("analysis", F.concat(F.lit("see "), "chapter"))
+    wrong = A.grade(a, q, c).filter("NOT is_correct").select(F.col("id").alias("attempt"), "question_id", "user_answer", "key")
+    wrong = wrong.join(q.withColumnRenamed("id", "question_id").hint("merge"), "question_id")
+    kind = lambda rows, key, name, text: rows.select(F.col(key).alias("id"), F.lit(name).alias("kind"), text.alias("prompt"))
+    pages = PG.correction_blocks(q.withColumnsRenamed({"source_pdf": "doc", "page_number": "page_no"}))
+    out = kind(q.filter("question_type = 'choice'"), "id", "answer", R.answer_prompt()).union(kind(q.filter("question_type <> 'choice'"), "id", "essay", R.essay_prompt()))
+    return out.union(kind(q, "id", "tutor", R.tutor_prompt())).union(kind(wrong, "attempt", "mistake", R.mistake_prompt())).union(kind(pages, "first_id", "page", F.col("prompt")))
+
+
+OPTION_LINES = "'A. ' || option_a, 'B. ' || option_b, 'C. ' || option_c, 'D. ' || option_d"
+PROMPTS = f"""WITH w AS (SELECT g.id, g.user_answer, g.key, q.* EXCLUDE (id) FROM graded g JOIN questions q ON q.id = g.question_id WHERE NOT is_correct)
+  SELECT id, 'answer' AS kind, concat_ws(chr(10), 'Subject: ' || subject, 'Question: ' || question_text, {OPTION_LINES}) AS prompt FROM questions WHERE question_type = 'choice'
+  UNION ALL SELECT id, 'essay', concat('【', subject, '】', chr(10), '题目：', question_text) FROM questions WHERE question_type <> 'choice'
+  UNION ALL SELECT id, 'tutor', concat_ws(chr(10), concat('[当前题目] 科目:', subject, ' 章节:', chapter), concat('题目: ', question_text), CASE WHEN option_a <> '' THEN concat('A.', option_a, ' B.', option_b, ' C.', option_c, ' D.', option_d) END, '正确答案: ' || nullif(answer, ''), '解析: see ' || chapter) FROM questions
+  UNION ALL SELECT id, 'mistake', concat_ws(chr(10), concat('科目：', subject), concat('章节：', coalesce(chapter, '未知')), concat('题目：', question_text), '选项：', {OPTION_LINES}, concat('学生答案：', user_answer, '（错误）'), concat('正确答案：', key)) FROM w
+  UNION ALL SELECT min(id), 'page', string_agg(concat_ws(chr(10), concat('[ID=', id, '] 题目: ', question_text), '  A. ' || option_a, '  B. ' || option_b, '  C. ' || option_c, '  D. ' || option_d), chr(10) || chr(10) ORDER BY id) FROM questions GROUP BY source_pdf, page_number, id // 1000"""
+
+
+def scanned(t: DataFrame) -> DataFrame:
+    """Pages with blank lines and a counter at their foot."""
+    pages = t.select(F.col("file").alias("doc"), F.col("id").alias("page_no"), F.concat("question_text", F.lit("\n\n\n\n· 第 3 页，共 "), "id", F.lit(" 页 ·\n\n")).alias("text"))
+    return PG.scan_pages(pages).withColumn("text", F.md5("text"))
 
 
 def as_list(q: DataFrame) -> DataFrame:
@@ -146,13 +191,13 @@ ENTRIES = [
     ("apply_corrections", "texts", fixes, "SELECT id, CAST((id % 5 = 0 AND id % 10 <> 0) AS BIGINT) + CAST((id % 7 = 0) AS BIGINT) AS n_corrected, CAST((id % 10 = 0) AS BIGINT) AS n_refused, CASE WHEN id % 7 = 0 THEN concat(file, '!') ELSE file END AS file, md5(CASE WHEN id % 5 = 0 AND id % 10 <> 0 THEN concat('fixed ', file) ELSE question_text END) AS h FROM texts"),
     ("pua_repair_report", "texts", B.pua_report, f"WITH c AS (SELECT file, len(regexp_extract_all(question_text, '{PUA_SQL}')) AS a, len(regexp_extract_all(replace(question_text, chr(61617), ''), '{PUA_SQL}')) AS b FROM texts) SELECT file, count(*) FILTER (a > 0) AS affected, CAST(sum(a) AS BIGINT) AS before, CAST(sum(b) AS BIGINT) AS after, count(*) FILTER (b > 0) AS still_affected FROM c GROUP BY file"),
     ("trivial_page_filter", "texts", lambda t: t.groupBy("file").agg(F.count("*").alias("pages"), F.count_if(B.trivial_page("question_text")).alias("trivial"), F.min(F.when(~B.trivial_page("question_text"), F.col("id"))).alias("first_kept")), f"WITH p AS (SELECT id, file, length(trim(question_text, {WS})) < 50 OR len(list_filter(string_split(question_text, chr(10)), lambda x: trim(x, {WS}) <> '')) <= 2 AS trivial FROM texts) SELECT file, count(*) AS pages, count(*) FILTER (trivial) AS trivial, min(id) FILTER (NOT trivial) AS first_kept FROM p GROUP BY 1"),
-    ("scan_page_text", "texts", lambda t: B.page_offsets(t.select(F.col("file").alias("doc"), F.col("id").alias("page_no"), F.col("question_text").alias("text"))), "SELECT file AS doc, id AS page_no, CAST(coalesce(sum(length(question_text) + 1) OVER (PARTITION BY file ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(question_text) AS n_chars FROM texts"),
+    ("scan_page_text", "texts", scanned, rf"WITH c AS (SELECT file, id, trim(regexp_replace(question_text, '\n{{3,}}', concat(chr(10), chr(10)), 'g'), {WS}) AS x FROM texts) SELECT file AS doc, id AS page_no, CAST(coalesce(sum(length(x) + 1) OVER (PARTITION BY file ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(x) AS n_chars, md5(x) AS text FROM c"),
     ("carry_last_question", "texts", lambda t: B.carry_last_number(t.select(F.col("file").alias("doc"), F.col("id").alias("page_no"), F.when(T.question_number("question_text").isNotNull(), F.col("id")).alias("number"))).select("doc", "page_no", "carried"), r"SELECT file AS doc, id AS page_no, last_value(CASE WHEN regexp_matches(question_text, '^\s*\d{1,4}\s*[.、．]') THEN id END IGNORE NULLS) OVER (PARTITION BY file ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM texts"),
     ("fingerprint_all_pages", "texts", lambda t: L.fingerprint_pages(t.withColumn("source", F.col("file")), t.select(F.col("file").alias("source"), F.col("id").alias("page_no"), F.col("question_text").alias("text")), first_only=False), rf"WITH n AS (SELECT id, file, regexp_replace(regexp_replace(question_text, '{PUA_SQL}', '', 'g'), '[\s\x{{3000}}\x{{00A0}}\x{{2028}}\x{{2029}}\x{{0085}}]+', '', 'g') AS b FROM texts), f AS (SELECT id, file, substr(b, 1, 40) AS fp FROM n) SELECT DISTINCT f.id, n.id AS page_no FROM f JOIN n ON f.file = n.file AND contains(n.b, f.fp) WHERE length(f.fp) >= 5"),
     # corpora
-    ("section_carry_forward", "questions", lambda q: P.carry_sections(P.lines(as_corpus(q))).filter(F.regexp_like("line", F.lit(P.START))).select("file", F.col("block").cast("long").alias("block"), "section"), "SELECT regexp_replace(source_pdf, '[.]pdf$', '') AS file, row_number() OVER (PARTITION BY source_pdf ORDER BY id) AS block, concat('1.', page_number, ' ', subject) AS section FROM questions"),
-    ("question_block_split", "questions", lambda q: P.carry_sections(P.lines(as_corpus(q))).filter((F.col("block") > 0) & ~F.regexp_like("line", F.lit(P.SECTION))).groupBy("file", F.col("block").cast("long").alias("block")).agg(F.count("*").alias("n_lines")), "SELECT regexp_replace(source_pdf, '[.]pdf$', '') AS file, row_number() OVER (PARTITION BY source_pdf ORDER BY id) AS block, CAST(3 AS BIGINT) AS n_lines FROM questions"),
-    ("parse_summary", "questions", lambda q: P.parse(as_corpus(q)).groupBy("file").agg(F.count("*").alias("parsed"), F.count("option_a").alias("with_options"), F.count_if(F.size(T.image_refs("question_text")) > 0).alias("with_images"), F.count_if(T.pua_count("question_text") > 0).alias("with_pua")), "SELECT regexp_replace(source_pdf, '[.]pdf$', '') AS file, count(*) AS parsed, count(*) AS with_options, CAST(0 AS BIGINT) AS with_images, CAST(0 AS BIGINT) AS with_pua FROM questions GROUP BY 1"),
+    ("section_carry_forward", "questions", lambda q: P.carry_sections(P.lines(as_corpus(q))).filter(F.regexp_like("line", F.lit(P.START))).select("file", F.col("block").cast("long").alias("block"), "section"), f"SELECT {FILE} AS file, row_number() OVER (PARTITION BY source_pdf, id // {FILE_IDS} ORDER BY id) AS block, concat('1.', page_number, ' ', subject) AS section FROM questions"),
+    ("question_block_split", "questions", lambda q: P.carry_sections(P.lines(as_corpus(q))).filter((F.col("block") > 0) & ~F.regexp_like("line", F.lit(P.SECTION))).groupBy("file", F.col("block").cast("long").alias("block")).agg(F.count("*").alias("n_lines")), f"SELECT {FILE} AS file, row_number() OVER (PARTITION BY source_pdf, id // {FILE_IDS} ORDER BY id) AS block, CAST(3 AS BIGINT) AS n_lines FROM questions"),
+    ("parse_summary", "questions", lambda q: P.parse(as_corpus(q)).groupBy("file").agg(F.count("*").alias("parsed"), F.count("option_a").alias("with_options"), F.count_if(F.size(T.image_refs("question_text")) > 0).alias("with_images"), F.count_if(T.pua_count("question_text") > 0).alias("with_pua")), f"SELECT {FILE} AS file, count(*) AS parsed, count(*) AS with_options, CAST(0 AS BIGINT) AS with_images, CAST(0 AS BIGINT) AS with_pua FROM questions GROUP BY 1"),
     ("options_extract", "questions", lambda q: q.select("id", T.inline_options(F.concat("question_text", F.lit("（ ）A. "), "subject", F.lit("  b.two\nC. "), "source_pdf", F.lit("主机D. four F8A. x"))).alias("o")).select("id", "o.stem", *(F.col(f"o.{k}").alias(f"option_{k}") for k in "abcd")), "SELECT id, concat(question_text, '（ ）') AS stem, subject AS option_a, 'two' AS option_b, concat(source_pdf, '主机') AS option_c, 'four F8A. x' AS option_d FROM questions"),
     ("strip_markdown_images", "texts", lambda t: t.select("id", F.md5(T.strip_images("question_text")).alias("h")), rf"SELECT id, md5(trim(regexp_replace(regexp_replace(question_text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\n{{3,}}', concat(chr(10), chr(10)), 'g'), {WS})) AS h FROM texts"),
     ("strip_details_blocks", "texts", lambda t: t.select("id", F.md5(T.strip_details(F.concat(F.substring("question_text", 1, 40), F.lit("<details>\n"), F.substring("question_text", 41, 60), F.lit("</DETAILS>"), F.substr("question_text", F.lit(101))))).alias("h")), "SELECT id, md5(concat(substr(question_text, 1, 40), substr(question_text, 101))) AS h FROM texts"),
@@ -165,9 +210,9 @@ ENTRIES = [
     # replies and prompts
     ("candidate_from_reply", "candidates", reply, "SELECT id, CASE WHEN id % 9 = 0 THEN '' ELSE answer_text END AS answer, CASE WHEN id % 9 = 0 THEN 0.0 ELSE confidence END AS confidence, id % 9 <> 0 AND answer_text <> '' AND is_verified AND confidence >= 0.8 AS usable FROM candidates"),
     ("analysis_from_reply", "texts", analysed, "SELECT id, md5(CASE WHEN id % 2 = 0 THEN concat('c', id) ELSE substr(question_text, 1, 500) END) AS h, CAST(CASE WHEN id % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n FROM texts"),
-    ("answers_from_page_reply", "questions", answered, "SELECT source_pdf, id AS number, answer FROM questions WHERE trim(answer) <> ''"),
+    ("answers_from_page_reply", "questions", answered, ANSWERED),
     ("json_list_loads", "questions", as_list, "SELECT id, CASE WHEN id % 3 = 0 THEN concat(chapter, '|b') ELSE chapter END AS items FROM questions WHERE chapter IS NOT NULL"),
-    ("payload_merge", "candidates", lambda c: c.select("id", R.merged_payload(F.when(F.col("id") % 5 == 0, "plain").otherwise(F.concat(F.lit('{"k": "'), F.col("source"), F.lit('", "model": "old"}'))), model=F.lit("m"), uncertainty_reason=F.col("answer_text")).alias("p")), "SELECT id, CASE WHEN id % 5 = 0 THEN 'plain' ELSE concat('{\"k\":\"', source, '\",\"model\":\"m\",\"uncertainty_reason\":\"', answer_text, '\"}') END AS p FROM candidates"),
+    ("payload_merge", "candidates", lambda c: c.select("id", R.merged_payload(F.when(F.col("id") % 5 == 0, "plain").otherwise(F.concat(F.lit('{"k": "'), F.col("source"), F.lit('", "n": ['), F.col("id"), F.lit(', true], "model": "old"}'))), model=F.lit("m"), uncertainty_reason=F.col("answer_text")).alias("p")), "SELECT id, CASE WHEN id % 5 = 0 THEN 'plain' ELSE concat('{\"k\":\"', source, '\",\"n\":[', id, ',true],\"model\":\"m\",\"uncertainty_reason\":\"', answer_text, '\"}') END AS p FROM candidates"),
     ("path_list_append", "questions assets", grown, "SELECT q.id, CASE WHEN q.id % 2 = 0 THEN coalesce(l, '') ELSE concat_ws(',', l, source_pdf) END AS paths FROM questions q LEFT JOIN (SELECT question_id, string_agg(path, ',' ORDER BY id) AS l FROM assets GROUP BY 1) ON question_id = q.id"),
-    ("prompt_table", "questions", lambda q: q.select("id", R.prompt(include_key=True).alias("prompt")), "SELECT id, concat_ws(chr(10), concat('Subject: ', subject), question_text, 'A. ' || option_a, 'B. ' || option_b, 'C. ' || option_c, 'D. ' || option_d, 'Key: ' || nullif(trim(answer), '')) AS prompt FROM questions"),
+    ("prompt_table", GRADING, prompts, PROMPTS, True),
 ]

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sink_queries as SK
-from .bank_queries import ENTRIES
+from .bank_queries import ENTRIES, FILE_IDS, file_of
 from .functions import text as T
 from .operators import attempts as A
 from .operators import banks as B
+from .operators import conversations as CV
 from .operators import links as L
 from .operators import quality as Q
 from .operators import questions as S
@@ -207,7 +208,7 @@ def offset_page_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts put together as a numbered corpus, a file for each brand: a chapter of sections, each with a question."""
+    """Parts put together as a numbered corpus, a file for each brand and range of keys: a chapter of sections, each with a question."""
     part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     block = F.concat(
@@ -215,18 +216,21 @@ def parse_markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n3.14 is none（ ）A. one B. "), "p_type", F.lit("\nC. three F8D. no\nD. four\n![x](images/"), "p_size", F.lit(".png)"), F.when(key % 3 == 0, F.concat(F.lit("\n（该节答案见书本P"), key, F.lit("）"))).otherwise(""),
     )
     blocks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", block.alias("b")))), lambda x: x["b"]), "\n")
-    corpus = part.groupBy(F.col("p_brand").alias("file")).agg(F.concat(F.lit("## 第3章 "), F.first("p_brand"), F.lit("\n1.5 x\n"), blocks).alias("text"))
+    corpus = part.groupBy(file_of(F.col("p_brand"), "p_partkey").alias("file")).agg(F.concat(F.lit("## 第3章 "), F.first("p_brand"), F.lit("\n1.5 x\n"), blocks).alias("text"))
     return P.parse(corpus).drop("text_hash")
 
 
 def transcript_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    line = F.concat(F.col("role"), F.lit(": "), F.coalesce("text", F.lit("")))
-    return turns.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n")).alias("transcript_md5"), F.count("*").alias("n"))
+    turns = table(spark, sf_dir, "conversations").withColumnRenamed("turn", "at")
+    return CV.transcripts(turns).select("conv_id", F.md5("transcript").alias("transcript_md5"), "n")
 
 
 def conversation_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.count_if(F.col("role") == "user").alias("questions"))
+    """Turns as times. Every third turn of the assistant is marked a turn later, some of it in broken JSON."""
+    turns = table(spark, sf_dir, "conversations").withColumnRenamed("turn", "at")
+    marked = turns.filter("role = 'assistant' AND (conv_id + at) % 3 = 0")
+    marks = marked.select("conv_id", (F.col("at") + 1).alias("at"), F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("[broken "), "at")).otherwise(F.to_json(F.array(F.substring("text", 1, 40), F.col("at").cast("string")))).alias("bookmarks"))
+    return CV.activity(turns.select("conv_id", "at", "role"), marks).select("conv_id", "last_activity", F.array_join("bookmarks", "|").alias("bookmarks"), "questions")
 
 
 def near_empty_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,11 +261,12 @@ ORACLES |= {
       SELECT page, CAST(cluster AS BIGINT) AS cluster, greatest(0.0, x0 - 0.1 * (y1 - y0)) AS left, greatest(0.0, y0 - 0.1 * (y1 - y0)) AS top, least(600.0, x1 + 0.1 * (y1 - y0)) AS right, least(1000.0, y1 + 0.1 * (y1 - y0)) AS bottom, n FROM g WHERE (x1 - x0) * (y1 - y0) >= 0.05 * 600 * 1000 AND y1 - y0 >= 20""",
     "offset_page_interval": """WITH p AS (SELECT source AS doc, doc_id AS page_no, coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(text) + 1 AS n FROM documents)
       SELECT o.source AS doc, o.doc_id * 13 AS off, p.page_no FROM documents o JOIN p ON p.doc = o.source AND o.doc_id * 13 >= p.s AND o.doc_id * 13 < p.s + p.n""",
-    "parse_markdown_corpus": """SELECT p_brand AS file, CAST(p_partkey % 1000 + 1 AS INTEGER) AS number, concat('第3章 ', p_brand) AS chapter, concat('1.', p_size, ' ', p_type) AS section, CASE WHEN p_partkey % 3 = 0 THEN concat('答案见原书P', p_partkey) END AS answer_ref,
+    "parse_markdown_corpus": f"""SELECT concat(p_brand, '-', p_partkey // {FILE_IDS}) AS file, CAST(p_partkey % 1000 + 1 AS INTEGER) AS number, concat('第3章 ', p_brand) AS chapter, concat('1.', p_size, ' ', p_type) AS section, CASE WHEN p_partkey % 3 = 0 THEN concat('答案见原书P', p_partkey) END AS answer_ref,
       CASE WHEN p_partkey % 4 = 0 THEN '2020统考真题' END AS exam_year, concat('1.', p_size, ' ', p_type, CASE WHEN p_partkey % 4 = 0 THEN ',2020统考真题' ELSE '' END) AS knowledge_tag,
       concat(p_name, CASE WHEN p_partkey % 4 = 0 THEN '【2020 统考真题】' ELSE '' END, chr(10), '3.14 is none（ ）') AS question_text, 'one' AS option_a, p_type AS option_b, 'three F8D. no' AS option_c, concat('four', chr(10), '![x](images/', p_size, '.png)') AS option_d, concat('images/', p_size, '.png') AS images FROM part""",
     "transcript_build": "SELECT conv_id, md5(string_agg(concat(role, ': ', coalesce(text, '')), chr(10) ORDER BY turn)) AS transcript_md5, count(*) AS n FROM conversations GROUP BY conv_id",
-    "conversation_activity": "SELECT conv_id, max(turn) AS last_turn, count(*) FILTER (role = 'user') AS questions FROM conversations GROUP BY conv_id",
+    "conversation_activity": """WITH m AS (SELECT conv_id, turn + 1 AS done, concat_ws('|', substr(text, 1, 40), turn) AS b FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 3 = 0), k AS (SELECT conv_id, max(done) AS done, arg_max(b, done) AS b FROM m GROUP BY 1)
+      SELECT conv_id, greatest(max(turn), coalesce(max(k.done), -1)) AS last_activity, CASE WHEN conv_id % 4 = 0 THEN '' ELSE coalesce(max(k.b), '') END AS bookmarks, count(*) FILTER (role = 'user') AS questions FROM conversations LEFT JOIN k USING (conv_id) GROUP BY conv_id ORDER BY last_activity DESC, conv_id""",
     "near_empty_ratio": "SELECT source AS doc, avg(CASE WHEN length(trim(text, concat(' ', chr(9), chr(10), chr(13)))) < 200 THEN 1.0 ELSE 0.0 END) AS ratio, avg(CASE WHEN length(trim(text, concat(' ', chr(9), chr(10), chr(13)))) < 200 THEN 1.0 ELSE 0.0 END) >= 0.5 AS scanned FROM documents GROUP BY source",
     "answer_fuzzy_match": rf"""WITH a AS (SELECT item_id AS id, list_distinct(string_split(substr(regexp_replace(text, '{BLANKS}', '', 'g'), 1, 50), '')) AS s FROM benchmark),
       q AS (SELECT doc_id AS id, list_distinct(string_split(substr(regexp_replace(text, '{BLANKS}', '', 'g'), 1, 50), '')) AS s FROM documents),

@@ -27,16 +27,28 @@ def analysis(c: str | Column, most: int = 500) -> Column:
     return F.struct(F.coalesce(read["cause"], F.substring(T.col(c), 1, most)).alias("cause"), F.coalesce(read["concepts"], F.array().cast("array<string>")).alias("concepts"))
 
 
+#: What a reply to a page tells.
+PAGE_REPLY = "context struct<chapter:string,section:string>, questions array<struct<number:long,answer:string,exam_year:string>>"
+NO_ANSWERS = "array<struct<number:bigint,answer:string,exam_year:string>>"
+
+
 def page_answers(c: str | Column) -> Column:
-    """(number, answer) of the questions in the reply to a page that have an answer; none for broken replies."""
-    read = F.from_json(unfenced(c), "questions array<struct<number:long,answer:string>>")["questions"]
-    return F.filter(F.coalesce(read, F.array().cast("array<struct<number:bigint,answer:string>>")), lambda q: F.coalesce(F.trim(q["answer"]), F.lit("")) != "")
+    """(number, answer, exam_year) of the questions in the reply to a page that have an answer, in capitals; none for broken replies."""
+    read = F.from_json(unfenced(c), PAGE_REPLY)["questions"]
+    tidy = F.transform(F.coalesce(read, F.array().cast(NO_ANSWERS)), lambda q: F.struct(q["number"].alias("number"), F.upper(T.strip(q["answer"])).alias("answer"), F.nullif(T.strip(q["exam_year"]), F.lit("")).alias("exam_year")))
+    return F.filter(tidy, lambda q: F.coalesce(q["answer"], F.lit("")) != "")
+
+
+def page_context(c: str | Column) -> Column:
+    """(chapter, section) that the reply to a page names; null where it names none."""
+    read = F.from_json(unfenced(c), PAGE_REPLY)["context"]
+    return F.struct(*(F.nullif(read[k], F.lit("")).alias(k) for k in ("chapter", "section")))
 
 
 def merged_payload(c: str | Column, **more: Column) -> Column:
-    """A JSON object with more members, values as strings; anything else passes as it is."""
-    read = F.from_json(T.col(c), "map<string,string>")
-    new = F.create_map(*(x for k, v in more.items() for x in (F.lit(k), v)))
+    """A JSON object with more members; members that are there keep their types, of one name the new one stays. Anything else passes as it is."""
+    read = F.from_json(T.col(c), "map<string,variant>")
+    new = F.create_map(*(x for k, v in more.items() for x in (F.lit(k), v.cast("variant"))))
     old = F.map_filter(read, lambda k, v: ~k.isin(list(more)))
     return F.when(T.strip(c).startswith("{") & read.isNotNull(), F.to_json(F.map_concat(old, new))).otherwise(T.col(c))
 
@@ -47,11 +59,44 @@ def appended(c: str | Column, item: Column) -> Column:
     return F.array_join(F.when(item.isNull() | F.array_contains(parts, item), parts).otherwise(F.array_append(parts, item)), ",")
 
 
-def prompt(include_key: bool = False) -> Column:
-    """The text that asks about a question: its parts that are there, a line each; with the key only on demand."""
-    labelled = [F.concat(F.lit(f"{k}. "), F.col(f"option_{k.lower()}")) for k in "ABCD"]
-    key = [F.concat(F.lit("Key: "), F.nullif(F.trim("answer"), F.lit("")))] if include_key else []
-    return F.concat_ws("\n", F.concat(F.lit("Subject: "), F.col("subject")), "question_text", *labelled, *key)
+def labelled(label: str, c: str | Column) -> Column:
+    """The label and the value behind it; null if there is no value."""
+    return F.concat(F.lit(label), F.nullif(T.col(c), F.lit("")))
+
+
+def option_lines(letters: str = "ABCD", indent: str = "") -> list[Column]:
+    return [labelled(f"{indent}{k}. ", f"option_{k.lower()}") for k in letters]
+
+
+# Fixed values within the next five: the labels that prompts give to the parts of a question. Parts that are null or empty are left out.
+def answer_prompt(letters: str = "ABCD") -> Column:
+    """Asks for the answer of a choice question."""
+    return F.concat_ws("\n", labelled("Subject: ", "subject"), F.concat(F.lit("Question: "), "question_text"), *option_lines(letters))
+
+
+def essay_prompt() -> Column:
+    """Asks for a reference answer to an open question."""
+    return F.concat_ws("\n", F.concat(labelled("【", "subject"), F.lit("】")), F.concat(F.lit("题目："), "question_text"))
+
+
+def mistake_prompt(answer: str = "user_answer", key: str = "key") -> Column:
+    """Asks why a wrong answer was given; a chapter that is not known is said to be so."""
+    about = [labelled("科目：", "subject"), F.concat(F.lit("章节："), F.coalesce(F.nullif(F.col("chapter"), F.lit("")), F.lit("未知"))), F.concat(F.lit("题目："), "question_text")]
+    return F.concat_ws("\n", *about, F.lit("选项："), *option_lines(), F.concat(labelled("学生答案：", answer), F.lit("（错误）")), labelled("正确答案：", key))
+
+
+def tutor_prompt() -> Column:
+    """What a tutor is told of the question at hand: options only if there is a first one; null parts are empty."""
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    options = F.when(has("option_a"), F.concat_ws(" ", *(F.concat(F.lit(f"{k}."), empty(f"option_{k.lower()}")) for k in "ABCD")))
+    head = F.concat(F.lit("[当前题目] 科目:"), empty("subject"), F.lit(" 章节:"), empty("chapter"))
+    return F.concat_ws("\n", head, F.concat(F.lit("题目: "), empty("question_text")), options, labelled("正确答案: ", "answer"), labelled("解析: ", "analysis"))
+
+
+def correction_part() -> Column:
+    """A question within a prompt that asks for corrections of a page."""
+    return F.concat_ws("\n", F.concat(F.lit("[ID="), "id", F.lit("] 题目: "), "question_text"), *option_lines(indent="  "))
 
 
 def note(tag: str = "tag", mastery: str = "mastery_score", wrong: str = "wrong_count") -> Column:

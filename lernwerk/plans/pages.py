@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
+from ..functions import replies as R
 from ..functions import text as T
+from ..operators.ordered import last_before, sum_before
 
 # What begins a question, a chapter, a section and an option, and an exam year.
 START = r"^\s*(\d{1,4})\s*[.、．]\s*(?:$|[^\s\d])"
@@ -16,6 +18,39 @@ OPTION = r"\n\s*([A-Ea-e])\s*[.、．)]\s*"
 YEAR = r"【\s*\d{4}\s*(?:统考)?真题\s*】"
 
 
+def scan_pages(pages: DataFrame, patterns: list[str] | None = None) -> DataFrame:
+    """doc, page_no, start, n_chars, text: cleaned page texts, and where each begins in its document, pages joined by newlines.
+
+    pages: doc, page_no (whole numbers), text. Null texts count as empty.
+    """
+    clean = pages.select("doc", "page_no", F.coalesce(C.page_noise("text", patterns), F.lit("")).alias("text"))
+    sized = clean.withColumn("n_chars", F.length("text").cast("long")).withColumn("_n", F.col("n_chars") + 1)
+    return sum_before(sized, "doc", "page_no", "_n", "start").select("doc", "page_no", "start", "n_chars", "text")
+
+
+def answers_of_pages(replies: DataFrame) -> DataFrame:
+    """doc, page_no, number, answer, section, knowledge_tag of the questions that the replies to pages give an answer to.
+
+    replies: doc, page_no (whole numbers), reply. Chapter and section that a page does not name are those of the pages before; the chapter
+    stands in for a section that none names. Broken replies give no answers and name nothing.
+    """
+    read = replies.select("doc", "page_no", R.page_answers("reply").alias("_answers"), R.page_context("reply").alias("_c")).select("doc", "page_no", "_answers", "_c.*")
+    for part in ("chapter", "section"):
+        read = last_before(read, "doc", "page_no", part, "_earlier").withColumn(part, F.coalesce(part, "_earlier")).drop("_earlier")
+    each = read.select("doc", "page_no", F.coalesce("section", "chapter").alias("section"), F.explode("_answers").alias("a"))
+    return each.select("doc", "page_no", "a.number", "a.answer", "section", F.concat_ws(",", "section", "a.exam_year").alias("knowledge_tag"))
+
+
+def correction_blocks(questions: DataFrame, width: int = 1000) -> DataFrame:
+    """doc, page_no, first_id, n, prompt: the questions of a page in one prompt, by id; of a page with more, those of each ``width`` ids.
+
+    questions: doc, page_no, id, question_text, option_a..d. A prompt holds ``width`` questions at most if ids do not repeat.
+    """
+    packed = F.array_sort(F.collect_list(F.struct("id", R.correction_part().alias("part"))))
+    blocks = questions.groupBy("doc", "page_no", F.floor(F.col("id") / width).alias("_range")).agg(F.min("id").alias("first_id"), F.count("*").alias("n"), packed.alias("_p"))
+    return blocks.select("doc", "page_no", "first_id", "n", F.array_join(F.transform("_p", lambda x: x["part"]), "\n\n").alias("prompt"))
+
+
 def parse_pages(pages: DataFrame, patterns: list[str] | None = None) -> DataFrame:
     """doc, number, page_no, chapter, section, answer_ref, exam_year, question_text, option_a..e, text_hash.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bank_queries import as_corpus, hashed
+from .bank_queries import FILE, FILE_IDS, as_corpus, file_of, hashed
 from .functions import cleaning as C
 from .functions import text as T
 from .operators import attempts as A
@@ -89,10 +89,10 @@ def cells(q: DataFrame) -> DataFrame:
 
 
 def as_pages(q: DataFrame) -> DataFrame:
-    """Questions put together as page texts, a document for each source."""
+    """Questions put together as page texts, a document for each source and range of ids."""
     block = F.concat(F.col("id") % 1000 + 1, F.lit(". "), F.when(F.col("id") % 4 == 0, "【2020 统考真题】").otherwise(""), F.col("question_text"), F.when(F.col("question_type") == "choice", F.concat(F.lit("\nA. "), F.col("subject"), F.lit("\nb、two"))).otherwise(""))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", block.alias("b")))), lambda x: x["b"]), "\n")
-    return q.groupBy(F.col("source_pdf").alias("doc"), F.col("page_number").alias("page_no")).agg(F.concat(F.lit("第2章 X\n1."), F.col("page_number") % 9 + 1, F.lit(" part\n"), body, F.lit("\n\n\n第 1 页，共 9 页")).alias("text"))
+    return q.groupBy(file_of(F.col("source_pdf"), "id").alias("doc"), F.col("page_number").alias("page_no")).agg(F.concat(F.lit("第2章 X\n1."), F.col("page_number") % 9 + 1, F.lit(" part\n"), body, F.lit("\n\n\n第 1 页，共 9 页")).alias("text"))
 
 
 def markdown_files(q: DataFrame) -> DataFrame:
@@ -168,7 +168,6 @@ REPORT = r""", s AS (SELECT i.*, CASE WHEN issue_type = 'missing_asset_file' THE
   UNION ALL SELECT concat('- ', issue_type, ': ', count(*)) FROM issues GROUP BY issue_type UNION ALL SELECT line FROM g UNION ALL SELECT concat('- ... ', count(*) - 200, ' more') FROM s HAVING count(*) > 200"""
 
 GRADING = "attempts questions candidates"
-FILE = "regexp_replace(source_pdf, '[.]pdf$', '')"
 
 ENTRIES = [
     ("clean_page_noise", "texts", lambda t: t.select("id", F.md5(C.page_noise(F.concat("question_text", F.lit("\n\n\n\n· 第 3 页，共 "), F.col("id"), F.lit(" 页 ·\n\n")))).alias("h")), rf"SELECT id, md5(trim(regexp_replace(question_text, '\n{{3,}}', concat(chr(10), chr(10)), 'g'), {WS})) AS h FROM texts"),
@@ -178,7 +177,7 @@ ENTRIES = [
     ("mark_inline_asm", "texts", with_instructions, INLINE),
     ("clean_question_fields", "questions", lambda q: G.clean_fields(mixed(q), ["question_text", "option_a", "analysis"]), f"SELECT id, {sql_text(CLEANED)} AS question_text, CASE WHEN id % 2 = 0 THEN concat(question_text, '  ', chr(10), 'b ', id, '.') END AS option_a, '' AS analysis FROM questions"),
     ("latex_cell_text", "questions", cells, "SELECT id, unnest([0, 0, 1, 1]) AS row, unnest([0, 1, 0, 1]) AS cell, unnest([chapter, concat(question_text, ' * ', id), concat('(', knowledge_tag, ')'), subject]) AS text FROM questions WHERE chapter IS NOT NULL AND knowledge_tag IS NOT NULL"),
-    ("parse_page_text_corpus", "questions", lambda q: PG.parse_pages(as_pages(q)).drop("answer_ref", "option_c", "option_d", "option_e", "text_hash"), "SELECT source_pdf AS doc, CAST(id % 1000 + 1 AS INTEGER) AS number, page_number AS page_no, '第2章 X' AS chapter, concat('1.', page_number % 9 + 1, ' part') AS section, CASE WHEN id % 4 = 0 THEN '2020统考真题' END AS exam_year, question_text, CASE WHEN question_type = 'choice' THEN subject END AS option_a, CASE WHEN question_type = 'choice' THEN 'two' END AS option_b FROM questions"),
+    ("parse_page_text_corpus", "questions", lambda q: PG.parse_pages(as_pages(q)).drop("answer_ref", "option_c", "option_d", "option_e", "text_hash"), f"SELECT concat(source_pdf, '-', id // {FILE_IDS}) AS doc, CAST(id % 1000 + 1 AS INTEGER) AS number, page_number AS page_no, '第2章 X' AS chapter, concat('1.', page_number % 9 + 1, ' part') AS section, CASE WHEN id % 4 = 0 THEN '2020统考真题' END AS exam_year, question_text, CASE WHEN question_type = 'choice' THEN subject END AS option_a, CASE WHEN question_type = 'choice' THEN 'two' END AS option_b FROM questions"),
     ("scan_markdown_corpus", "questions", markdown_files, f"SELECT {FILE} AS file, md5(string_agg(concat('## 1.', page_number, ' ', subject, chr(10), id % 1000 + 1, '. ', question_text, chr(10), 'A. one', chr(10), 'B. two'), chr(10) ORDER BY id)) AS h FROM questions GROUP BY 1"),
     ("write_bank_package", "questions assets candidates", package, PACKAGE),
     ("scan_bank_package", "questions assets candidates", lambda q, a, c: package(q, a, c).filter("n > 0"), f"SELECT * FROM ({PACKAGE}) WHERE n > 0"),
