@@ -7,6 +7,8 @@ form a run. The bytes under such a run are a phrase; phrases overlap by length -
 1. Parse: each document becomes phrases. Of equal phrases in one block of documents, all but the first (smallest document id, then place) are repeats,
    and only the first goes on, as two hashes and a place.
 2. Dictionary: phrases meet by trigger. Of equal ones, all but the first in parse order are repeats. A trigger with one distinct phrase is done.
+   Triggers with more phrases than a task should hold, as at the edges of a line that is in most documents, are looked for in the buckets that are too full,
+   and there alone; their phrases are merged where they lie and meet by trigger and phrase.
 3. Only where a trigger has several distinct phrases, at the edges of repeats, bytes are fetched, and the suffixes of these dictionary phrases, as far as
    ``length`` bytes, are sorted, trigger by trigger; in each run of equal suffixes, all but the first in parse order are repeats. Triggers with more than ``HOT``
    distinct phrases are dealt by the hash of the window instead, after equal windows of a task have been merged, so no trigger is too large for a task.
@@ -36,6 +38,8 @@ from .common import mix64, pieces_of, settle
 from .tokens import spread
 
 GRAM, HOT = 32, 256
+#: Phrases of a bucket beyond which its triggers are counted. One of them with an eighth of that is dealt by phrase.
+MOST_PHRASES = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LETTER = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -161,10 +165,11 @@ def rows(kind: str, found: Iterator[tuple[int, list[np.ndarray]]]) -> list[tuple
 
 
 def table(out: list[tuple[str, int, bytes]]) -> pa.Table:
-    return pa.table({"kind": pa.array([x[0] for x in out], pa.string()), "bucket": pa.array([x[1] for x in out], pa.int64()), "blob": pa.array([x[2] for x in out], pa.binary())})
+    size = [int.from_bytes(x[2][:8], "little") for x in out]
+    return pa.table({"kind": pa.array([x[0] for x in out], pa.string()), "bucket": pa.array([x[1] for x in out], pa.int64()), "n": pa.array(size, pa.int64()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
 
-SCHEMA = "kind string, bucket long, blob binary"
+SCHEMA = "kind string, bucket long, n long, blob binary"  # n: rows of the packed columns, for phrases
 
 
 def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
@@ -223,13 +228,69 @@ def first_step(length: int, n_buckets: int, n_docs: int):
     return run
 
 
-def second_step(n_docs: int):
-    def run(t: pa.Table) -> pa.Table:
+def count_triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            trigger, n = np.unique(unpack([blob], PHRASE)[0], return_counts=True)
+            yield pa.record_batch({"trigger": pa.array(trigger.view(np.int64)), "n": pa.array(n, pa.int64())})
+
+
+def merge_hot(hot: np.ndarray, n_buckets: int, n_docs: int, most: int = 1 << 20):
+    """Phrases of hot triggers, merged up to ``most`` at a time and dealt by trigger and phrase, to buckets beyond the others; the rest as it is."""
+
+    def emit(held: list[list[np.ndarray]]) -> list[tuple[str, int, bytes]]:
+        trigger, phrase, doc, lo, more, at = columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        order, later = not_first([trigger, phrase, at], doc, lo)
+        gone, kept = order[later], np.sort(order[~later])
+        bucket = n_buckets + (mix64(trigger[kept] ^ phrase[kept]) % np.uint64(n_buckets)).astype(np.int64)
+        return rows("phrase", dealt(bucket, [c[kept] for c in columns])) + repeated(doc[gone], lo[gone], lo[gone] + more[gone], n_docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                columns = unpack([blob], PHRASE)
+                is_hot = np.isin(columns[0], hot)
+                if not is_hot.all():
+                    yield from table([("phrase", bucket, pack([c[~is_hot] for c in columns]))]).to_batches()
+                if is_hot.any():
+                    held.append([c[is_hot] for c in columns])
+                    n += int(is_hot.sum())
+                if n >= most:
+                    yield from table(emit(held)).to_batches()
+                    held, n = [], 0
+        if held:
+            yield from table(emit(held)).to_batches()
+
+    return run
+
+
+def spread_hot(parsed: DataFrame, n: int, most: int) -> DataFrame:
+    """Parsed rows with the phrases of hot triggers dealt by phrase. The driver holds the numbers of the full buckets, at most one for
+    ``most`` phrases, and the hot triggers, at most one for an eighth of them."""
+    phrases = parsed.filter("kind = 'phrase'")
+    full = [r.bucket for r in phrases.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("bucket").collect()]
+    if not full:
+        return parsed
+    is_full = (F.col("kind") == "phrase") & F.col("bucket").isin(full)
+    counted = parsed.filter(is_full).select("blob").mapInArrow(count_triggers, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n"))
+    hot = np.array([r.trigger for r in counted.filter(F.col("n") > most // 8).select("trigger").collect()], np.int64).view(np.uint64)
+    if not len(hot):
+        return parsed
+    return settle(parsed.filter(~is_full).unionByName(parsed.filter(is_full).select("bucket", "blob").mapInArrow(merge_hot(hot, n, n), SCHEMA)), "spread")
+
+
+def second_step(n_docs: int, n_buckets: int):
+    """Buckets from ``n_buckets`` on hold phrases of hot triggers, which have others elsewhere."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
         trigger, phrase, doc, lo, more, at = unpack(t.column("blob").to_pylist(), PHRASE)
         order, later = not_first([trigger, phrase, at], doc, lo)
         gone, kept = order[later], order[~later]
         new = np.flatnonzero(np.append(True, trigger[kept][1:] != trigger[kept][:-1]))
         count = np.repeat(np.diff(np.append(new, len(kept))), np.diff(np.append(new, len(kept))))
+        if key[0].as_py() >= n_buckets:
+            count = np.full(len(kept), HOT + 1)
         kept, count = kept[count > 1], count[count > 1]
         unsure = [trigger[kept], doc[kept], lo[kept], more[kept], (count > HOT).astype(np.uint8)]
         return table(repeated(doc[gone], lo[gone], lo[gone] + more[gone], n_docs) + rows("unsure", dealt(doc_buckets(doc[kept], n_docs), unsure)))
@@ -333,7 +394,7 @@ def last_step(length: int):
     return run
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, bucket_bytes: int = 8 << 20, most_phrases: int = MOST_PHRASES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes). length: at least 64 and at most 280 bytes.
 
     bucket_bytes: about how much text a bucket of documents holds, and the phrases of how much text a bucket of triggers.
@@ -341,8 +402,8 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     whole = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     total = whole.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n = max(8, math.ceil(total / bucket_bytes))
-    parsed = settle(whole.mapInArrow(first_step(length, n, n), SCHEMA), "parsed")
-    looked_up = settle(parsed.filter("kind = 'phrase'").groupBy("bucket").applyInArrow(second_step(n), SCHEMA), "dictionary")
+    parsed = spread_hot(settle(whole.mapInArrow(first_step(length, n, n), SCHEMA), "parsed"), n, most_phrases)
+    looked_up = settle(parsed.filter("kind = 'phrase'").groupBy("bucket").applyInArrow(second_step(n, n), SCHEMA), "dictionary")
     dealt_docs = whole.withColumn("bucket", F.crc32(F.col("doc_id").cast("string").cast("binary")) % n)
     fetched = settle(dealt_docs.groupBy("bucket").cogroup(looked_up.filter("kind = 'unsure'").groupBy("bucket")).applyInArrow(third_step(length, n), SCHEMA), "fetched")
     ordered = fetched.filter("kind <> 'repeat'").groupBy("bucket").applyInArrow(fourth_step(length, n), SCHEMA)

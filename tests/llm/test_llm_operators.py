@@ -40,9 +40,9 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_repeats_equal_brute_force(docs, empty, monkeypatch):
+def without_repeats(texts):
     seen, want = set(), {}
-    for i, t in enumerate(TEXTS):
+    for i, t in enumerate(texts):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for a in range(len(b) - 99):
@@ -51,6 +51,11 @@ def test_repeats_equal_brute_force(docs, empty, monkeypatch):
             seen.add(b[a : a + 100])
         kept = bytes(c for c, g in zip(b, gone) if not g)
         want[i] = (len(b), len(b) - len(kept), len(re.findall(b"\1+", bytes(gone))), kept)
+    return want
+
+
+def test_repeats_equal_brute_force(docs, empty, monkeypatch):
+    want = without_repeats(TEXTS)
     for hot in (256, 1):
         monkeypatch.setattr(repeats, "HOT", hot)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove(docs, bucket_bytes=4000).collect()}
@@ -60,6 +65,19 @@ def test_repeats_equal_brute_force(docs, empty, monkeypatch):
     assert len(twice) == 3 and all(r.n_removed == 0 for r in twice if r.doc_id == 7)
 
 
+@pytest.mark.parametrize("held", [1 << 20, 5])
+def test_triggers_with_many_phrases_are_dealt_by_phrase(spark, monkeypatch, held):
+    line = " " + prose(40) + " "
+    texts = [prose(rng.randint(0, 20)) + line + prose(rng.randint(0, 20)) for _ in range(60)]
+    texts += texts[:5] + [line * 3, line[:150]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    merge, hot = repeats.merge_hot, []
+    monkeypatch.setattr(repeats, "merge_hot", lambda found, *n: hot.append(len(found)) or merge(found, *n, held))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove(df, bucket_bytes=2000, most_phrases=24).collect()}
+    assert got == without_repeats(texts)
+    assert hot and hot[0] > 0
+
+
 def test_ngram_join_equals_brute_force(docs, empty):
     def grams(t):
         w = (t or "").lower().split()
