@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language_id, mixing, ngram_join, packing, pii, repeats, token_output, tokens, topk, toxicity
-from .common import documents, fold, settle
+from . import fingerprint, language_id, mixing, ngram_join, packing, pii, prefix_trie, quality, repeats, structure_repair, token_output, tokens, topk, toxicity
+from .common import documents, fold, lean, settle
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -68,7 +68,37 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_source_mixing, op4_token_output, op5_ngram_join, op6_best_fit_packing, op7_language_id, op8_exact_topk, op9_pii, op10_fingerprints)}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = settle(quality.with_statistics(documents(spark, sf_dir), keep=["doc_id"]), "statistics")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold("doc_id", 5) != 0)
+    scored = quality.score_statistics(stats, quality.learn(stats, labels, threshold=0.3))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean(spark)
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(conversations(spark, sf_dir))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.reports(structure_repair.damage(conversations(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_source_mixing, op4_token_output, op5_ngram_join, op6_best_fit_packing, op7_language_id, op8_exact_topk, op9_pii, op10_fingerprints, op11_quality, op12_prefix_trie, op13_structure_repair)}
+
+#: crc32 of an ASCII string ``s`` in SQL, by a table of 256 remainders; ``crc`` is a CTE of one row.
+CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t
+)"""
+
+
+def crc32_sql(s: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda c: ord(c)::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295)"
+
 
 ORACLES = {
     "op8_exact_topk": """
@@ -84,5 +114,101 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op12_prefix_trie": f"""
+WITH {CRC_TABLE}, turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS own FROM turns GROUP BY conv_id
+), heads AS (
+  SELECT c.conv_id, c.own, coalesce(b.own, []) AS base, CAST({crc32_sql("CAST(c.conv_id AS VARCHAR)")} % 6 AS INTEGER) AS h
+  FROM convs c CROSS JOIN crc LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 100
+), paths AS (
+  SELECT conv_id, list_concat(base[1:h], own[h + 1:]) AS path FROM heads
+), steps AS (
+  SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM paths
+), members AS (
+  SELECT path[1:d] AS node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(path) = d), '')) AS ends_sha256
+  FROM steps GROUP BY path[1:d], d
+), made AS (
+  SELECT m.*, p.conv_id AS parent_conv_id, CASE WHEN m.d = 0 THEN 0 ELSE (m.n_convs - 1) * length(m.node[m.d].text) END AS own
+  FROM members m LEFT JOIN members p ON m.d = p.d + 1 AND m.node[1:m.d - 1] = p.node
+), counted AS (
+  SELECT m.*, (SELECT count(*) FROM made c WHERE c.d = m.d + 1 AND c.node[1:m.d] = m.node) AS n_children FROM made m
+), up AS (
+  SELECT node[1:a] AS node, a AS d, own, n_children = 0 AS leaf FROM (SELECT *, unnest(range(d + 1)) AS a FROM counted)
+), summed AS (
+  SELECT node, d, sum(own) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM up GROUP BY node, d
+)
+SELECT c.conv_id, CAST(c.d AS BIGINT) AS depth, c.parent_conv_id, c.n_convs, c.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN summed s ON c.d = s.d AND c.node = s.node
+""",
+    "op13_structure_repair": f"""
+WITH RECURSIVE {CRC_TABLE}, marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS what
+  FROM conversations CROSS JOIN crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+    CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN what = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM marked WHERE what <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos FROM damaged
+), seen AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos)) > 1 AS again, left(role, 1) AS initial,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM placed
+), judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS before
+  FROM seen
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), kinds AS (
+  SELECT conv_id, pos, initial, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS extra FROM judged
+), best AS (  -- the cheapest rest from row ``pos`` on, as cost in six digits and letters, in the states: nothing yet, after s, after u, after a
+  SELECT conv_id, n + 1 AS pos, '000000' AS b0, '000004II' AS b1, '000002I' AS b2, '000000' AS b3 FROM counts
+  UNION ALL
+  SELECT conv_id, pos,
+    least(o0, printf('%06d', CAST(left(least(o2, i3), 6) AS INTEGER) + 2) || 'I' || substr(least(o2, i3), 7)), least(o1, printf('%06d', CAST(left(least(o2, i3), 6) AS INTEGER) + 2) || 'I' || substr(least(o2, i3), 7)), least(o2, i3), least(o3, i2)
+  FROM (
+    SELECT *, printf('%06d', CAST(left(o3, 6) AS INTEGER) + 2) || 'I' || substr(o3, 7) AS i3, printf('%06d', CAST(left(o2, 6) AS INTEGER) + 2) || 'I' || substr(o2, 7) AS i2
+    FROM (
+      SELECT k.conv_id, k.pos,
+        least(d0, CASE WHEN NOT gone THEN r0 END, CASE WHEN NOT gone THEN CASE initial WHEN 's' THEN k1 WHEN 'u' THEN k2 END END) AS o0,
+        least(d1, CASE WHEN NOT gone THEN r0 END, CASE WHEN NOT gone AND initial = 'u' THEN k2 END) AS o1,
+        least(d2, CASE WHEN NOT gone THEN r2 END, CASE WHEN NOT gone AND initial = 'a' THEN k3 END) AS o2,
+        least(d3, CASE WHEN NOT gone THEN r0 END, CASE WHEN NOT gone AND initial = 'u' THEN k2 END) AS o3
+      FROM kinds k JOIN (
+        SELECT b.conv_id, b.pos,
+          printf('%06d', CAST(left(b0, 6) AS INTEGER) + 3) || 'D' || substr(b0, 7) AS d0, printf('%06d', CAST(left(b1, 6) AS INTEGER) + 3) || 'D' || substr(b1, 7) AS d1,
+          printf('%06d', CAST(left(b2, 6) AS INTEGER) + 3) || 'D' || substr(b2, 7) AS d2, printf('%06d', CAST(left(b3, 6) AS INTEGER) + 3) || 'D' || substr(b3, 7) AS d3,
+          printf('%06d', CAST(left(b2, 6) AS INTEGER) + 2 + e.extra) || 'R' || substr(b2, 7) AS r0, printf('%06d', CAST(left(b3, 6) AS INTEGER) + 2 + e.extra) || 'R' || substr(b3, 7) AS r2,
+          printf('%06d', CAST(left(b1, 6) AS INTEGER) + e.extra) || 'K' || substr(b1, 7) AS k1, printf('%06d', CAST(left(b2, 6) AS INTEGER) + e.extra) || 'K' || substr(b2, 7) AS k2,
+          printf('%06d', CAST(left(b3, 6) AS INTEGER) + e.extra) || 'K' || substr(b3, 7) AS k3
+        FROM best b JOIN kinds e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.pos = b.pos - 1
+      ) f ON k.conv_id IS NOT DISTINCT FROM f.conv_id AND k.pos = f.pos - 1
+    )
+  )
+), audits AS (
+  SELECT c.*, CAST(left(b.b0, 6) AS BIGINT) AS cost, substr(b.b0, 7) AS audit FROM counts c JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.pos = 1
+), letters AS (
+  SELECT conv_id, i, substr(audit, i, 1) AS letter FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i FROM audits)
+), walked AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER w AS pos, count(*) FILTER (letter <> 'D') OVER w AS place FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+), turns AS (
+  SELECT w.conv_id, w.letter, w.place, j.role, j.text, max(CASE WHEN w.letter = 'K' AND w.place = 1 AND j.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY w.conv_id) AS has_s
+  FROM walked w LEFT JOIN judged j ON w.letter <> 'I' AND w.conv_id IS NOT DISTINCT FROM j.conv_id AND w.pos = j.pos WHERE w.letter <> 'D'
+), texts AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - has_s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS t
+  FROM turns GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(a.gaps, 0) AS gaps, coalesce(a.blank, 0) AS blank, coalesce(a.duplicate, 0) AS duplicate, coalesce(a.truncated, 0) AS truncated, coalesce(a.illegal, 0) AS illegal,
+  coalesce(a.cost, 0) AS cost, coalesce(a.audit, '') AS audit, sha256(coalesce(t.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
 """,
 }
