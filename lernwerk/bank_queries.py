@@ -9,6 +9,7 @@ from .functions import replies as R
 from .functions import text as T
 from .operators import attempts as A
 from .operators import banks as B
+from .operators import fingerprints as FP
 from .operators import links as L
 from .operators import quality as Q
 from .operators import questions as S
@@ -193,7 +194,7 @@ ENTRIES = [
     ("trivial_page_filter", "texts", lambda t: t.groupBy("file").agg(F.count("*").alias("pages"), F.count_if(B.trivial_page("question_text")).alias("trivial"), F.min(F.when(~B.trivial_page("question_text"), F.col("id"))).alias("first_kept")), f"WITH p AS (SELECT id, file, length(trim(question_text, {WS})) < 50 OR len(list_filter(string_split(question_text, chr(10)), lambda x: trim(x, {WS}) <> '')) <= 2 AS trivial FROM texts) SELECT file, count(*) AS pages, count(*) FILTER (trivial) AS trivial, min(id) FILTER (NOT trivial) AS first_kept FROM p GROUP BY 1"),
     ("scan_page_text", "texts", scanned, rf"WITH c AS (SELECT file, id, trim(regexp_replace(question_text, '\n{{3,}}', concat(chr(10), chr(10)), 'g'), {WS}) AS x FROM texts) SELECT file AS doc, id AS page_no, CAST(coalesce(sum(length(x) + 1) OVER (PARTITION BY file ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(x) AS n_chars, md5(x) AS text FROM c"),
     ("carry_last_question", "texts", lambda t: B.carry_last_number(t.select(F.col("file").alias("doc"), F.col("id").alias("page_no"), F.when(T.question_number("question_text").isNotNull(), F.col("id")).alias("number"))).select("doc", "page_no", "carried"), r"SELECT file AS doc, id AS page_no, last_value(CASE WHEN regexp_matches(question_text, '^\s*\d{1,4}\s*[.、．]') THEN id END IGNORE NULLS) OVER (PARTITION BY file ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM texts"),
-    ("fingerprint_all_pages", "texts", lambda t: L.fingerprint_pages(t.withColumn("source", F.col("file")), t.select(F.col("file").alias("source"), F.col("id").alias("page_no"), F.col("question_text").alias("text")), first_only=False), rf"WITH n AS (SELECT id, file, regexp_replace(regexp_replace(question_text, '{PUA_SQL}', '', 'g'), '[\s\x{{3000}}\x{{00A0}}\x{{2028}}\x{{2029}}\x{{0085}}]+', '', 'g') AS b FROM texts), f AS (SELECT id, file, substr(b, 1, 40) AS fp FROM n) SELECT DISTINCT f.id, n.id AS page_no FROM f JOIN n ON f.file = n.file AND contains(n.b, f.fp) WHERE length(f.fp) >= 5"),
+    ("fingerprint_all_pages", "texts", lambda t: FP.fingerprint_pages(t.withColumn("source", F.col("file")), t.select(F.col("file").alias("source"), F.col("id").alias("page_no"), F.col("question_text").alias("text")), first_only=False).select("id", "page_no"), rf"WITH n AS (SELECT id, file, regexp_replace(regexp_replace(question_text, '{PUA_SQL}', '', 'g'), '[\s\x{{3000}}\x{{00A0}}\x{{2028}}\x{{2029}}\x{{0085}}]+', '', 'g') AS b FROM texts), f AS (SELECT id, file, substr(b, 1, 40) AS fp FROM n) SELECT DISTINCT f.id, n.id AS page_no FROM f JOIN n ON f.file = n.file AND contains(n.b, f.fp) WHERE length(f.fp) >= 5"),
     # corpora
     ("section_carry_forward", "questions", lambda q: P.carry_sections(P.lines(as_corpus(q))).filter(F.regexp_like("line", F.lit(P.START))).select("file", F.col("block").cast("long").alias("block"), "section"), f"SELECT {FILE} AS file, row_number() OVER (PARTITION BY source_pdf, id // {FILE_IDS} ORDER BY id) AS block, concat('1.', page_number, ' ', subject) AS section FROM questions"),
     ("question_block_split", "questions", lambda q: P.carry_sections(P.lines(as_corpus(q))).filter((F.col("block") > 0) & ~F.regexp_like("line", F.lit(P.SECTION))).groupBy("file", F.col("block").cast("long").alias("block")).agg(F.count("*").alias("n_lines")), f"SELECT {FILE} AS file, row_number() OVER (PARTITION BY source_pdf, id // {FILE_IDS} ORDER BY id) AS block, CAST(3 AS BIGINT) AS n_lines FROM questions"),

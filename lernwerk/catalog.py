@@ -13,6 +13,7 @@ from .functions import text as T
 from .operators import attempts as A
 from .operators import banks as B
 from .operators import conversations as CV
+from .operators import fingerprints as FP
 from .operators import links as L
 from .operators import quality as Q
 from .operators import questions as S
@@ -185,7 +186,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fingerprint_page_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of their source; their own beginnings as questions."""
     docs = table(spark, sf_dir, "documents")
-    return L.fingerprint_pages(docs.select(F.col("doc_id").alias("id"), "source", F.col("text").alias("question_text")), docs.select("source", F.col("doc_id").alias("page_no"), "text"))
+    return FP.fingerprint_pages(docs.select(F.col("doc_id").alias("id"), "source", F.col("text").alias("question_text")), docs.select("source", F.col("doc_id").alias("page_no"), "text")).select("id", "page_no")
+
+
+def fingerprint_any_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as questions without a source, in all documents."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit(None).cast("string").alias("source"), F.col("text").alias("question_text"))
+    return FP.fingerprint_pages(items, table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page_no"), "text"), first_only=False)
 
 
 def image_nearest_question(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,12 +250,13 @@ def answer_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fuzzy_answers(answers, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("all").alias("subject"), "text")).select("answer_id", "question_id", F.round("score", 6).alias("score"))
 
 
-for f in (fingerprint_page_match, image_nearest_question, gap_cluster_boxes, offset_page_interval, parse_markdown_corpus, transcript_build, conversation_activity, near_empty_ratio, answer_fuzzy_match):
+for f in (fingerprint_page_match, fingerprint_any_source, image_nearest_question, gap_cluster_boxes, offset_page_interval, parse_markdown_corpus, transcript_build, conversation_activity, near_empty_ratio, answer_fuzzy_match):
     QUERIES[f.__name__] = f
 
 BLANKS = r"[\s\x{3000}\x{00A0}\x{2028}\x{2029}\x{0085}]+"
 ORACLES |= {
     "fingerprint_page_match": rf"WITH n AS (SELECT doc_id, source, regexp_replace(text, '{BLANKS}', '', 'g') AS b FROM documents), f AS (SELECT doc_id AS id, source, substr(b, 1, 40) AS fp FROM n) SELECT f.id, min(n.doc_id) AS page_no FROM f JOIN n ON f.source = n.source AND contains(n.b, f.fp) WHERE length(f.fp) >= 5 GROUP BY f.id",
+    "fingerprint_any_source": rf"WITH n AS (SELECT doc_id, source, regexp_replace(text, '{BLANKS}', '', 'g') AS b FROM documents), f AS (SELECT item_id AS id, substr(regexp_replace(text, '{BLANKS}', '', 'g'), 1, 40) AS fp FROM benchmark) SELECT f.id, n.source, n.doc_id AS page_no FROM f JOIN n ON contains(n.b, f.fp) WHERE length(f.fp) >= 5",
     "image_nearest_question": """WITH r AS (SELECT l_orderkey AS doc, l_linenumber AS n, max(l_quantity) AS y, CAST(min(l_suppkey) % 3 AS INTEGER) AS page FROM lineitem GROUP BY 1, 2),
       q AS (SELECT * FROM r WHERE n % 2 = 0), i AS (SELECT * FROM r WHERE n % 2 = 1),
       j AS (SELECT i.doc, i.n AS image, q.n AS number, row_number() OVER (PARTITION BY i.doc, i.n ORDER BY q.page DESC, q.y DESC, q.n DESC) AS r FROM i LEFT JOIN q ON q.doc = i.doc AND (q.page < i.page OR (q.page = i.page AND q.y <= i.y)))

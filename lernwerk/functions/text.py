@@ -46,7 +46,9 @@ def pua_normalize(c: str | Column) -> Column:
 
 
 def fingerprint(c: str | Column, n: int = 40) -> Column:
-    return F.substring(pua_normalize(c), 1, n)
+    """The first ``n`` normalised characters. A text is normalised as a whole only if its beginning does not give them."""
+    head = pua_normalize(F.substring(col(c), 1, 8 * n))
+    return F.when((F.length(head) >= n) | (F.length(col(c)) <= 8 * n), F.substring(head, 1, n)).otherwise(F.substring(pua_normalize(c), 1, n))
 
 
 def pua_repair(c: str | Column, drop_unmapped: bool = True) -> Column:

@@ -13,63 +13,6 @@ from ..functions import text as T
 from .banks import page_offsets
 
 
-GRAM = 16
-
-
-def least_grams(body: np.ndarray, width: int) -> np.ndarray:
-    """For every window of ``width`` characters the least hash of its grams of ``GRAM`` characters (of the whole window if it is shorter), each once."""
-    gram = min(GRAM, width)
-    if len(body) < width:
-        return np.zeros(0, np.int64)
-    h = np.zeros(len(body) - gram + 1, np.uint64)
-    for i in range(gram):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + body[i : len(body) - gram + 1 + i] + np.uint64(1)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    least = h
-    for i in range(1, width - gram + 1):
-        least = np.minimum(least[: len(h) - (width - gram)], h[i : i + len(h) - (width - gram)])
-    return np.unique(least).view(np.int64)
-
-
-def grams_of(rows: DataFrame, key: list[str], body: str, widths: list[int] | None) -> DataFrame:
-    """key, body, and a row for each width and least gram. widths None: the whole text is the window."""
-    kept = rows.select(*key, F.col(body).alias("body"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, width, gram = [], [], []
-            for i, text in enumerate(batch.column("body").to_pylist()):
-                chars = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                for w in [len(chars)] if widths is None else widths:
-                    found = least_grams(chars, w) if w else np.zeros(0, np.int64)
-                    at.append(np.full(len(found), i)), width.append(np.full(len(found), w)), gram.append(found)
-            rows = np.concatenate(at) if at else np.zeros(0, np.int64)
-            own = batch.select(key).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate(width) if at else [], pa.int32()), pa.array(np.concatenate(gram) if at else [], pa.int64())], names=[*key, "width", "gram"])
-
-    fields = [f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in key]
-    return kept.mapInArrow(run, ", ".join([*fields, "width int, gram long"]))
-
-
-def fingerprint_pages(questions: DataFrame, pages: DataFrame, first_only: bool = True, least: int = 5, chars: int = 40) -> DataFrame:
-    """Questions whose fingerprint stands in a page of their source.
-
-    questions: id, source, question_text; pages: source, page_no, text. Result: id, page_no; the first page only, or all. A fingerprint of up to ``chars`` characters
-    stands where a window of its length has the same least gram; pages meet it by that gram, and what meets is compared. Windows share their least grams, so a
-    page has far fewer of them than characters. Null texts and null sources meet nothing.
-    """
-    fp = questions.select("id", "source", T.fingerprint("question_text", chars).alias("fp")).filter(F.length("fp") >= least)
-    body = pages.select("source", "page_no", T.pua_normalize("text").alias("body"))
-    widths = sorted(r[0] for r in fp.select(F.length("fp")).distinct().collect())  # ``chars`` of them at most
-    sought = grams_of(fp, ["id", "source"], "fp", None).distinct()
-    laid = grams_of(body, ["source", "page_no"], "body", widths)
-    pairs = sought.join(laid.hint("merge"), ["source", "width", "gram"]).select("source", "id", "page_no").distinct()
-    with_fp = pairs.join(fp.hint("merge"), ["source", "id"])
-    met = with_fp.join(body.hint("merge"), ["source", "page_no"]).filter(F.contains("body", F.col("fp"))).select("id", "page_no")
-    return met.groupBy("id").agg(F.min("page_no").alias("page_no")) if first_only else met.distinct()
-
-
 def fuzzy_answers(answers: DataFrame, questions: DataFrame, threshold: float = 0.6, chars: int = 50, block_sets: int = 20_000) -> DataFrame:
     """For each answer the question of its subject with the most similar character set, strictly above the threshold.
 

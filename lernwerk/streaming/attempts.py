@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attempts as A
 from ..sources.projection import attempt_columns
+from ..sources.shared import folder
 
 
 def read_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,14 +40,6 @@ def misconception_stream(graded: DataFrame) -> DataFrame:
     return wrong.groupBy("question_id").agg(F.count("*").alias("frequency"), F.min_by("user_answer", F.struct("create_time", "id")).alias("user_answer"))
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or one of our own where all run in one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{named.rstrip('/') if named else tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
-
-
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and return what it wrote: all batches in append mode, the last in complete mode.
 
