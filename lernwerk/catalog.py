@@ -19,8 +19,10 @@ from .operators import quality as Q
 from .operators import questions as S
 from .plans import parsing as P
 from .sources.projection import load, with_ctes
+from .sources.shared import folder
 from .streaming import attempts as ST
 from .streaming import ingest as SI
+from .streaming import tables as TB
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,7 +56,13 @@ MASTERY = f"{TAGGED}, mastery AS (SELECT tag, count(*) FILTER (is_correct) AS co
 SUBJECTS_SQL = "subjects AS (SELECT m.tag, arg_min(q.subject, q.id) AS subject FROM mastery m JOIN questions q ON contains(q.knowledge_tag, m.tag) GROUP BY 1)"
 FIRST = "firsts AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY question_id) AS frequency, row_number() OVER (PARTITION BY question_id ORDER BY create_time, id) AS r FROM graded WHERE NOT is_correct) WHERE r = 1)"
 BOOK = "book AS (SELECT question_id, subject, chapter, min(create_time) AS added_at, count(*) AS wrong_attempts, CASE WHEN count(*) > 1 THEN 'wrong' ELSE 'unreviewed' END AS last_status FROM graded WHERE NOT is_correct GROUP BY 1, 2, 3)"
-REVIEWED = "wrongs AS (SELECT question_id, subject, chapter, min(create_time) AS added_at, max(create_time) AS last, count(*) AS wrong_attempts FROM graded WHERE NOT is_correct AND id % 4 <> 0 GROUP BY 1, 2, 3), reviews AS (SELECT question_id, count(*) AS n, max(create_time) AS last_review_at, arg_max(is_correct, create_time) AS ok FROM graded WHERE id % 4 = 0 GROUP BY 1), book AS (SELECT w.question_id, subject, chapter, added_at, wrong_attempts, CASE WHEN last_review_at >= last THEN CASE WHEN ok THEN 'correct' ELSE 'wrong' END WHEN wrong_attempts > 1 THEN 'wrong' ELSE 'unreviewed' END AS last_status, coalesce(n, 0) AS review_count, last_review_at FROM wrongs w LEFT JOIN reviews USING (question_id))"
+REVIEWS = "reviews AS (SELECT a.id, a.question_id, a.create_time, coalesce(trim(q.answer), '') <> '' AND upper(trim(a.user_answer)) = upper(trim(q.answer)) AS ok FROM attempts a JOIN questions q ON q.id = a.question_id WHERE a.id % 4 = 0)"
+REVIEWED = f"""{REVIEWS}, events AS (SELECT question_id, create_time, id, false AS is_review, false AS ok FROM graded WHERE NOT is_correct AND id % 4 <> 0 UNION ALL SELECT question_id, create_time, id, true, ok FROM reviews),
+  lined AS (SELECT *, count(*) FILTER (NOT is_review) OVER (PARTITION BY question_id ORDER BY create_time, id) AS wrongs FROM events),
+  moves AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY create_time DESC, id DESC) AS back FROM lined WHERE wrongs > 0),
+  book AS (SELECT m.question_id, any_value(q.subject) AS subject, any_value(q.chapter) AS chapter, min(create_time) AS added_at, count(*) FILTER (NOT is_review) AS wrong_attempts,
+    any_value(CASE WHEN is_review THEN CASE WHEN ok THEN 'correct' ELSE 'wrong' END WHEN wrongs > 1 THEN 'wrong' ELSE 'unreviewed' END) FILTER (back = 1) AS last_status, count(*) FILTER (is_review) AS review_count,
+    max(create_time) FILTER (is_review) AS last_review_at FROM moves m JOIN questions q ON q.id = m.question_id GROUP BY m.question_id)"""
 COMPLETE = "(coalesce(question_type <> 'choice', true) OR (coalesce(trim(option_a), '') <> '' AND coalesce(trim(option_b), '') <> '' AND coalesce(trim(option_c), '') <> '' AND coalesce(trim(option_d), '') <> ''))"
 GRADING = "attempts questions candidates"
 
@@ -63,9 +71,9 @@ def on_graded(f: Callable[[DataFrame], DataFrame]) -> Callable[..., DataFrame]:
     return lambda attempts, questions, candidates: f(A.grade(attempts, questions, candidates))
 
 
-def reviewed_book(graded: DataFrame) -> DataFrame:
+def reviewed_book(attempts: DataFrame, questions: DataFrame, candidates: DataFrame) -> DataFrame:
     """The error book, every fourth attempt taken as a review."""
-    return A.wrong_book(graded.filter("id % 4 <> 0"), graded.filter("id % 4 = 0").select("question_id", "create_time", "is_correct"))
+    return A.wrong_book(A.grade(attempts.filter("id % 4 <> 0"), questions, candidates), A.grade_reviews(attempts.filter("id % 4 = 0"), questions))
 
 
 def analysed(graded: DataFrame) -> DataFrame:
@@ -90,9 +98,10 @@ register("weak_list", GRADING, on_graded(lambda g: A.weak_list(A.tag_mastery(g))
 register("weak_summary", GRADING, lambda a, q, c: A.weak_summary(A.tag_mastery(A.grade(a, q, c)), q), f"WITH {MASTERY}, {SUBJECTS_SQL}, w AS (SELECT tag, mastery_score, coalesce(s.subject, '未知') AS subject FROM mastery LEFT JOIN subjects s USING (tag) WHERE wrong_count > 0), k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY mastery_score, tag) AS rank FROM w) SELECT (SELECT count(*) FROM w) AS weak_tags, (SELECT round(coalesce(avg(mastery_score), 0.0), 4) FROM w) AS average_mastery, coalesce(string_agg(concat(subject, ':', tag), ',' ORDER BY subject, rank, tag), '') AS weakest FROM k WHERE rank <= 5", True)
 register("tag_subject_lookup", GRADING, lambda a, q, c: A.tag_subjects(A.tag_mastery(A.grade(a, q, c)), q), f"WITH {MASTERY}, {SUBJECTS_SQL} SELECT m.*, coalesce(s.subject, '未知') AS subject FROM mastery m LEFT JOIN subjects s USING (tag)", True)
 register("weakest_per_subject", GRADING, lambda a, q, c: A.weakest_per_subject(A.tag_mastery(A.grade(a, q, c)), q), f"WITH {MASTERY}, {SUBJECTS_SQL}, j AS (SELECT m.*, coalesce(s.subject, '未知') AS subject FROM mastery m LEFT JOIN subjects s USING (tag) WHERE wrong_count > 0) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY subject ORDER BY mastery_score, tag) AS INTEGER) AS rank FROM j) WHERE rank <= 5", True)
-register("wrong_book_batch", GRADING, on_graded(reviewed_book), f"WITH {REVIEWED} SELECT * FROM book", True)
-register("wrong_stats", GRADING, on_graded(lambda g: A.wrong_stats(reviewed_book(g))), f"WITH {REVIEWED} SELECT subject, last_status, CAST(grouping(subject) AS INTEGER) AS all_subjects, CAST(grouping(last_status) AS INTEGER) AS all_statuses, count(*) AS n, round(count(*) FILTER (last_status <> 'unreviewed') / count(*), 2) AS review_rate FROM book GROUP BY GROUPING SETS ((), (subject), (last_status))", True)
-register("wrong_list", GRADING, lambda a, q, c: A.wrong_list(reviewed_book(A.grade(a, q, c)), q, status="wrong", page=2, page_size=10).select("question_id", "subject", "chapter", "wrong_attempts", "preview", "total", "pages"), f"WITH {REVIEWED}, w AS (SELECT * FROM book WHERE last_status = 'wrong') SELECT question_id, w.subject, w.chapter, wrong_attempts, trim(question_text) AS preview, (SELECT count(*) FROM w) AS total, (SELECT greatest(1, (count(*) + 9) // 10) FROM w) AS pages FROM w JOIN questions q ON q.id = question_id ORDER BY question_id LIMIT 10 OFFSET 10", True)
+register("grade_reviews", "attempts questions", lambda a, q: A.grade_reviews(a.filter("id % 4 = 0"), q).select("id", "question_id", "is_correct"), f"WITH {REVIEWS} SELECT id, question_id, ok AS is_correct FROM reviews")
+register("wrong_book_batch", GRADING, reviewed_book, f"WITH {REVIEWED} SELECT * FROM book", True)
+register("wrong_stats", GRADING, lambda a, q, c: A.wrong_stats(reviewed_book(a, q, c)), f"WITH {REVIEWED} SELECT subject, last_status, CAST(grouping(subject) AS INTEGER) AS all_subjects, CAST(grouping(last_status) AS INTEGER) AS all_statuses, count(*) AS n, round(count(*) FILTER (last_status <> 'unreviewed') / count(*), 2) AS review_rate FROM book GROUP BY GROUPING SETS ((), (subject), (last_status))", True)
+register("wrong_list", GRADING, lambda a, q, c: A.wrong_list(reviewed_book(a, q, c), q, status="wrong", page=2, page_size=10).select("question_id", "subject", "chapter", "wrong_attempts", "preview", "total", "pages"), f"WITH {REVIEWED}, w AS (SELECT * FROM book WHERE last_status = 'wrong') SELECT question_id, w.subject, w.chapter, wrong_attempts, concat(substr(question_text, 1, 80), CASE WHEN length(question_text) > 80 THEN '...' ELSE '' END) AS preview, (SELECT count(*) FROM w) AS total, (SELECT greatest(1, (count(*) + 9) // 10) FROM w) AS pages FROM w JOIN questions q ON q.id = question_id ORDER BY added_at DESC, question_id LIMIT 10 OFFSET 10", True)
 register("wrong_chapters", GRADING, on_graded(lambda g: A.wrong_book(g).filter(A.filled("chapter")).select("subject", "chapter").distinct()), f"WITH {BOOK} SELECT DISTINCT subject, chapter FROM book WHERE trim(chapter) <> ''", True)
 register("misconception_batch", GRADING, on_graded(lambda g: A.misconceptions(g).select("question_id", "subject", "chapter", "user_answer", "correct_answer", "related_knowledge_tag", "frequency")), f"WITH {FIRST} SELECT question_id, subject, chapter, user_answer, key AS correct_answer, knowledge_tag AS related_knowledge_tag, frequency FROM firsts", True)
 register("misconception_summary", GRADING, on_graded(lambda g: A.misconception_summary(A.misconceptions(g))), f"WITH {FIRST} SELECT subject, chapter, count(*) AS n, CAST(sum(frequency) AS BIGINT) AS attempts FROM firsts GROUP BY 1, 2", True)
@@ -284,30 +293,54 @@ ORACLES |= {
 }
 
 
-# streams over the same events
-def on_stream(f: Callable[[DataFrame], DataFrame], mode: str) -> Callable[[SparkSession, str], DataFrame]:
+# streams over the same events, which arrive in two parts by time; the second run starts from the checkpoint of the first
+def streamed(f: Callable[[SparkSession, str, DataFrame], DataFrame], mode: str, keys: list[str] | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """keys: the table that updates of rows amount to; else all rows that were appended."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        graded = ST.grade_stream(ST.read_stream(spark, sf_dir), load(spark, sf_dir, "questions"), load(spark, sf_dir, "candidates"))
-        return ST.drain(f(graded), mode)
+        root = folder(spark)
+        for lay in TB.arriving(table(spark, sf_dir, "events"), "ts", 2, f"{root}/events"):
+            lay()
+            out = f(spark, sf_dir, ST.read_stream(spark, sf_dir, f"{root}/events"))
+            TB.run(out, root, mode)
+        return TB.current(spark, root, out, keys) if keys else TB.changes(spark, root, out).drop("batch")
 
     return run
 
 
+def on_stream(f: Callable[[DataFrame], DataFrame], mode: str, keys: list[str] | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    return streamed(lambda spark, sf_dir, attempts: f(ST.grade_stream(attempts, load(spark, sf_dir, "questions"), load(spark, sf_dir, "candidates"))), mode, keys)
+
+
+def book_events(spark: SparkSession, sf_dir: str, attempts: DataFrame) -> DataFrame:
+    """Graded attempts and, every fourth, reviews."""
+    questions, fields = load(spark, sf_dir, "questions"), ["id", "question_id", "subject", "chapter", "create_time", "is_correct", "is_review"]
+    quiz = ST.grade_stream(attempts.filter("id % 4 <> 0"), questions, load(spark, sf_dir, "candidates")).withColumn("is_review", F.lit(False))
+    again = A.grade_reviews(attempts.filter("id % 4 = 0"), questions).withColumns({"subject": F.lit(None).cast("string"), "chapter": F.lit(None).cast("string"), "is_review": F.lit(True)})
+    return quiz.select(fields).unionByName(again.select(fields))
+
+
+def stream_wrong_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = streamed(lambda s, d, attempts: ST.wrong_book_stream(book_events(s, d, attempts)), "update", ["question_id"])(spark, sf_dir)
+    return book.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("added_at", "last_review_at")})
+
+
 QUERIES |= {
     "stream_grade": on_stream(lambda g: g.select("id", "question_id", "key", "key_source", "key_confidence", "is_correct"), "append"),
-    "stream_tag_mastery": on_stream(ST.mastery_stream, "complete"),
-    "stream_misconception_frequency": on_stream(ST.misconception_stream, "complete"),
-    "stream_wrong_book": on_stream(lambda g: A.wrong_book_of_events(g.withColumn("is_review", F.col("id") % 4 == 0)), "complete"),
-    "stream_accuracy_trend": on_stream(lambda g: ST.accuracy_trend(g).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "subject", "total", "correct"), "complete"),
+    "stream_tag_mastery": on_stream(ST.mastery_stream, "update", ["tag"]),
+    "stream_misconception_frequency": on_stream(ST.misconception_stream, "update", ["question_id"]),
+    "stream_wrong_book": stream_wrong_book,
+    "stream_accuracy_trend": on_stream(lambda g: ST.accuracy_trend(g).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "subject", "total", "correct"), "append"),
 }
 ORACLES |= {"stream_grade": ORACLES["grade_attempts"], "stream_tag_mastery": ORACLES["tag_mastery"], "stream_wrong_book": ORACLES["wrong_book_batch"]}
 ORACLES["stream_misconception_frequency"] = with_ctes(f"WITH {GRADED}, {FIRST} SELECT question_id, frequency, user_answer FROM firsts", *GRADING.split())
-ORACLES["stream_accuracy_trend"] = with_ctes(f"WITH {GRADED} SELECT date_trunc('day', create_time) AS day, subject, count(*) AS total, count(*) FILTER (is_correct) AS correct FROM graded GROUP BY 1, 2", *GRADING.split())
+# days that end before the watermark, a day before the last graded attempt
+ORACLES["stream_accuracy_trend"] = with_ctes(f"WITH {GRADED}, days AS (SELECT date_trunc('day', create_time) AS day, subject, count(*) AS total, count(*) FILTER (is_correct) AS correct FROM graded GROUP BY 1, 2) SELECT * FROM days WHERE day + INTERVAL 1 DAY <= (SELECT max(create_time) FROM graded) - INTERVAL 1 DAY", *GRADING.split())
 
 
 def stream_dedup_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the texts are in the store, the others arrive."""
-    return SI.ingest(hashed(SI.read_texts(spark, sf_dir)).filter("id % 3 <> 0"), hashed(load(spark, sf_dir, "texts")).filter("id % 3 = 0"), ST.folder(spark)).select("id")
+    return SI.ingest(hashed(SI.read_texts(spark, sf_dir)).filter("id % 3 <> 0"), hashed(load(spark, sf_dir, "texts")).filter("id % 3 = 0"), folder(spark)).select("id")
 
 
 QUERIES["stream_dedup_ingest"] = stream_dedup_ingest

@@ -83,10 +83,10 @@ def tag_mastery(graded: DataFrame) -> DataFrame:
 
 
 def first_wrongs(graded: DataFrame) -> DataFrame:
-    """The first wrong attempt of each question, with how many there are."""
+    """The first wrong attempt of each question, with how many there are: an aggregate, so that a question that many miss is summed up before it is shuffled."""
     wrong = graded.filter(~F.col("is_correct"))
-    w = Window.partitionBy("question_id")
-    return wrong.withColumn("frequency", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy("create_time", "id"))).filter("_r = 1").drop("_r")
+    found = wrong.groupBy("question_id").agg(F.count("*").alias("frequency"), F.min_by(F.struct(*(c for c in graded.columns if c != "question_id")), F.struct("create_time", "id")).alias("_first"))
+    return found.select("question_id", "_first.*", "frequency")
 
 
 def fallback_tag_wrongs(graded: DataFrame) -> DataFrame:
@@ -135,33 +135,33 @@ def weakest_per_subject(mastery: DataFrame, questions: DataFrame, n: int = 5) ->
     return tag_subjects(mastery.filter("wrong_count > 0"), questions).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def grade_reviews(attempts: DataFrame, questions: DataFrame) -> DataFrame:
+    """Answers given again, from the error book: of questions of any type, by the built-in answer alone; without one every answer is wrong."""
+    key = questions.select(F.col("id").alias("question_id"), F.col("answer").alias("_key"))
+    right = F.coalesce(F.upper(F.trim("user_answer")) == F.upper(F.trim("_key")), F.lit(False)) & filled("_key")
+    return attempts.join(key, "question_id").withColumn("is_correct", right).drop("_key")
+
+
 def wrong_book(graded: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
-    """The error book: a row for each question answered wrong.
+    """The error book: a row for each question answered wrong, from its first wrong attempt on.
 
-    ``unreviewed`` after one wrong attempt, ``wrong`` after more. reviews (question_id, create_time, is_correct): set the status to their
-    result if later than the last wrong attempt; ``review_count`` and ``last_review_at`` tell how many there are and when the last one was.
+    ``unreviewed`` after one wrong attempt, ``wrong`` after more. A review (question_id, id, create_time, is_correct) sets the status to its result and is counted, if it comes after the first wrong attempt; before that there is nothing to review. The
+    last of wrong attempts and reviews, by time and id, gives the status.
     """
-    book = graded.filter(~F.col("is_correct")).groupBy("question_id", "subject", "chapter").agg(F.min("create_time").alias("added_at"), F.max("create_time").alias("_last"), F.count("*").alias("wrong_attempts"))
-    book = book.withColumn("last_status", F.when(F.col("wrong_attempts") > 1, "wrong").otherwise("unreviewed"))
-    if reviews is None:
-        return book.withColumn("review_count", F.lit(0).cast("long")).withColumn("last_review_at", F.lit(None).cast(book.schema["added_at"].dataType)).drop("_last")
-    seen = reviews.groupBy("question_id").agg(F.count("*").alias("_n"), F.max("create_time").alias("_at"), F.max_by("is_correct", "create_time").alias("_ok"))
-    joined = book.join(seen.hint("merge"), "question_id", "left")
-    status = F.when(F.col("_at") >= F.col("_last"), F.when(F.col("_ok"), "correct").otherwise("wrong")).otherwise(F.col("last_status"))
-    return joined.withColumn("last_status", status).withColumn("review_count", F.coalesce("_n", F.lit(0)).cast("long")).withColumn("last_review_at", F.col("_at")).drop("_last", "_n", "_at", "_ok")
-
-
-def wrong_book_of_events(events: DataFrame) -> DataFrame:
-    """``wrong_book`` in one aggregate, so on a stream too. events: graded attempts, and reviews with ``is_review`` true."""
-    wrong, seen = ~F.col("is_review") & ~F.col("is_correct"), F.col("is_review")
-    at = lambda which: F.when(which, F.col("create_time"))
-    book = events.groupBy("question_id", "subject", "chapter").agg(
-        F.min(at(wrong)).alias("added_at"), F.max(at(wrong)).alias("_last"), F.count_if(wrong).alias("wrong_attempts"),
-        F.count_if(seen).alias("review_count"), F.max(at(seen)).alias("last_review_at"), F.max_by("is_correct", at(seen)).alias("_ok"),
-    ).filter("wrong_attempts > 0")
+    at = F.struct("create_time", "id")
+    wrong = graded.filter(~F.col("is_correct"))
+    book = wrong.groupBy("question_id", "subject", "chapter").agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.count("*").alias("wrong_attempts"))
+    book = book.withColumn("added_at", F.col("_first.create_time"))
     unseen = F.when(F.col("wrong_attempts") > 1, "wrong").otherwise("unreviewed")
-    status = F.when(F.col("last_review_at") >= F.col("_last"), F.when(F.col("_ok"), "correct").otherwise("wrong")).otherwise(unseen)
-    return book.withColumn("last_status", status).drop("_last", "_ok")
+    if reviews is None:
+        out = book.withColumns({"last_status": unseen, "review_count": F.lit(0).cast("long"), "last_review_at": F.lit(None).cast(book.schema["added_at"].dataType)})
+    else:
+        later = reviews.select("question_id", at.alias("_at"), "is_correct").join(book.select("question_id", "_first").hint("merge"), "question_id").filter("_at > _first")
+        seen = later.groupBy("question_id").agg(F.count("*").alias("_n"), F.max("_at").alias("_at"), F.max_by("is_correct", "_at").alias("_ok"))
+        joined = book.join(seen.hint("merge"), "question_id", "left")
+        status = F.when(F.col("_at") > F.col("_last"), F.when(F.col("_ok"), "correct").otherwise("wrong")).otherwise(unseen)
+        out = joined.withColumns({"last_status": status, "review_count": F.coalesce("_n", F.lit(0)).cast("long"), "last_review_at": F.col("_at.create_time")})
+    return out.select("question_id", "subject", "chapter", "added_at", "wrong_attempts", "last_status", "review_count", "last_review_at")
 
 
 def wrong_stats(book: DataFrame) -> DataFrame:
@@ -172,12 +172,13 @@ def wrong_stats(book: DataFrame) -> DataFrame:
 
 
 def wrong_list(book: DataFrame, questions: DataFrame, subject: str | None = None, chapter: str | None = None, status: str | None = None, page: int = 1, page_size: int = 20) -> DataFrame:
-    """One page of the error book by question id, with a preview of the question, the number of matching rows and of pages."""
+    """One page of the error book, the newest first (then by question id), with the first 80 characters of the question as they are, the number of matching rows and of pages."""
     for name, value in (("subject", subject), ("chapter", chapter), ("last_status", status)):
         book = book if value is None else book.filter(F.col(name) == value)
     total = book.agg(F.count("*").alias("total"))
-    rows = book.orderBy("question_id").offset((page - 1) * page_size).limit(page_size)
-    text = questions.select(F.col("id").alias("question_id"), T.preview("question_text", 100).alias("preview"))
+    rows = book.orderBy(F.desc("added_at"), "question_id").offset((page - 1) * page_size).limit(page_size)
+    body = F.coalesce("question_text", F.lit(""))
+    text = questions.select(F.col("id").alias("question_id"), F.concat(F.substring(body, 1, 80), F.when(F.length(body) > 80, "...").otherwise("")).alias("preview"))
     met = rows.join(text.hint("merge"), "question_id", "left").join(F.broadcast(total), F.lit(True))  # one row
     return met.withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / page_size)).cast("long"))
 

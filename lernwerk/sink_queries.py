@@ -17,7 +17,7 @@ from .plans import pages as PG
 from .plans import regions as G
 from .sources import corpora as K
 from .sources import reports as O
-from .streaming.attempts import folder
+from .sources.shared import folder
 
 WS = "concat(' ', chr(9), chr(10), chr(13))"
 #: A text with breaks, code, instructions, numbered parts and a footer, and what becomes of it.

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import attempts as A
 from ..sources.projection import attempt_columns
-from ..sources.shared import folder
 
 
-def read_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The attempts of a folder of event files as a stream."""
+def read_stream(spark: SparkSession, sf_dir: str, events: str | None = None) -> DataFrame:
+    """The attempts of a folder of event files as a stream; ``events``: another folder with such files below it."""
     n = spark.read.parquet(f"{sf_dir}/part.parquet").count()
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return spark.sql(f"SELECT {attempt_columns(n)} FROM {{t}}", t=events)
+    reader = spark.readStream.schema(schema)
+    found = reader.option("recursiveFileLookup", "true").parquet(events) if events else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.sql(f"SELECT {attempt_columns(n)} FROM {{t}}", t=found)
 
 
 def grade_stream(stream: DataFrame, questions: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -24,35 +28,69 @@ def grade_stream(stream: DataFrame, questions: DataFrame, candidates: DataFrame)
 
 
 def mastery_stream(graded: DataFrame) -> DataFrame:
-    """Counters for each tag, in update or complete mode."""
+    """Counters for each tag, in update mode: a batch gives the tags that it changes."""
     return A.tag_mastery(graded)
 
 
 def accuracy_trend(graded: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
-    """Accuracy for each subject and window of time; rows later than the watermark are dropped."""
+    """Accuracy for each subject and window of time, for append mode: a window is written once, when the watermark, the latest time of earlier batches less ``late``, has passed its end.
+
+    Its state goes then; rows of windows that are closed are dropped.
+    """
     timed = graded.withColumn("create_time", F.col("create_time").cast("timestamp"))
     return timed.withWatermark("create_time", late).groupBy(F.window("create_time", width), "subject").agg(F.count("*").alias("total"), F.count_if("is_correct").alias("correct"))
 
 
 def misconception_stream(graded: DataFrame) -> DataFrame:
-    """For each question answered wrong: how often, and the first wrong answer by time and id."""
+    """For each question answered wrong: how often, and the first wrong answer by time and id, whatever the order of batches. In update mode a batch gives the questions that it changes."""
     wrong = graded.filter(~F.col("is_correct"))
     return wrong.groupBy("question_id").agg(F.count("*").alias("frequency"), F.min_by("user_answer", F.struct("create_time", "id")).alias("user_answer"))
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it wrote: all batches in append mode, the last in complete mode.
+BOOK = "question_id long, subject string, chapter string, added_at timestamp, wrong_attempts long, last_status string, review_count long, last_review_at timestamp"
 
-    A batch that is run again after a failure writes its own folder anew, so nothing is counted twice.
-    """
-    root = folder(stream.sparkSession)
-    last = []
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-        last.append(batch_id)
+class ErrorBook(StatefulProcessor):
+    """The error book of one question: its row, which the first wrong attempt makes, later ones and reviews change, and right answers leave alone."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.row = handle.getValueState("row", BOOK)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.row.get() if self.row.exists() else None
+        row = dict(zip(NAMES, held, strict=True)) if held is not None else None
+        events = pd.concat(list(rows)).sort_values(["create_time", "id"])
+        changed = False
+        for event in events.itertuples(index=False):
+            if event.is_review:
+                if row is not None:
+                    row |= {"last_status": "correct" if event.is_correct else "wrong", "review_count": row["review_count"] + 1, "last_review_at": event.create_time.to_pydatetime()}
+                    changed = True
+            elif not event.is_correct:
+                if row is None:
+                    values = (key[0], event.subject, event.chapter, event.create_time.to_pydatetime(), 1, "unreviewed", 0, None)
+                    row = dict(zip(NAMES, values, strict=True))
+                else:
+                    row |= {"wrong_attempts": row["wrong_attempts"] + 1, "last_status": "wrong"}
+                changed = True
+        if changed:
+            self.row.update(tuple(row[n] for n in NAMES))
+            out = pd.DataFrame([row], columns=NAMES)
+            for c in ("added_at", "last_review_at"):
+                out[c] = pd.to_datetime(out[c])
+            yield out
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    read = stream.sparkSession.read.schema(stream.schema)
-    return read.parquet(f"{root}/out/batch={max(last)}") if mode == "complete" else read.parquet(*(f"{root}/out/batch={i}" for i in sorted(set(last))))
+    def close(self) -> None:
+        pass
+
+
+NAMES = [x.split()[0] for x in BOOK.split(", ")]
+
+
+def wrong_book_stream(events: DataFrame) -> DataFrame:
+    """Rows of the error book that a batch changes, in update mode. events: id, question_id, subject, chapter, create_time, is_correct, is_review.
+
+    A question's events are taken by time and id within a batch, and in the order of batches; a batch's events of one question are held by one task.
+    """
+    timed = events.select("id", "question_id", "subject", "chapter", F.col("create_time").cast("timestamp"), F.coalesce("is_correct", F.lit(False)).alias("is_correct"), "is_review")
+    return timed.groupBy("question_id").transformWithStateInPandas(ErrorBook(), BOOK, "Update", "None")

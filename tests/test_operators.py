@@ -5,6 +5,8 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from lernwerk import catalog
 from lernwerk.functions import text as T
 from lernwerk.operators import attempts as A
@@ -74,10 +76,31 @@ def test_first_by_hash_keeps_rows_without_hash(spark):
 
 
 def test_wrong_book_with_reviews(spark):
-    g = spark.createDataFrame([(1, "s", "c", "2024-01-01", False), (1, "s", "c", "2024-01-02", False), (2, "s", "c", "2024-01-01", False)], "question_id long, subject string, chapter string, create_time string, is_correct boolean")
-    r = spark.createDataFrame([(1, "2024-01-03", True)], "question_id long, create_time string, is_correct boolean")
-    got = {x.question_id: (x.last_status, x.review_count) for x in A.wrong_book(g, r).collect()}
-    assert got == {1: ("correct", 1), 2: ("unreviewed", 0)}
+    """Literal rows: reviews before the first wrong attempt have nothing to review; the last of attempts and reviews, by time and id, gives the status."""
+    g = [(1, 1, "2024-01-01", False), (2, 1, "2024-01-02", False), (3, 2, "2024-01-01", False), (4, 3, "2024-01-05", False), (5, 4, "2024-01-01", False), (6, 4, "2024-01-04", False), (7, 5, "2024-01-01", True), (8, 6, "2024-01-01", False), (30, 7, "2024-01-01", False)]
+    r = [(11, 1, "2024-01-03", True), (12, 3, "2024-01-02", True), (13, 3, "2024-01-03", False), (14, 4, "2024-01-02", True), (15, 5, "2024-01-02", True), (16, 6, "2024-01-02", True), (17, 6, "2024-01-02", False), (29, 7, "2024-01-01", True), (31, 7, "2024-01-01", True)]
+    graded = spark.createDataFrame(g, "id long, question_id long, create_time string, is_correct boolean").withColumns({"subject": F.lit("s"), "chapter": F.lit("c")})
+    got = {x.question_id: (x.last_status, x.review_count, x.last_review_at, x.wrong_attempts) for x in A.wrong_book(graded, spark.createDataFrame(r, "id long, question_id long, create_time string, is_correct boolean")).collect()}
+    assert got == {1: ("correct", 1, "2024-01-03", 2), 2: ("unreviewed", 0, None, 1), 3: ("unreviewed", 0, None, 1), 4: ("wrong", 1, "2024-01-02", 2), 6: ("wrong", 2, "2024-01-02", 1), 7: ("correct", 1, "2024-01-01", 1)}
+
+
+def test_reviews_are_graded_by_the_built_in_answer_alone(spark):
+    q = spark.createDataFrame([(1, "other", " b "), (2, "choice", ""), (3, "choice", None), (4, "choice", "A")], "id long, question_type string, answer string")
+    a = spark.createDataFrame([(1, 1, "B"), (2, 2, ""), (3, 3, "A"), (4, 4, " a"), (5, 4, None), (6, 9, "A")], "id long, question_id long, user_answer string")
+    assert {r.id: r.is_correct for r in A.grade_reviews(a, q).collect()} == {1: True, 2: False, 3: False, 4: True, 5: False}
+
+
+def test_wrong_list_shows_the_newest_with_the_text_as_it_is(spark):
+    book = spark.createDataFrame([(1, "s", "c", "2024-01-01"), (2, "s", "c", "2024-01-03"), (3, "s", None, "2024-01-03"), (4, "t", "c", "2024-01-02")], "question_id long, subject string, chapter string, added_at string").withColumn("last_status", F.lit("wrong"))
+    q = spark.createDataFrame([(1, "x" * 81), (2, " two\n  lines "), (3, None), (4, "y" * 80)], "id long, question_text string")
+    rows = [(r.question_id, r.preview, r.total, r.pages) for r in A.wrong_list(book, q, page_size=3).orderBy(F.desc("added_at"), "question_id").collect()]
+    assert rows == [(2, " two\n  lines ", 4, 2), (3, "", 4, 2), (4, "y" * 80, 4, 2)]
+    assert [r.preview for r in A.wrong_list(book, q, page=2, page_size=3).collect()] == ["x" * 80 + "..."]
+
+
+def test_first_wrongs(spark):
+    rows = spark.createDataFrame([(1, 1, "b", "t2", False), (2, 1, "a", "t1", False), (3, 1, "c", "t0", True), (4, 1, "d", "t1", False), (5, 2, "e", "t0", True)], "id long, question_id long, user_answer string, create_time string, is_correct boolean")
+    assert [(r.question_id, r.id, r.user_answer, r.frequency) for r in A.first_wrongs(rows).collect()] == [(1, 2, "a", 3)]
 
 
 def test_parse_markdown_file(spark, tmp_path):

@@ -44,15 +44,6 @@ def test_offsets_meet_their_page_in_any_stretch(spark):
         assert sorted(map(tuple, found.collect())) == want
 
 
-def test_error_book_in_one_aggregate_equals_the_join(spark):
-    r = random.Random(5)
-    rows = [(i, r.randint(0, 6), "s", None, i * 60 % 7919, r.random() < 0.5, r.random() < 0.3) for i in range(80)]
-    events = spark.createDataFrame(rows, "id long, question_id long, subject string, chapter string, t long, is_correct boolean, is_review boolean").selectExpr("*", "timestamp_seconds(t) AS create_time")
-    joined = A.wrong_book(events.filter("NOT is_review"), events.filter("is_review").select("question_id", "create_time", "is_correct"))
-    once = A.wrong_book_of_events(events).select(joined.columns)
-    assert once.count() and sorted(map(str, once.collect())) == sorted(map(str, joined.collect()))
-
-
 def test_what_hangs_on_removed_questions_goes(spark):
     ids = lambda xs, name: spark.createDataFrame([(x,) for x in xs], f"{name} long")
     parts = B.remove_cascade(ids([1, 2, 3], "id"), ids([2, 2, 9], "id"), {"assets": ids([1, 2, 2, 9, None], "question_id")})
