@@ -74,25 +74,37 @@ def classify(text: str | None, compressors: list, scale: float) -> tuple[str, fl
     return compressors[order[0]][0], 1 / (1 + math.exp(-min(30.0, margin / scale)))
 
 
-def fit(texts: list[str], langs: list[str], most_bytes: int = 1 << 17) -> Model:
-    """A dictionary of up to ``most_bytes`` from the texts of each language: four fifths of the sample; the rest sets the unit of the margin.
+def pieces_of_text(raw: bytes, most: int, size: int = 512) -> bytes:
+    """At most ``most`` bytes of a text: all of it, or pieces at even distances over its whole length."""
+    if len(raw) <= most:
+        return raw
+    n = max(1, most // size)
+    return b" ".join(raw[(len(raw) - size) * i // max(1, n - 1) :][: size - 1] for i in range(n))
 
-    Every text gives at most ``most_bytes`` / 32, so that no single one fills a dictionary.
+
+def fit(texts: list[str], langs: list[str], most_bytes: int = 1 << 17, most_held: int = 500) -> Model:
+    """A dictionary of up to ``most_bytes`` from the texts of each language: four fifths of the sample; of the rest, up to ``most_held`` texts set the unit of the margin.
+
+    Every text gives at most ``most_bytes`` / 32, from all over it, so that no single one fills a dictionary. Texts are taken in turn while they fit, and none is cut to fit.
     """
     parts: dict[str, list[bytes]] = {}
+    room: dict[str, int] = {}
     count: dict[str, int] = {}
     held = []
     for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
         count[lang] = count.get(lang, 0) + 1
-        if i % 5 == 4:
+        if i % 5 == 4 and len(held) < most_held:
             held.append((text, lang))
         if i % 5 < 4 or lang not in parts:
-            parts.setdefault(lang, []).append(plain(text).encode("utf-8", "replace")[: most_bytes // 32])
+            part = pieces_of_text(plain(text).encode("utf-8", "replace"), most_bytes // 32)
+            if len(part) < room.setdefault(lang, most_bytes):
+                parts.setdefault(lang, []).append(part)
+                room[lang] -= len(part) + 1
     order = sorted(parts, key=lambda x: (-count[x], x))
-    model = Model({lang: b" ".join(parts[lang])[-most_bytes:] for lang in order})
+    model = Model({lang: b" ".join(parts[lang]) for lang in order})
     made = model.compressors()
     margins = []
-    for text, lang in held[:500]:
+    for text, lang in held:
         found, p = classify(text, made, model.scale)
         if found == lang and 0.5 < p < 1:
             margins.append(model.scale * math.log(p / (1 - p)))
@@ -101,18 +113,25 @@ def fit(texts: list[str], langs: list[str], most_bytes: int = 1 << 17) -> Model:
     return model
 
 
-def fit_from(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 400, longest: int = 20_000) -> Model:
-    """Fit on about ``per_lang`` texts a language, of up to ``longest`` characters, picked by a hash of the key; null languages and texts are left out.
+def fit_from(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 400, most: int = 1 << 14) -> Model:
+    """Fit on about ``per_lang`` texts a language, picked by a hash of the key; null languages and texts are left out.
 
-    The sample is bounded by ``per_lang`` times the number of languages; the languages are counted over all rows.
+    Longer texts give ``most`` bytes, from all over them. So the sample has ``per_lang`` times ``most`` bytes for each language at most; the languages are counted over all rows.
     """
-    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")).filter(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.length("t") <= longest))
+    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")).filter(F.col("t").isNotNull() & F.col("l").isNotNull())
     n = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64("k"), F.lit(1_000_000))
     share = F.lit(0)
     for name, count in sorted(n.items()):
         share = F.when(F.col("l") == name, F.lit(min(1_000_000, math.ceil(1_000_000 * per_lang / count)))).otherwise(share)
-    got = rows.filter(draw < share).toPandas() if n else rows.limit(0).toPandas()
+    drawn = rows.filter(draw < share) if n else rows.limit(0)
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [t if len(t) <= most // 4 else pieces_of_text(t.encode("utf-8", "replace"), most).decode("utf-8", "ignore") for t in batch["t"].to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("t"), "t", pa.array(short, pa.string()))
+
+    got = drawn.mapInArrow(shorten, drawn.schema).toPandas()
     got = got.assign(h=[xxh3_64_intdigest(str(k)) for k in got["k"]]).sort_values(["h", "k", "t"])
     return fit(got["t"].tolist(), got["l"].tolist())
 

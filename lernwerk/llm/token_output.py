@@ -18,13 +18,23 @@ from pyspark.sql import functions as F
 
 from .common import settle
 from .packing import best_fit_decreasing, place
-from .tokens import pieces
+from .tokens import pieces, vocabulary_size
 
 ROWS = 128
 
 
+def check_fit(path: str, capacity: int, end_id: int, id_bytes: int, pad_id: int) -> None:
+    """Every id of the vocabulary and every position must be a number of ``id_bytes`` bytes; nothing ever wraps."""
+    if id_bytes not in (2, 4):
+        raise ValueError("id_bytes must be 2 or 4")
+    most = max(vocabulary_size(path) - 1, end_id, pad_id, capacity - 1)
+    if most >= 1 << 8 * id_bytes or min(end_id, pad_id) < 0 or capacity < 1:
+        raise ValueError(f"{most} does not fit into {id_bytes} bytes, or a number is negative")
+
+
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, id_bytes: int = 2, pad_id: int = 0) -> DataFrame:
     """sequence_id, n_tokens, doc_ids, pieces, cu_seqlens, ids (capacity ids of ``id_bytes`` bytes), positions (capacity 16- or 32-bit numbers) for each sequence."""
+    check_fit(path, capacity, end_id, id_bytes, pad_id)
     own = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id")).alias("_id"), F.col(text).alias("text"))
     cut = settle(pieces(own, path, key="_id", capacity=capacity, end_id=end_id, id_bytes=id_bytes).select("_id.row", "_id.doc_id", "piece", "length", "ids"), "ids")
     # rows of one key are placed in any order; what is written holds

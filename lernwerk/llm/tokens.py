@@ -136,6 +136,13 @@ def encoder_of(path: str) -> RunEncoder:
     return _ENCODERS[path]
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the highest id that the tokenizer may give."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=-1) + 1
+
+
 def flags(x: pa.Array) -> np.ndarray:
     return x.to_numpy(zero_copy_only=False)
 
