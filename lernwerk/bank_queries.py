@@ -15,6 +15,8 @@ from .operators import quality as Q
 from .operators import questions as S
 from .plans import pages as PG
 from .plans import parsing as P
+from .sources import sync as SY
+from .sources.shared import folder
 
 WS = "concat(' ', chr(9), chr(10), chr(13))"
 HASHED = f"h AS (SELECT *, sha256(trim(question_text, {WS})) AS text_hash FROM texts)"
@@ -97,7 +99,7 @@ def prompts(a: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
     kind = lambda rows, key, name, text: rows.select(F.col(key).alias("id"), F.lit(name).alias("kind"), text.alias("prompt"))
     pages = PG.correction_blocks(q.withColumnsRenamed({"source_pdf": "doc", "page_number": "page_no"}))
     out = kind(q.filter("question_type = 'choice'"), "id", "answer", R.answer_prompt()).union(kind(q.filter("question_type <> 'choice'"), "id", "essay", R.essay_prompt()))
-    return out.union(kind(q, "id", "tutor", R.tutor_prompt())).union(kind(wrong, "attempt", "mistake", R.mistake_prompt())).union(kind(pages, "first_id", "page", F.col("prompt")))
+    return out.union(kind(q, "id", "tutor", R.tutor_prompt())).union(kind(q, "id", "tutor without key", R.tutor_prompt(include_key=False))).union(kind(wrong, "attempt", "mistake", R.mistake_prompt())).union(kind(pages, "first_id", "page", F.col("prompt")))
 
 
 OPTION_LINES = "'A. ' || option_a, 'B. ' || option_b, 'C. ' || option_c, 'D. ' || option_d"
@@ -105,6 +107,7 @@ PROMPTS = f"""WITH w AS (SELECT g.id, g.user_answer, g.key, q.* EXCLUDE (id) FRO
   SELECT id, 'answer' AS kind, concat_ws(chr(10), 'Subject: ' || subject, 'Question: ' || question_text, {OPTION_LINES}) AS prompt FROM questions WHERE question_type = 'choice'
   UNION ALL SELECT id, 'essay', concat('【', subject, '】', chr(10), '题目：', question_text) FROM questions WHERE question_type <> 'choice'
   UNION ALL SELECT id, 'tutor', concat_ws(chr(10), concat('[当前题目] 科目:', subject, ' 章节:', chapter), concat('题目: ', question_text), CASE WHEN option_a <> '' THEN concat('A.', option_a, ' B.', option_b, ' C.', option_c, ' D.', option_d) END, '正确答案: ' || nullif(answer, ''), '解析: see ' || chapter) FROM questions
+  UNION ALL SELECT id, 'tutor without key', concat_ws(chr(10), concat('[当前题目] 科目:', subject, ' 章节:', chapter), concat('题目: ', question_text), CASE WHEN option_a <> '' THEN concat('A.', option_a, ' B.', option_b, ' C.', option_c, ' D.', option_d) END) FROM questions
   UNION ALL SELECT id, 'mistake', concat_ws(chr(10), concat('科目：', subject), concat('章节：', coalesce(chapter, '未知')), concat('题目：', question_text), '选项：', {OPTION_LINES}, concat('学生答案：', user_answer, '（错误）'), concat('正确答案：', key)) FROM w
   UNION ALL SELECT min(id), 'page', string_agg(concat_ws(chr(10), concat('[ID=', id, '] 题目: ', question_text), '  A. ' || option_a, '  B. ' || option_b, '  C. ' || option_c, '  D. ' || option_d), chr(10) || chr(10) ORDER BY id) FROM questions GROUP BY source_pdf, page_number, id // 1000"""
 
@@ -161,6 +164,14 @@ book = lambda a, q, c: A.wrong_book(A.grade(a, q, c))
 DETAIL = ["subject", "chapter", "question_type", "question_text", "option_a", "option_b", "option_c", "option_d"]
 SYNCED = "question_id % 4 = 0"
 
+def pushed(a: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
+    """Misconceptions in a store, of which those of every fourth question were pushed and marked."""
+    spark, path = q.sparkSession, folder(q.sparkSession)
+    SY.write_store(A.misconceptions(A.grade(a, q, c)).select("question_id", "frequency"), path, "question_id")
+    SY.mark_synced(spark, path, SY.unsynced(SY.read_store(spark, path)).filter(SYNCED), "question_id")
+    return SY.read_store(spark, path)
+
+
 ENTRIES = [
     # assets and packages
     ("assets_per_question", "questions assets", lambda q, a: shown(B.assets_per_question(q, a)), "SELECT q.id, string_agg(a.path, ',' ORDER BY a.id) AS paths, count(a.id) AS n FROM questions q LEFT JOIN assets a ON a.question_id = q.id GROUP BY q.id"),
@@ -171,7 +182,7 @@ ENTRIES = [
     ("safe_relative_path", "assets", lambda a: paths(a).select("id", T.safe_relative_path("raw").alias("safe")), "SELECT id, CASE WHEN id % 4 >= 2 THEN path END AS safe FROM assets"),
     ("image_ordinal_assign", "assets", lambda a: B.ordinal_images(*placed(a)), f"WITH {PLACED}, m AS (SELECT DISTINCT doc, page, n FROM q) SELECT i.doc, i.page, i.id AS image, q.id AS number FROM i JOIN m USING (doc, page) JOIN q ON q.doc = i.doc AND q.page = i.page AND q.k = least(i.k, m.n)"),
     ("image_page_fallback", "assets", page_images, f"WITH {PLACED} SELECT i.doc, i.page, i.id AS image, q.id AS number FROM i JOIN q ON i.doc = q.doc AND i.page = q.page WHERE q.doc % 3 <> 0"),
-    ("package_metadata", "questions assets candidates", B.package_metadata, "SELECT (SELECT count(*) FROM questions) AS questions, (SELECT bool_or(trim(answer) = '') FROM questions) AS has_partial_answers, (SELECT count(*) FROM assets) AS assets, (SELECT count(*) FROM candidates) AS candidates, (SELECT count(*) > 0 FROM assets) AS has_media"),
+    ("package_metadata", "questions assets candidates", B.package_metadata, "SELECT (SELECT count(*) FROM questions) AS questions, (SELECT bool_or(trim(answer) <> '') FROM questions) AS has_partial_answers, (SELECT count(*) FROM assets) AS assets, (SELECT count(*) FROM candidates) AS candidates, (SELECT count(*) > 0 FROM assets) AS has_media"),
     ("resolve_source_file", "questions", lambda q: B.resolve_files(q.select("id", "source_pdf"), listing(q), "source_pdf").select("id", "path"), "SELECT id, CASE WHEN right(b, 1) IN ('1', '3') THEN concat('/d/', upper(b), '.PDF') ELSE concat('/d/', b, '.md') END AS path FROM (SELECT id, regexp_replace(source_pdf, '[.]pdf$', '') AS b FROM questions)"),
     ("batch_select", "questions", lambda q: q.join(q.filter("id % 50 = 1").select("id").hint("merge"), "id", "left_semi").select("id", "question_text"), "SELECT id, question_text FROM questions WHERE id % 50 = 1"),
     ("batch_remove", "questions", lambda q: B.remove_batch(q.select("id", "subject"), q.select((F.col("id") * 3).alias("id")))[0], "SELECT id, subject FROM questions WHERE id NOT IN (SELECT id * 3 FROM questions)"),
@@ -183,11 +194,12 @@ ENTRIES = [
     # error book and misconceptions
     ("join_wrong_questions", GRADING, lambda a, q, c: B.with_question(book(a, q, c).select("question_id", "last_status"), q).select("question_id", "last_status", "question.question_text", "question.source_pdf"), f"WITH {BOOK} SELECT question_id, last_status, question_text, source_pdf FROM book LEFT JOIN questions q ON q.id = question_id", True),
     ("wrong_detail", GRADING, lambda a, q, c: B.with_question(book(a, q, c), q).select("question_id", "last_status", F.to_json(F.struct(*(f"question.{x}" for x in DETAIL)), {"ignoreNullFields": "false"}).alias("question")), f"WITH {BOOK} SELECT question_id, last_status, CAST(to_json({{{', '.join(repr(x) + ': ' + 'q.' + x for x in DETAIL)}}}) AS VARCHAR) AS question FROM book JOIN questions q ON q.id = question_id", True),
-    ("unsynced_misconceptions", GRADING, lambda a, q, c: A.misconceptions(A.grade(a, q, c)).filter(f"NOT ({SYNCED})").select("question_id", "frequency"), "SELECT question_id, count(*) AS frequency FROM graded WHERE NOT is_correct AND question_id % 4 <> 0 GROUP BY 1", True),
-    ("render_note_markdown", GRADING, lambda a, q, c: A.tag_mastery(A.grade(a, q, c)).select("tag", R.note().alias("note")), "WITH t AS (SELECT trim(t) AS tag, is_correct FROM (SELECT unnest(string_split(coalesce(knowledge_tag, ''), ',')) AS t, is_correct FROM graded) WHERE trim(t) <> '') SELECT tag, concat('# ', tag, chr(10), chr(10), '- mastery: ', CAST(round(count(*) FILTER (is_correct) / count(*) * 100) AS INTEGER), '%', chr(10), '- wrong: ', count(*) FILTER (NOT is_correct), chr(10)) AS note FROM t GROUP BY tag", True),
+    ("unsynced_misconceptions", GRADING, lambda a, q, c: SY.unsynced(pushed(a, q, c)).select("question_id", "frequency"), "SELECT question_id, count(*) AS frequency FROM graded WHERE NOT is_correct AND question_id % 4 <> 0 GROUP BY 1", True),
+    ("misconception_sync_counts", GRADING, lambda a, q, c: SY.counts(pushed(a, q, c)), "SELECT count(DISTINCT question_id) AS total, count(DISTINCT question_id) FILTER (question_id % 4 = 0) AS synced FROM graded WHERE NOT is_correct", True),
     # imports and corrections
     ("parse_validity_filter", "texts", lambda t: t.filter(~B.blank("question_text")).select("id"), f"SELECT id FROM texts WHERE trim(coalesce(question_text, ''), {WS}) <> ''"),
     ("import_report", "texts", lambda t: B.import_report(hashed(t).filter("id % 3 <> 0"), hashed(t).filter("id % 3 = 0")), f"WITH {HASHED}, n AS (SELECT * FROM h WHERE id % 3 <> 0), k AS (SELECT min(id) AS id FROM n WHERE trim(question_text, {WS}) <> '' AND text_hash NOT IN (SELECT text_hash FROM h WHERE id % 3 = 0) GROUP BY text_hash) SELECT file, count(*) AS found, count(k.id) AS success, count(*) FILTER (k.id IS NULL AND trim(question_text, {WS}) <> '') AS skipped, count(*) FILTER (trim(question_text, {WS}) = '') AS error FROM n LEFT JOIN k ON k.id = n.id GROUP BY ROLLUP (file)"),
+    ("import_errors", "texts", lambda t: B.import_errors(t.withColumn("number", F.col("id") % 50).withColumn("question_text", F.when(F.col("id") % 4 != 0, F.col("question_text")).when(F.col("id") % 8 == 0, " \n"))), "SELECT file, id, concat('Q#', id % 50, ': empty question text') AS error FROM texts WHERE id % 4 = 0"),
     ("relink_by_hash", "texts", lambda t: L.relink_by_hash(hashed(t).filter("id % 2 = 1").select("id", F.col("text_hash").alias("question_text_hash")), S.first_by_hash(hashed(t).filter("id % 3 <> 0"))).select("question_text_hash", "question_id"), f"WITH {HASHED}, k AS (SELECT text_hash, min(id) AS id FROM h WHERE id % 3 <> 0 GROUP BY 1) SELECT k.text_hash AS question_text_hash, k.id AS question_id FROM h JOIN k USING (text_hash) WHERE h.id % 2 = 1"),
     ("apply_corrections", "texts", fixes, "SELECT id, CAST((id % 5 = 0 AND id % 10 <> 0) AS BIGINT) + CAST((id % 7 = 0) AS BIGINT) AS n_corrected, CAST((id % 10 = 0) AS BIGINT) AS n_refused, CASE WHEN id % 7 = 0 THEN concat(file, '!') ELSE file END AS file, md5(CASE WHEN id % 5 = 0 AND id % 10 <> 0 THEN concat('fixed ', file) ELSE question_text END) AS h FROM texts"),
     ("pua_repair_report", "texts", B.pua_report, f"WITH c AS (SELECT file, len(regexp_extract_all(question_text, '{PUA_SQL}')) AS a, len(regexp_extract_all(replace(question_text, chr(61617), ''), '{PUA_SQL}')) AS b FROM texts) SELECT file, count(*) FILTER (a > 0) AS affected, CAST(sum(a) AS BIGINT) AS before, CAST(sum(b) AS BIGINT) AS after, count(*) FILTER (b > 0) AS still_affected FROM c GROUP BY file"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import sink_queries as SK
 from .bank_queries import ENTRIES, FILE_IDS, file_of
+from .functions import replies as R
 from .functions import text as T
 from .operators import attempts as A
 from .operators import banks as B
@@ -18,6 +19,7 @@ from .operators import links as L
 from .operators import quality as Q
 from .operators import questions as S
 from .plans import parsing as P
+from .plans import regions as G
 from .sources.projection import load, with_ctes
 from .sources.shared import folder
 from .streaming import attempts as ST
@@ -53,7 +55,7 @@ GRADED = f"""{BEST}, keyed AS (
 )"""
 TAGGED = "tagged AS (SELECT trim(t) AS tag, is_correct FROM (SELECT unnest(string_split(coalesce(knowledge_tag, ''), ',')) AS t, is_correct FROM graded) WHERE trim(t) <> '')"
 MASTERY = f"{TAGGED}, mastery AS (SELECT tag, count(*) FILTER (is_correct) AS correct_count, count(*) FILTER (NOT is_correct) AS wrong_count, count(*) FILTER (is_correct) / count(*) AS mastery_score FROM tagged GROUP BY tag)"
-SUBJECTS_SQL = "subjects AS (SELECT m.tag, arg_min(q.subject, q.id) AS subject FROM mastery m JOIN questions q ON contains(q.knowledge_tag, m.tag) GROUP BY 1)"
+SUBJECTS_SQL = "subjects AS (SELECT m.tag, arg_min(q.subject, q.id) AS subject FROM mastery m JOIN questions q ON contains(lower(q.knowledge_tag), lower(m.tag)) GROUP BY 1)"
 FIRST = "firsts AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY question_id) AS frequency, row_number() OVER (PARTITION BY question_id ORDER BY create_time, id) AS r FROM graded WHERE NOT is_correct) WHERE r = 1)"
 BOOK = "book AS (SELECT question_id, subject, chapter, min(create_time) AS added_at, count(*) AS wrong_attempts, CASE WHEN count(*) > 1 THEN 'wrong' ELSE 'unreviewed' END AS last_status FROM graded WHERE NOT is_correct GROUP BY 1, 2, 3)"
 REVIEWS = "reviews AS (SELECT a.id, a.question_id, a.create_time, coalesce(trim(q.answer), '') <> '' AND upper(trim(a.user_answer)) = upper(trim(q.answer)) AS ok FROM attempts a JOIN questions q ON q.id = a.question_id WHERE a.id % 4 = 0)"
@@ -76,6 +78,11 @@ def reviewed_book(attempts: DataFrame, questions: DataFrame, candidates: DataFra
     return A.wrong_book(A.grade(attempts.filter("id % 4 <> 0"), questions, candidates), A.grade_reviews(attempts.filter("id % 4 = 0"), questions))
 
 
+def weak_points(attempts: DataFrame, questions: DataFrame, candidates: DataFrame) -> DataFrame:
+    graded = A.grade(attempts, questions, candidates)
+    return A.weak_point_enrich(A.tag_mastery(graded), analysed(graded), questions, split_tags=True)
+
+
 def analysed(graded: DataFrame) -> DataFrame:
     """Misconceptions with what an analysis adds: the confused options, where to read again, a summary."""
     given = F.upper(F.trim("user_answer"))
@@ -103,7 +110,7 @@ register("wrong_book_batch", GRADING, reviewed_book, f"WITH {REVIEWED} SELECT *
 register("wrong_stats", GRADING, lambda a, q, c: A.wrong_stats(reviewed_book(a, q, c)), f"WITH {REVIEWED} SELECT subject, last_status, CAST(grouping(subject) AS INTEGER) AS all_subjects, CAST(grouping(last_status) AS INTEGER) AS all_statuses, count(*) AS n, round(count(*) FILTER (last_status <> 'unreviewed') / count(*), 2) AS review_rate FROM book GROUP BY GROUPING SETS ((), (subject), (last_status))", True)
 register("wrong_list", GRADING, lambda a, q, c: A.wrong_list(reviewed_book(a, q, c), q, status="wrong", page=2, page_size=10).select("question_id", "subject", "chapter", "wrong_attempts", "preview", "total", "pages"), f"WITH {REVIEWED}, w AS (SELECT * FROM book WHERE last_status = 'wrong') SELECT question_id, w.subject, w.chapter, wrong_attempts, concat(substr(question_text, 1, 80), CASE WHEN length(question_text) > 80 THEN '...' ELSE '' END) AS preview, (SELECT count(*) FROM w) AS total, (SELECT greatest(1, (count(*) + 9) // 10) FROM w) AS pages FROM w JOIN questions q ON q.id = question_id ORDER BY added_at DESC, question_id LIMIT 10 OFFSET 10", True)
 register("wrong_chapters", GRADING, on_graded(lambda g: A.wrong_book(g).filter(A.filled("chapter")).select("subject", "chapter").distinct()), f"WITH {BOOK} SELECT DISTINCT subject, chapter FROM book WHERE trim(chapter) <> ''", True)
-register("misconception_batch", GRADING, on_graded(lambda g: A.misconceptions(g).select("question_id", "subject", "chapter", "user_answer", "correct_answer", "related_knowledge_tag", "frequency")), f"WITH {FIRST} SELECT question_id, subject, chapter, user_answer, key AS correct_answer, knowledge_tag AS related_knowledge_tag, frequency FROM firsts", True)
+register("misconception_batch", GRADING, on_graded(lambda g: A.misconceptions(g).select("question_id", "subject", "chapter", "user_answer", "correct_answer", "related_knowledge_tag", "frequency", "misconception_summary", "knowledge_gap", "remediation", "error_cause", "recommended_actions_json")), f"WITH {FIRST} SELECT question_id, subject, chapter, user_answer, key AS correct_answer, CASE WHEN knowledge_tag <> '' THEN knowledge_tag WHEN chapter <> '' THEN concat(subject, ':', chapter) ELSE subject END AS related_knowledge_tag, frequency, concat('选了', user_answer, '，正确答案是', key) AS misconception_summary, coalesce(chapter, '') AS knowledge_gap, '建议复习该章节相关知识点' AS remediation, concat('选择了', user_answer, '，正确答案是', key) AS error_cause, '[\"复习相关知识点\",\"重做同类题\"]' AS recommended_actions_json FROM firsts", True)
 register("misconception_summary", GRADING, on_graded(lambda g: A.misconception_summary(A.misconceptions(g))), f"WITH {FIRST} SELECT subject, chapter, count(*) AS n, CAST(sum(frequency) AS BIGINT) AS attempts FROM firsts GROUP BY 1, 2", True)
 register("misconception_stats", GRADING, on_graded(lambda g: A.misconception_stats(A.misconceptions(g))), f"WITH {FIRST} SELECT subject, CAST(grouping(subject) AS INTEGER) AS all_subjects, count(DISTINCT chapter) AS chapters, count(*) AS n, CAST(sum(frequency) AS BIGINT) AS attempts FROM firsts GROUP BY ROLLUP (subject)", True)
 register("misconception_list", GRADING, on_graded(lambda g: A.misconception_list(A.misconceptions(g), skip=5).select("question_id", "created_at", "frequency", "total")), f"WITH {FIRST} SELECT question_id, create_time AS created_at, frequency, (SELECT count(*) FROM firsts) AS total FROM firsts ORDER BY create_time DESC, question_id LIMIT 20 OFFSET 5", True)
@@ -115,7 +122,13 @@ ENRICHED = """each AS (SELECT *, trim(t) AS tag FROM (SELECT *, unnest(list_dist
   ordered AS (SELECT tag, kind, item, row_number() OVER (PARTITION BY tag, kind ORDER BY create_time DESC, question_id, pos) AS o FROM items WHERE item IS NOT NULL),
   firstly AS (SELECT tag, kind, item, min(o) AS o FROM ordered GROUP BY 1, 2, 3), listed AS (SELECT tag, string_agg(item, '|' ORDER BY o) FILTER (kind = 'c') AS concepts, string_agg(item, '|' ORDER BY o) FILTER (kind = 'a') AS actions FROM firstly GROUP BY 1),
   of_tag AS (SELECT trim(t) AS tag, arg_min(id, id) AS id, first(subject ORDER BY id) AS subject, first(chapter ORDER BY id) AS chapter FROM (SELECT id, subject, chapter, unnest(string_split(coalesce(knowledge_tag, ''), ',')) AS t FROM questions) WHERE trim(t) <> '' GROUP BY 1)"""
-register("weak_point_enrich", GRADING, lambda a, q, c: A.weak_point_enrich(A.tag_mastery(A.grade(a, q, c)), analysed(A.grade(a, q, c)), q), f"WITH {MASTERY}, {FIRST}, {ENRICHED} SELECT m.tag, m.wrong_count, m.correct_count, m.mastery_score, coalesce(f.subject, o.subject) AS subject, coalesce(f.chapter, o.chapter) AS chapter, coalesce(f.summary, '') AS summary, coalesce(f.n, 0) AS misconception_count, coalesce(l.concepts, '') AS confused_concepts, coalesce(l.actions, '') AS recommended_actions, array_to_string(list_sort(list_distinct(list_concat(coalesce(f.ids, []), CASE WHEN f.subject IS NULL OR f.chapter IS NULL THEN [o.id] ELSE [] END))), ',') AS question_ids FROM mastery m LEFT JOIN found f USING (tag) LEFT JOIN listed l USING (tag) LEFT JOIN of_tag o USING (tag) WHERE m.wrong_count > 0", True)
+WEAK_POINTS = """SELECT m.tag, m.wrong_count, m.correct_count, m.mastery_score, coalesce(f.subject, o.subject) AS subject, coalesce(f.chapter, o.chapter) AS chapter, coalesce(f.summary, '') AS summary, coalesce(f.n, 0) AS misconception_count, coalesce(l.concepts, '') AS confused_concepts, coalesce(l.actions, '') AS recommended_actions, array_to_string(list_sort(list_distinct(list_concat(coalesce(f.ids, []), CASE WHEN f.subject IS NULL OR f.chapter IS NULL THEN [o.id] ELSE [] END))), ',') AS question_ids FROM mastery m LEFT JOIN found f USING (tag) LEFT JOIN listed l USING (tag) LEFT JOIN of_tag o USING (tag) WHERE m.wrong_count > 0"""
+ENRICHED = ENRICHED.replace("coalesce(knowledge_tag, '')", "CASE WHEN knowledge_tag <> '' THEN knowledge_tag WHEN chapter <> '' THEN concat(subject, ':', chapter) ELSE subject END", 1)
+register("weak_point_enrich", GRADING, weak_points, f"WITH {MASTERY}, {FIRST}, {ENRICHED} {WEAK_POINTS}", True)
+register("render_note_markdown", GRADING, lambda a, q, c: SK.notes(weak_points(a, q, c)).select("tag", R.note().alias("note")), f"""WITH {MASTERY}, {FIRST}, {ENRICHED}, e AS ({WEAK_POINTS})
+  SELECT tag, concat('# ', tag, chr(10), chr(10), 'Subject: ', coalesce(nullif(subject, ''), 'uncategorized'), chr(10), 'Chapter: ', coalesce(nullif(chapter, ''), 'uncategorized'), chr(10), 'Wrong count: ', wrong_count, chr(10), 'Mastery: ', CAST(round_even(mastery_score * 100, 0) AS INTEGER), '%', chr(10),
+    chr(10), '## Common Misconceptions', chr(10), CASE WHEN summary = '' THEN 'No AI summary yet.' ELSE summary END, chr(10), chr(10), '## Confused Concepts', chr(10), CASE WHEN confused_concepts = '' THEN 'None' ELSE replace(confused_concepts, '|', ', ') END, chr(10),
+    chr(10), '## Related Wrong Questions', chr(10), CASE WHEN question_ids = '' THEN '- None' ELSE concat('- Q', replace(question_ids, ',', chr(10) || '- Q')) END, chr(10), chr(10), '## Review Actions', chr(10), CASE WHEN recommended_actions = '' THEN '- Review related wrong questions' ELSE concat('- ', replace(recommended_actions, '|', chr(10) || '- ')) END, chr(10)) AS note FROM e""", True)
 register("attempt_history", "attempts", lambda a: A.attempt_history(a, 10, 50), "SELECT * FROM attempts ORDER BY create_time DESC, id DESC LIMIT 50 OFFSET 10")
 register("best_verified_candidate", "candidates", A.best_verified, f"WITH {BEST} SELECT * EXCLUDE (r) FROM best")
 register("latest_candidate", "candidates", lambda c: A.latest(c, "question_id"), "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY created_at DESC, id DESC) AS r FROM candidates) WHERE r = 1")
@@ -125,7 +138,7 @@ register("complete_choice_filter", "questions", lambda q: q.filter(A.complete_ch
 register("gradable_filter", "questions", lambda q: q.filter(A.gradable() & A.filled("answer")).select("id"), "SELECT id FROM questions WHERE question_type = 'choice' AND trim(answer) <> '' AND (coalesce(trim(option_a), '') <> '' OR coalesce(trim(option_b), '') <> '' OR coalesce(trim(option_c), '') <> '' OR coalesce(trim(option_d), '') <> '')")
 register("question_search", "questions", lambda q: S.page(S.search(q, tag="RED"), 5, 20).select("id", "knowledge_tag"), "SELECT id, knowledge_tag FROM questions WHERE contains(lower(knowledge_tag), 'red') ORDER BY id LIMIT 20 OFFSET 5")
 register("question_search_count", "questions", lambda q: S.search(q, tag="a").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM questions WHERE contains(lower(knowledge_tag), 'a')")
-register("chapter_questions", "questions", lambda q: q.filter(F.col("chapter").isNotNull()).select("subject", "chapter", "id"), "SELECT subject, chapter, id FROM questions WHERE chapter IS NOT NULL")
+register("chapter_questions", "questions", lambda q: S.of_chapter(q, "LARGE", "Brand#4", "choice").unionByName(S.of_chapter(q, "MEDIUM", "Brand#10")).select("subject", "chapter", "id"), f"SELECT subject, chapter, id FROM questions WHERE (subject = 'LARGE' AND chapter = 'Brand#4' AND question_type = 'choice' AND {COMPLETE}) OR (subject = 'MEDIUM' AND chapter = 'Brand#10') ORDER BY id")
 register("chapter_counts", "questions", S.chapter_counts, f"SELECT chapter, count(*) AS n FROM questions WHERE chapter IS NOT NULL AND {COMPLETE} GROUP BY chapter")
 register("questions_by_subject", "questions", S.by_subject, "SELECT subject, count(*) AS n FROM questions GROUP BY ROLLUP (subject)")
 register("random_questions", "questions", lambda q: S.random_questions(q, 10, 3).select("id"), f"SELECT id FROM questions WHERE {COMPLETE} ORDER BY md5(concat('3:', id)), id LIMIT 10")
@@ -143,10 +156,9 @@ register("package_import_stats", "texts", lambda t: S.import_stats(hashed(t).fil
 register("pua_detect", "texts", lambda t: t.select("id", T.pua_count("question_text").cast("long").alias("n")), r"SELECT id, CAST(len(regexp_extract_all(question_text, '[\x{E000}-\x{F8FF}]')) AS BIGINT) AS n FROM texts")
 register("pua_strip_normalize", "texts", lambda t: t.select("id", T.fingerprint("question_text").alias("fp")), r"SELECT id, substr(regexp_replace(regexp_replace(question_text, '[\x{E000}-\x{F8FF}]', '', 'g'), '[\s\x{3000}\x{00A0}\x{2028}\x{2029}\x{0085}]+', '', 'g'), 1, 40) AS fp FROM texts")
 register("pua_repair", "texts", lambda t: t.select("id", F.md5(T.pua_repair("question_text")).alias("h")), "SELECT id, md5(replace(replace(question_text, '', '∑'), '', '')) AS h FROM texts")
-register("pua_histogram", "texts", Q.pua_histogram, r"WITH c AS (SELECT unnest(regexp_extract_all(question_text, '[\x{E000}-\x{F8FF}]')) AS ch FROM texts) SELECT ch, count(*) AS n, upper(printf('%x', unicode(ch))) AS code FROM c GROUP BY ch")
-CHANGED = r"""after AS (SELECT question_text AS a, array_to_string(list_filter(string_split(replace(replace(question_text, chr(61617), '∑'), chr(57344), ''), chr(10)), lambda x: NOT regexp_matches(trim(x), '^[⏟⏞⎵⎴‾_~\-=]{3,}$')), chr(10)) AS b FROM texts),
-  counted AS (SELECT 'question_text' AS field, a <> b AS changed, len(regexp_extract_all(a, '[\x{E000}-\x{F8FF}]')) AS p, len(regexp_extract_all(b, '[\x{E000}-\x{F8FF}]')) AS q FROM after UNION ALL SELECT '(rows)', a <> b, 0, 0 FROM after UNION ALL SELECT 'file', false, 0, 0 FROM texts)"""
-register("clean_change_report", "texts", lambda t: Q.change_report(t, ["question_text", "file"]), f"WITH {CHANGED} SELECT field, count(*) FILTER (changed) AS changed, count(*) FILTER (NOT changed) AS unchanged, CAST(sum(p) AS BIGINT) AS pua_before, CAST(sum(q) AS BIGINT) AS pua_after FROM counted GROUP BY 1")
+register("pua_histogram", "texts", Q.pua_histogram, r"WITH c AS (SELECT unnest(regexp_extract_all(question_text, '[\x{E000}-\x{F8FF}]')) AS ch FROM texts) SELECT ch, count(*) AS n, upper(printf('%x', unicode(ch))) AS code, CASE ch WHEN chr(61617) THEN '∑ (U+2211)' ELSE '?' END AS replacement FROM c GROUP BY ch ORDER BY n DESC, ch")
+register("clean_change_report", "questions", lambda q: Q.change_report(SK.mixed(q), G.clean_fields(SK.mixed(q), SK.FIELDS), SK.FIELDS), f"""WITH c AS (SELECT id % 2 = 0 AS even FROM questions) SELECT unnest(['question_text', 'option_a', 'analysis', '(rows)']) AS field, unnest([count(*), count(*) FILTER (even), 0, count(*)]) AS changed, unnest([0, count(*) FILTER (NOT even), count(*), 0]) AS unchanged, CAST(0 AS BIGINT) AS pua_before, CAST(0 AS BIGINT) AS pua_after FROM c
+  UNION ALL SELECT CASE WHEN even THEN '(2 fields)' ELSE '(1 fields)' END, count(*), 0, 0, 0 FROM c GROUP BY even""")
 register("extract_image_refs", "texts", lambda t: L.resolve_refs(t.select("id", F.explode(T.image_refs("question_text")).alias("ref")), t.filter("id % 2 = 0").select(F.concat(F.lit("images/"), "file", F.lit(".png")).alias("path"))), r"SELECT id, ref, ref IN (SELECT concat('images/', file, '.png') FROM texts WHERE id % 2 = 0) AS found FROM (SELECT id, unnest(regexp_extract_all(question_text, '!\[[^\]]*\]\(([^)]+)\)', 1)) AS ref FROM texts)")
 register("extract_html_tables", "texts", lambda t: t.select("id", F.explode(T.html_tables(F.replace("question_text", F.lit("<td>"), F.lit("<td class='x' onClick=\"run('y')\"><b>")))).alias("fragment")), r"SELECT id, replace(fragment, '<td>', '<td class=''x''>') AS fragment FROM (SELECT id, unnest(regexp_extract_all(question_text, '(?is)(<table.*?</table>)', 1)) AS fragment FROM texts)")
 register("question_number_extract", "texts", lambda t: t.select("id", T.question_number("question_text").alias("number")), r"SELECT id, CASE WHEN regexp_matches(question_text, '^\s*\d{1,4}\s*[.、．]') THEN CAST(regexp_extract(question_text, '^\s*(\d{1,4})\s*[.、．]', 1) AS INTEGER) END AS number FROM texts")
@@ -174,7 +186,7 @@ def all_issues(t: DataFrame, a: DataFrame) -> DataFrame:
 
 
 def summed(t: DataFrame, a: DataFrame) -> DataFrame:
-    return Q.summary(all_issues(t, a), as_questions(t).withColumn("source", F.col("file")), a)
+    return Q.summary(as_questions(t).withColumn("source", F.col("file")), a, a.filter("id % 3 = 0").select("path").distinct())
 
 
 register("qc_issues", "texts assets", lambda t, a: all_issues(t, a).drop("preview"), f"WITH {ISSUES} SELECT * FROM issues")
@@ -259,10 +271,21 @@ def answer_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fuzzy_answers(answers, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("all").alias("subject"), "text")).select("answer_id", "question_id", F.round("score", 6).alias("score"))
 
 
-for f in (fingerprint_page_match, fingerprint_any_source, image_nearest_question, gap_cluster_boxes, offset_page_interval, parse_markdown_corpus, transcript_build, conversation_activity, near_empty_ratio, answer_fuzzy_match):
+def answer_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as recovered answers, some without one, to documents of which every third has an answer already and every fifth an analysis."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("all").alias("subject"), "text", F.when(F.col("item_id") % 7 != 0, F.concat(F.lit(" b"), "item_id")).alias("answer"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("by item "), "item_id")).alias("analysis"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("all").alias("subject"), "text", F.when(F.col("doc_id") % 3 == 0, "A").alias("answer"), F.when(F.col("doc_id") % 5 == 0, "known").alias("analysis"))
+    return L.fill_answers(items, docs)
+
+
+for f in (answer_fill, fingerprint_page_match, fingerprint_any_source, image_nearest_question, gap_cluster_boxes, offset_page_interval, parse_markdown_corpus, transcript_build, conversation_activity, near_empty_ratio, answer_fuzzy_match):
     QUERIES[f.__name__] = f
 
 BLANKS = r"[\s\x{3000}\x{00A0}\x{2028}\x{2029}\x{0085}]+"
+FUZZY = rf"""WITH a AS (SELECT item_id AS id, list_distinct(string_split(substr(regexp_replace(text, '{BLANKS}', '', 'g'), 1, 50), '')) AS s FROM benchmark),
+      q AS (SELECT doc_id AS id, list_distinct(string_split(substr(regexp_replace(text, '{BLANKS}', '', 'g'), 1, 50), '')) AS s FROM documents),
+      j AS (SELECT a.id AS a, q.id AS q, len(list_intersect(a.s, q.s)) / (len(a.s) + len(q.s) - len(list_intersect(a.s, q.s))) AS score FROM a, q),
+      r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, q) AS r FROM j WHERE score > 0.6)"""
 ORACLES |= {
     "fingerprint_page_match": rf"WITH n AS (SELECT doc_id, source, regexp_replace(text, '{BLANKS}', '', 'g') AS b FROM documents), f AS (SELECT doc_id AS id, source, substr(b, 1, 40) AS fp FROM n) SELECT f.id, min(n.doc_id) AS page_no FROM f JOIN n ON f.source = n.source AND contains(n.b, f.fp) WHERE length(f.fp) >= 5 GROUP BY f.id",
     "fingerprint_any_source": rf"WITH n AS (SELECT doc_id, source, regexp_replace(text, '{BLANKS}', '', 'g') AS b FROM documents), f AS (SELECT item_id AS id, substr(regexp_replace(text, '{BLANKS}', '', 'g'), 1, 40) AS fp FROM benchmark) SELECT f.id, n.source, n.doc_id AS page_no FROM f JOIN n ON contains(n.b, f.fp) WHERE length(f.fp) >= 5",
@@ -285,10 +308,9 @@ ORACLES |= {
     "conversation_activity": """WITH m AS (SELECT conv_id, turn + 1 AS done, concat_ws('|', substr(text, 1, 40), turn) AS b FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 3 = 0), k AS (SELECT conv_id, max(done) AS done, arg_max(b, done) AS b FROM m GROUP BY 1)
       SELECT conv_id, greatest(max(turn), coalesce(max(k.done), -1)) AS last_activity, CASE WHEN conv_id % 4 = 0 THEN '' ELSE coalesce(max(k.b), '') END AS bookmarks, count(*) FILTER (role = 'user') AS questions FROM conversations LEFT JOIN k USING (conv_id) GROUP BY conv_id ORDER BY last_activity DESC, conv_id""",
     "near_empty_ratio": "SELECT source AS doc, avg(CASE WHEN length(trim(text, concat(' ', chr(9), chr(10), chr(13)))) < 200 THEN 1.0 ELSE 0.0 END) AS ratio, avg(CASE WHEN length(trim(text, concat(' ', chr(9), chr(10), chr(13)))) < 200 THEN 1.0 ELSE 0.0 END) >= 0.5 AS scanned FROM documents GROUP BY source",
-    "answer_fuzzy_match": rf"""WITH a AS (SELECT item_id AS id, list_distinct(string_split(substr(regexp_replace(text, '{BLANKS}', '', 'g'), 1, 50), '')) AS s FROM benchmark),
-      q AS (SELECT doc_id AS id, list_distinct(string_split(substr(regexp_replace(text, '{BLANKS}', '', 'g'), 1, 50), '')) AS s FROM documents),
-      j AS (SELECT a.id AS a, q.id AS q, len(list_intersect(a.s, q.s)) / (len(a.s) + len(q.s) - len(list_intersect(a.s, q.s))) AS score FROM a, q),
-      r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, q) AS r FROM j WHERE score > 0.6)
+    "answer_fill": rf"""{FUZZY}, o AS (SELECT q, min(a) AS a FROM r WHERE r = 1 AND a % 7 <> 0 GROUP BY q)
+      SELECT q AS question_id, a AS answer_id, concat('B', a) AS answer, CASE WHEN q % 5 = 0 THEN 'known' WHEN a % 2 = 0 THEN concat('by item ', a) END AS analysis FROM o WHERE q % 3 <> 0""",
+    "answer_fuzzy_match": rf"""{FUZZY}
       SELECT a AS answer_id, q AS question_id, round(score, 6) AS score FROM r WHERE r = 1""",
 }
 

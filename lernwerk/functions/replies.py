@@ -85,13 +85,14 @@ def mistake_prompt(answer: str = "user_answer", key: str = "key") -> Column:
     return F.concat_ws("\n", *about, F.lit("选项："), *option_lines(), F.concat(labelled("学生答案：", answer), F.lit("（错误）")), labelled("正确答案：", key))
 
 
-def tutor_prompt() -> Column:
-    """What a tutor is told of the question at hand: options only if there is a first one; null parts are empty."""
+def tutor_prompt(include_key: bool = True) -> Column:
+    """What a tutor is told of the question at hand: options only if there is a first one; null parts are empty. Without the key neither answer nor analysis is told."""
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     options = F.when(has("option_a"), F.concat_ws(" ", *(F.concat(F.lit(f"{k}."), empty(f"option_{k.lower()}")) for k in "ABCD")))
     head = F.concat(F.lit("[当前题目] 科目:"), empty("subject"), F.lit(" 章节:"), empty("chapter"))
-    return F.concat_ws("\n", head, F.concat(F.lit("题目: "), empty("question_text")), options, labelled("正确答案: ", "answer"), labelled("解析: ", "analysis"))
+    key = [labelled("正确答案: ", "answer"), labelled("解析: ", "analysis")] if include_key else []
+    return F.concat_ws("\n", head, F.concat(F.lit("题目: "), empty("question_text")), options, *key)
 
 
 def correction_part() -> Column:
@@ -99,6 +100,18 @@ def correction_part() -> Column:
     return F.concat_ws("\n", F.concat(F.lit("[ID="), "id", F.lit("] 题目: "), "question_text"), *option_lines(indent="  "))
 
 
-def note(tag: str = "tag", mastery: str = "mastery_score", wrong: str = "wrong_count") -> Column:
-    """A Markdown note on a weak point, mastery in whole percent."""
-    return F.concat(F.lit("# "), F.col(tag), F.lit("\n\n- mastery: "), F.round(F.col(mastery) * 100).cast("int"), F.lit("%\n- wrong: "), F.col(wrong), F.lit("\n"))
+def note() -> Column:
+    """A Markdown note on a weak point: tag, subject, chapter, wrong_count, mastery_score (in whole percent, halves to the even one), summary, and the lists confused_concepts, question_ids, recommended_actions."""
+    or_else = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    listed = lambda c, lead, other: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: F.concat(F.lit(lead), x.cast("string"))), "\n")).otherwise(F.lit(lead[:2] + other))
+    mastery = F.bround(F.coalesce("mastery_score", F.lit(0.0)) * 100, 0).cast("int").cast("string")
+    facts = [F.concat(F.lit("Subject: "), or_else("subject", "uncategorized")), F.concat(F.lit("Chapter: "), or_else("chapter", "uncategorized")), F.concat(F.lit("Wrong count: "), F.coalesce("wrong_count", F.lit(0)).cast("string")), F.concat(F.lit("Mastery: "), mastery, F.lit("%"))]
+    concepts = F.when(F.size("confused_concepts") > 0, F.array_join("confused_concepts", ", ")).otherwise("None")
+    parts = [
+        ("Common Misconceptions", or_else("summary", "No AI summary yet.")),
+        ("Confused Concepts", concepts),
+        ("Related Wrong Questions", listed("question_ids", "- Q", "None")),
+        ("Review Actions", listed("recommended_actions", "- ", "Review related wrong questions")),
+    ]
+    sections = [F.concat(F.lit(f"\n## {title}\n"), body, F.lit("\n")) for title, body in parts]
+    return F.concat(F.lit("# "), F.col("tag"), F.lit("\n\n"), F.concat_ws("\n", *facts), F.lit("\n"), *sections)

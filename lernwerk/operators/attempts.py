@@ -115,19 +115,30 @@ UNKNOWN = "未知"
 GRAM = 3
 
 
+def grams(c: str, n: Column | int) -> Column:
+    """The distinct runs of ``n`` characters of a text."""
+    at = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(c, i, F.lit(n) if isinstance(n, int) else n)))
+
+
 def tag_subjects(mastery: DataFrame, questions: DataFrame) -> DataFrame:
-    """Each tag with the subject of the first question whose tag list contains it, as a whole tag or within one; ``UNKNOWN`` if none does.
+    """Each tag with the subject of the first question whose tag list contains it, as a whole tag or within one, in any case of letters; ``UNKNOWN`` if none does.
 
-    Lists that repeat are taken once. A tag meets the lists that have its first ``GRAM`` characters somewhere, and is looked for in these only.
+    Lists that repeat are taken once. For every run of up to ``GRAM`` characters the first list that has it and how many have it are summed up, so a tag as short as that is answered by the sums alone. A longer
+    tag meets the lists that have the rarest of its runs, and is looked for in these only.
     """
-    lists = questions.filter(filled("knowledge_tag")).groupBy("knowledge_tag").agg(F.min(F.struct("id", "subject")).alias("first"))
-    at = F.sequence(F.lit(1), F.length("knowledge_tag"))
-    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(at, lambda i: F.substr("knowledge_tag", i, n)))))
-    laid = lists.select("knowledge_tag", "first", F.explode(pieces).alias("gram"))
-    sought = mastery.select("tag", F.substring("tag", 1, GRAM).alias("gram")).distinct()
-    met = sought.join(laid.hint("merge"), "gram").filter(F.contains("knowledge_tag", F.col("tag")))
-    found = met.groupBy("tag").agg(F.min("first")["subject"].alias("subject"))
-    return mastery.join(found.hint("merge"), "tag", "left").withColumn("subject", F.coalesce("subject", F.lit(UNKNOWN)))
+    lists = questions.filter(filled("knowledge_tag")).groupBy(F.lower("knowledge_tag").alias("_list")).agg(F.min(F.struct("id", "subject")).alias("_first"))
+    laid = lists.select("_list", "_first", F.explode(F.concat(*(grams("_list", n) for n in range(1, GRAM + 1)))).alias("_gram"))
+    runs = laid.groupBy("_gram").agg(F.count("*").alias("_n"), F.min("_first").alias("_first"))
+    tags_sought = mastery.select(F.lower("tag").alias("_tag")).filter("_tag <> ''").distinct()
+    short = tags_sought.filter(F.length("_tag") <= GRAM).join(runs.hint("merge"), F.col("_tag") == F.col("_gram")).select("_tag", "_first")
+    asked = tags_sought.filter(F.length("_tag") > GRAM).select("_tag", F.explode(grams("_tag", GRAM)).alias("_gram"))
+    counted = asked.join(runs.select("_gram", "_n").hint("merge"), "_gram", "left")  # a run that no list has: the tag is in none
+    rarest = counted.groupBy("_tag").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("r")).filter("r.n > 0").select("_tag", F.col("r.gram").alias("_gram"))
+    long = rarest.join(laid.hint("merge"), "_gram").filter(F.contains("_list", F.col("_tag"))).groupBy("_tag").agg(F.min("_first").alias("_first"))
+    found = short.unionByName(long).select("_tag", F.col("_first.subject").alias("subject"))
+    met = mastery.withColumn("_tag", F.lower("tag")).join(found.hint("merge"), "_tag", "left").drop("_tag")
+    return met.withColumn("subject", F.coalesce("subject", F.lit(UNKNOWN)))
 
 
 def weakest_per_subject(mastery: DataFrame, questions: DataFrame, n: int = 5) -> DataFrame:
@@ -187,9 +198,27 @@ def wrong_chapters(book: DataFrame, subject: str) -> DataFrame:
     return book.filter((F.col("subject") == subject) & filled("chapter")).select("chapter").distinct().orderBy("chapter")
 
 
+def question_tag() -> Column:
+    """What a misconception is filed under: the tag list as it is, else ``subject:chapter``, else the subject."""
+    has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    return F.when(has("knowledge_tag"), F.col("knowledge_tag")).when(has("chapter"), F.concat("subject", F.lit(":"), "chapter")).otherwise(F.col("subject"))
+
+
+# What is said of a wrong answer without an analysis.
+CHOSEN, GIVEN_ANSWER, RIGHT_ANSWER = "选了", "选择了", "，正确答案是"
+REMEDY, REPEAT = "建议复习该章节相关知识点", ["复习相关知识点", "重做同类题"]
+
+
 def misconceptions(graded: DataFrame) -> DataFrame:
-    """One row for each question answered wrong: the first wrong answer and how often it went wrong."""
-    return first_wrongs(graded).select("question_id", "subject", "chapter", "user_answer", F.col("key").alias("correct_answer"), F.col("knowledge_tag").alias("related_knowledge_tag"), "frequency", F.col("create_time").alias("created_at"), F.lit(0.3).alias("analysis_confidence"), F.lit("fallback").alias("analysis_source"))
+    """One row for each question answered wrong: the first wrong answer, how often it went wrong, and what the rules say of it. ``analysis`` of the question is used where there is one."""
+    said = lambda how: F.concat(F.lit(how), F.coalesce("user_answer", F.lit("")), F.lit(RIGHT_ANSWER), "key")
+    path = F.coalesce("analysis", F.lit("")) if "analysis" in graded.columns else F.lit("")
+    return first_wrongs(graded).select(
+        "question_id", "subject", "chapter", "user_answer", F.col("key").alias("correct_answer"), question_tag().alias("related_knowledge_tag"), "frequency", F.col("create_time").alias("created_at"),
+        said(CHOSEN).alias("misconception_summary"), F.coalesce("chapter", F.lit("")).alias("knowledge_gap"), F.lit(REMEDY).alias("remediation"), said(GIVEN_ANSWER).alias("error_cause"),
+        F.lit("[]").alias("confused_concepts_json"), path.alias("correct_reasoning_path"), F.to_json(F.array(*map(F.lit, REPEAT))).alias("recommended_actions_json"),
+        F.lit(0.3).alias("analysis_confidence"), F.lit(None).cast("string").alias("analysis_model"), F.lit("fallback").alias("analysis_source"),
+    )
 
 
 def misconception_summary(found: DataFrame) -> DataFrame:
@@ -220,14 +249,14 @@ def in_first_order(rows: DataFrame, items: Column) -> DataFrame:
     return first.groupBy("tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("items"))
 
 
-def weak_point_enrich(mastery: DataFrame, found: DataFrame, questions: DataFrame) -> DataFrame:
-    """Weak tags with their misconceptions: those whose tag list has the tag.
+def weak_point_enrich(mastery: DataFrame, found: DataFrame, questions: DataFrame, split_tags: bool = False) -> DataFrame:
+    """Weak tags with their misconceptions: those filed under just this tag, or with ``split_tags`` those whose tag list has it.
 
     Their number, sorted question ids, distinct confused concepts and recommended actions with those of newer ones first, the summary of the newest that has one, subject and
     chapter of the newest that has them. Where that leaves one out, it comes from the first question with the tag, whose id joins the others then.
     found: question_id, subject, chapter, related_knowledge_tag, created_at, and confused_concepts_json, recommended_actions_json, misconception_summary.
     """
-    rows = found.withColumn("tag", F.explode(F.array_distinct(tags("related_knowledge_tag"))))
+    rows = found.withColumn("tag", F.explode(F.array_distinct(tags("related_knowledge_tag"))) if split_tags else F.col("related_knowledge_tag")).filter("tag IS NOT NULL")
     newest = F.struct(F.col("created_at"), (-F.col("question_id")).alias("q"))
     latest_of = lambda c: F.max_by(c, F.when(filled(c), newest))
     by_tag = rows.groupBy("tag").agg(F.count("*").alias("n"), F.collect_set("question_id").alias("ids"), *(latest_of(c).alias(c) for c in ("subject", "chapter")), latest_of("misconception_summary").alias("summary"))

@@ -61,10 +61,15 @@ def import_report(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return marked.rollup("file").agg(F.count("*").alias("found"), F.count_if(new).alias("success"), F.count_if(~new & ~F.col("_error")).alias("skipped"), F.count_if("_error").alias("error"))
 
 
+def import_errors(rows: DataFrame) -> DataFrame:
+    """file, id, error: what is said of each row that an import refuses. rows: id, file, number (of the question, may be null), question_text."""
+    return rows.filter(blank("question_text")).select("file", "id", F.concat(F.lit("Q#"), F.coalesce(F.col("number").cast("string"), F.lit("None")), F.lit(": empty question text")).alias("error"))
+
+
 def package_metadata(questions: DataFrame, assets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row: how many questions, assets and candidates, whether there are media, whether some questions lack an answer."""
+    """One row: how many questions, assets and candidates, whether there are media, whether some question has an answer."""
     parts = [
-        questions.agg(F.count("*").alias("questions"), F.coalesce(F.bool_or(blank("answer")), F.lit(False)).alias("has_partial_answers")),
+        questions.agg(F.count("*").alias("questions"), F.coalesce(F.bool_or(~blank("answer")), F.lit(False)).alias("has_partial_answers")),
         assets.agg(F.count("*").alias("assets")),
         candidates.agg(F.count("*").alias("candidates")),
     ]

@@ -4,33 +4,72 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .banks import page_offsets
 
 
-def fuzzy_answers(answers: DataFrame, questions: DataFrame, threshold: float = 0.6, chars: int = 50, block_sets: int = 20_000) -> DataFrame:
+def character_sets(rows: DataFrame, ranks: dict[str, int], chars: int) -> DataFrame:
+    """id, subject, ``s``: the places, in an order of rare characters first, of the first ``chars`` characters that are no white space."""
+    head = F.substring(F.regexp_replace("text", r"(?U)\s+", ""), 1, chars)
+    shared = rows.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [sorted(map(shared.value.__getitem__, set(t))) if t else [] for t in batch["t"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["subject"], pa.array(sets, pa.list_(pa.int32()))], names=["id", "subject", "s"])
+
+    kept = rows.select("id", "subject", head.alias("t"))
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, subject string, s array<int>")
+
+
+def fuzzy_answers(answers: DataFrame, questions: DataFrame, threshold: float = 0.6, chars: int = 50) -> DataFrame:
     """For each answer the question of its subject with the most similar character set, strictly above the threshold.
 
-    Jaccard similarity of the sets of the first ``chars`` characters that are no white space; ties to the smaller question id. Both have id, subject, text. Questions
-    of equal sets are taken once; the sets are dealt to blocks by a hash, the answers, a query set, visit every block of their subject, and the best of the blocks stays.
+    Jaccard similarity of the sets of the first ``chars`` characters that are no white space; ties to the smaller question id. Both have id, subject, text. Questions of equal sets are taken once. A set of n characters keeps the
+    n - ceil(threshold * n) + 1 rarest: two sets that are similar enough share one of these, so a pair meets by such a character only, at the rarest one that it shares, if the sizes allow. The
+    order of characters comes from their counts in both tables; there are as many as Unicode has, at most. Empty and null texts meet nothing.
     """
-    sets = lambda d: d.select("id", "subject", F.array_sort(F.array_distinct(F.split(F.substring(F.regexp_replace("text", r"(?U)\s+", ""), 1, chars), ""))).alias("s"))
+    head = F.substring(F.regexp_replace("text", r"(?U)\s+", ""), 1, chars)
+    letters = answers.select(head.alias("t")).unionByName(questions.select(head.alias("t"))).select(F.explode(F.array_distinct(F.split("t", ""))).alias("c"))
+    counts = letters.filter("c <> ''").groupBy("c").agg(F.count("*").alias("n")).toArrow()
+    ranks = {c: i for i, (_, c) in enumerate(sorted(zip(counts["n"].to_pylist(), counts["c"].to_pylist(), strict=True)))}
+    sets = lambda d: character_sets(d, ranks, chars).filter(F.size("s") > 0)
     distinct = sets(questions).groupBy("subject", F.col("s").alias("q")).agg(F.min("id").alias("q_id"))
-    blocks = max(16, -(-questions.count() // block_sets))
-    dealt = distinct.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
-    asked = sets(answers).select(F.col("id").alias("a_id"), "subject", F.col("s").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    met = dealt.join(asked.hint("merge"), ["subject", "block"]).filter(F.least(F.size("a"), F.size("q")) > threshold * F.greatest(F.size("a"), F.size("q")))
+    laid = distinct.withColumn("p", kept_of("q", threshold)).withColumn("c", F.explode("p"))
+    asked = sets(answers).select(F.col("id").alias("a_id"), "subject", F.col("s").alias("a"), kept_of("s", threshold).alias("ap")).withColumn("c", F.explode("ap"))
+    n, m = F.size("a"), F.size("q")
+    met = laid.join(asked.hint("merge"), ["subject", "c"]).filter((F.least(n, m) > threshold * F.greatest(n, m)) & (F.array_min(F.array_intersect("ap", "p")) == F.col("c")))
     shared = F.size(F.array_intersect("a", "q"))
-    scored = met.withColumn("score", shared / (F.size("a") + F.size("q") - shared)).filter(F.col("score") > threshold)
+    scored = met.withColumn("score", shared / (n + m - shared)).filter(F.col("score") > threshold)
     best = scored.groupBy("a_id").agg(F.max(F.struct("score", (-F.col("q_id")).alias("m"))).alias("b"))
     return best.select(F.col("a_id").alias("answer_id"), (-F.col("b.m")).alias("question_id"), F.col("b.score").alias("score"))
 
 
+def kept_of(c: str, threshold: float) -> Column:
+    """The rarest characters of a set, one of which every similar set has among its own."""
+    return F.slice(c, 1, F.size(c) - F.ceil(F.lit(threshold) * F.size(c) - 1e-9).cast("int") + 1)
+
+
+def fill_answers(recovered: DataFrame, questions: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """Questions that recovered answers fill, with the filled ``answer`` and ``analysis``.
+
+    recovered: id, subject, text, answer, analysis; questions: id, subject, text, answer, analysis. A recovered row without text or answer does nothing. The others look for their most similar
+    question; if that has no answer, the first of them, by id, gives its answer in capitals, and its analysis if there was none. A question that has an answer stays as it is, and
+    nobody turns to the second best.
+    """
+    trimmed = lambda c: T.strip(F.coalesce(c, F.lit("")))
+    told = recovered.select("id", "subject", trimmed("text").alias("text"), F.upper(trimmed("answer")).alias("new_answer"), trimmed("analysis").alias("new_analysis")).filter("text <> '' AND new_answer <> ''")
+    best = fuzzy_answers(told, questions, threshold).join(told.select(F.col("id").alias("answer_id"), "new_answer", "new_analysis").hint("merge"), "answer_id")
+    first = best.groupBy("question_id").agg(F.min(F.struct("answer_id", "new_answer", "new_analysis")).alias("b"))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    met = questions.filter(empty("answer")).join(first.hint("merge"), F.col("id") == F.col("question_id"))
+    return met.select("question_id", F.col("b.answer_id").alias("answer_id"), F.col("b.new_answer").alias("answer"), F.when(empty("analysis") & (F.col("b.new_analysis") != ""), F.col("b.new_analysis")).otherwise(F.col("analysis")).alias("analysis"))
+
+
 def nearest_above(questions: DataFrame, images: DataFrame, same_page: bool = False) -> DataFrame:
     """Each image goes to the closest question at or above it, else to the last question of an earlier page.
 
@@ -83,9 +122,16 @@ def resolve_refs(refs: DataFrame, listing: DataFrame) -> DataFrame:
     return refs.join(there.hint("merge"), "ref", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def hash_key(rows: DataFrame) -> Column:
+    """The hash that a row of a package names its question by: ``question_text_hash``, or ``text_hash`` where that is missing, null or empty."""
+    named = [F.nullif(F.col(c), F.lit("")) for c in ("question_text_hash", "text_hash") if c in rows.columns]
+    return F.coalesce(*named) if named else F.lit(None).cast("string")
+
+
 def relink_by_hash(attached: DataFrame, inserted: DataFrame) -> DataFrame:
-    """Rows keyed by a question's text hash get the id of the newly inserted question."""
-    return attached.join(inserted.select(F.col("text_hash").alias("question_text_hash"), F.col("id").alias("question_id")).hint("merge"), "question_text_hash")
+    """Rows that name a question by its text hash get the id of the newly inserted question; the hash is called ``question_text_hash`` then."""
+    keyed = attached.withColumn("question_text_hash", hash_key(attached))
+    return keyed.join(inserted.select(F.col("text_hash").alias("question_text_hash"), F.col("id").alias("question_id")).hint("merge"), "question_text_hash")
 
 
 def apply_corrections(questions: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -25,10 +25,15 @@ def rules(long_text: int = 3000) -> list[tuple[str, Column, Column]]:
     ]
 
 
+def broken() -> Column:
+    """The broken rules of a question, as structs of issue_type and severity."""
+    found = F.array(*(F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(name).alias("issue_type"), severity.alias("severity"))) for name, severity, holds in rules()))
+    return F.filter(found, lambda x: x.isNotNull())
+
+
 def issues(questions: DataFrame) -> DataFrame:
     """id, subject, issue_type, severity, preview for each broken rule."""
-    found = F.array(*(F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(name).alias("issue_type"), severity.alias("severity"))) for name, severity, holds in rules()))
-    each = questions.select("id", "subject", T.preview("question_text").alias("preview"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i"))
+    each = questions.select("id", "subject", T.preview("question_text").alias("preview"), F.explode(broken()).alias("i"))
     return each.select("id", "subject", "i.issue_type", "i.severity", "preview")
 
 
@@ -37,15 +42,25 @@ def asset_issues(assets: DataFrame, listing: DataFrame) -> DataFrame:
     return missing_assets(assets, listing).select(F.col("question_id").alias("id"), F.lit(None).cast("string").alias("subject"), F.lit("missing_asset_file").alias("issue_type"), F.lit("critical").alias("severity"), F.lit("").alias("preview"))
 
 
-def summary(found: DataFrame, questions: DataFrame, assets: DataFrame) -> DataFrame:
-    """name, a, b, n: issues by type and by severity, questions by subject and type and by source, and how many questions and assets there are. questions: subject, question_type, source."""
-    blank = F.lit(None).cast("string")
-    count = lambda name, rows, *by: rows.groupBy(*by).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), *[*(F.col(c).cast("string").alias(k) for c, k in zip(by, "ab")), *(blank.alias(k) for k in "ab"[len(by) :])], "n")
-    parts = [count("issue_type", found, "issue_type"), count("severity", found, "severity"), count("subject_type", questions, "subject", "question_type"), count("source", questions, "source"), count("questions", questions), count("assets", assets)]
-    out = parts[0]
+def fact(name: str, a: Column | None = None, b: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(name).alias("name"), (none if a is None else a.cast("string")).alias("a"), (none if b is None else b.cast("string")).alias("b"))
+
+
+def summary(questions: DataFrame, assets: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """name, a, b, n: issues by type and by severity, questions by subject and type and by source, and how many questions and assets there are.
+
+    questions: as for ``issues``, and source; listing: the files that assets should be among. Texts are read once: each question gives its facts, and facts are counted.
+    """
+    own = F.array(fact("questions"), fact("subject_type", F.col("subject"), F.col("question_type")), fact("source", F.col("source")))
+    of_rules = F.flatten(F.transform(broken(), lambda i: F.array(fact("issue_type", i["issue_type"]), fact("severity", i["severity"]))))
+    parts = [questions.select(F.explode(F.concat(own, of_rules)).alias("f")), assets.select(fact("assets").alias("f"))]
+    if listing is not None:
+        parts.append(asset_issues(assets, listing).select(F.explode(F.array(fact("issue_type", F.col("issue_type")), fact("severity", F.col("severity")))).alias("f")))
+    facts = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        facts = facts.unionByName(part)
+    return facts.groupBy("f.name", "f.a", "f.b").agg(F.count("*").alias("n"))
 
 
 def top_issues(found: DataFrame, limit: int = 200) -> DataFrame:
@@ -56,17 +71,30 @@ def missing_assets(assets: DataFrame, listing: DataFrame) -> DataFrame:
     return assets.join(listing.select("path").hint("merge"), "path", "left_anti")
 
 
-def pua_histogram(rows: DataFrame, text: str = "question_text") -> DataFrame:
-    """Private-use characters with their code points and frequency."""
-    each = rows.select(F.explode(F.regexp_extract_all(text, F.lit(f"({T.PUA})"), F.lit(1))).alias("ch"))
-    return each.groupBy("ch").agg(F.count("*").alias("n")).withColumn("code", F.hex(F.encode("ch", "UTF-16BE")))
-
-
-def change_report(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """For each field, and under ``(rows)`` for rows of which any field changes: how many a repair of private-use characters and rule lines changes or not, and the private-use characters before and after."""
-    repaired = lambda f: T.drop_rules(T.pua_repair(f))
-    differs = {f: ~F.col(f).eqNullSafe(repaired(f)) for f in fields}
-    each = [F.struct(F.lit(f).alias("field"), differs[f].alias("changed"), T.pua_count(f).alias("a"), T.pua_count(repaired(f)).alias("b")) for f in fields]
-    any_of = F.struct(F.lit("(rows)").alias("field"), F.greatest(*differs.values(), F.lit(False)).alias("changed"), F.lit(0).alias("a"), F.lit(0).alias("b"))
-    long = rows.select(F.explode(F.array(*each, any_of)).alias("x")).select("x.*")
-    return long.groupBy("field").agg(F.count_if("changed").alias("changed"), F.count_if(~F.col("changed")).alias("unchanged"), F.sum("a").cast("long").alias("pua_before"), F.sum("b").cast("long").alias("pua_after"))
+def pua_histogram(rows: DataFrame, *fields: str) -> DataFrame:
+    """Private-use characters of the fields with their code points, how often they stand there and what replaces them, the most frequent first.
+
+    ``replacement``: the opening and closing character of one that comes in pairs, the character and its code point of another, empty for one that goes, ``?`` for one that is not known.
+    """
+    each = rows.select(F.explode(F.flatten(F.array(*(F.coalesce(F.regexp_extract_all(f, F.lit(f"({T.PUA})"), F.lit(1)), F.array().cast("array<string>")) for f in fields or ("question_text",))))).alias("ch"))
+    counts = each.groupBy("ch").agg(F.count("*").alias("n")).withColumn("code", F.hex(F.encode("ch", "UTF-16BE")))
+    known = {code: f"{opening}...{closing} (paired)" for code, opening, closing in T.PAIRED}
+    known |= {code: f"{to} (U+{ord(to):04X})" if to else "" for code, to in T.SINGLE.items()}
+    mapping = F.create_map(*(F.lit(x) for item in known.items() for x in item))
+    return counts.withColumn("replacement", F.coalesce(mapping[F.col("ch")], F.lit("?"))).orderBy(F.desc("n"), "ch")
+
+
+def change_report(before: DataFrame, after: DataFrame, fields: list[str]) -> DataFrame:
+    """For each field, and under ``(rows)`` for rows of which any field changes: how many the cleaning of a table, done to ``after``, changes or not, and the private-use characters before and after.
+
+    Under ``(n fields)``: how many rows have so many changed fields. Both tables have id, once each.
+    """
+    cleaned = after.select("id", *(F.col(f).alias(f"_{f}") for f in fields))
+    met = before.select("id", *fields).join(cleaned.hint("merge"), "id")
+    differs = {f: ~F.col(f).eqNullSafe(F.col(f"_{f}")) for f in fields}
+    count = lambda c: F.coalesce(T.pua_count(c), F.lit(0)).cast("long")
+    row = lambda name, changed, a=F.lit(0).cast("long"), b=F.lit(0).cast("long"): F.struct(name.alias("field"), changed.alias("changed"), a.alias("a"), b.alias("b"))
+    n = sum((d.cast("int") for d in differs.values()), F.lit(0))
+    each = [row(F.lit(f), differs[f], count(f), count(f"_{f}")) for f in fields]
+    long = met.select(F.explode(F.array(*each, row(F.lit("(rows)"), n > 0), row(F.concat(F.lit("("), n.cast("string"), F.lit(" fields)")), n > 0))).alias("x")).select("x.*")
+    return long.groupBy("field").agg(F.count_if("changed").alias("changed"), F.count_if(~F.col("changed")).alias("unchanged"), F.sum("a").alias("pua_before"), F.sum("b").alias("pua_after"))

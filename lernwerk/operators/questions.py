@@ -65,3 +65,11 @@ def ordered_list(rows: DataFrame, key: str, item: str, order: str) -> DataFrame:
     first = rows.groupBy(key, item).agg(F.min(order).alias(order), F.count("*").alias("n"))
     packed = F.array_sort(F.collect_list(F.struct(order, item)))  # distinct items only
     return first.groupBy(key).agg(F.array_join(F.transform(packed, lambda x: x[item]), ",").alias("items"), F.sum("n").alias("n"))
+
+
+def of_chapter(questions: DataFrame, subject: str, chapter: str, question_type: str | None = None) -> DataFrame:
+    """The questions of a chapter in the order of their source, which is that of ids. Of a chapter question type ``choice`` only those with four options."""
+    found = questions.filter((F.col("subject") == subject) & (F.col("chapter") == chapter))
+    if question_type is not None:
+        found = found.filter((F.col("question_type") == question_type) & complete_choice())
+    return found.orderBy("id")

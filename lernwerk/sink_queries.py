@@ -37,6 +37,9 @@ def mixed(q: DataFrame) -> DataFrame:
     return q.select("id", filled_in(MIXED).alias("question_text"), F.when(F.col("id") % 2 == 0, filled_in("{text}<br>b {id}.\n\n")).alias("option_a"), F.lit("").alias("analysis"))
 
 
+FIELDS = ["question_text", "option_a", "analysis"]
+
+
 def with_footer(t: DataFrame) -> DataFrame:
     foot = F.when(F.col("id") % 3 == 0, "\n第 1 页，共 2 页").when(F.col("id") % 3 == 1, "\n3.2 part\nkurz ü\n\n").otherwise("\n= x")
     return t.select("id", F.md5(C.footer_lines(F.concat("question_text", foot))).alias("h"))
@@ -104,20 +107,21 @@ def markdown_files(q: DataFrame) -> DataFrame:
 
 
 def package(q: DataFrame, a: DataFrame, c: DataFrame) -> DataFrame:
-    path = folder(q.sparkSession)
-    K.write_package(hashed(q), a, c, path)
-    spark = q.sparkSession
+    """Two versions, of which the second is read back, with what its metadata say."""
+    spark, path = q.sparkSession, folder(q.sparkSession)
+    K.write_package(hashed(q.filter("id % 2 = 0")), a, c, path)
+    K.write_package(hashed(q), a, c, path, id="all", version="2")
     read = [("questions", K.read_package(spark, path).select(F.col("text_hash").alias("h")))]
     for name in ("question_assets", "answer_candidates", "notes"):
-        read.append((name, O.read_optional(spark, f"{path}/{name}", "question_text_hash string").select(F.col("question_text_hash").alias("h"))))
-    out = None
+        read.append((name, K.read_attached(spark, path, name).select(F.col("question_text_hash").alias("h"))))
+    told = F.from_json("metadata", "count long, asset_count long, answer_candidate_count long").alias("m")
+    out = K.published(spark, path).select(told).select(F.lit("metadata").alias("name"), F.col("m.count").alias("n"), (F.col("m.asset_count") + F.col("m.answer_candidate_count")).alias("texts"))
     for name, rows in read:
-        part = rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_distinct("h").alias("texts"))
-        out = part if out is None else out.union(part)
+        out = out.union(rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_distinct("h").alias("texts")))
     return out
 
 
-PACKAGE = f"WITH h AS (SELECT id AS question_id, sha256(trim(question_text, {WS})) AS h FROM questions) SELECT 'questions' AS name, count(*) AS n, count(DISTINCT h) AS texts FROM h UNION ALL SELECT 'question_assets', count(*), count(DISTINCT h) FROM assets JOIN h USING (question_id) UNION ALL SELECT 'answer_candidates', count(*), count(DISTINCT h) FROM candidates JOIN h USING (question_id) UNION ALL SELECT 'notes', CAST(0 AS BIGINT), CAST(0 AS BIGINT)"
+PACKAGE = f"WITH h AS (SELECT id AS question_id, sha256(trim(question_text, {WS})) AS h FROM questions) SELECT 'questions' AS name, count(*) AS n, count(DISTINCT h) AS texts FROM h UNION ALL SELECT 'question_assets', count(*), count(DISTINCT h) FROM assets JOIN h USING (question_id) UNION ALL SELECT 'answer_candidates', count(*), count(DISTINCT h) FROM candidates JOIN h USING (question_id) UNION ALL SELECT 'notes', CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT 'metadata', (SELECT count(*) FROM questions), (SELECT count(*) FROM assets JOIN h USING (question_id)) + (SELECT count(*) FROM candidates JOIN h USING (question_id))"
 
 
 def banks(q: DataFrame, version: str) -> DataFrame:
@@ -135,13 +139,19 @@ def manifest(q: DataFrame) -> DataFrame:
 MANIFEST = "WITH a AS (SELECT subject AS id, count(*) AS count FROM questions WHERE id % 2 = 0 GROUP BY 1), b AS (SELECT subject AS id, count(*) AS count FROM questions WHERE id % 3 = 0 GROUP BY 1) SELECT id, id AS subject, count, '2' AS version FROM b UNION ALL SELECT id, id, count, '1' FROM a WHERE id NOT IN (SELECT id FROM b)"
 
 
+def notes(enriched: DataFrame) -> DataFrame:
+    """Weak points with their lists as arrays, as a note takes them."""
+    parts = lambda c, sign: F.filter(F.split(c, sign, -1), lambda x: x != "").alias(c)
+    return enriched.select("tag", "subject", "chapter", "wrong_count", "mastery_score", "summary", parts("confused_concepts", r"\|"), parts("recommended_actions", r"\|"), parts("question_ids", ","))
+
+
 def snapshot(a: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
     graded = A.grade(a, q, c)
-    weak = A.tag_subjects(A.tag_mastery(graded).filter("wrong_count > 0"), q).withColumn("chapter", F.lit(None).cast("string"))
+    found = A.misconceptions(graded)
     path = folder(q.sparkSession)
-    out = O.write_snapshot(weak, A.misconceptions(graded), A.wrong_book(graded), path)
-    notes = K.scan_markdown(q.sparkSession, f"{path}/markdown", "*.txt").select(F.regexp_count("text", F.lit("- mastery: ")).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("notes"))
-    return out.join(F.broadcast(notes), F.lit(True))  # one row each
+    out = O.write_snapshot(notes(A.weak_point_enrich(A.tag_mastery(graded), found, q, split_tags=True)), found, A.wrong_book(graded), path)
+    made = K.scan_markdown(q.sparkSession, f"{path}/markdown", "*.txt").select(F.regexp_count("text", F.lit("\nMastery: ")).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("notes"))
+    return out.join(F.broadcast(made), F.lit(True))  # one row each
 
 
 SNAPSHOT = "WITH t AS (SELECT trim(t) AS tag FROM (SELECT unnest(string_split(coalesce(knowledge_tag, ''), ',')) AS t FROM graded WHERE NOT is_correct) WHERE trim(t) <> ''), n AS (SELECT least(200, count(DISTINCT tag)) AS k FROM t), w AS (SELECT count(DISTINCT question_id) AS k FROM graded WHERE NOT is_correct) SELECT n.k AS weak_points_count, w.k AS misconceptions_count, w.k AS wrong_questions_count, n.k AS notes FROM n, w"
@@ -175,7 +185,7 @@ ENTRIES = [
     ("restore_breaks_and_spacing", "texts", lambda t: t.select("id", F.md5(C.part_spacing(T.breaks(F.concat(F.regexp_replace("question_text", r"\n(?=[A-Z])", "<BR />("), F.lit("<br>("), F.col("id") + 1, F.lit(") b<br>(0) c"))))).alias("x")), r"SELECT id, md5(regexp_replace(concat(regexp_replace(question_text, '\n([A-Z])', concat(chr(10), '(\1'), 'g'), chr(10), '(', id + 1, ') b', chr(10), '(0) c'), '\n([（(][1-9]\d*[）)])', concat(chr(10), chr(10), chr(10), '\1'), 'g')) AS x FROM texts"),
     ("code_line_regions", "texts", regions, REGIONS),
     ("mark_inline_asm", "texts", with_instructions, INLINE),
-    ("clean_question_fields", "questions", lambda q: G.clean_fields(mixed(q), ["question_text", "option_a", "analysis"]), f"SELECT id, {sql_text(CLEANED)} AS question_text, CASE WHEN id % 2 = 0 THEN concat(question_text, '  ', chr(10), 'b ', id, '.') END AS option_a, '' AS analysis FROM questions"),
+    ("clean_question_fields", "questions", lambda q: G.clean_fields(mixed(q), FIELDS), f"SELECT id, {sql_text(CLEANED)} AS question_text, CASE WHEN id % 2 = 0 THEN concat(question_text, '  ', chr(10), 'b ', id, '.') END AS option_a, '' AS analysis FROM questions"),
     ("latex_cell_text", "questions", cells, "SELECT id, unnest([0, 0, 1, 1]) AS row, unnest([0, 1, 0, 1]) AS cell, unnest([chapter, concat(question_text, ' * ', id), concat('(', knowledge_tag, ')'), subject]) AS text FROM questions WHERE chapter IS NOT NULL AND knowledge_tag IS NOT NULL"),
     ("parse_page_text_corpus", "questions", lambda q: PG.parse_pages(as_pages(q)).drop("answer_ref", "option_c", "option_d", "option_e", "text_hash"), f"SELECT concat(source_pdf, '-', id // {FILE_IDS}) AS doc, CAST(id % 1000 + 1 AS INTEGER) AS number, page_number AS page_no, '第2章 X' AS chapter, concat('1.', page_number % 9 + 1, ' part') AS section, CASE WHEN id % 4 = 0 THEN '2020统考真题' END AS exam_year, question_text, CASE WHEN question_type = 'choice' THEN subject END AS option_a, CASE WHEN question_type = 'choice' THEN 'two' END AS option_b FROM questions"),
     ("scan_markdown_corpus", "questions", markdown_files, f"SELECT {FILE} AS file, md5(string_agg(concat('## 1.', page_number, ' ', subject, chr(10), id % 1000 + 1, '. ', question_text, chr(10), 'A. one', chr(10), 'B. two'), chr(10) ORDER BY id)) AS h FROM questions GROUP BY 1"),

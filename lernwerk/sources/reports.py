@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import replies as R
@@ -11,16 +10,6 @@ from ..functions import text as T
 from .corpora import write_notes
 
 
-def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet table, or no rows where there is none."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def write_manifest(entries: DataFrame, path: str) -> None:
     """One JSON object with the list ``banks``, by id; as many entries as there are banks."""
     banks = F.array_sort(F.collect_list(F.struct(*entries.columns)))
@@ -53,19 +42,21 @@ def write_qc_report(issues: DataFrame, summary: DataFrame, path: str, most: int
 def write_snapshot(weak: DataFrame, misconceptions: DataFrame, wrong: DataFrame, path: str, limit: int = 200) -> DataFrame:
     """Weak points (the ``limit`` weakest), misconceptions and the error book as JSON, a note for each weak point, and a manifest of counts.
 
-    weak: tag, subject, chapter, wrong_count, mastery_score. Counts are taken from what was written. Result: the manifest, one row.
+    weak: as ``functions.replies.note`` takes it. Rows are counted while they are written. Result: the manifest, one row.
     """
     spark = weak.sparkSession
     tables = {"weak_points": weak.orderBy("mastery_score", "tag").limit(limit), "misconceptions": misconceptions, "wrong_questions": wrong}
-    counts = spark.range(1).select()
+    counts = {}
     for name, rows in tables.items():
-        schema = rows.schema
-        rows.write.mode("overwrite").json(f"{path}/json/{name}")
-        tables[name] = spark.read.schema(schema).json(f"{path}/json/{name}")
-        counts = counts.join(F.broadcast(tables[name].agg(F.count("*").alias(f"{name}_count"))), F.lit(True))  # one row each
-    write_notes(tables["weak_points"].select(T.safe_name("subject").alias("subject"), T.safe_name("chapter").alias("chapter"), R.note().alias("content")), f"{path}/markdown")
-    counts.write.mode("overwrite").json(f"{path}/manifest")
-    return spark.read.schema(counts.schema).json(f"{path}/manifest")
+        seen = Observation(name)
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{path}/json/{name}")
+        counts[f"{name}_count"] = seen.get["n"]
+    notes = spark.read.schema(tables["weak_points"].schema).json(f"{path}/json/weak_points")  # as written: at most ``limit`` rows
+    named = lambda c: T.safe_name(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("uncategorized"))).alias(c)
+    write_notes(notes.select(named("subject"), named("chapter"), R.note().alias("content")), f"{path}/markdown")
+    manifest = spark.range(1).select(*(F.lit(n).cast("long").alias(name) for name, n in counts.items()))
+    manifest.write.mode("overwrite").json(f"{path}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
 
 
 def append_runs(runs: DataFrame, path: str) -> None:

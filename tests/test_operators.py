@@ -114,9 +114,9 @@ def test_parse_markdown_file(spark, tmp_path):
 def test_package_round_trip(spark, tmp_path):
     q = spark.createDataFrame([(1, "s", "h"), (2, "t", None)], "id long, subject string, text_hash string")
     assets = spark.createDataFrame([(1, "p.png"), (2, "q.png")], "question_id long, path string")
-    C.write_package(q, assets, assets, str(tmp_path / "p"))
+    C.write_package(q.withColumn("answer", F.lit("A")), assets, assets, str(tmp_path / "p"))
     assert C.read_package(spark, str(tmp_path / "p")).count() == 2
-    kept = spark.read.parquet(str(tmp_path / "p/question_assets"))
+    kept = C.read_attached(spark, str(tmp_path / "p"), "question_assets")
     assert [(r.question_text_hash, r.path) for r in kept.collect()] == [("h", "p.png")]
     assert [(r.path, r.question_id) for r in L.relink_by_hash(kept, q).collect()] == [("p.png", 1)]
 
