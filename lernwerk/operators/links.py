@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .banks import page_offsets
+from .ordered import carried
 
 
 def character_sets(rows: DataFrame, ranks: dict[str, int], chars: int) -> DataFrame:
@@ -70,14 +71,17 @@ def fill_answers(recovered: DataFrame, questions: DataFrame, threshold: float =
     return met.select("question_id", F.col("b.answer_id").alias("answer_id"), F.col("b.new_answer").alias("answer"), F.when(empty("analysis") & (F.col("b.new_analysis") != ""), F.col("b.new_analysis")).otherwise(F.col("analysis")).alias("analysis"))
 
 
-def nearest_above(questions: DataFrame, images: DataFrame, same_page: bool = False) -> DataFrame:
+def nearest_above(questions: DataFrame, images: DataFrame, same_page: bool = False, width: int = 64) -> DataFrame:
     """Each image goes to the closest question at or above it, else to the last question of an earlier page.
 
-    questions: doc, page, y, number; images: doc, page, y, image. A backward as-of join: one sort by document, no pairs.
+    questions: doc, page, y, number; images: doc, page, y, image. A backward as-of join: pages are worked out by ranges of ``width``, and what is above a range is carried on; no pairs, no task with a whole document.
+    Of questions at one place the greatest number counts.
     """
-    both = questions.select("doc", "page", "y", "number", F.lit(None).cast("long").alias("image"), F.lit(0).alias("_o")).unionByName(images.select("doc", "page", "y", F.lit(None).cast("long").alias("number"), F.col("image").cast("long"), F.lit(1).alias("_o")))
-    w = Window.partitionBy("doc", *(["page"] if same_page else [])).orderBy("page", "y", "_o", "number", "image").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("number", F.last("number", ignorenulls=True).over(w)).filter("_o = 1").select("doc", "image", "number")
+    both = questions.select("doc", "page", "y", F.lit(0).alias("_o"), "number", F.lit(None).cast("long").alias("image")).unionByName(images.select("doc", "page", "y", F.lit(1).alias("_o"), F.lit(None).cast("long").alias("number"), F.col("image").cast("long")))
+    above = F.struct(F.col("page").alias("page"), F.col("number").alias("number"))
+    told = carried(both, "doc", ["page", "y", "_o", "number"], {"_above": F.when(F.col("_o") == 0, above)}, width=width).filter("_o = 1")
+    near = F.when(F.col("_above.page").eqNullSafe(F.col("page")), F.col("_above.number")) if same_page else F.col("_above.number")
+    return told.select("doc", "image", near.alias("number"))
 
 
 def offset_pages(offsets: DataFrame, pages: DataFrame, width: int = 1 << 20) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import replies as R
 from ..functions import text as T
-from ..operators.ordered import last_before, sum_before
+from ..operators.ordered import carried, last_before, sum_before
 
 # What begins a question, a chapter, a section and an option, and an exam year.
 START = r"^\s*(\d{1,4})\s*[.、．]\s*(?:$|[^\s\d])"
@@ -51,36 +51,35 @@ def correction_blocks(questions: DataFrame, width: int = 1000) -> DataFrame:
     return blocks.select("doc", "page_no", "first_id", "n", F.array_join(F.transform("_p", lambda x: x["part"]), "\n\n").alias("prompt"))
 
 
-def parse_pages(pages: DataFrame, patterns: list[str] | None = None) -> DataFrame:
+def parse_pages(pages: DataFrame, patterns: list[str] | None = None, width: int = 64) -> DataFrame:
     """doc, number, page_no, chapter, section, answer_ref, exam_year, question_text, option_a..e, text_hash.
 
     pages: doc, page_no, text. A question reaches from its number to the next, over pages, and lies on the page of its number. Chapter,
     section and answer reference (as it is written) are the last ones above it; their lines belong to no question. Two options at least are
-    options, of a letter that repeats the last; fewer stay in the text. Null texts count as empty, questions without text go.
+    options, of a letter that repeats the last; fewer stay in the text. Null texts count as empty, questions without text go. Pages are worked out by ranges of ``width``; what stands above a range is carried on.
     """
-    w = Window.partitionBy("doc").orderBy("page_no", "line_no").rowsBetween(Window.unboundedPreceding, 0)
     lines = pages.select("doc", "page_no", F.posexplode(F.split(C.page_noise("text", patterns), "\n", -1)).alias("line_no", "line"))
     line = F.col("line")
     is_chapter, is_section, ref = F.regexp_like(line, F.lit(CHAPTER)), F.regexp_like(line, F.lit(SECTION)), F.nullif(F.regexp_extract(line, T.ANSWER_REF, 0), F.lit(""))
     is_start = F.regexp_like(line, F.lit(START))
     chapter = F.when(is_chapter, F.concat(F.lit("第"), F.regexp_extract(line, CHAPTER, 1), F.lit("章 "), F.trim(F.regexp_extract(line, CHAPTER, 2))))
     section = F.when(is_section, F.concat(F.regexp_extract(line, SECTION, 1), F.lit(" "), F.trim(F.regexp_extract(line, SECTION, 2))))
-    carried = {"chapter": chapter, "section": section, "answer_ref": F.when(~is_start, ref)}
-    told = lines.select("*", *(F.last(v, ignorenulls=True).over(w).alias(k) for k, v in carried.items()), F.sum(is_start.cast("int")).over(w).alias("block"))
+    heads = {"chapter": chapter, "section": section, "answer_ref": F.when(~is_start, ref)}
+    told = carried(lines, "doc", ["page_no", "line_no"], heads, {"block": is_start.cast("long")}, width)
     body = told.filter((F.col("block") > 0) & ~is_chapter & ~is_section & (is_start | ref.isNull()))
-    at = F.struct("page_no", "line_no", "line", *carried)
+    at = F.struct("page_no", "line_no", "line", *heads)
     blocks = body.groupBy("doc", "block").agg(F.array_sort(F.collect_list(at)).alias("l"))
     first = F.col("l")[0]
     whole = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
     text = F.regexp_replace(T.strip(F.regexp_replace(whole, YEAR, "")), r"^\s*\d{1,4}\s*[.、．]\s*", "")
-    out = blocks.select("doc", F.regexp_extract(first["line"], START, 1).cast("int").alias("number"), first["page_no"].alias("page_no"), *(first[k].alias(k) for k in carried), T.exam_year(whole).alias("exam_year"), text.alias("_t"))
+    out = blocks.select("doc", F.regexp_extract(first["line"], START, 1).cast("int").alias("number"), first["page_no"].alias("page_no"), *(first[k].alias(k) for k in heads), T.exam_year(whole).alias("exam_year"), text.alias("_t"))
     out = out.withColumn("_k", F.transform(F.regexp_extract_all("_t", F.lit(OPTION), F.lit(1)), F.upper)).withColumn("_v", F.split("_t", OPTION, -1))
     some = F.size("_k") >= 2
     each = F.arrays_zip("_k", F.slice(F.col("_v"), F.lit(2), F.size("_v")).alias("_o"))
     out = out.withColumn("_z", F.when(some, F.transform(each, lambda x: F.struct(x["_k"].alias("k"), x["_o"].alias("v")))).otherwise(F.array().cast("array<struct<k:string,v:string>>")))
     out = out.withColumn("question_text", F.when(some, T.strip(F.col("_v")[0])).otherwise(C.page_noise("_t", patterns)))
     options = [C.page_noise(F.get(F.reverse(F.filter("_z", letter(k))), F.lit(0))["v"], patterns).alias(f"option_{k.lower()}") for k in "ABCDE"]
-    return out.filter("question_text <> ''").select("doc", "number", "page_no", *carried, "exam_year", "question_text", *options, T.text_hash("question_text").alias("text_hash"))
+    return out.filter("question_text <> ''").select("doc", "number", "page_no", *heads, "exam_year", "question_text", *options, T.text_hash("question_text").alias("text_hash"))
 
 
 def letter(k: str):

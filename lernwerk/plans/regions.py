@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
@@ -14,71 +18,116 @@ C_START = r"(?U)^(?:int|float|void|unsigned|char|double|long|short|typedef|struc
 C_MORE = r"(?U)[{};]|^(?://|/\*|\*)|^\w"
 
 
+# what is known of a line, as bits
+ASM, START, OPENS, MORE, BLANK = 1, 2, 4, 8, 16
+OUTSIDE, WITHIN, UNCLOSED = 0, 1, 2
+LANGS = np.array([None, "c", "x86asm"], dtype=object)
+#: Lines of a text that become rows at once.
+SLICE = 100_000
+
+
+def line_facts(text: Column) -> Column:
+    """``text``, and for each of its lines what is known of it by patterns (``bits``) and by how much braces open or close (``braces``)."""
+    flag = lambda bit, holds: F.when(holds, bit).otherwise(0)
+
+    def bits(line: Column) -> Column:
+        bare = T.strip(line)
+        return flag(ASM, F.regexp_like(bare, F.lit(C.ASM_LINE))) + flag(START, F.regexp_like(bare, F.lit(C_START))) + flag(OPENS, F.contains(line, F.lit("{"))) + flag(MORE, F.regexp_like(bare, F.lit(C_MORE))) + flag(BLANK, bare == "")
+
+    lines = F.split(text, "\n", -1)
+    braces = F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\{")) - F.regexp_count(x, F.lit(r"\}")))
+    return F.struct(text.alias("text"), F.transform(lines, bits).alias("bits"), braces.alias("braces"))
+
+
+def region_langs(bits: np.ndarray, braces: np.ndarray) -> np.ndarray:
+    """For each line 0 (no code), 1 (C) or 2 (assembly), in time that grows with the number of lines."""
+    has = lambda bit: (bits & bit) > 0
+    before = lambda x: np.append(False, x[:-1])
+    after = lambda x: np.append(x[1:], False)
+    asm = has(ASM)
+    asm |= has(BLANK) & before(asm) & after(asm)
+    asm &= before(asm) | after(asm)
+    total = np.cumsum(braces)
+    later = np.append(np.minimum.accumulate(total[::-1])[::-1][1:], np.iinfo(np.int64).max)
+    closes = later <= total - braces
+    one_line = has(OPENS) & (braces <= 0)
+    c, mode, depth = np.zeros(len(bits), bool), OUTSIDE, 0
+    for i, (start, more, whole, closed, d) in enumerate(zip(has(START).tolist(), has(MORE).tolist(), one_line.tolist(), closes.tolist(), braces.tolist(), strict=True)):
+        if mode == WITHIN:
+            c[i], depth = True, depth + d
+            mode = WITHIN if depth > 0 else OUTSIDE
+        elif mode == UNCLOSED and more:
+            c[i] = True
+        else:
+            c[i], mode = start, OUTSIDE
+            if start and not whole:
+                mode, depth = (WITHIN if closed else UNCLOSED), d
+    own = np.where(c, 1, np.where(asm, 2, 0))
+    begins = np.flatnonzero((own > 0) & (np.append(0, own[:-1]) == 0))  # regions that touch are one, in the language of the first
+    at = np.searchsorted(begins, np.arange(len(own)), side="right") - 1
+    return np.where(own > 0, own[begins[at]] if len(begins) else 0, 0)
+
+
+def langs_of(fact: dict) -> np.ndarray:
+    return region_langs(np.array(fact["bits"], np.int64), np.array(fact["braces"], np.int64))
+
+
 def marked(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """A row for each line: the key, line_no (from 0), line, and lang (``c``, ``x86asm``, null: no code).
 
     C begins at a line that looks like a declaration and lasts until its braces are closed; a block that never closes lasts
     while lines look like code. Two or more instructions in sequence, single blank lines between them allowed, are assembly.
-    Regions that touch count as one, in the language of the first. Texts that are null have no lines.
+    Regions that touch count as one, in the language of the first. Texts that are null have no lines. A text is worked out where it is read, in one pass over its lines.
     """
-    w = Window.partitionBy(*key).orderBy("line_no")
-    lines = texts.select(*key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("_s", T.strip("line"))
-    delta = F.regexp_count("line", F.lit(r"\{")) - F.regexp_count("line", F.lit(r"\}"))
-    asm = F.regexp_like("_s", F.lit(C.ASM_LINE))
-    lines = lines.withColumn("_d", delta).withColumn("_asm", asm).withColumn("_sum", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # A block from here is closed later when some later running sum falls back to the one before this line.
-    lines = lines.withColumn("_closes", F.coalesce(F.min("_sum").over(w.rowsBetween(1, Window.unboundedFollowing)) <= F.col("_sum") - F.col("_d"), F.lit(False)))
-    joint = (F.col("_s") == "") & F.coalesce(F.lag("_asm").over(w), F.lit(False)) & F.coalesce(F.lead("_asm").over(w), F.lit(False))
-    lines = lines.withColumn("_asm", F.col("_asm") | joint)
-    lonely = ~F.coalesce(F.lag("_asm").over(w), F.lit(False)) & ~F.coalesce(F.lead("_asm").over(w), F.lit(False))
-    start = F.regexp_like("_s", F.lit(C_START))
-    facts = F.struct("line_no", "line", (F.col("_asm") & ~lonely).alias("asm"), start.alias("start"), F.col("_d").alias("d"), F.contains("line", F.lit("{")).alias("opens"), F.col("_closes").alias("closes"), F.regexp_like("_s", F.lit(C_MORE)).alias("more"))
-    whole = lines.select(*key, facts.alias("f")).groupBy(*key).agg(F.array_sort(F.collect_list("f")).alias("f"))
-    each = whole.withColumn("_marks", c_marks("f")).select(*key, "_marks", F.explode("f").alias("f"))
-    code = each.select(*key, "f.line_no", "f.line", F.when(F.substr("_marks", F.col("f.line_no") + 1, F.lit(1)) == "c", "c").when(F.col("f.asm"), "x86asm").alias("_own"))
-    begins = F.when(F.col("_own").isNotNull() & F.lag("_own").over(w).isNull(), F.col("_own"))
-    first = F.last(F.col("_begins"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return code.withColumn("_begins", begins).select(*key, "line_no", "line", F.when(F.col("_own").isNotNull(), first).alias("lang"))
-
-
-def c_marks(facts: str) -> Column:
-    """A letter for each line of a text, ``c`` within C: one pass that knows whether it is within a block (1), within one that never closes (2) or outside."""
-
-    def step(s: Column, x: Column) -> Column:
-        within = s["mode"] == 1
-        more = (s["mode"] == 2) & x["more"]
-        depth = F.when(within, s["depth"]).otherwise(0) + x["d"]
-        one_line = x["opens"] & (x["d"] <= 0)
-        mode = (
-            F.when(within, F.when(depth > 0, 1).otherwise(0))
-            .when(more, 2)
-            .when(x["start"] & ~one_line, F.when(x["closes"], 1).otherwise(2))
-            .otherwise(0)
-        )
-        letter = F.when(within | more | x["start"], "c").otherwise("-")
-        return F.struct(mode.alias("mode"), depth.alias("depth"), F.concat(s["marks"], letter).alias("marks"))
-
-    return F.aggregate(facts, F.struct(F.lit(0).alias("mode"), F.lit(0).alias("depth"), F.lit("").alias("marks")), step, lambda s: s["marks"])
-
-
-def fenced(lines: DataFrame, key: list[str]) -> DataFrame:
-    """The key and text: fences around code, two blanks at the line ends outside."""
-    w = Window.partitionBy(*key).orderBy("line_no")
-    before, after, first = F.lag("lang").over(w), F.lead("lang").over(w), F.col("line_no") == 0
-    code = F.concat(F.when(before.isNull(), F.concat(F.lit("```"), "lang", F.lit("\n"))).otherwise("\n"), "line", F.when(after.isNull(), "\n```\n").otherwise(""))
-    prose = F.concat(F.when(first | before.isNotNull(), "").otherwise("  \n"), "line")
-    pieces = lines.select(*key, "line_no", F.when(F.col("lang").isNotNull(), code).otherwise(prose).alias("piece"))
-    return pieces.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    known = texts.select(*key, F.when(F.col(text).isNotNull(), line_facts(F.col(text))).alias("_f"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, fact in enumerate(batch["_f"]):
+                if not fact.is_valid:
+                    continue
+                fact = fact.as_py()
+                lines, langs = fact["text"].split("\n"), LANGS[langs_of(fact)]
+                for a in range(0, len(lines), SLICE):
+                    n = len(lines[a : a + SLICE])
+                    own = batch.select(key).take(pa.array(np.full(n, i)))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(range(a, a + n), pa.int32()), pa.array(lines[a : a + n], pa.string()), pa.array(langs[a : a + n].tolist(), pa.string())], names=[*key, "line_no", "line", "lang"])
+
+    fields = [f"`{c}` {known.schema[c].dataType.simpleString()}" for c in key]
+    return known.mapInArrow(run, ", ".join([*fields, "line_no int, line string, lang string"]))
+
+
+def fenced(lines: list[str], langs: list[str | None]) -> str:
+    """The text with fences around code, and two blanks at the line ends outside."""
+    out = []
+    for i, (line, lang) in enumerate(zip(lines, langs, strict=True)):
+        before, after = langs[i - 1] if i else None, langs[i + 1] if i + 1 < len(langs) else None
+        if lang:
+            out.append("\n" if before else f"```{lang}\n")
+            out.append(line if after else f"{line}\n```\n")
+        else:
+            out.append(line if not i or before else f"  \n{line}")
+    return "".join(out)
 
 
 def clean_fields(rows: DataFrame, fields: list[str], patterns: list[str] | None = None) -> DataFrame:
-    """Rows by ``id`` with the whole chain of cleaning over each of the fields; nulls and empty texts stay as they are.
+    """Rows with the whole chain of cleaning over each of the fields; nulls and empty texts stay as they are.
 
-    Breaks, private-use repair, rules, footers and spacing come first, then code is located, so that fences stand where the code is.
+    Breaks, private-use repair, rules, footers and spacing come first, then code is located, so that fences stand where the code is. Rows are worked out where they are read: nothing is shuffled.
     """
-    long = rows.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("x")).select("id", "x.field", "x.text").filter("text <> ''")
-    simple = C.part_spacing(C.footer_lines(T.drop_rules(T.pua_repair(T.breaks("text"))), patterns))
-    done = fenced(marked(long.withColumn("text", simple), ["id", "field"]), ["id", "field"])
-    wide = done.groupBy("id").pivot("field", fields).agg(F.first("text")).select("id", *(F.col(f).alias(f"_{f}") for f in fields))
-    met = rows.join(wide.hint("merge"), "id", "left")
-    return met.select(*(F.when(F.col(c) != "", C.mark_inline_asm(f"_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in rows.columns))
+    simple = {f: C.part_spacing(C.footer_lines(T.drop_rules(T.pua_repair(T.breaks(f))), patterns)) for f in fields}
+    known = rows.select(*(F.when(F.col(c).isNotNull(), line_facts(F.when(F.col(c) == "", "").otherwise(simple[c]))).alias(c) if c in fields else F.col(c) for c in rows.columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = []
+            for name in batch.schema.names:
+                if name not in fields:
+                    columns.append(batch[name])
+                    continue
+                texts = [None if f is None or f["text"] is None else f["text"] and fenced(f["text"].split("\n"), LANGS[langs_of(f)].tolist()) for f in batch[name].to_pylist()]
+                columns.append(pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    kinds = ", ".join(f"`{c}` {'string' if c in fields else rows.schema[c].dataType.simpleString()}" for c in rows.columns)
+    return known.mapInArrow(run, kinds).select(*(C.mark_inline_asm(c).alias(c) if c in fields else F.col(c) for c in rows.columns))

@@ -1,6 +1,9 @@
 """Cleaning, code regions, page texts, the snapshot and the stream's store on small tables."""
 
 import re
+import time
+
+import numpy as np
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -8,6 +11,7 @@ from hypothesis import strategies as st
 from lernwerk.functions import cleaning as C
 from lernwerk.plans import pages as PG
 from lernwerk.plans import regions as G
+from lernwerk.sources import corpora as K
 from lernwerk.sources import reports as O
 from lernwerk.streaming import ingest as I
 
@@ -101,10 +105,29 @@ def test_pages(spark):
 
 
 def test_optional_table_and_store(spark, tmp_path):
-    assert O.read_optional(spark, f"{tmp_path}/none", "a long").count() == 0
+    assert K.read_optional(spark, f"{tmp_path}/none", "a long").count() == 0
     spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None), (6, "c")], "id long, text_hash string").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("id long, text_hash string").parquet(f"{tmp_path}/in")
     seed = spark.createDataFrame([(0, "c")], "id long, text_hash string")
     assert sorted(r.id for r in I.ingest(stream, seed, f"{tmp_path}/x").collect()) == [1, 3, 4, 5]
     spark.createDataFrame([(7, "a"), (8, "d")], "id long, text_hash string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     assert sorted(r.id for r in I.ingest(stream, seed, f"{tmp_path}/x").collect()) == [1, 3, 4, 5, 8]
+
+
+def test_regions_of_a_million_lines():
+    n = 1_000_000
+    bits = np.full(n, G.MORE)
+    braces = np.zeros(n, np.int64)
+    bits[0], braces[0], braces[n - 10] = G.START | G.OPENS, 1, -1  # one block almost as long as the text
+    began = time.time()
+    assert G.region_langs(bits, braces).tolist() == [1] * (n - 9) + [0] * 9
+    bits[: n // 2 : 2] = G.START
+    braces[:] = 0
+    found = G.region_langs(bits, braces)
+    assert found[: n // 2].all() and time.time() - began < 60
+
+
+def test_fields_keep_nulls_empty_texts_and_other_columns(spark):
+    rows = spark.createDataFrame([(1, None, "", [1], "a<br>b"), (1, "int f() {\n}\nx", "", None, None)], "id long, question_text string, analysis string, other array<int>, untouched string")
+    got = G.clean_fields(rows, ["question_text", "analysis"]).collect()
+    assert [tuple(r) for r in got] == [(1, None, "", [1], "a<br>b"), (1, "```c\nint f() {\n}\n```\nx", "", None, None)]

@@ -2,7 +2,8 @@
 
 import random
 
-from lernwerk.operators import attempts as A
+from pyspark.sql import functions as F
+
 from lernwerk.operators import banks as B
 from lernwerk.operators import links as L
 from lernwerk.operators import ordered as O
@@ -49,3 +50,31 @@ def test_what_hangs_on_removed_questions_goes(spark):
     parts = B.remove_cascade(ids([1, 2, 3], "id"), ids([2, 2, 9], "id"), {"assets": ids([1, 2, 2, 9, None], "question_id")})
     plain = lambda df: sorted((r[0] for r in df.collect()), key=str)
     assert {k: tuple(map(plain, v)) for k, v in parts.items()} == {"questions": ([1, 3], [2]), "assets": ([1, None], [2, 2, 9])}
+
+
+def test_values_are_carried_along_a_composite_order(spark):
+    r = random.Random(8)
+    rows = [(d, p, y, r.choice([None, r.randint(1, 99)])) for d in ("a", "b", None) for p, y in r.sample([(p, y) for p in (None, *range(-9, 30)) for y in (None, *range(6))], 90)]
+    df = spark.createDataFrame(rows, "doc string, page int, y int, v int")
+    key = lambda x: tuple((v is not None, v or 0) for v in x[1:3])
+    want = {}
+    for row in rows:
+        upto = [x[3] for x in sorted((x for x in rows if x[0] == row[0]), key=key) if key(x) <= key(row)]
+        want[row[:3]] = (next((v for v in reversed(upto) if v is not None), None), sum(v or 0 for v in upto))
+    for width in (1, 5, 4096):
+        got = O.carried(df, "doc", ["page", "y"], {"last": F.col("v")}, {"total": F.col("v")}, width)
+        assert got.columns == ["doc", "page", "y", "v", "last", "total"]
+        assert {tuple(x)[:3]: tuple(x)[4:] for x in got.collect()} == want
+
+
+def test_images_equal_a_plain_search(spark):
+    r = random.Random(11)
+    place = lambda n: [(r.choice("de"), r.randint(1, 9), float(r.randint(0, 9)), i) for i in range(n)]
+    questions, images = place(40), place(40)
+    for same in (False, True):
+        want = {}
+        for d, p, y, i in images:
+            above = [(qp, qy, n) for qd, qp, qy, n in questions if qd == d and (qp, qy) <= (p, y) and (qp == p or not same)]
+            want[i] = max(above)[2] if above else None
+        found = L.nearest_above(spark.createDataFrame(questions, "doc string, page int, y double, number long"), spark.createDataFrame(images, "doc string, page int, y double, image long"), same, width=2)
+        assert {x.image: x.number for x in found.collect()} == want
