@@ -42,10 +42,10 @@ def random_questions(questions: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def first_by_hash(rows: DataFrame, hash_col: str = "text_hash", order: str = "id") -> DataFrame:
-    """The first row of each hash; rows without a hash all stay."""
-    w = Window.partitionBy(hash_col).orderBy(order)
-    known = rows.filter(F.col(hash_col).isNotNull()).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    return known.unionByName(rows.filter(F.col(hash_col).isNull()))  # these meet nowhere
+    """The first row of each hash; rows without a hash all stay, each being a key of its own."""
+    known = F.col(hash_col).isNotNull()
+    w = Window.partitionBy(hash_col, F.when(~known, F.col(order))).orderBy(order)
+    return rows.withColumn("_r", F.when(known, F.row_number().over(w)).otherwise(1)).filter("_r = 1").drop("_r")
 
 
 def dedup_against(rows: DataFrame, stored: DataFrame, hash_col: str = "text_hash") -> DataFrame:
