@@ -38,7 +38,8 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = settle(tokens.pieces(documents(spark, sf_dir), TOKENIZER), "pieces")
-    return packing.place(cut, ["doc_id", "piece"], packing.best_fit)
+    placed = packing.place(cut, ["doc_id", "piece"], packing.best_fit)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
