@@ -6,8 +6,8 @@ words slide over the text; each filter keeps its maximum over the whole text, an
 
 Defined cases: a null or empty text has no words, so every maximum is 0 and the score is that of the
 bias alone. Repeated rows get equal scores; a very long text is scored whole. Columns besides the text pass through, whatever their names; a
-column of the same name as a result is replaced. Lower case; ASCII punctuation around a word is dropped. Training leaves out rows without text or label and
-those with texts of more than ``longest`` characters; repeated keys in either table give a row for each pair. An empty table gives no rows.
+column of the same name as a result is replaced. Lower case; ASCII punctuation around a word is dropped. Training leaves out rows without text or label; texts
+of any length teach, whole, while all fit into ``most_chars`` together; repeated keys in either table give a row for each pair. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -252,13 +252,24 @@ def best_cut(score: np.ndarray, label: np.ndarray) -> float:
     return float(min((abs(c - 0.5), c) for c, f in zip(cuts, f1, strict=True) if f >= top - 1e-9)[1])
 
 
-def train_from(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", lang: str = "lang", key: str = "doc_id", most: int = 6000, longest: int = 20_000) -> Model:
-    """Fit on at most ``most`` labelled rows, picked by a hash of their key, of texts of up to ``longest`` characters (so on 120 million characters at most). Rows without text or label are left out."""
+def train_from(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", lang: str = "lang", key: str = "doc_id", most: int = 6000, most_chars: int = 60_000_000) -> Model:
+    """Fit on at most ``most`` labelled rows, picked by a hash of their key, with at most ``most_chars`` characters together.
+
+    Whole texts are taken in the order of the hash; one that does not fit into what is left is passed over. Rows without text or label are left out.
+    """
     hashed_key = F.xxhash64("_key")
     marked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
     sample = settle(marked.orderBy(hashed_key, "_key", "_label").limit(most), "sample")  # ``most`` rows: small enough to broadcast
-    told = docs.filter(F.col(text).isNotNull() & (F.length(text) <= longest)).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    rows = told.join(F.broadcast(sample), "_key").orderBy(hashed_key, "_key", "_text", "_label").limit(most).toPandas()
+    told = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    met = told.join(F.broadcast(sample), "_key").withColumn("_own", F.xxhash64("_text", "_label"))
+    sizes = met.select("_key", "_own", F.length("_text").cast("long").alias("_chars")).orderBy(hashed_key, "_key", "_own").limit(most)
+    taken, chars = [], 0
+    for k, own, n in sizes.collect():
+        if chars + n <= most_chars:
+            taken.append((k, own))
+            chars += n
+    chosen = settle(docs.sparkSession.createDataFrame(taken, sizes.drop("_chars").schema).distinct(), "taken")
+    rows = met.join(F.broadcast(chosen), ["_key", "_own"]).orderBy(hashed_key, "_key", "_text", "_label").limit(len(taken)).toPandas()
     rows = rows.sort_values(["_key", "_text", "_label"], key=lambda c: c if c.name != "_key" else c.map(lambda k: xxh3_64_intdigest(str(k))))
     texts, marks, langs = rows["_text"].tolist(), rows["_label"].to_numpy(), rows["_lang"].tolist()
     del rows

@@ -7,7 +7,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 
-from lernwerk.llm import language_id, repeats, token_output
+from lernwerk.llm import language_id, repeats, token_output, toxicity
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 rng = random.Random(6)
@@ -58,3 +58,18 @@ def test_language_samples_come_from_all_over_a_text():
     model = language_id.fit(["abc def " * 3000 + "xyz uvw " * 3000] * 200, ["l"] * 200)  # both halves of each text are in the dictionary, which no text overfills
     found = model.dictionaries["l"]
     assert 120_000 < len(found) <= 1 << 17 and min(found.count(b"abc"), found.count(b"xyz")) > 8_000
+
+
+def test_toxicity_learns_from_long_texts_while_all_fit(spark, monkeypatch):
+    taught = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, langs: taught.append((texts, labels.tolist(), langs)))
+    texts = {1: "a" * 30_000, 2: "b" * 40_000, 3: "c" * 10, 4: None, 5: "", 6: "d" * 10, None: "e"}
+    docs = spark.createDataFrame([(k, t, "en") for k, t in texts.items()] + [(3, "c" * 20, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in (1, 2, 3, 4, 5)] + [(6, None), (None, 1), (3, 1)], "doc_id long, toxic int")
+    toxicity.train_from(docs, labels)
+    toxicity.train_from(docs, labels, most_chars=45_000)
+    toxicity.train_from(docs.limit(0), labels)
+    assert sorted(zip(*taught[0][:2])) == sorted([("a" * 30_000, 1), ("b" * 40_000, 0), ("", 1)] + [("c" * n, 1) for n in (10, 10, 20, 20)])
+    lengths = sorted(map(len, taught[1][0]))
+    assert lengths[:5] == [0, 10, 10, 20, 20] and lengths[5:] in ([30_000], [40_000])
+    assert taught[2][0] == []
