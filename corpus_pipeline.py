@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lernwerk.llm import mixing, ngram_join, packing, pii, tokens, toxicity
-from lernwerk.llm.common import fresh, lean, settle
+from lernwerk.llm.common import fresh, lean, settle, stored
 from lernwerk.llm.registry import TOKENIZER
 
-#: Documents that are packed together, at least: consecutive slots of the mix.
+#: Documents that are packed together, at least: consecutive ones of the mix.
 RUN_ROWS = 8000
 
 
@@ -50,18 +50,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document with its place in a sequence of 4096 ids; sequences follow the mix.
+    """A row for each piece of a document with its place in a sequence of 4096 ids; sequences follow the order in which documents are stored, and so the mix.
 
-    The slots of the mix are derived again, on rows without texts; what is packed together is a run of slots, and runs follow each other.
+    What is packed together is a run of documents that are stored one after the other, and runs follow each other.
     Every row gives its pieces, null and repeated ids too; a null or empty text is one piece, the end id.
     """
     lean(spark)
-    own = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id", "source").alias("_id"), "text")
+    own = docs.select(F.struct(*stored(docs), "doc_id").alias("_id"), "text")
     cut = settle(tokens.pieces(own, TOKENIZER, key="_id").select("_id.*", "piece", "start", "length", "ids_crc32"), "pieces")
-    mixed = settle(mixing.mix(cut.filter("piece = 0").select("row", "doc_id", "source")).select("row", "slot"), "slots")
-    runs = mixing.runs(mixed, RUN_ROWS)
-    placed = packing.place_runs(cut.join(runs.hint("merge"), "row"), "run", ["doc_id", "piece", "row"], packing.best_fit)
-    return placed.drop("row", "source", "run")
+    runs = packing.in_runs(cut, ["part", "file"], "row", RUN_ROWS)
+    return packing.place_runs(runs, "run", ["part", "file", "row", "piece"], packing.best_fit).drop("part", "file", "row", "run")
 
 
 STAGES = [

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -63,6 +64,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def stored(df: DataFrame) -> list[Column]:
+    """Where a row is stored, in the order of a written table: ``part`` and ``file`` of its Parquet file, ``row`` in it from 0.
+
+    Of what is no plain read of Parquet, the partition and the row in it.
+    """
+    try:
+        at = df.metadataColumn("_metadata")
+        path = at["file_path"]
+        own = [F.coalesce(F.regexp_extract(path, r"part-([0-9]{1,9})[^/]*$", 1).try_cast("long"), F.lit(-1)).alias("part"), path.alias("file"), at["row_index"].alias("row")]
+        _ = df.select(*own).schema
+    except AnalysisException:
+        row = F.monotonically_increasing_id()
+        own = [F.shiftright(row, 33).alias("part"), F.lit("").alias("file"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")]
+    return own
+
+
 def fold(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -85,25 +85,3 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     met = with_share.join(small(table, len(turns)), [name, turn])
     slot = F.floor(F.col("block") / F.col(share_of)).cast("long") * length + F.col(at)
     return met.withColumn("slot", slot).withColumn("in_mix", F.col("slot") < F.lit(runs_out)).drop(name, turn, share_of, at, number)
-
-
-def runs(mixed: DataFrame, least: int, step: int = 100, most: int = 50_000) -> DataFrame:
-    """Replace ``slot`` by ``run``: stretches of ``step`` slots, joined with the following ones up to ``least`` rows; a rest that has fewer joins the run before it.
-
-    The driver holds a row for each stretch; stretches and runs grow with the table, so that there are never more than about ``most`` of either.
-    """
-    spark: SparkSession = mixed.sparkSession
-    rows, end = mixed.agg(F.count("*"), F.coalesce(F.max("slot"), F.lit(0))).first()
-    step, least = max(step, math.ceil((end + 1) / most)), max(least, math.ceil(rows / most))
-    stretch = fresh(mixed, "stretch")
-    stretched = mixed.withColumn(stretch, F.floor(F.col("slot") / step).cast("long")).drop("slot")
-    counts = sorted((r[0], r[1]) for r in stretched.groupBy(stretch).count().collect())
-    table, run, n = [], 0, 0
-    for s, c in counts:
-        table.append([s, run])
-        n += c
-        if n >= least:
-            run, n = run + 1, 0
-    if n and run:
-        table = [[s, min(r, run - 1)] for s, r in table]
-    return stretched.join(small(settle(spark.createDataFrame(table, f"{stretch} long, run long"), "runs"), len(table)), stretch).drop(stretch)

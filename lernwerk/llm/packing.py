@@ -18,6 +18,7 @@ Ties between sequences of equal room go to the one opened last. Columns of the i
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -196,10 +197,25 @@ def place(pieces: DataFrame, order: list[str], planner, capacity: int = 4096, le
     return looked_up(ranked(pieces, [length], order, number, sum(histogram.values())), table, [length], number)
 
 
+def in_runs(pieces: DataFrame, stored: list[str], row: str, least: int, most: int = 50_000) -> DataFrame:
+    """Add ``run``: the number of a stretch of ``least`` rows in stored order (more, so that there are ``most`` runs at most); a rest that has fewer joins the run before it.
+
+    ``stored`` and ``row`` tell where a piece's document is stored (``common.stored``). What is ordered as a whole is one row for each file.
+    """
+    first, length = fresh(pieces, "first"), fresh(pieces, "length")
+    before = Window.orderBy(*stored).rowsBetween(Window.unboundedPreceding, -1)
+    lengths = settle(pieces.groupBy(*stored).agg((F.max(row) + 1).alias(length)), "files")
+    files, rows = lengths.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first()
+    begins = settle(lengths.withColumn(first, F.coalesce(F.sum(length).over(before), F.lit(0))).drop(length), "begins")
+    least = max(least, math.ceil(rows / most))
+    run = F.least(F.floor((F.col(first) + F.col(row)) / least), F.lit(max(0, rows // least - 1)))
+    return pieces.join(small(begins, files), stored).withColumn("run", run.cast("long")).drop(first)
+
+
 def place_runs(pieces: DataFrame, run: str, order: list[str], planner, capacity: int = 4096, length: str = "length") -> DataFrame:
     """As ``place``, for each run by itself: no sequence holds pieces of two runs, and sequences of a run come before those of the next.
 
-    Each run's histogram is planned in a task; a run has so few pieces that those of one length in it are numbered at once (``mixing.runs`` bounds
+    Each run's histogram is planned in a task; a run has so few pieces that those of one length in it are numbered at once (``in_runs`` bounds
     the number of runs, and so what the driver holds: a number for each).
     """
     pieces = pieces.drop(*RESULTS)
