@@ -252,7 +252,7 @@ def best_cut(score: np.ndarray, label: np.ndarray) -> float:
     return float(min((abs(c - 0.5), c) for c, f in zip(cuts, f1, strict=True) if f >= top - 1e-9)[1])
 
 
-def train_from(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", lang: str = "lang", key: str = "doc_id", most: int = 6000, most_chars: int = 60_000_000) -> Model:
+def train_from(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", lang: str = "lang", key: str = "doc_id", most: int = 6000, most_chars: int = 16_000_000) -> Model:
     """Fit on at most ``most`` labelled rows, picked by a hash of their key, with at most ``most_chars`` characters together.
 
     Whole texts are taken in the order of the hash; one that does not fit into what is left is passed over. Rows without text or label are left out.
