@@ -12,12 +12,14 @@ of any length teach, whole, while all fit into ``most_chars`` together; repeated
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -98,6 +100,26 @@ def hashed(words: pa.Array, buckets: int, at_once: int = 1 << 15) -> Words:
     return Words(np.append(np.concatenate(rows), 3 * buckets - 1) if rows else np.array([3 * buckets - 1]), np.concatenate([*weights, [1]]).astype(np.float32), n, np.cumsum(n) - n)
 
 
+def encoded(texts: Iterable[str], at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """As ``split_words``, over texts that come one by one: only about ``at_once`` characters of them are held at a time, then 4 bytes a word."""
+    codes, sizes, words = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], pa.array([], pa.string())
+    held, n = [], 0
+    for text in chain(texts, [None]):
+        if held and (text is None or n + len(text) > at_once):
+            own, offsets, found = split_words(pa.array(held, pa.string()))
+            known = pc.index_in(found, value_set=words)
+            new = found.filter(pc.is_null(known))
+            place = pc.fill_null(known, -1).to_numpy(zero_copy_only=False).astype(np.int32)
+            place[place < 0] = len(words) + np.arange(len(new), dtype=np.int32)
+            codes.append(place[own]), sizes.append(np.diff(offsets))
+            words = pa.concat_arrays([words, new])
+            held, n = [], 0
+        if text is not None:
+            held.append(text)
+            n += len(text)
+    return np.concatenate(codes), np.cumsum(np.concatenate(sizes)), words
+
+
 def padded(codes: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes with PAD padding words after each text, so that no filter sees two texts; where each text starts."""
     n = np.diff(offsets)
@@ -144,10 +166,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
     codes, offsets, words = split_words(texts)
-    pad = len(words)
+    return score_codes(model, hashed(words, model.buckets), np.arange(len(words) + 1), codes, offsets)
+
+
+def score_codes(model: Model, known: Words, used: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Scores of texts as codes into ``used``, the words that come in them and then the padding."""
+    pad = len(used) - 1
     codes, starts = padded(codes, offsets, pad)
-    known = hashed(words, model.buckets)
-    best, _ = maxima(tables(model, known.embed(model.table, np.arange(pad + 1))), codes, starts, pad)
+    best, _ = maxima(tables(model, known.embed(model.table, used)), codes, starts, pad)
     return sigmoid(model.out @ np.maximum(best + model.bias[:, None], 0) + model.out_bias)
 
 
@@ -163,8 +189,8 @@ class Adam:
         self.value[rows] -= lr * (self.first[rows] / (1 - 0.9**n)) / (np.sqrt(self.second[rows] / (1 - 0.999**n)) + 1e-8)
 
 
-def train(texts: list[str], labels: np.ndarray, langs: list[str] | None = None, *, buckets: int = 1 << 14, dim: int = 12, filters: int = 8, steps: int = 1000, batch: int = 32, rate: float = 0.01, decay: float = 1e-2, seed: int = 7) -> Model:
-    """Fit by Adam on weighted log loss; every fifth text is kept back to set the thresholds.
+def train(texts: Iterable[str], labels: np.ndarray, langs: list[str] | None = None, *, buckets: int = 1 << 14, dim: int = 12, filters: int = 8, steps: int = 1000, batch: int = 32, rate: float = 0.01, decay: float = 1e-2, seed: int = 7) -> Model:
+    """Fit by Adam on weighted log loss; every fifth text is kept back to set the thresholds. Texts are read once, one after the other.
 
     The score of best F1, drawn to 0.5 where few texts have label 1, becomes 0.5 by a shift of the bias. Thresholds: for each language of the texts kept back with at least 10 texts of
     either label, its own score of best F1, drawn halfway to 0.5; 0.5 holds elsewhere. Labels of one kind only, or no texts: a model that scores by the share of label 1.
@@ -178,9 +204,17 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str] | None = None,
         model.out[:] = 0
         model.out_bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
         return model
-    codes, offsets, words = split_words(pa.array(texts, pa.string()))
+    codes, offsets, words = encoded(texts)
     known, n_words = hashed(words, buckets), len(words)
     del words
+
+    def taken(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words of some texts and the padding, their texts as codes into these, and where each starts."""
+        own = np.concatenate([codes[offsets[i] : offsets[i + 1]] for i in some])
+        here = np.concatenate([[0], np.cumsum([offsets[i + 1] - offsets[i] for i in some])])
+        used, own = np.unique(own, return_inverse=True)
+        return np.append(used, n_words), own, here
+
     kept_back = np.arange(len(y)) % 5 == 4
     fit = np.flatnonzero(~kept_back)
     weight = np.where(y == 1, 0.5 / max(y[fit].mean(), 1e-6), 0.5 / max(1 - y[fit].mean(), 1e-6)).astype(np.float32) ** 0.7
@@ -192,10 +226,7 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str] | None = None,
         shuffled = np.array_split(rng.permutation(fit), max(1, len(fit) // batch))
         for some in shuffled:
             step += 1
-            own = np.concatenate([codes[offsets[i] : offsets[i + 1]] for i in some])
-            here = np.concatenate([[0], np.cumsum([offsets[i + 1] - offsets[i] for i in some])])
-            used, own = np.unique(own, return_inverse=True)
-            used = np.append(used, n_words)
+            used, own, here = taken(some)
             embedded = known.embed(model.table, used)
             pad = len(used) - 1
             own, starts = padded(own, here, pad)
@@ -231,7 +262,7 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str] | None = None,
         model.table *= max(0.0, 1 - lr * decay * len(shuffled))
     back = np.flatnonzero(kept_back)
     if len(back) >= 20 and 0 < y[back].sum() < len(back):
-        held = np.concatenate([score_texts(model, pa.array([texts[i] or "" for i in some], pa.string())) for some in np.array_split(back, len(back) // 100 + 1)])
+        held = np.concatenate([score_codes(model, known, *taken(some)) for some in np.array_split(back, len(back) // 100 + 1)])
         positive = y[back].sum()  # few of them tell little about the cut
         cut = 0.5 + (best_cut(held, y[back]) - 0.5) * positive / (positive + 20)
         model.out_bias -= float(np.log(cut / (1 - cut)))
@@ -255,7 +286,8 @@ def best_cut(score: np.ndarray, label: np.ndarray) -> float:
 def train_from(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", lang: str = "lang", key: str = "doc_id", most: int = 6000, most_chars: int = 60_000_000) -> Model:
     """Fit on at most ``most`` labelled rows, picked by a hash of their key, with at most ``most_chars`` characters together.
 
-    Whole texts are taken in the order of the hash; one that does not fit into what is left is passed over. Rows without text or label are left out.
+    Whole texts are taken in the order of the hash; one that does not fit into what is left is passed over. Rows without text or label are left out. Texts come to
+    the driver compressed and are read there one after the other, so that it never holds them all as text.
     """
     hashed_key = F.xxhash64("_key")
     marked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
@@ -269,11 +301,19 @@ def train_from(docs: DataFrame, labels: DataFrame, text: str = "text", label: st
             taken.append((k, own))
             chars += n
     chosen = settle(docs.sparkSession.createDataFrame(taken, sizes.drop("_chars").schema).distinct(), "taken")
-    rows = met.join(F.broadcast(chosen), ["_key", "_own"]).orderBy(hashed_key, "_key", "_text", "_label").limit(len(taken)).toPandas()
+    packed = met.join(F.broadcast(chosen), ["_key", "_own"]).select("_key", "_text", "_label", "_lang")
+    packed = packed.mapInArrow(compress, f"_key {packed.schema['_key'].dataType.simpleString()}, _text binary, _label int, _lang {packed.schema['_lang'].dataType.simpleString()}")
+    rows = packed.orderBy(hashed_key, "_key", "_text", "_label").limit(len(taken)).toPandas()
     rows = rows.sort_values(["_key", "_text", "_label"], key=lambda c: c if c.name != "_key" else c.map(lambda k: xxh3_64_intdigest(str(k))))
-    texts, marks, langs = rows["_text"].tolist(), rows["_label"].to_numpy(), rows["_lang"].tolist()
-    del rows
-    return train(texts, marks, langs)
+    return train((zstandard.decompress(bytes(x)).decode() for x in rows["_text"]), rows["_label"].to_numpy(), rows["_lang"].tolist())
+
+
+def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text column by zstandard."""
+    for batch in batches:
+        at = batch.schema.get_field_index("_text")
+        small = [zstandard.compress(x.as_py().encode()) for x in batch.column(at)]
+        yield batch.set_column(at, "_text", pa.array(small, pa.binary()))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:

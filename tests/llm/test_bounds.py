@@ -62,7 +62,7 @@ def test_language_samples_come_from_all_over_a_text():
 
 def test_toxicity_learns_from_long_texts_while_all_fit(spark, monkeypatch):
     taught = []
-    monkeypatch.setattr(toxicity, "train", lambda texts, labels, langs: taught.append((texts, labels.tolist(), langs)))
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, langs: taught.append((list(texts), labels.tolist(), langs)))
     texts = {1: "a" * 30_000, 2: "b" * 40_000, 3: "c" * 10, 4: None, 5: "", 6: "d" * 10, None: "e"}
     docs = spark.createDataFrame([(k, t, "en") for k, t in texts.items()] + [(3, "c" * 20, None)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(k, k % 2) for k in (1, 2, 3, 4, 5)] + [(6, None), (None, 1), (3, 1)], "doc_id long, toxic int")
