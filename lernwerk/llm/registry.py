@@ -101,7 +101,86 @@ def crc32_sql(s: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda c: ord(c)::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295)"
 
 
+#: What the SQL of personal data looks for. Its regular expressions cannot look around: an IBAN is sought with the character before it in a text that a blank was put before, and cut from what follows its head.
+MATCHES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"[^A-Za-z0-9][A-Z]{2}[0-9]{2}",
+}
+
+
+def matches_sql(kind: str, rank: int) -> str:
+    body = "' ' || text" if kind == "iban" else "text"
+    return f"""SELECT id, text, '{kind}' AS kind, {rank} AS rank, unnest(regexp_extract_all({body}, '{MATCHES[kind]}')) AS m, unnest(string_split_regex({body}, '{MATCHES[kind]}')) AS g, unnest(range(len(string_split_regex({body}, '{MATCHES[kind]}')))) AS i FROM t"""
+
+
+def case_sql(what: str, values: dict[str, object]) -> str:
+    return f"CASE {what} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+
+
+PII_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+each AS ({" UNION ALL ".join(matches_sql(k, i) for i, k in enumerate(MATCHES))}),
+placed AS (
+  SELECT *, CAST(sum(length(g)) OVER (PARTITION BY id, kind ORDER BY i) + coalesce(sum(length(m)) OVER (PARTITION BY id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, regexp_replace(m, '[^0-9]', '', 'g') AS digits
+  FROM each
+), base AS (
+  SELECT id, text, kind, rank, s, s + length(m) AS e FROM placed
+  WHERE m IS NOT NULL AND CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 14 AND 19
+      AND list_sum(list_transform(string_split(reverse(digits), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INTEGER) WHEN x > '4' THEN 2 * CAST(x AS INTEGER) - 9 ELSE 2 * CAST(x AS INTEGER) END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15 ELSE false END
+), heads AS (
+  SELECT id, text, s, string_split(regexp_extract(substr(text, s + 1, 66), '^([A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}})(?:[^A-Za-z0-9]|$)', 1), ' ') AS words FROM placed WHERE kind = 'iban' AND m IS NOT NULL
+), ends AS (
+  SELECT *, replace(whole, ' ', '') AS bare FROM (SELECT id, text, s, unnest(list_transform(range(1, len(words) + 1), lambda k: array_to_string(words[1:k], ' '))) AS whole FROM heads)
+), fine AS (
+  SELECT id, text, s, s + length(whole) AS e, length(bare) = coalesce({case_sql("left(bare, 2)", {c: n for n, of in pii.IBAN_CHARS.items() for c in of.split()})}, 0) AS fixed FROM ends
+  WHERE length(bare) BETWEEN 15 AND 34
+    AND list_reduce(list_prepend(0, list_transform(string_split(bare[5:] || bare[:4], ''), lambda c: CASE WHEN c <= '9' THEN ord(c) - 48 ELSE ord(c) - 55 END)), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1
+), longest AS (
+  SELECT id, text, s, arg_max(e, (CASE WHEN fixed THEN 1000 ELSE 0 END) + e - s) AS e FROM fine GROUP BY id, text, s
+), apart AS (
+  SELECT id, text, unnest(list_reduce(list([struct_pack(s := s, e := e)] ORDER BY s), lambda a, x: CASE WHEN x[1].s >= a[len(a)].e THEN list_concat(a, x) ELSE a END)) AS x FROM longest GROUP BY id, text
+), spans AS (
+  SELECT *, kind || ':' || s || ':' || e AS said, CAST({case_sql("kind", pii.SCORES)} AS DOUBLE) + CASE WHEN regexp_matches(substr(text, greatest(s - {pii.CONTEXT_CHARS}, 0) + 1, least(s, {pii.CONTEXT_CHARS})), '(?i)' || {case_sql("kind", {k: f"'{v}'" for k, v in pii.CONTEXT.items()})}) THEN CAST({pii.CONTEXT_GAIN} AS DOUBLE) ELSE 0 END AS score
+  FROM (SELECT * FROM base UNION ALL SELECT id, text, 'iban', {len(pii.BASE)}, x.s, x.e FROM apart)
+)
+SELECT t.doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)}, sha256(coalesce(string_agg(said, ',' ORDER BY s, rank) FILTER (rank < {len(pii.BASE)}), '')) AS base_sha256,
+  coalesce(string_agg(said, ',' ORDER BY s, rank), '') AS spans, max(score) AS highest_score
+FROM t LEFT JOIN spans ON t.id = spans.id GROUP BY t.id, t.doc_id
+"""
+
+#: Every window of 100 bytes, in hexadecimal digits, with the first place that has it. Keys are taken to stand for one text each.
+REPEATS_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, hex(encode(text)) AS h FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)
+), blocks AS (  -- a place in a short text is found faster
+  SELECT r, skipped, substr(h, 2 * skipped + 1, 2 * 1099) AS h FROM (SELECT r, h, unnest(range(0, length(h) // 2, 1000)) AS skipped FROM d)
+), windows AS (
+  SELECT r, skipped + p AS p, md5(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT r, skipped, h, unnest(range(least(1000, length(h) // 2 - 99))) AS p FROM blocks)
+), later AS (
+  SELECT r, p FROM (SELECT r, p, row_number() OVER (PARTITION BY k ORDER BY r, p) AS n FROM windows) WHERE n > 1
+), runs AS (
+  SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM later)
+), cuts AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS begin FROM (SELECT r, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY r, run)
+), kept AS (
+  SELECT d.r, coalesce(string_agg(substr(h, 2 * begin + 1, 2 * (a - begin)), '' ORDER BY a), '') || substr(any_value(h), 2 * coalesce(max(b), 0) + 1) AS rest, count(a) AS n_spans, CAST(coalesce(sum(b - a), 0) AS BIGINT) AS n_removed
+  FROM d LEFT JOIN cuts ON d.r = cuts.r GROUP BY d.r
+)
+SELECT o.doc_id, length(d.h) // 2 AS n_bytes, k.n_removed, k.n_spans, sha256(unhex(k.rest)) AS kept_sha256
+FROM documents o JOIN d ON o.doc_id IS NOT DISTINCT FROM d.doc_id AND d.h = hex(encode(coalesce(o.text, ''))) JOIN kept k ON k.r = d.r
+"""
+
+
 ORACLES = {
+    "op2_suffix_dedup": REPEATS_SQL,
+    "op9_pii": PII_SQL,
     "op8_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
