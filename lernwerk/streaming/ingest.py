@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import questions as S
 from ..sources.projection import TEXT_COLUMNS
+from .tables import read_table
 
 
 def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The question texts of a folder of document files as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    """The question texts of the table of documents as a stream; the table is a file or a folder of files."""
+    stream = read_table(spark, sf_dir, "documents")
     return spark.sql(f"SELECT {TEXT_COLUMNS} FROM {{t}}", t=stream)
 
 
